@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlake.llm import incremental
+from claimlake.llm import incremental, markup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p2_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.block_text(_read(spark, sf_dir, "doc_lines"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.page_structure(_read(spark, sf_dir, "doc_lines"))
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_pages(_read(spark, sf_dir, "doc_lines"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.link_batches(_read(spark, sf_dir, "findings"))
 
@@ -20,7 +32,13 @@ def p4_baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.baselined_check(findings, incremental.link_batches(findings))
 
 
-QUERIES = {"p4_found": p4_found, "p4_baselined": p4_baselined}
+QUERIES = {
+    "p2_method": p2_method,
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
+    "p4_found": p4_found,
+    "p4_baselined": p4_baselined,
+}
 
 _P4_CLAIMS = r"""
 WITH named AS (
