@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlake.llm import incremental, markup
+from claimlake.llm import codedocs, incremental, markup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = codedocs.pair_functions(_read(spark, sf_dir, "source_files"))
+    return pairs.where("doc_origin = 'own'").select("file_id", "decl_line").distinct()
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codedocs.pair_functions(_read(spark, sf_dir, "source_files"))
+
+
 def p2_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.block_text(_read(spark, sf_dir, "doc_lines"))
 
@@ -33,6 +42,8 @@ def p4_baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pairs": p1_pairs,
     "p2_method": p2_method,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
