@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlake.llm import codedocs, incremental, markup
+from claimlake.llm import codedocs, incremental, markup, residue
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,14 @@ def p4_baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.baselined_check(findings, incremental.link_batches(findings))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_evidence(_read(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_evidence(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -49,6 +57,8 @@ QUERIES = {
     "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_baselined": p4_baselined,
+    "p8_found": p8_found,
+    "p8_reasons": p8_reasons,
 }
 
 _P4_CLAIMS = r"""

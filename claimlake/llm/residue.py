@@ -1,0 +1,290 @@
+"""Template residue, filler text, error pages and script notices in documents.
+
+Evidence of four kinds is combined for every document:
+
+placeholders   unfilled fields in the forms of common template languages;
+filler         runs of sample words and stock filler sentences;
+messages       sentences that are an error page or ask for scripts;
+responses      slug of the address, title and body terms compared, and the body's
+               signature (chrome, numbers and identifiers removed) counted over all
+               hosts: a low-information body that fits neither its slug nor its title
+               and repeats under other addresses is a response, not a document.
+
+The first three decide on their own where they stand in place of content. A page
+that only resembles an error message is flagged if the response evidence agrees.
+Code (fenced, inline, ``<pre>``) and quoted text is not content of its own, and a
+sentence that talks about placeholders or filler names them without being residue.
+
+Defined results for odd input
+-----------------------------
+* null or blank text, null doc_id: no row. Null source or path: no host evidence.
+* repeated rows: one row per doc_id. Texts of any length are read whole.
+* empty tables: no rows. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Words that name a field to be filled in (fixed values).
+FIELD_WORDS = (
+    "name title author date year version company organization organisation contact email mail phone address url link license licence description summary"
+    " project product repo repository module package path command user username customer team city country logo number text content topic subject feature"
+).split()
+_FIELD = "(?:" + "|".join(FIELD_WORDS) + ")"
+_NAME = r"[A-Za-z][\w.-]*(?:[ _.-]\w+)*"
+_UPPER = r"[A-Z][A-Z0-9]*(?:[ _.-][A-Z0-9]+)*"
+#: Forms that only template languages use: any name is a field.
+_TEMPLATE = re.compile(
+    rf"\{{\{{[-#/^&>!~]?\s*{_NAME}(?:\s*\|[^{{}}\n]*)?\s*[-~]?\}}\}}|\{{%-?\s*{_NAME}[^%\n]{{0,60}}-?%\}}|<%[=-]?\s*@?{_NAME}(?:\(\))?\s*-?%>|@@{_NAME}@@|%%{_NAME}%%|#\{{\s*{_NAME}\s*\}}"
+    rf"|<<\s*{_NAME}\s*>>|\[\[\s*{_UPPER}\s*\]\]|<insert\b[^<>\n]{{1,60}}>|\[insert\b[^\[\]\n]{{1,60}}\](?!\()",
+    re.I,
+)
+_UPPER_DOUBLE = re.compile(rf"^\[\[\s*{_UPPER}\s*\]\]$")
+#: Forms with other uses: the name must be written as a field.
+_AMBIGUOUS = re.compile(
+    rf"(?<![\w/\\$])\$\{{\s*({_UPPER})\s*\}}(?![/\w])|(?<![\w$])\$({_UPPER})\$(?!\w)|(?<![\w/{{$#%])\{{\s*({_UPPER})\s*\}}(?![\w/}}-])"
+    rf"|(?<!\w)__({_UPPER})__(?!\w)|(?<![\w%])%({_UPPER})%(?!\w)|(?<![\w\]\[!])\[\s*((?:your|my|the|our)[ _]+[^\[\]\n]{{1,40}}|[^\[\]\n]{{1,40}}[ _]here|{_UPPER})\s*\](?![\w(\[:])"
+    rf"|<\s*((?:your|my|our|the)[ _-]+[\w -]{{1,40}}|[\w -]{{1,40}}[ _-]here|{_UPPER}[_ -]{_UPPER})\s*>",
+)
+_AMBIGUOUS_LOWER = re.compile(r"(?<![\w\]\[!])\[\s*((?:your|insert|enter)\s[^\[\]\n]{1,40}|[^\[\]\n]{1,40}\shere)\s*\](?![\w(\[:])", re.I)
+_FIELD_IN = re.compile(rf"(?<![A-Za-z]){_FIELD}s?(?![A-Za-z])", re.I)
+#: Words of sentences about placeholders and filler.
+_TALK = re.compile(
+    r"\b(?:placeholders?|templates?|syntax|pattern|literal(?:ly)?|variables?|notation|such as|for example|e\.g\.|called|named|written|escape[ds]?|quote[ds]?|expands?|substitut\w+|format string"
+    r"|Platzhalter|Vorlage|plantillas?|marcador(?:es)?)\b|占位符|模板",
+    re.I,
+)
+
+#: Words of the stock Latin filler (fixed values).
+LATIN = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud"
+    " exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint"
+    " occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
+_LATIN_STRONG = LATIN - frozenset("do in ad id non est sit ut et ex ea qui sed ipsum dolor magna eu quis minim labore commodo enim".split())
+#: Words typed where text was still to come (fixed values).
+_KEYSTROKES = frozenset("x xx xxx xxxx xxxxx xxxxxx asdf asdfg asdfgh qwer qwert qwerty foo bar baz qux quux test testing blah bla yadda tbd tba tk lipsum".split())
+#: Stock sentences that stand for text still to come, one alternative each.
+_FILLER_SENTENCE = re.compile(
+    r"^(?:this is |here is |hier steht |esto es |)(?:(?:a |an |some |ein |un )?(?:placeholder|sample|dummy|example|filler|beispiel|blind|platzhalter)[ -]?(?:copy|text|content|paragraph|texte?)\b[\s.,!]*)+(?:do not publish)?[.!]*$"
+    r"|^(?:your|some|more|the) (?:text|content|description|title|copy) (?:goes|comes|belongs|will go|to go) here\b"
+    r"|^(?:replace|fill in|rewrite|delete) this (?:paragraph|text|section|sentence)\b"
+    r"|^(?:insert|add|enter|write|type|put) (?:your |a |some |the )?(?:description|text|content|title|summary|copy|details?|something) here\b"
+    r"|^(?:content|text|description|documentation|details?|more|page|section)?[ ,]*(?:is |are |will be )?coming soon[.!…]*$"
+    r"|^(?:to be (?:written|added|done|completed|announced)|under construction|work in progress|nothing here yet)[.!…]*$"
+    r"|^(?:(?:blah|bla)[\s,]+){2,}|(?:[\s,]+(?:blah|bla)){2,}[.!]*$"
+    r"|^(?:texto de (?:ejemplo|relleno)|contenido próximamente|inserte (?:aquí )?(?:el |la |su )?\w+|hier (?:steht|folgt|kommt) (?:ihr |der |ein )?(?:text|inhalt)|(?:text|inhalt) folgt)\b"
+    r"|^(?:此处(?:填写|插入|输入)|在此(?:输入|填写|插入)|这里(?:填写|插入|输入)|示例文本|占位文本|占位内容|内容即将|敬请期待|待补充|即将推出)",
+    re.I,
+)
+
+_REASONS = (
+    r"bad request|unauthori[sz]ed|payment required|forbidden|(?:page |file )?not found|method not allowed|not acceptable|request time-?out|conflict|gone|length required|payload too large"
+    r"|unsupported media type|too many requests|internal server error|server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|access denied|permission denied"
+)
+#: Sentences of error pages, from their first word on.
+_ERROR = re.compile(
+    r"^(?:http(?:/\d(?:\.\d)?)? )?(?:status(?: code)? |error(?: code)?:? ?)#?[45]\d\d\b"
+    r"|^#?[45]\d\d ?[-–—:|]+ ?[^\W\d]"
+    r"|^[45]\d\d (?:" + _REASONS + r")\b(?! (?:when|if|while|unless|for|to|is|are|means|as)\b)"
+    r"|^(?!gone|conflict|not implemented|not acceptable)(?:" + _REASONS + r")[.!]*$"
+    r"|^(?:error|fehler|warning|错误|fatal error|exception): ?(?:the |this |your |you |a |an )?(?:" + _REASONS + r"|request|connection|server|page|resource|access|permission|something|could not|unable|failed|cannot|database|session|authentication|rate limit\w*|upstream|maintenance|invalid|unexpected)\b"
+    r"|^(?:(?:oops|whoops|uh[- ]oh|sorry|we(?:'|’)?re (?:very )?sorry|we are (?:very )?sorry|error|hmm)[!.,:;… ]+(?:but )?)*(?:"
+    r"(?:the|this|that|your) (?:requested )?(?:page|resource|file|url|address|site|link|document)(?: you (?:are looking for|requested|were looking for|tried to (?:open|reach)|asked for))? (?:could ?n[o']t be found|cannot be (?:found|displayed|shown|loaded)|can't be (?:found|reached)|was not found|does(?: not|n't) exist|no longer exists|is not available|is (?:currently |temporarily )?unavailable|has been (?:removed|moved|deleted)|may have (?:moved|been (?:moved|removed)))"
+    r"|(?:page|resource|file) not found|we (?:could ?n[o']t|cannot|can't) find (?:the|that|this) page|there is nothing here"
+    r"|something went (?:terribly |badly )?wrong|an? (?:unexpected |unknown |internal )?error (?:has )?occurr?ed"
+    r"|(?:the|our) (?:upstream |web |origin )?(?:server|service|site|backend|gateway) (?:did not (?:answer|respond)|is (?:temporarily |currently )?(?:unavailable|down|overloaded|not available)|met an? (?:unexpected|error)|encountered an?|returned an? (?:invalid|bad|error|unexpected)|refused|could not (?:complete|process)|failed|timed out)"
+    r"|(?:you|your (?:ip|account|client))(?: (?:do|does) not| don't| are not| is not) (?:have (?:the )?(?:permission|access|rights)|(?:allowed|permitted|authori[sz]ed))"
+    r"|(?:you|your (?:ip|account|client|address)) (?:have|has) been (?:rate[- ]limited|blocked|banned|logged out|denied)|too many requests|access (?:to this (?:page|resource) )?(?:is |was |has been )?(?:denied|forbidden|blocked)"
+    r"|authentication (?:is )?(?:required|failed)|(?:you must|please) (?:log|sign) in to (?:continue|view|see|access)|your session has (?:expired|timed out|ended)"
+    r"|we(?: are|'re|’re)? (?:currently |temporarily )?(?:down|offline|closed|unavailable)(?: for (?:scheduled |planned )?maintenance)?|(?:the )?(?:site|service|page) is (?:currently |temporarily )?(?:down|under|undergoing|in) (?:for )?maintenance"
+    r"|this (?:site|page) (?:can(?:no|'|’)?t be reached|is not working)|service (?:temporarily )?unavailable"
+    r"|die (?:angeforderte |gewünschte |aufgerufene )?seite (?:existiert nicht|wurde nicht gefunden|konnte nicht|ist nicht)|(?:die )?seite (?:wurde )?nicht gefunden|(?:der )?zugriff (?:wurde )?(?:verweigert|nicht gestattet)|der (?:dienst|server) ist (?:vorübergehend |derzeit |zurzeit )?nicht (?:verfügbar|erreichbar)|interner serverfehler|etwas ist schief ?gelaufen|ein (?:unerwarteter )?fehler ist aufgetreten|bitte melden sie sich an\b|zu viele anfragen"
+    r"|(?:la )?página (?:solicitada )?no (?:se ha )?(?:encontrad|existe|está disponible|se encuentra)\w*|(?:la )?dirección solicitada ya no existe|(?:el )?acceso (?:ha sido )?(?:denegado|prohibido)|(?:el )?servicio (?:temporalmente )?no (?:está )?disponible|error interno del servidor|algo salió mal|se ha producido un error|demasiadas (?:solicitudes|peticiones)|inicie sesión para continuar"
+    r"|(?:您(?:访问|请求)的)?(?:该)?页面(?:未找到|不存在|已被删除|无法(?:找到|显示|访问))|找不到(?:该)?页面|访问被(?:拒绝|禁止)|(?:您)?没有权限|(?:该)?服务(?:器)?(?:暂时|目前)?(?:不可用|无法(?:访问|使用)|繁忙|维护中|错误)|服务器内部错误|(?:系统|网站)(?:正在)?维护|请求过多|请登录后(?:重试|继续)|出错了|发生(?:未知)?错误"
+    r")",
+    re.I,
+)
+_SCRIPT = re.compile(
+    r"^(?:(?:oops|sorry|loading|we(?:'|’)re sorry|warning|notice|attention|achtung|please note)[!.…,: ]*(?:but )?)*(?:"
+    r"(?:you (?:need|have|must)|please|kindly|turn on|enable|activate|allow|to (?:use|view|see|continue|run)|in order to|it (?:looks|seems|appears)|your browser|this (?:site|page|app|application|website|document|viewer|form|content)|the (?:site|page|app|viewer|reader)|javascript|java script|scripts?|scripting|cookies|if nothing (?:appears|happens)|checking your browser|without javascript)\b[^\n]{0,120}"
+    r"(?:(?:enable|turn|switch|allow|activate|require|need|support|run)\w*(?: on| to have)?[^\n]{0,60}\b(?:javascript|java script|scripts?|scripting)\b|\b(?:javascript|java script|scripts?|scripting)\b[^\n]{0,60}\b(?:disabled|blocked|required|needed|enabled|turned off|turned on|switched off|must|not (?:run|supported|available|enabled)|allowed|active)\b|before you proceed|scripts)"
+    r"|(?:javascript|scripts?|scripting)\b(?: and cookies)? (?:is|are|seems? to be|must be|has been|needs? to be) (?:currently )?(?:disabled|blocked|required|turned off|not|off|active|enabled|needed)"
+    r"|this (?:site|page|app|application|website) (?:requires|needs|works best with|depends on) (?:javascript|scripts?)"
+    r"|(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:bitte )?(?:javascript|skripte)|javascript (?:ist|muss|wird)\b[^\n]{0,40}(?:deaktiviert|aktiviert|benötigt|ausgeschaltet)|diese (?:seite|anwendung) (?:benötigt|erfordert) javascript|sie müssen javascript"
+    r"|(?:por favor,? )?(?:active|habilite|active usted|necesita|debe (?:activar|habilitar))[^\n]{0,20}javascript|javascript (?:está|debe estar) (?:desactivado|deshabilitado|activado|habilitado)|esta (?:página|aplicación) (?:requiere|necesita) javascript"
+    r"|(?:请|您需要|您必须|必须|需要)(?:先)?(?:启用|开启|打开|允许) ?javascript|(?:您的)?浏览器(?:已禁用|未启用|不支持) ?javascript|(?:本|此)(?:页|页面|网站|应用)(?:需要|要求)(?:启用)? ?javascript|javascript ?(?:已被|被)?(?:禁用|未启用)"
+    r")",
+    re.I,
+)
+
+#: Navigation and page furniture around a document's own text (fixed values).
+_CHROME = re.compile(
+    r"^(?:skip to (?:main )?content|home(?: ?[|·•/] ?\w+)+|was this page helpful\?.*|yes ?no|© .*|copyright .*|menu( +\w+( \w+)?)*|search(?: docs)?|← ?back|back|last edited by .*|this page also uses cookies\.?|v\d[\d.]*"
+    r"|contact the site owner.*|you may return to the home page.*|popular pages:.*|reference #\w+|request id [\w-]+\.?.*|loading…|edge/\w+)$",
+    re.I,
+)
+_FENCED = re.compile(r"^([ \t]*(?:>[ \t]*)*)(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t]*(?:>[ \t]*)*\2[`~]*[ \t]*$|\Z)", re.S | re.M)
+_INLINE = re.compile(r"(?<!`)(`+)(?!`)(?:[^`]|(?!\1)`+)*?\1(?!`)")
+_PRE = re.compile(r"<(pre|code|samp|kbd|script|style|textarea)\b[^<>]*>.*?</\1\s*>", re.S | re.I)
+_QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»|「[^」\n]{1,200}」|‘[^’\n]{2,200}’(?!\w)")
+_MARKS = re.compile(r"(?<!\w)[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?!\w)|\*{1,3}|^[ \t]*(?:[>#|+-]+[ \t]*|\d+[.)][ \t]+)+", re.M)
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])\s*|\n+|(?<!\w)\|(?!\w)")
+_TAGS = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>")
+_WORD = re.compile(r"[^\W\d_]+")
+#: A text without any of these words (or CJK strings) has no message and no filler; most texts end here.
+_TRIGGER_WORDS = frozenset(
+    "javascript script scripts scripting cookies browser captcha forbidden unauthorized unauthorised unavailable denied permission permitted limited maintenance expired wrong oops whoops sorry error errors"
+    " occurred requests removed gone server status http found exist exists displayed reached failed failure authentication blocked banned offline undergoing"
+    " redirect retry fehler gefunden verweigert verf erreichbar melden anmelden serverfehler schiefgelaufen anfragen versuchen skripte encontrada encontrado denegado prohibido disponible existe salido inicie"
+    " solicitudes peticiones vuelva int sesi placeholder sample dummy filler beispieltext blindtext platzhaltertext goes soon construction progress here folgt aqu ejemplo relleno lipsum".split()
+) | _KEYSTROKES | (_LATIN_STRONG - {"tempor"})
+_TRIGGER_PHRASES = (
+    "gateway timeout", "gateway time-out", "bad gateway", "upstream server", "upstream service", "internal server", "internal error", "session has", "session is", "timed out", "request timeout",
+    "nothing yet", "not yet", "页面未找到", "页面不存在", "页面已被", "页面无法", "找不到", "访问被", "服务暂时", "服务不可用", "服务器内部", "服务器错误", "服务器繁忙", "服务目前", "维护", "没有权限",
+    "请求过多", "请登录", "出错了", "发生错误", "发生未知", "占位", "示例文本", "敬请期待", "待补充", "此处填写", "此处插入", "此处输入", "在此输入", "在此填写", "在此插入", "这里填写", "这里插入", "这里输入", "即将",
+)
+_FIELD_TRIGGER = re.compile(r"\{\{|\{%|<%|@@|%%|#\{|<<|\[\[|\$[A-Z{]|\{ ?[A-Z]|__[A-Z]|%[A-Z]|\[ ?[A-Za-z]|< ?[A-Za-z]")
+_ASCII_WORD = re.compile(r"[a-z]{2,}|\bx\b")
+
+
+def content_of(text: str) -> str:
+    """Text without code."""
+    text = re.sub("[\\ufeff\\u200b-\\u200f\\u2060\\u00ad]", "", text.replace("\r\n", "\n").replace("\r", "\n")).replace("\xa0", " ")
+    text = _FENCED.sub("\n", text)
+    text = _PRE.sub(" ", text)
+    return _INLINE.sub(" ‧ ", text)
+
+
+def placeholders(content: str) -> list[str]:
+    """Unfilled fields in text without code."""
+    found = []
+    for piece in re.split(r"(?<=[.!?:;])\s+|\n+", content):
+        if not any(c in piece for c in "{}[]<>@%$#_"):
+            continue
+        hits = [m[0] for m in _TEMPLATE.finditer(piece) if not m[0].startswith("[[") or _UPPER_DOUBLE.match(m[0])]
+        for m in _AMBIGUOUS.finditer(piece):
+            name = next(g for g in m.groups() if g)
+            if _FIELD_IN.search(name.replace("_", " ")):
+                hits.append(m[0])
+        hits += [m[0] for m in _AMBIGUOUS_LOWER.finditer(piece)]
+        if hits:
+            rest = piece
+            for h in hits:
+                rest = rest.replace(h, " ")
+            if not _TALK.search(rest):
+                found += hits
+    return found
+
+
+def _is_filler(sentence: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(sentence)]
+    if len(words) >= 4:
+        latin = sum(w in LATIN for w in words)
+        if latin >= 0.7 * len(words) and sum(w in _LATIN_STRONG for w in words) >= 2:
+            return True
+        keys = sum(w in _KEYSTROKES for w in words)
+        if keys >= 0.8 * len(words) and (len(set(words)) > 1 or len(words) > 5):
+            return True
+        pairs = list(zip(words[::2], words[1::2], strict=False))
+        if len(pairs) >= 3 and len(set(pairs)) == 1 and words[0] in ("sample", "text", "dummy", "test", "example", "placeholder", "filler"):
+            return True
+    return bool(_FILLER_SENTENCE.match(sentence))
+
+
+def sentences(content: str) -> list[str]:
+    """Sentences and lines without marks, tags and quoted text."""
+    # Lines of a paragraph belong together unless they are rows or headings of their own.
+    text = _TAGS.sub("\n", _QUOTED.sub(" ‧ ", content))
+    text = re.sub(r"(?<=[^\s.!?。：:|>])\n(?=[a-zäöüß])", " ", text)
+    text = _MARKS.sub("", text)
+    return [s for s in (re.sub(r"\s+", " ", x).strip(" \t-–—*>|#") for x in _SENTENCE.split(text)) if s]
+
+
+_WEAK = re.compile(
+    r"\b(?:[45]\d\d|failed|failure|unavailable|denied|forbidden|unauthori[sz]ed|expired|timeout|timed out|maintenance|retry|try again|log in|sign in|rate limit\w*|blocked|javascript|cookies|browser|captcha|redirect\w*"
+    r"|nicht verfügbar|versuchen sie|anmelden|no disponible|inténtelo|vuelva a)\b|稍后|重试|登录",
+    re.I,
+)
+
+
+def examine(text: str | None, path: str | None = None) -> dict:
+    """The evidence in one document."""
+    empty = {"placeholders": 0, "filler": 0, "messages": 0, "weak": False, "signature": None, "mismatch": False, "terms": 0}
+    if not text or not text.strip():
+        return empty
+    short = len(text) <= 1500
+    lower = text.lower()
+    worded = not _TRIGGER_WORDS.isdisjoint(_ASCII_WORD.findall(lower)) or any(p in lower for p in _TRIGGER_PHRASES)
+    fielded = _FIELD_TRIGGER.search(text) is not None
+    if not worded and not fielded:
+        return empty
+    content = content_of(text)
+    fields = placeholders(content) if fielded else []
+    filler = messages = 0
+    own: list[str] = []
+    if not worded:
+        return empty | {"placeholders": len(fields)}
+    for s in sentences(content):
+        if _CHROME.match(s):
+            continue
+        own.append(s)
+        if len(s) < 400 and (_ERROR.match(s) or _SCRIPT.match(s)):
+            messages += 1
+        elif _is_filler(s) and not _TALK.search(_FILLER_SENTENCE.sub("", s)):
+            filler += 1
+    body = " ".join(own)
+    terms = {w.lower() for w in _WORD.findall(body)}
+    slug = {w for w in re.findall(r"[a-z]{3,}", re.sub(r"\.\w+$", "", (path or "").rsplit("/", 1)[-1].lower()))}
+    title = {w.lower() for w in _WORD.findall(own[0])} if own else set()
+    mismatch = not (slug & terms) and not (title & slug)
+    low = len(terms) <= 25 and len(own) <= 5
+    weak = short and low and "‧" not in body and bool(_WEAK.search(body))
+    shape = re.sub(r"[\w./-]*\d[\w./-]*|/\S+", "0", body.lower())
+    signature = re.sub(r"\s+", " ", shape).strip() if weak and shape else None
+    return {"placeholders": len(fields), "filler": filler, "messages": messages, "weak": weak, "signature": signature, "mismatch": mismatch, "terms": len(terms)}
+
+
+_SCHEMA = "doc_id bigint, source string, placeholders int, filler int, messages int, weak boolean, mismatch boolean, terms int, signature string"
+
+
+def _examine_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for doc_id, text, source, path in batch[["doc_id", "text", "source", "path"]].itertuples(index=False, name=None):
+            e = examine(text, path)
+            if e["placeholders"] or e["filler"] or e["messages"] or e["weak"] or e["signature"]:
+                rows.append((doc_id, source, e["placeholders"], e["filler"], e["messages"], e["weak"], e["mismatch"], e["terms"], e["signature"]))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+
+
+def residue_evidence(documents: DataFrame, min_copies: int = 3) -> DataFrame:
+    """Every document with residue and why.
+
+    Columns: doc_id, placeholders, filler, messages, copies (documents with the same body
+    signature), hosts (sources it occurs under), reason. Signatures are short by construction
+    and counted with partial aggregation; only counts travel back to the few weak cases.
+    """
+    narrow = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source", "path")
+    seen = narrow.mapInPandas(_examine_batches, _SCHEMA).withColumn("key", F.xxhash64("signature"))
+    seen = seen.drop("signature")
+    copies = (
+        seen.where("key is not null and weak").groupBy("key", F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
+        .groupBy("key").agg(F.sum("n").alias("copies"), F.count("*").alias("hosts"))
+    )
+    strong = seen.where("placeholders + filler + messages > 0").select("doc_id", "placeholders", "filler", "messages", F.lit(1).cast("bigint").alias("copies"), F.lit(1).cast("bigint").alias("hosts"))
+    alike = (
+        seen.where("weak and mismatch and placeholders + filler + messages = 0")
+        .join(copies.where(F.col("copies") >= min_copies).where("hosts > 1 or copies > 3"), "key")
+        .select("doc_id", "placeholders", "filler", "messages", "copies", "hosts")
+    )
+    reason = F.when(F.col("placeholders") > 0, "placeholder").when(F.col("filler") > 0, "filler").when(F.col("messages") > 0, "message").otherwise("response")
+    both = strong.unionByName(alike)
+    sums = [F.max(c).alias(c) for c in ("placeholders", "filler", "messages", "copies", "hosts")]
+    return both.groupBy("doc_id").agg(*sums).withColumn("reason", reason)
