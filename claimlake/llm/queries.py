@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlake.llm import codedocs, incremental, markup, residue
+from claimlake.llm import codedocs, incremental, leakage, markup, residue
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,14 @@ def p4_baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.baselined_check(findings, incremental.link_batches(findings))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_coverage(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_evidence(_read(spark, sf_dir, "documents")).select("doc_id")
 
@@ -57,6 +65,8 @@ QUERIES = {
     "p2_clean": p2_clean,
     "p4_found": p4_found,
     "p4_baselined": p4_baselined,
+    "p7_found": p7_found,
+    "p7_coverage": p7_coverage,
     "p8_found": p8_found,
     "p8_reasons": p8_reasons,
 }
