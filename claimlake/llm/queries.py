@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlake.llm import codedocs, incremental, leakage, markup, residue
+from claimlake.llm import bitext, codedocs, incremental, leakage, markup, residue
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,18 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_pages(_read(spark, sf_dir, "doc_lines"))
 
 
+def _p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitext.align_pairs(_read(spark, sf_dir, "pairs"), _read(spark, sf_dir, "pair_sentences"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p3_links(spark, sf_dir).select("pair_id", "source_no", "translation_no")
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitext.link_types(_p3_links(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.link_batches(_read(spark, sf_dir, "findings"))
 
@@ -63,6 +75,8 @@ QUERIES = {
     "p2_method": p2_method,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_links": p3_links,
     "p4_found": p4_found,
     "p4_baselined": p4_baselined,
     "p7_found": p7_found,
