@@ -10,4 +10,12 @@ Nothing is imported eagerly here; the subpackages stand on their own:
 ``llm``        training-data operators, optional and self-contained
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their jobs: executors need
+# Spark and the libraries, but no installation of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
