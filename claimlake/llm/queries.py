@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlake.llm import bitext, codedocs, incremental, leakage, markup, residue
+from claimlake.llm import bitext, codedocs, incremental, leakage, markup, packing, residue
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,6 +53,15 @@ def p4_baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.baselined_check(findings, incremental.link_batches(findings))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_plans"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = _read(spark, sf_dir, "pack_plans")
+    return packing.fill_report(packing.pack_documents(_read(spark, sf_dir, "documents"), plans), plans)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_coverage(spark, sf_dir).select("doc_id", "item_id")
 
@@ -79,6 +88,8 @@ QUERIES = {
     "p3_links": p3_links,
     "p4_found": p4_found,
     "p4_baselined": p4_baselined,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_coverage": p7_coverage,
     "p8_found": p8_found,
