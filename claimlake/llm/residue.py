@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.session import materialise
+
 #: Words that name a field to be filled in (fixed values).
 FIELD_WORDS = (
     "name title author date year version company organization organisation contact email mail phone address url link license licence description summary"
@@ -273,7 +275,7 @@ def residue_evidence(documents: DataFrame, min_copies: int = 3) -> DataFrame:
     """
     narrow = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source", "path")
     seen = narrow.mapInPandas(_examine_batches, _SCHEMA).withColumn("key", F.xxhash64("signature"))
-    seen = seen.drop("signature")
+    seen = materialise(seen.drop("signature"), "residue")  # texts are read once; what stays is small
     copies = (
         seen.where("key is not null and weak").groupBy("key", F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.sum("n").alias("copies"), F.count("*").alias("hosts"))
