@@ -188,8 +188,8 @@ def version_floor(spec: ColumnLike) -> Column:
 
 def numbers_in(text: ColumnLike) -> Column:
     """Distinct numbers and dotted versions of a text, sorted."""
-    found = F.regexp_extract_all(_c(text), F.lit("(?<![A-Za-z0-9_.])([0-9]+(?:[.][0-9]+)*)(?![A-Za-z0-9_])"), 1)
-    return F.array_sort(F.array_distinct(found))
+    words = F.transform(F.split(_c(text), "[^A-Za-z0-9_.]+"), lambda w: F.regexp_replace(w, "^[.]+|[.]+$", ""))
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w.rlike("^[0-9]+(?:[.][0-9]+)*$"))))
 
 
 def identifiers_in(text: ColumnLike) -> Column:
@@ -301,7 +301,7 @@ def negated(before: ColumnLike, after: ColumnLike) -> Column:
 
 def code_spans(text: ColumnLike) -> Column:
     """Texts between single backquotes of a line or paragraph."""
-    return F.regexp_extract_all(_c(text), F.lit("(?<!`)`([^`\\n]+)`(?!`)"), 1)
+    return F.regexp_extract_all(_c(text), F.lit("`([^`\\n]+)`"), 1)
 
 
 def link_targets(text: ColumnLike) -> Column:
@@ -316,7 +316,7 @@ def link_kind(target: ColumnLike) -> Column:
 
 def toolchain_claims(text: ColumnLike) -> Column:
     """``tool:version`` for every tool with a version in a sentence, tools in lower case."""
-    found = F.regexp_extract_all(F.lower(_c(text)), F.lit("((?<![a-z0-9])(?:go|python|node(?:[.]js)?|rust|cmake|[.]net|java|ruby)\\s+v?[0-9]+(?:[.][0-9]+)*)"), 1)
+    found = F.regexp_extract_all(F.lower(_c(text)), F.lit("(?:^|[^a-z0-9])((?:go|python|node(?:[.]js)?|rust|cmake|[.]net|java|ruby)\\s+v?[0-9]+(?:[.][0-9]+)*)"), 1)
     return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, "[.]js", ""), "\\s+v?", ":"))
 
 

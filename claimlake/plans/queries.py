@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from claimlake.plans import nested_queries
+from claimlake.plans import driver_queries, nested_queries
 
-_MODULES = (nested_queries,)
+_MODULES = (driver_queries, nested_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
-FLAGSHIP = "p5_found"
+FLAGSHIP = "similar_paths"
