@@ -235,7 +235,8 @@ def route_matches(wanted: ColumnLike, registered: ColumnLike) -> Column:
     a, b = _c(wanted), _c(registered)
     fixed = lambda x, y: F.forall(F.zip_with(x, y, lambda p, q: F.coalesce((p == q) | (p == "{}") | (q == "{}"), F.lit(False))), lambda ok: ok)
     stop = F.array_position(b, "**")
-    open_ended = (stop > 0) & (F.size(a) >= stop - 1) & fixed(F.slice(a, F.lit(1), (stop - 1).cast("int")), F.slice(b, F.lit(1), (stop - 1).cast("int")))
+    head = F.greatest(stop - 1, F.lit(0)).cast("int")
+    open_ended = (stop > 0) & (F.size(a) >= head) & fixed(F.slice(a, F.lit(1), head), F.slice(b, F.lit(1), head))
     return open_ended | ((stop == 0) & (F.size(a) == F.size(b)) & fixed(a, b))
 
 

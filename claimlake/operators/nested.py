@@ -41,23 +41,19 @@ def _present(value: Column) -> Column:
 def _parse(text: Column) -> Column:
     """VARIANT of one complete JSON text, else null.
 
-    ``try_parse_json`` stops after the first value, so the text is accepted only
-    if the (much stricter) array around it parses to exactly one element.
+    ``try_parse_json`` stops after the first value, so the text goes into an array
+    before a sentinel: only one whole value gives an array of exactly two.
     """
     clean = F.regexp_replace(text, "^[\\uFEFF\\s]+|\\s+$", "")
-    boxed = F.try_parse_json(F.concat(F.lit("["), clean, F.lit("]")))
+    boxed = F.try_parse_json(F.concat(F.lit("["), clean, F.lit(",0]")))
     items = _get(boxed, "$", "array<variant>")
-    return F.when(F.size(items) == 1, items[0])
+    return F.when(F.size(items) == 2, F.get(items, F.lit(0)))
 
 
 def _is_list(value: Column) -> Column:
     return _get(value, "$", "array<variant>").isNotNull()
 
 
-def _is_object(value: Column) -> Column:
-    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
-
-
 def _unwrap_once(value: Column) -> Column:
     """One wrapper less: a JSON text in a string, a list of one, or an object with a wrapper key."""
     items = _get(value, "$", "array<variant>")
@@ -68,7 +64,7 @@ def _unwrap_once(value: Column) -> Column:
     inner = F.coalesce(*[F.when(_present(_get(value, f"$.{k}")), _get(value, f"$.{k}")) for k in WRAPPER_KEYS])
     return (
         F.when(kind == "STRING", _parse(_get(value, "$", "string")))
-        .when(items.isNotNull(), F.filter(items, _present)[0])
+        .when(items.isNotNull(), F.get(F.filter(items, _present), F.lit(0)))
         .when(known, value)
         .otherwise(F.coalesce(inner, value))
     )

@@ -250,10 +250,10 @@ SELECT route, EXISTS (SELECT 1 FROM known k WHERE len(segs) = 3 AND k.a = segs[1
 def route_match(spark: SparkSession, d: str) -> DataFrame:
     """Route resolver: claimed routes against registered ones, parameters on either side."""
     claimed = _claimed_routes(spark, d)
-    registered = claimed.where((F.size("segs") == 3) & (F.ascii(F.col("segs")[0]) % 2 == 0)).select(F.array(F.col("segs")[0], F.lit("{}"), F.col("segs")[2]).alias("reg")).distinct()
-    registered = registered.withColumn("head", F.col("reg")[0])
+    registered = claimed.where((F.size("segs") == 3) & (F.ascii(F.get("segs", F.lit(0))) % 2 == 0)).select(F.array(F.get("segs", F.lit(0)), F.lit("{}"), F.get("segs", F.lit(2))).alias("reg")).distinct()
+    registered = registered.withColumn("head", F.get("reg", F.lit(0)))
     # The first fixed segment is an equi-join key; only the rest is compared segment by segment.
-    hit = claimed.withColumn("head", F.col("segs")[0]).join(registered, "head", "left").select("route", F.coalesce(T.route_matches("segs", "reg"), F.lit(False)).alias("ok"))
+    hit = claimed.withColumn("head", F.get("segs", F.lit(0))).join(registered, "head", "left").select("route", F.coalesce(T.route_matches("segs", "reg"), F.lit(False)).alias("ok"))
     return hit.groupBy("route").agg(F.max("ok").alias("documented"))
 
 
