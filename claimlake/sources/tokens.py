@@ -7,6 +7,7 @@ one document at a time; everything after them is relational.
 from __future__ import annotations
 
 import re
+import textwrap
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -156,7 +157,7 @@ def rst(path: str, text: str) -> list[tuple]:
             if name in _RST_CODE or name == "literal":
                 while body and (not body[0].strip() or re.match(r"^\s*:\w[\w-]*:", body[0])):
                     body.pop(0)
-                out.add("fence", n + 1, "\n".join(b[depth:] for b in body), end=n + 1 + len(body), lang=(directive[3].strip().lower() if directive and name != "literalinclude" else ""))
+                out.add("fence", n + 1, textwrap.dedent("\n".join(body)), end=n + 1 + len(body), lang=(directive[3].strip().lower() if directive and name != "literalinclude" else ""))
                 if name == "literalinclude":
                     out.add("link", n + 1, name, target=directive[3].strip())
                 n = end
