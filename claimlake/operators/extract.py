@@ -92,6 +92,15 @@ def import_claims(tokens: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def config_claims(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """Top keys of JSON examples of which at least one is a known key; surer when half of them are. ``known``: key."""
+    tops = _fence_lines(tokens, "json", "jsonc", "json5").withColumn("key", F.regexp_extract("code", "^ {0,4}\"([A-Za-z][\\w.-]*)\"\\s*:", 1)).where("key <> ''")
+    fenced = tops.join(known.select("key", F.lit(1).alias("hit")).distinct(), "key", "left")
+    share = Window.partitionBy("path")
+    rated = fenced.withColumns({"n": F.count("*").over(share), "n_hit": F.count("hit").over(share)}).where("n_hit > 0")
+    return _claim(rated, F.lit("config"), F.col("key"), F.col("key"), F.when(F.col("n_hit") * 2 >= F.col("n"), 3).otherwise(2), 3)
+
+
 def bare_claims(tokens: DataFrame) -> DataFrame:
     """Paths in prose, medium at most."""
     bare = tokens.where("kind = 'bare'").where(F.col("text").rlike("[.][A-Za-z]{1,5}$|^(?:docs|src|cmd|pkg|internal|tests?|scripts|tools)/"))
@@ -116,9 +125,11 @@ def prose_claims(lines: DataFrame) -> DataFrame:
     )
 
 
-def claims(tokens: DataFrame, lines: DataFrame, ignore: list[str] | None = None) -> DataFrame:
+def claims(tokens: DataFrame, lines: DataFrame, ignore: list[str] | None = None, config_keys: DataFrame | None = None) -> DataFrame:
     """All passes, negated and placeholder claims dropped, one claim per document, line, kind and norm (the first pass wins)."""
     every = reduce(DataFrame.unionByName, [span_claims(tokens), link_claims(tokens), shell_claims(tokens), import_claims(tokens), bare_claims(tokens), prose_claims(lines)])
+    if config_keys is not None:
+        every = every.unionByName(config_claims(tokens, config_keys))
     every = every.where("norm is not null and norm <> ''").where(~((F.col("kind").isin("path", "command")) & F.col("norm").rlike(PLACEHOLDERS)))
     for pattern in ignore or []:
         every = every.where(~F.col("text").rlike(pattern))

@@ -80,6 +80,16 @@ def envs(claims: DataFrame, facts: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when((F.col("status") == "missing") & F.col("norm").rlike(EXTERNAL_ENV), "skipped").otherwise(F.col("status")))
 
 
+def config_keys(claims: DataFrame, keys: DataFrame, literals: DataFrame) -> DataFrame:
+    """Keys of examples among sample and tag keys and literals, without case and list positions."""
+    plain = lambda c: F.lower(F.regexp_replace(c, "\\[[0-9]+\\]", ""))
+    mine = claims.where("kind = 'config'").withColumn("plain", plain(F.col("norm")))
+    known = keys.select(plain(F.col("key")).alias("plain")).unionByName(literals.select(plain(F.col("name")).alias("plain"))).distinct().withColumn("hit", F.lit(True))
+    joined = mine.join(known, "plain", "left")
+    guess = S.ranked(joined.where("hit is null"), keys, "norm", "key", n=1, limit=S.narrow_limit(F.col("query"))).select(F.col("query").alias("norm"), "candidate")
+    return _verdicts(joined.join(guess, "norm", "left"), F.col("hit"), "unknown-config-key", "configuration key %s is not known", F.col("candidate"))
+
+
 def anchors(claims: DataFrame, known: DataFrame) -> DataFrame:
     """Slugs with ``-`` and ``_`` alike; a page that is not a document is skipped."""
     mine = claims.where("kind = 'anchor'").withColumns({"page": F.substring_index("norm", "#", 1), "slug": F.lower(F.substring_index("norm", "#", -1))})
@@ -152,7 +162,7 @@ def resolve(claims: DataFrame, dims: dict[str, DataFrame], project: dict, min_co
     facts = dims["facts"]
     literals = facts.where("kind = 'literal'")
     parts = [
-        paths(c, dims["files"]), symbols(c, dims["symbol_keys"], literals, dims["config_keys"]), flags(c, facts), envs(c, facts), anchors(c, dims["anchors"]), routes(c, facts), imports(c, dims["files"], project), project_claims(c, project, facts),
+        paths(c, dims["files"]), symbols(c, dims["symbol_keys"], literals, dims["config_keys"]), flags(c, facts), envs(c, facts), config_keys(c, dims["config_keys"], literals), anchors(c, dims["anchors"]), routes(c, facts), imports(c, dims["files"], project), project_claims(c, project, facts),
         _verdicts(c.where("kind = 'url'"), F.lit(False), "broken-url", "%s was not probed", None, F.lit(True)),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -160,7 +170,7 @@ def resolve(claims: DataFrame, dims: dict[str, DataFrame], project: dict, min_co
 
 def findings(verdicts: DataFrame) -> DataFrame:
     """Missing claims as findings: severity by confidence with the rules' own levels, position-free fingerprint."""
-    severity = F.when(F.col("rule").isin("unknown-flag", "unknown-env"), F.when(F.col("confidence") >= 3, "warning").otherwise("info")).when(F.col("rule").isin("default-mismatch", "install-mismatch", "toolchain-mismatch"), "warning").otherwise(T.severity_of("confidence"))
+    severity = F.when(F.col("rule").isin("unknown-flag", "unknown-env", "unknown-config-key"), F.when(F.col("confidence") >= 3, "warning").otherwise("info")).when(F.col("rule").isin("default-mismatch", "install-mismatch", "toolchain-mismatch"), "warning").otherwise(T.severity_of("confidence"))
     return verdicts.where("status = 'missing'").select(
         "rule", severity.alias("severity"), "message", F.col("path").alias("file"), "line", "col", "kind", "text", "norm", "suggestion",
         T.fingerprint("rule", "path", "kind", "norm").alias("fingerprint"), F.lit(False).alias("baselined"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.functions import text as T
+from claimlake.operators import comments as C
 from claimlake.operators import documents as D
 from claimlake.operators import extract as X
 from claimlake.operators import history as H
@@ -127,7 +128,7 @@ class Engine:
         if self.changed_only:
             changed = repo.changed(self.spark, self.root, self.base)
             toks, lines = H.changed_only(toks, changed), H.changed_only(lines, changed)
-        return X.claims(toks, lines, self.config.ignore).persist()  # every resolver reads it
+        return X.claims(toks, lines, self.config.ignore, self.config_keys).persist()  # every resolver reads it
 
     @cached_property
     def verdicts(self) -> DataFrame:
@@ -176,6 +177,46 @@ class Engine:
         message = F.format_string("section %s: %s changed in %d newer commits, last %s", F.col("title"), F.col("what"), F.col("n_commits"), F.date_format("latest", "yyyy-MM-dd"))
         return self._with_ledger_columns(rows.select("rule", F.lit("warning").alias("severity"), message.alias("message"), F.col("path").alias("file"), F.col("start_line").alias("line"), T.slug("title").alias("norm")))
 
+    @cached_property
+    def comment_findings(self) -> DataFrame:
+        """Comments naming what does not exist, and with version control comments older than their code."""
+        sources = repo.sources(self.spark, self.root, self.config.exclude, self.config.max_file_mb)
+        spans = S.doc_spans(sources).persist()
+        named = C.mentions(spans, sources, S.symbol_keys(self.facts), self.facts.where("kind = 'literal'"))
+        rows = named.select(F.lit("comment-mentions-missing").alias("rule"), F.lit("warning").alias("severity"), F.format_string("comment of %s names %s", "full_name", "token").alias("message"), "file", "line", F.concat_ws("|", "full_name", "token").alias("norm"))
+        if self.config.git and repo.head(self.root) is not None:
+            paths = [r["file"] for r in spans.select("file").distinct().collect()]  # names of one repository's sources
+            old = H.stale_comments(spans.where("exported"), repo.blame(self.spark, self.root, paths))
+            rows = rows.unionByName(old.select(F.lit("stale-comment").alias("rule"), F.lit("info").alias("severity"), F.format_string("comment of %s is older than %d of %d lines", "full_name", "newer_lines", "body_lines").alias("message"), "file", F.col("decl_line").alias("line"), F.col("full_name").alias("norm")))
+        return self._with_ledger_columns(rows)
+
+    @cached_property
+    def example_findings(self) -> DataFrame:
+        rows = C.example_faults(self.tokens)
+        return self._with_ledger_columns(rows.select(F.lit("example-syntax").alias("rule"), F.lit("warning").alias("severity"), F.concat(F.lit("example does not parse: "), "fault").alias("message"), F.col("path").alias("file"), "line", F.col("fault").alias("norm")))
+
+    @cached_property
+    def lag_findings(self) -> DataFrame | None:
+        if not self.config.git or repo.head(self.root) is None:
+            return None
+        rows = P.lag(self.pairs, repo.commits(self.spark, self.root))
+        message = F.format_string("source has %d newer commits: %s", F.col("n_newer"), F.array_join("subjects", "; "))
+        return self._with_ledger_columns(rows.select(F.lit("pair-lag").alias("rule"), F.lit("warning").alias("severity"), message.alias("message"), F.col("translation").alias("file"), F.lit(0).alias("line"), F.lit("lag").alias("norm")))
+
+    @cached_property
+    def more_coverage(self) -> DataFrame:
+        """(grp, total, documented, missing) of routes and leaf configuration keys, all languages."""
+        said = self.verdicts.where("status = 'ok'")
+        split = lambda c: F.regexp_replace(c, "^[A-Z]+ ", "")
+        method = lambda c: F.nullif(F.regexp_extract(c, "^([A-Z]+) ", 1), F.lit(""))
+        routes = self.facts.where("kind = 'route'").select(method(F.col("name")).alias("method"), F.col("name").alias("path"), T.route_segments(split(F.col("name"))).alias("segs"))
+        asked = said.where("kind = 'route'").select(method(F.col("norm")).alias("method"), T.route_segments(split(F.col("norm"))).alias("segs"))
+        r = L.route_coverage(routes, asked).select(F.lit("routes").alias("grp"), F.col("path").alias("name"), "documented")
+        keys = L.leaf_keys(self.config_keys)
+        k = keys.join(said.select(F.col("norm").alias("key")).distinct().withColumn("hit", F.lit(True)), "key", "left").select(F.lit("config").alias("grp"), F.col("key").alias("name"), F.col("hit").isNotNull().alias("documented"))
+        both = r.unionByName(k)
+        return both.groupBy("grp").agg(F.count("*").alias("total"), F.count_if("documented").alias("documented"), F.array_sort(F.collect_list(F.when(~F.col("documented"), F.col("name")))).alias("missing"))
+
     @cached_property
     def baseline(self) -> DataFrame:
         path = Path(self.root, self.config.baseline)
@@ -189,9 +230,8 @@ class Engine:
     @cached_property
     def findings(self) -> DataFrame:
         """Ordered findings after ignores, severity overrides and the baseline."""
-        parts = [R.findings(self.verdicts), self.pair_findings]
-        if self.stale_findings is not None:
-            parts.append(self.stale_findings)
+        parts = [self._unignored(R.findings(self.verdicts)), self.comment_findings, self.example_findings, self.pair_findings]
+        parts += [p for p in (self.stale_findings, self.lag_findings) if p is not None]
         every = reduce(DataFrame.unionByName, parts)
         ranges = D.ignore_ranges(self.lines)
         every = D.drop_ignored(every.withColumnRenamed("file", "path"), ranges).withColumnRenamed("path", "file")
@@ -199,6 +239,14 @@ class Engine:
             every = every.where(F.col("rule") != rule) if level == "off" else every.withColumn("severity", F.when(F.col("rule") == rule, level).otherwise(F.col("severity")))
         return L.apply_baseline(every, self.baseline).orderBy(*L.report_order())
 
+    def _unignored(self, found: DataFrame) -> DataFrame:
+        """Missing paths that version control ignores are no findings; one batched call for the few misses."""
+        if not self.config.git or repo.head(self.root) is None:
+            return found
+        misses = sorted({r["norm"] for r in found.where("rule in ('missing-path', 'missing-command')").select("norm").distinct().limit(10_000).collect()})
+        hidden = self.spark.createDataFrame([(n,) for n in repo.ignored(self.root, misses)], "norm string")
+        return found.join(hidden, found["norm"].eqNullSafe(hidden["norm"]) & found["rule"].isin("missing-path", "missing-command"), "left_anti")
+
     def explain(self, document: str) -> DataFrame:
         """Every claim of one document with its verdict."""
         return self.verdicts.where(F.col("path") == document).select("line", "kind", "confidence", "status", "text", "message").orderBy("line", "kind", "text")

@@ -214,3 +214,80 @@ def exported_surface(facts: DataFrame) -> DataFrame:
     s = symbols.select(F.coalesce("value", F.lit("")).alias("grp"), owned.alias("alias"), F.concat_ws(".", F.nullif(F.regexp_extract("value", "([^.:]+)$", 1), F.lit("")), owned).alias("name"), "kind", "file", "line")
     u = facts.where(F.col("kind").isin("flag", "env")).select(F.concat("kind", F.lit("s")).alias("grp"), "name", F.col("name").alias("alias"), "kind", "file", "line")
     return s.unionByName(u.select(*s.columns))
+
+
+# --- documentation beside declarations ----------------------------------------------------
+
+DOC_SCHEMA = "file string, full_name string, kind string, decl_line int, doc_start int, doc_end int, body_start int, body_end int, doc array<string>, exported boolean"
+
+
+def doc_spans_of(file: str, text: str) -> list[tuple]:
+    """Declarations of a file with the lines of their comment (or docstring) and body."""
+    rows = (text or "").removeprefix("﻿").replace("\r\n", "\n").split("\n")
+    out = []
+    for _, lang, kind, name, owner, module, line, end, exported in scan(file, text or ""):
+        if kind not in ("func", "method", "type", "const", "macro"):
+            continue
+        full = ".".join(p for p in (module, owner, name) if p)
+        if lang == "py":
+            first = next((k for k in range(line, min(end, len(rows))) if rows[k].strip() and rows[k - 1].rstrip().endswith((":", ")", ","))), None)
+            m = re.match(r"^\s*[rRuU]?(\"\"\"|''')", rows[first]) if first is not None else None
+            if not m:
+                continue
+            last = first if rows[first].count(m[1]) > 1 else next((k for k in range(first + 1, len(rows)) if m[1] in rows[k]), first)
+            doc = [re.sub(r"^\s*[rRuU]?(?:\"\"\"|''')|(?:\"\"\"|''')\s*$", "", r).strip() for r in rows[first : last + 1]]
+            out.append((file, full, kind, line, first + 1, last + 1, min(last + 2, end), end, doc, exported))
+            continue
+        top = line - 1
+        while top > 0 and re.match(r"^\s*(?:#\[|\[\w|@\w)", rows[top - 1]):
+            top -= 1
+        last = top
+        while top > 0 and re.match(r"^\s*(?://|/\*|\*)", rows[top - 1]):
+            top -= 1
+        if top < last:
+            doc = [re.sub(r"^\s*(?:///?!?|/\*\*?|\*(?!/))\s?|\*/\s*$", "", r).strip() for r in rows[top:last]]
+            out.append((file, full, kind, line, top + 1, last, line, end, doc, exported))
+    return out
+
+
+def doc_spans(sources: DataFrame) -> DataFrame:
+    """Documentation spans of ``sources`` (file, text)."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [row for file, text in zip(batch["file"], batch["text"], strict=True) if file for row in doc_spans_of(file, text)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOC_SCHEMA.split(", ")])
+
+    return sources.select("file", "text").mapInPandas(run, DOC_SCHEMA)
+
+
+def reexport_closure(edges: DataFrame, max_depth: int = 4) -> DataFrame:
+    """(module, origin): what a module offers through re-exports (``pub use x::*``, ``export *``), depth by depth, cycles ignored.
+
+    ``edges``: module, target. Stops as soon as a step adds nothing.
+    """
+    step = edges.select("module", F.col("target").alias("origin")).where("module <> target").distinct()
+    known = step
+    for _ in range(max_depth - 1):
+        further = step.join(edges.select(F.col("module").alias("origin"), "target"), "origin").select("module", F.col("target").alias("origin")).where("module <> origin")
+        step = further.distinct().join(known, ["module", "origin"], "left_anti")
+        if step.isEmpty():
+            break
+        known = known.unionByName(step)
+    return known
+
+
+def key_paths(fields: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
+    """(key): dotted configuration keys of nested types, depth by depth, without running through a type twice.
+
+    ``fields``: type, tag, child (type of the field, null for a leaf). ``roots``: type.
+    """
+    level = roots.select("type", F.lit("").alias("key"), F.array("type").alias("seen")).distinct()
+    out = None
+    for _ in range(max_depth):
+        nxt = level.join(fields, "type").select(F.when(F.col("key") == "", F.col("tag")).otherwise(F.concat_ws(".", "key", "tag")).alias("key"), F.col("child").alias("type"), "seen")
+        out = nxt.select("key") if out is None else out.unionByName(nxt.select("key"))
+        level = nxt.where("type is not null and not array_contains(seen, type)").withColumn("seen", F.concat("seen", F.array("type")))
+        if level.isEmpty():
+            break
+    return out.distinct()

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlake.__main__ import main, root_of
+from claimlake.operators.comments import example_fault
 from claimlake.plans import report
 from claimlake.plans.engine import Config, Engine
-from claimlake.sources import facts, repo, tokens
+from claimlake.sources import facts, remote, repo, tokens
 from claimlake.streaming import incremental
 
 FILES = {
@@ -29,12 +30,24 @@ Hidden `pkg/hidden.go`.
 make build && make deploy
 pip install widgt
 ```
+
+```go
+func broken( {
+```
+
+```json
+{
+  "addr": ":80",
+  "adr": 1
+}
+```
 """,
+    "config.json": '{"addr": ":1", "log": {"level": "x"}}',
     "README-zh.md": "# Widget\n\n## More\n\n[x](docs/guide.md)\n",
     "docs/guide.md": "# Guide\n\n## Setup\n\nText.\n",
     "pkg/srv/server.go": """package srv
 
-// Start starts.
+// Start starts what loadWidget prepared for get.
 func Start() error {
 	addr := flag.String("addr", "8080", "where")
 	os.Getenv("WIDGET_TOKEN")
@@ -51,7 +64,7 @@ func Hidden() {}
 GOLDEN = {
     ("missing-path", "pkg/srv/router.go", "error", None), ("missing-path", "docs/guid.md", "error", "docs/guide.md"), ("broken-anchor", "docs/guide.md#nope", "error", None), ("missing-symbol", "srv.Strat()", "error", "srv.Start"),
     ("unknown-flag", "--adrr", "warning", "addr"), ("unknown-env", "WIDGET_TOKN", "warning", "WIDGET_TOKEN"), ("missing-route", "GET /v2/none", "error", None), ("toolchain-mismatch", "go:1.20", "warning", "go:1.26"),
-    ("missing-target", "make deploy", "error", None), ("install-mismatch", "pip:widgt", "warning", "widget"), ("default-mismatch", "The flag `--addr` defaults to `5000`.", "warning", "8080"),
+    ("missing-target", "make deploy", "error", None), ("install-mismatch", "pip:widgt", "warning", "widget"), ("example-syntax", None, "warning", None), ("comment-mentions-missing", None, "warning", None), ("unknown-config-key", "adr", "warning", "addr"), ("default-mismatch", "The flag `--addr` defaults to `5000`.", "warning", "8080"),
 }
 
 
@@ -83,6 +96,8 @@ def test_golden_findings(rows):
 def test_coverage_and_explain(engine):
     got = {r.grp: (r.total, r.documented, r.missing) for r in engine.coverage.collect()}
     assert got["srv"] == (2, 1, ["srv.Hidden"]) and got["flags"] == (1, 1, [])
+    more = {r.grp: (r.total, r.documented) for r in engine.more_coverage.collect()}
+    assert more == {"routes": (1, 1), "config": (2, 1)}
     status = {(r.kind, r.text): r.status for r in engine.explain("README.md").collect()}
     assert status["symbol", "srv.Start()"] == "ok" and status["path", "pkg/srv/router.go"] == "missing" and ("path", "pkg/old.go") not in status
 
@@ -145,6 +160,24 @@ def test_facts_of_languages():
     assert facts.scan("a.xyz", "x") == [] and facts.scan("a.go", "") == []
 
 
+def test_recursive_facts(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "x")], "module string, target string")
+    assert {(r.module, r.origin) for r in facts.reexport_closure(edges).collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "a"), ("c", "a"), ("c", "b")}
+    fields = spark.createDataFrame([("A", "x", None), ("A", "b", "B"), ("B", "y", None), ("B", "a", "A")], "type string, tag string, child string")
+    assert sorted(r.key for r in facts.key_paths(fields, spark.createDataFrame([("A",)], "type string")).collect()) == ["b", "b.a", "b.y", "x"]
+
+
+def test_examples_and_probes(spark):
+    assert example_fault("func a() {\n\t...\n}") is None and example_fault("a(b]") == "] closes nothing" and example_fault('x := "a') == "a string is not closed" and example_fault("f({") == "{ is not closed"
+    urls = spark.createDataFrame([("https://a.org/x",), ("https://a.org/x",), ("http://localhost:1/",), ("https://b.org/gone",), (None,)], "url string")
+    probed = remote.probe(urls, lambda u: 404 if "gone" in u else 200)
+    assert {(r.url, r.status) for r in probed.collect()} == {("https://a.org/x", 200), ("https://b.org/gone", 404)}
+    assert [r.url for r in remote.broken(probed).collect()] == ["https://b.org/gone"]
+    kept = spark.createDataFrame([("b1", 1), ("b3", 1)], "blob string, line int")
+    wanted = spark.createDataFrame([("f", "b1"), ("g", "b2"), ("h", None)], "file string, blob string")
+    assert [r.file for r in remote.missing_blobs(wanted, kept).collect()] == ["g"] and [r.blob for r in remote.keep_used(kept, wanted).collect()] == ["b1"]
+
+
 def test_json_keys():
     assert repo.json_keys('{\n // c\n "a": {"b": [1, {"c": 2,}],\n "d": "x: {"}\n}') == {"a": 3, "a.b": 3, "a.b.c": 3, "a.d": 4}
 
