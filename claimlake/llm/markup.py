@@ -579,6 +579,7 @@ _HINTS = {"md": "markdown", "markdown": "markdown", "html": "html", "htm": "html
 def notation_of(lines: list[str], path: str = "") -> str | None:
     """The notation of a page, from its lines outside code; the file extension only breaks ties."""
     score = dict.fromkeys(_SIGNS, 0.0)
+    framed = raw = False  # paragraphs or lists in tags, paragraphs without: HTML headings alone also stand in Markdown
     n = _front_matter(lines)
     if n:
         score["markdown"] += 4
@@ -601,11 +602,14 @@ def notation_of(lines: list[str], path: str = "") -> str | None:
                 for pattern, weight in signs:
                     if pattern.search(line):
                         score[kind] += weight
+                        framed |= kind == "html" and weight >= 3
+            raw |= bool(line.strip()) and not line.lstrip().startswith("<") and (n == 0 or not lines[n - 1].strip())
             if n and _MD_UNDERLINE.match(line) and len(line.strip()) > 2 and lines[n - 1].strip():
                 score["markdown"] += 5
         n += 1
-    best = max(score.values())
-    if best <= 0:
+    if raw and not framed:
+        score["markdown"], score["html"] = score["markdown"] + score["html"], 0.0
+    if max(score.values()) <= 0:
         return None
     hint = _HINTS.get(path.rsplit(".", 1)[-1].lower())
     return max(score, key=lambda k: (score[k], k == hint))

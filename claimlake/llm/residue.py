@@ -58,7 +58,7 @@ _AMBIGUOUS_LOWER = re.compile(r"(?<![\w\]\[!])\[\s*((?:your|insert|enter)\s[^\[\
 _FIELD_IN = re.compile(rf"(?<![A-Za-z]){_FIELD}s?(?![A-Za-z])", re.I)
 #: Words of sentences about placeholders and filler.
 _TALK = re.compile(
-    r"\b(?:placeholders?|templates?|syntax|pattern|literal(?:ly)?|variables?|notation|such as|for example|e\.g\.|called|named|written|escape[ds]?|quote[ds]?|expands?|substitut\w+|format string"
+    r"\b(?:placeholders?|templates?|syntax|pattern|literal(?:ly)?|variables?|notation|such as|for example|e\.g\.|called|named|written|escape[ds]?|quote[ds]?|expands?|substitut\w+|format string|left in|(?:is|are) reported"
     r"|Platzhalter|Vorlage|plantillas?|marcador(?:es)?)\b|占位符|模板",
     re.I,
 )
@@ -72,12 +72,15 @@ LATIN = frozenset(
 _LATIN_STRONG = LATIN - frozenset("do in ad id non est sit ut et ex ea qui sed ipsum dolor magna eu quis minim labore commodo enim".split())
 #: Words typed where text was still to come (fixed values).
 _KEYSTROKES = frozenset("x xx xxx xxxx xxxxx xxxxxx asdf asdfg asdfgh qwer qwert qwerty foo bar baz qux quux test testing blah bla yadda tbd tba tk lipsum".split())
+#: Words of sentences that say no more than that text will stand here (fixed values).
+_TEXT_WORDS = frozenset("text texts more even some sample dummy test another other here and or a placeholder content words lines still".split())
 #: Stock sentences that stand for text still to come, one alternative each.
 _FILLER_SENTENCE = re.compile(
     r"^(?:this is |here is |hier steht |esto es |)(?:(?:a |an |some |ein |un )?(?:placeholder|sample|dummy|example|filler|beispiel|blind|platzhalter)[ -]?(?:copy|text|content|paragraph|texte?)\b[\s.,!]*)+(?:do not publish)?[.!]*$"
     r"|^(?:your|some|more|the) (?:text|content|description|title|copy) (?:goes|comes|belongs|will go|to go) here\b"
     r"|^(?:replace|fill in|rewrite|delete) this (?:paragraph|text|section|sentence)\b"
     r"|^(?:insert|add|enter|write|type|put) (?:your |a |some |the )?(?:description|text|content|title|summary|copy|details?|something) here\b"
+    r"|^(?:add|write|insert|put|give|enter|provide|describe) (?:a |an |the |your |some )?(?:short |brief |one-line |longer )?(?:summary|description|overview|introduction|paragraph|explanation|example|text|title|tagline)s?\b[^.!?]{0,60}\bhere\b"
     r"|^(?:content|text|description|documentation|details?|more|page|section)?[ ,]*(?:is |are |will be )?coming soon[.!…]*$"
     r"|^(?:to be (?:written|added|done|completed|announced)|under construction|work in progress|nothing here yet)[.!…]*$"
     r"|^(?:(?:blah|bla)[\s,]+){2,}|(?:[\s,]+(?:blah|bla)){2,}[.!]*$"
@@ -149,7 +152,7 @@ _TRIGGER_WORDS = frozenset(
 ) | _KEYSTROKES | (_LATIN_STRONG - {"tempor"})
 _TRIGGER_PHRASES = (
     "gateway timeout", "gateway time-out", "bad gateway", "upstream server", "upstream service", "internal server", "internal error", "session has", "session is", "timed out", "request timeout",
-    "nothing yet", "not yet", "页面未找到", "页面不存在", "页面已被", "页面无法", "找不到", "访问被", "服务暂时", "服务不可用", "服务器内部", "服务器错误", "服务器繁忙", "服务目前", "维护", "没有权限",
+    "nothing yet", "not yet", "text text", "more text", "页面未找到", "页面不存在", "页面已被", "页面无法", "找不到", "访问被", "服务暂时", "服务不可用", "服务器内部", "服务器错误", "服务器繁忙", "服务目前", "维护", "没有权限",
     "请求过多", "请登录", "出错了", "发生错误", "发生未知", "占位", "示例文本", "敬请期待", "待补充", "此处填写", "此处插入", "此处输入", "在此输入", "在此填写", "在此插入", "这里填写", "这里插入", "这里输入", "即将",
 )
 _FIELD_TRIGGER = re.compile(r"\{\{|\{%|<%|@@|%%|#\{|<<|\[\[|\$[A-Z{]|\{ ?[A-Z]|__[A-Z]|%[A-Z]|\[ ?[A-Za-z]|< ?[A-Za-z]")
@@ -194,6 +197,9 @@ def _is_filler(sentence: str) -> bool:
         keys = sum(w in _KEYSTROKES for w in words)
         if keys >= 0.8 * len(words) and (len(set(words)) > 1 or len(words) > 5):
             return True
+    if len(words) >= 2 and "text" in words and set(words) <= _TEXT_WORDS:
+        return True
+    if len(words) >= 4:
         pairs = list(zip(words[::2], words[1::2], strict=False))
         if len(pairs) >= 3 and len(set(pairs)) == 1 and words[0] in ("sample", "text", "dummy", "test", "example", "placeholder", "filler"):
             return True

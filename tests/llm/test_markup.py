@@ -54,6 +54,11 @@ def test_notations(lines, notation, want):
     assert {n: line.kinds for n, line in enumerate(parsed, 1) if line.kinds} == want
 
 
+def test_html_headings_alone_are_markdown():
+    page = ['<h1 align="center">One</h1>', "", "Text __x__ here.", "", '<h2 align="center">Two</h2>', "Plain."]
+    assert M.notation_of(page, "x.txt") == "markdown" and M.parse_page(page)[1][2].kinds == {"inline"}
+
+
 def test_clean_text():
     text = M.clean_text(M.parse_page(MD)[1])
     assert text.startswith("# Using the API\n- one\n  - two x\n1) three\n\n## Setext title\nText with $a^2$ and a .")

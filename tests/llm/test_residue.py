@@ -8,7 +8,7 @@ CASES = [
     "# {{ project_name }}\n\nRun {{install_command}} first.", "Dear ${NAME}, welcome.", "This belongs to $LICENSE$.", "By @@AUTHOR@@ since 2020.", "See [[REPO_URL]] now.", "Release #{version} is out.", "Welcome to __PROJECT_NAME__.",
     "| a | [YOUR COMPANY] |", "Write to [your email here].", "Only <INSERT YOUR RELEASE DATE> is supported.", "<<YOUR TITLE>> ships.", "At {CONTACT} we help.", "<%= title %> is ready.", "{% company %} made this.",
     "# Guide\n\nLorem ipsum dolor sit amet, consectetur adipiscing elit sed.", "asdf xxx test test foo bar baz", "blah blah blah, describe the feature, blah blah", "Sample text sample text sample text.", "Content coming soon.",
-    "This is placeholder copy. Do not publish.", "Insert description here.", "Your text goes here. Replace this paragraph with real content.",
+    "This is placeholder copy. Do not publish.", "Insert description here.", "Text text text. More text. Even more text text.", "Add a short summary of the project here (two or three lines).", "Your text goes here. Replace this paragraph with real content.",
     "404 Not Found\n\nThe page you requested could not be found.", "Menu  Search\n\n# Oops\n\n访问被拒绝。请登录后重试。", "HTTP Status 503 – Service Unavailable", "Error: bad gateway while fetching /x/y. Retry.", "We're sorry. you have been rate limited (code: 429).",
     "<html><head><title>403 Forbidden</title></head><body><h1>Forbidden</h1></body></html>", "404 - Página no encontrada.", "Der Dienst ist vorübergehend nicht verfügbar.", "\ufeffSomething went wrong.\n\nRequest id a-1.",
     "You need to enable JavaScript to run this app.", "<noscript>Active JavaScript en su navegador para ver esta página.</noscript>", "# Title\n\nScripts are blocked. The viewer cannot be shown.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "请启用 JavaScript 以查看此页面。",
@@ -16,7 +16,7 @@ CASES = [
 CLEAN = [
     "Templates use the `{{ title }}` form; quote it as shown:\n\n```\n# {{ project_name }}\n${AUTHOR}\n```", "The route GET /a/{id}/b returns 404 Not Found when it is old.", 'To change the error page, edit `404.html`; its heading reads "Page not found" until you replace it.',
     'If the gateway answers "502 Bad Gateway", wait.', 'Readers who disable JavaScript still get it, because the page says "Please enable JavaScript".', "The screenshots use lorem ipsum as sample copy, which is on purpose.",
-    "A placeholder such as [YOUR NAME] left in a README is reported.", "Use %s for strings and %d for numbers.", "Keep [optional] arguments last.", "Translations live next to the source as {stem}-zh.md, and $HOME/.config holds more.", "| `x` | 500 |\n| `y` | 404 |",
+    "A placeholder such as [YOUR NAME] left in a README is reported.", "Set it first. [YOUR NAME] left in a README is reported as a finding.", "Use %s for strings and %d for numbers.", "Keep [optional] arguments last.", "Translations live next to the source as {stem}-zh.md, and $HOME/.config holds more.", "| `x` | 500 |\n| `y` | 404 |",
     "See [CHANGELOG](x.md) and [API][ref].", "El mensaje de error crece hasta 404 entradas.", "", "   ", "Set it to 500 if the page must stay.",
 ]
 
