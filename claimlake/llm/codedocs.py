@@ -10,7 +10,7 @@ dropped.
 
 Defined results for odd input
 -----------------------------
-* null or empty content, unknown language: no rows.
+* null file_id, null or empty content, unknown language: no rows.
 * null lang: the file extension decides; a known lang wins over the extension.
 * copies of a file under another ``file_id``: rows for each of them.
 * line ends (LF, CRLF, CR), a byte-order mark, a missing last newline: no difference.
@@ -667,7 +667,7 @@ def _scan_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan_functions(source_files: DataFrame) -> DataFrame:
     """One row per definition or prototype of every file; nothing is dropped yet."""
-    narrow = source_files.select("file_id", "repo", "file", "lang", "content")
+    narrow = source_files.where("file_id is not null").select("file_id", "repo", "file", "lang", "content")
     return narrow.mapInPandas(_scan_batches, "file_id bigint, repo string, file string, lang string, " + SCHEMA)
 
 

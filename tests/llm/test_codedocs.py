@@ -187,7 +187,7 @@ def test_inherited_documentation(spark):
 
 
 def test_nulls_copies_and_empty(spark):
-    f = frame(spark, (1, None, None, None, None, None, None), (2, "r", "x.zz", None, "def a(): pass", None, None), (3, "r", "c.go", None, GO, None, None), (4, "r", "c.go", "Go", GO, None, None), (5, "r", "d.go", "go", "", None, None))
+    f = frame(spark, (1, None, None, None, None, None, None), (2, "r", "x.zz", None, "def a(): pass", None, None), (3, "r", "c.go", None, GO, None, None), (4, "r", "c.go", "Go", GO, None, None), (5, "r", "d.go", "go", "", None, None), (None, "r", "e.go", "go", GO, None, None))
     got = C.pair_functions(f)
     assert sorted((r.file_id, r.decl_line) for r in got.collect()) == [(3, 7), (3, 20), (4, 7), (4, 20)]
     assert C.pair_functions(f.limit(0)).isEmpty()
