@@ -143,20 +143,6 @@ _MARKS = re.compile(r"(?<!\w)[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?!\w)|\*{1,3}|^[ \
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])\s*|\n+|(?<!\w)\|(?!\w)")
 _TAGS = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>")
 _WORD = re.compile(r"[^\W\d_]+")
-#: A text without any of these words (or CJK strings) has no message and no filler; most texts end here.
-_TRIGGER_WORDS = frozenset(
-    "javascript script scripts scripting cookies browser captcha forbidden unauthorized unauthorised unavailable denied permission permitted limited maintenance expired wrong oops whoops sorry error errors"
-    " occurred requests removed gone server status http found exist exists displayed reached failed failure authentication blocked banned offline undergoing"
-    " redirect retry fehler gefunden verweigert verf erreichbar melden anmelden serverfehler schiefgelaufen anfragen versuchen skripte encontrada encontrado denegado prohibido disponible existe salido inicie"
-    " solicitudes peticiones vuelva int sesi placeholder sample dummy filler beispieltext blindtext platzhaltertext goes soon construction progress here folgt aqu ejemplo relleno lipsum".split()
-) | _KEYSTROKES | (_LATIN_STRONG - {"tempor"})
-_TRIGGER_PHRASES = (
-    "gateway timeout", "gateway time-out", "bad gateway", "upstream server", "upstream service", "internal server", "internal error", "session has", "session is", "timed out", "request timeout",
-    "nothing yet", "not yet", "text text", "more text", "页面未找到", "页面不存在", "页面已被", "页面无法", "找不到", "访问被", "服务暂时", "服务不可用", "服务器内部", "服务器错误", "服务器繁忙", "服务目前", "维护", "没有权限",
-    "请求过多", "请登录", "出错了", "发生错误", "发生未知", "占位", "示例文本", "敬请期待", "待补充", "此处填写", "此处插入", "此处输入", "在此输入", "在此填写", "在此插入", "这里填写", "这里插入", "这里输入", "即将",
-)
-_FIELD_TRIGGER = re.compile(r"\{\{|\{%|<%|@@|%%|#\{|<<|\[\[|\$[A-Z{]|\{ ?[A-Z]|__[A-Z]|%[A-Z]|\[ ?[A-Za-z]|< ?[A-Za-z]")
-_ASCII_WORD = re.compile(r"[a-z]{2,}|\bx\b")
 
 
 def content_of(text: str) -> str:
@@ -191,17 +177,14 @@ def placeholders(content: str) -> list[str]:
 def _is_filler(sentence: str) -> bool:
     words = [w.lower() for w in _WORD.findall(sentence)]
     if len(words) >= 4:
-        latin = sum(w in LATIN for w in words)
-        if latin >= 0.7 * len(words) and sum(w in _LATIN_STRONG for w in words) >= 2:
+        if not _LATIN_STRONG.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.7 * len(words) and sum(w in _LATIN_STRONG for w in words) >= 2:
             return True
-        keys = sum(w in _KEYSTROKES for w in words)
-        if keys >= 0.8 * len(words) and (len(set(words)) > 1 or len(words) > 5):
+        if not _KEYSTROKES.isdisjoint(words) and sum(w in _KEYSTROKES for w in words) >= 0.8 * len(words) and (len(set(words)) > 1 or len(words) > 5):
             return True
     if len(words) >= 2 and "text" in words and set(words) <= _TEXT_WORDS:
         return True
-    if len(words) >= 4:
-        pairs = list(zip(words[::2], words[1::2], strict=False))
-        if len(pairs) >= 3 and len(set(pairs)) == 1 and words[0] in ("sample", "text", "dummy", "test", "example", "placeholder", "filler"):
+    if len(words) >= 6 and words[0] in ("sample", "text", "dummy", "test", "example", "placeholder", "filler"):
+        if len(set(zip(words[::2], words[1::2], strict=False))) == 1:
             return True
     return bool(_FILLER_SENTENCE.match(sentence))
 
@@ -210,9 +193,9 @@ def sentences(content: str) -> list[str]:
     """Sentences and lines without marks, tags and quoted text."""
     # Lines of a paragraph belong together unless they are rows or headings of their own.
     text = _TAGS.sub("\n", _QUOTED.sub(" ‧ ", content))
-    text = re.sub(r"(?<=[^\s.!?。：:|>])\n(?=[a-zäöüß])", " ", text)
+    text = re.sub(r"\n(?<=[^\s.!?。：:|>]\n)(?=[a-zäöüß])", " ", text)
     text = _MARKS.sub("", text)
-    return [s for s in (re.sub(r"\s+", " ", x).strip(" \t-–—*>|#") for x in _SENTENCE.split(text)) if s]
+    return [s for s in (" ".join(x.split()).strip(" \t-–—*>|#") for x in _SENTENCE.split(text)) if s]
 
 
 _WEAK = re.compile(
@@ -228,17 +211,10 @@ def examine(text: str | None, path: str | None = None) -> dict:
     if not text or not text.strip():
         return empty
     short = len(text) <= 1500
-    lower = text.lower()
-    worded = not _TRIGGER_WORDS.isdisjoint(_ASCII_WORD.findall(lower)) or any(p in lower for p in _TRIGGER_PHRASES)
-    fielded = _FIELD_TRIGGER.search(text) is not None
-    if not worded and not fielded:
-        return empty
     content = content_of(text)
-    fields = placeholders(content) if fielded else []
+    fields = placeholders(content)
     filler = messages = 0
     own: list[str] = []
-    if not worded:
-        return empty | {"placeholders": len(fields)}
     for s in sentences(content):
         if _CHROME.match(s):
             continue
@@ -247,6 +223,8 @@ def examine(text: str | None, path: str | None = None) -> dict:
             messages += 1
         elif _is_filler(s) and not _TALK.search(_FILLER_SENTENCE.sub("", s)):
             filler += 1
+    if not (fields or filler or messages or short and len(own) <= 5):
+        return empty  # no evidence, and not weak
     body = " ".join(own)
     terms = {w.lower() for w in _WORD.findall(body)}
     slug = {w for w in re.findall(r"[a-z]{3,}", re.sub(r"\.\w+$", "", (path or "").rsplit("/", 1)[-1].lower()))}
@@ -254,8 +232,8 @@ def examine(text: str | None, path: str | None = None) -> dict:
     mismatch = not (slug & terms) and not (title & slug)
     low = len(terms) <= 25 and len(own) <= 5
     weak = short and low and "‧" not in body and bool(_WEAK.search(body))
-    shape = re.sub(r"[\w./-]*\d[\w./-]*|/\S+", "0", body.lower())
-    signature = re.sub(r"\s+", " ", shape).strip() if weak and shape else None
+    shape = weak and re.sub(r"[\w./-]*\d[\w./-]*|/\S+", "0", body.lower())
+    signature = re.sub(r"\s+", " ", shape).strip() if shape else None
     return {"placeholders": len(fields), "filler": filler, "messages": messages, "weak": weak, "signature": signature, "mismatch": mismatch, "terms": len(terms)}
 
 

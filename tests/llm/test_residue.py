@@ -37,6 +37,21 @@ def test_no_cases(text):
     assert not hit(text)
 
 
+RARE = [
+    "400 Bad Request", "405 Method Not Allowed", "402 Payment Required", "413 Payload Too Large", "409 Conflict", "You must log in to continue.", "Please sign in to view.", "You are not authorized", "You are not allowed", "We are currently down.",
+    "To be written.", "To be completed.", "Replace this paragraph with your own words.", "Rewrite this section.", "Die Seite existiert nicht.", "x1 x2 x3 x4 xx5 xxx6", "Dear {  NAME  }, welcome.", "See [1 link here] first.", "{\u200b{ title }} is ready.",
+]
+
+
+@pytest.mark.parametrize("text", RARE)
+def test_no_text_is_left_unread(text):
+    assert hit(text)
+
+
+def test_weak_words_alone_are_read():
+    assert R.examine("Request 8: retry, then sign in.")["weak"] and R.examine("Step 4 needs 431 of them.")["weak"]
+
+
 def frame(spark, *rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string, source string, path string, key string, filler int")
 
