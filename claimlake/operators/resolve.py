@@ -50,7 +50,7 @@ def symbols(claims: DataFrame, keys: DataFrame, literals: DataFrame, config_keys
     heads = keys.select(F.regexp_extract("full", "^([A-Za-z_]\\w*)", 1).alias("head")).unionByName(keys.select(F.regexp_extract("key", "^([A-Za-z_]\\w*)", 1).alias("head"))).distinct().withColumn("own", F.lit(True))
     joined = mine.join(known, "norm", "left").withColumn("head", F.regexp_extract("norm", "^([A-Za-z_]\\w*)", 1)).join(heads, "head", "left")
     misses = joined.where("hit is null and own").select(F.col("norm").alias("name"))
-    guess = S.similar_symbols(misses, keys.select(F.col("key").alias("full_name"), "exported"), n=1, most=2).select(F.col("name").alias("norm"), "candidate")
+    guess = S.similar_symbols(misses, keys.select(F.col("key").alias("full_name"), "exported"), n=1).select(F.col("name").alias("norm"), "candidate")
     external = F.col("own").isNull() & F.col("norm").rlike("[.:]")
     return _verdicts(joined.join(guess, "norm", "left"), F.col("hit"), "missing-symbol", "%s is not declared anywhere", F.col("candidate"), external)
 
@@ -86,7 +86,7 @@ def config_keys(claims: DataFrame, keys: DataFrame, literals: DataFrame) -> Data
     mine = claims.where("kind = 'config'").withColumn("plain", plain(F.col("norm")))
     known = keys.select(plain(F.col("key")).alias("plain")).unionByName(literals.select(plain(F.col("name")).alias("plain"))).distinct().withColumn("hit", F.lit(True))
     joined = mine.join(known, "plain", "left")
-    guess = S.ranked(joined.where("hit is null"), keys, "norm", "key", n=1, limit=S.narrow_limit(F.col("query"))).select(F.col("query").alias("norm"), "candidate")
+    guess = S.ranked(joined.where("hit is null"), keys, "norm", "key", n=1).select(F.col("query").alias("norm"), "candidate")
     return _verdicts(joined.join(guess, "norm", "left"), F.col("hit"), "unknown-config-key", "configuration key %s is not known", F.col("candidate"))
 
 

@@ -362,7 +362,7 @@ def similar_symbols(spark: SparkSession, d: str) -> DataFrame:
     """Near symbols with owner and visibility penalties."""
     keys = _symbol_keys(spark, d)
     misses = _spans(spark, d).where(T.name_shape("name").isin("dotted", "camel", "snake")).select("name").distinct().join(keys, F.col("name") == F.col("key"), "left_anti")
-    return S.similar_symbols(misses, _t(spark, d, "symbol_spans"), most=2)
+    return S.similar_symbols(misses, _t(spark, d, "symbol_spans"))
 
 
 @_query(f"""WITH {_SPANS}, env AS (SELECT DISTINCT name FROM spans WHERE regexp_matches(name, '^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$')), ext AS (SELECT DISTINCT upper(substring(n_name, 1, 2)) AS p FROM nation)

@@ -119,3 +119,47 @@ def test_ledger(spark):
     assert {(r.grp, r.total, r.documented, tuple(r.missing)) for r in L.coverage(facts, said).collect()} == {("g", 2, 1, ("p.B",)), ("h", 1, 1, ())}
     keys = spark.createDataFrame([("a",), ("a.b",), ("a.b.c",), ("a-b",), ("a.b.d",)], "key string")
     assert sorted(r.key for r in L.leaf_keys(keys).collect()) == ["a-b", "a.b.c", "a.b.d"]
+
+
+def test_osa_of_many_pairs():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abé中") for _ in range(n)) for n in (0, 0, 1, 1, 2, 2, 3, 3, 4, 5, 6, 7, 9, 12, 20, 63, 64, 64, 65, 90)]
+    pairs = list(itertools.product(words, words))
+    assert list(S.osa_many([a for a, _ in pairs], [b for _, b in pairs])) == [S.osa(a, b) for a, b in pairs]
+
+
+def test_similar_symbols_against_brute_force(spark):
+    rng = random.Random(11)
+    bare = ["".join(rng.choice("abcdef_") for _ in range(rng.choice((4, 9, 13, 18, 26, 110)))) for _ in range(40)]
+
+    def spoil(w, n):
+        for _ in range(n):
+            k = rng.randrange(len(w) - 1)
+            w = rng.choice((w[:k] + w[k + 1] + w[k] + w[k + 2 :], w[:k] + "x" + w[k:], w[:k] + w[k + 1 :], w[:k] + "y" + w[k + 1 :]))
+        return w
+
+    pool = sorted({f"m{n % 3}.{w}" for n, w in enumerate(bare)})
+    asked = sorted({f"m{n % 2}.{spoil(w, rng.randint(1, max(2, len(w) // 4)))}" for n, w in enumerate(bare)} | {"m0.encode_response_haeder", "m0.abdc"})
+    pool += ["m1.encode_response_header", "m1.encode_request_header", "m1.bacd"]
+    got = {(r["name"], r.candidate): (r.score, r["rank"]) for r in S.similar_symbols(spark.createDataFrame([(a,) for a in asked], "name string"), spark.createDataFrame([(p, True) for p in pool], "full_name string, exported boolean")).collect()}
+    want = {}
+    for a in asked:
+        own, name = a.split(".")
+        hits = [(S.osa(name, p.split(".")[1]) + 0.5 * (p.split(".")[0] != own), p) for p in pool if p != a and S.osa(name, p.split(".")[1]) <= max(2, len(name) // 4)]
+        want |= {(a, p): (score, n) for n, (score, p) in enumerate(sorted(hits)[:3], 1)}
+    assert got == want and got["m0.abdc", "m1.bacd"] == (2.5, 1)
+
+
+def test_suggestions_of_long_names_in_query_and_check(spark, tmp_path):
+    from claimlake.operators import resolve as R
+    from claimlake.plans import driver_queries as Q
+
+    known = spark.createDataFrame([("cfg.load_remote_configuration", True)], "full_name string, exported boolean")
+    known.write.parquet(f"{tmp_path}/symbol_spans.parquet")
+    spark.createDataFrame([(1, "Call `cfg.load_rmt_configuratoin` first.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r["name"], r.candidate) for r in Q.similar_symbols(spark, str(tmp_path)).collect()] == [("cfg.load_rmt_configuratoin", "cfg.load_remote_configuration")]
+    claim = lambda kind, norm: spark.createDataFrame([("a.md", 1, 1, kind, norm, norm, 3)], "path string, line int, col int, kind string, text string, norm string, confidence int")
+    none = spark.createDataFrame([], "name string")
+    keys = known.selectExpr("full_name AS key", "full_name AS full", "exported")
+    assert R.symbols(claim("symbol", "cfg.load_rmt_configuratoin"), keys, none, none.withColumnRenamed("name", "key")).first().suggestion == "cfg.load_remote_configuration"
+    assert R.config_keys(claim("config", "server.http.tmo_secs"), spark.createDataFrame([("server.http.timeout_secs",)], "key string"), none).first().suggestion == "server.http.timeout_secs"
