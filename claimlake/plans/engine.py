@@ -240,11 +240,10 @@ class Engine:
         return L.apply_baseline(every, self.baseline).orderBy(*L.report_order())
 
     def _unignored(self, found: DataFrame) -> DataFrame:
-        """Missing paths that version control ignores are no findings; one batched call for the few misses."""
+        """Missing paths that version control ignores are no findings."""
         if not self.config.git or repo.head(self.root) is None:
             return found
-        misses = sorted({r["norm"] for r in found.where("rule in ('missing-path', 'missing-command')").select("norm").distinct().limit(10_000).collect()})
-        hidden = self.spark.createDataFrame([(n,) for n in repo.ignored(self.root, misses)], "norm string")
+        hidden = repo.ignored_names(found.where("rule in ('missing-path', 'missing-command')"), self.root)
         return found.join(hidden, found["norm"].eqNullSafe(hidden["norm"]) & found["rule"].isin("missing-path", "missing-command"), "left_anti")
 
     def explain(self, document: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 import subprocess
 from pathlib import Path
@@ -189,9 +190,24 @@ def changed(spark: SparkSession, root: str, base: str | None = None) -> DataFram
 
 
 def ignored(root: str, rels: list[str]) -> set[str]:
-    """Which of the paths version control ignores; one batched call."""
+    """Which of the paths version control ignores; one batched call, more if it stops at a path outside the repository."""
+    rels = [p for p in rels if p and not posixpath.normpath(p).startswith("..")]
     try:
         done = subprocess.run(["git", "-C", root, "check-ignore", "-z", "--stdin"], input="\0".join(rels).encode(), capture_output=True, timeout=10, check=False)
     except (OSError, subprocess.TimeoutExpired):
         return set()
+    if done.returncode not in (0, 1) and len(rels) > 1:
+        return ignored(root, rels[: len(rels) // 2]) | ignored(root, rels[len(rels) // 2 :])
     return {p for p in done.stdout.decode().split("\0") if p}
+
+
+def ignored_names(names: DataFrame, root: str) -> DataFrame:
+    """(norm): those of all names that version control ignores, asked batch by batch in tasks."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"norm": sorted(ignored(root, batch["norm"].tolist()))}, dtype=object)
+
+    return names.where("norm is not null").select("norm").distinct().mapInPandas(run, "norm string")

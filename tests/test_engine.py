@@ -197,6 +197,17 @@ def test_history_of_a_real_repository(spark, tmp_path):
     assert repo.head(str(tmp_path)) and repo.head("/nowhere") is None and repo.commits(spark, "/nowhere").isEmpty()
 
 
+def test_every_ignored_miss_is_dropped(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / ".gitignore").write_text("dist/\n")
+    run("add", "."), run("commit", "-qm", "first")
+    rows = [(f"dist/{n}.bin", "missing-path") for n in range(10_500)] + [("../x", "missing-path"), ("/etc/x", "missing-command"), ("src/a", "missing-path"), ("dist/7.bin", "missing-symbol"), (None, "missing-path")]
+    found = spark.createDataFrame(rows, "norm string, rule string")
+    kept = Engine(spark, str(tmp_path), Config())._unignored(found).collect()
+    assert {(r.norm, r.rule) for r in kept} == set(rows[10_500:])
+
+
 def test_streams(spark, tmp_path):
     schema = "finding_id bigint, repo string, rule string, file string, message string, severity string, run_at timestamp"
     old = spark.createDataFrame([(1, "r", "x", "a", "m", "error", None)], schema)
