@@ -12,8 +12,8 @@ fall out of the same plan.
 
 Pages are handled in windows of ``window`` source sentences against the part of
 the translation around them, so a page of any length is spread over tasks.
-Sentences without a link that carry rare code or numbers get a second chance
-anywhere on their page.
+Sentences without a link get a second chance anywhere on their page: first those
+that share rare code or numbers, then all, in blocks of ``window`` by their vectors.
 
 Defined results for odd input
 -----------------------------
@@ -319,7 +319,30 @@ def align_pairs(pairs: DataFrame, pair_sentences: DataFrame, window: int = 200,
     for _ in range(rounds):
         lexicons = learn_lexicons(pages, lexicons)
     links = materialise(pages.mapInPandas(_aligner(lexicons or {}), _LINKS), "links").groupBy("pair_id", "source_no", "translation_no").agg(F.max("similarity").alias("similarity"))
-    return links.unionByName(_far_moves(pages, links, window))
+    links = materialise(links.unionByName(_far_moves(pages, links, window)), "far")
+    rest = _rest_blocks(pages, links, window).mapInPandas(_aligner(lexicons or {}), _LINKS)
+    # A sentence may be in several blocks' links; those about as good as its best one stay.
+    top_s, top_t = (F.max("similarity").over(Window.partitionBy("pair_id", number)) for number in ("source_no", "translation_no"))
+    rest = rest.withColumns({"top_s": top_s, "top_t": top_t}).where("similarity >= 0.8 * greatest(top_s, top_t)")
+    return links.unionByName(rest.drop("top_s", "top_t"))
+
+
+def _rest_blocks(pages: DataFrame, links: DataFrame, window: int) -> DataFrame:
+    """Units of the sentences without a link on pages with several windows: every block of one side with every block of the other."""
+    long_pages = pages.groupBy("pair_id").count().where("count > 1").select("pair_id")
+    cut = pages.join(long_pages, "pair_id", "left_semi")
+
+    def blocks(side: str, number: str) -> DataFrame:
+        rows = cut.select("pair_id", "lang", F.explode(F.arrays_zip(F.col(f"{side}_no"), F.col(f"{side}_text"))).alias("x"))
+        rows = rows.select("pair_id", "lang", F.col("x")[f"{side}_no"].alias(number), F.col("x")[f"{side}_text"].alias("text")).distinct()
+        free = rows.join(links.select("pair_id", number).distinct(), ["pair_id", number], "left_anti")
+        place = F.row_number().over(Window.partitionBy("pair_id").orderBy(number)) - 1
+        grouped = free.withColumn("block", F.floor(place / window)).groupBy("pair_id", "lang", "block").agg(F.sort_array(F.collect_list(F.struct(number, "text"))).alias("rows"))
+        pick = lambda value, name: F.transform("rows", value).alias(f"{side}_{name}")
+        return grouped.select("pair_id", "lang", pick(lambda x: x[number], "no"), pick(lambda x: x["text"], "text"), pick(lambda x: F.lit(0.0), "at"))
+
+    units = blocks("s", "source_no").join(blocks("t", "translation_no").drop("lang"), "pair_id")
+    return units.repartition("pair_id", F.get("s_no", F.lit(0)), F.get("t_no", F.lit(0)))
 
 
 def _far_moves(pages: DataFrame, links: DataFrame, window: int) -> DataFrame:

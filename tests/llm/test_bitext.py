@@ -1,5 +1,6 @@
 """Sentence alignment on an invented language pair with known links."""
 
+import itertools
 import random
 
 import numpy as np
@@ -66,6 +67,23 @@ def test_far_moves_by_code(spark):
     assert (0, 101, 0) in run(spark, rows, window=20)
 
 
+def test_far_moves_and_long_omissions_of_plain_prose(spark):
+    rng = random.Random(6)
+    spelled = ["".join(x) for x in itertools.product("bdfgk", "aeiou", "lmnrs", "ai")]
+    other = dict(zip(spelled, rng.sample([w + "t" for w in spelled], len(spelled)), strict=True))
+    text = lambda n: [[rng.choice(spelled) for _ in range(8)] for _ in range(n)]
+    rows = []
+    for page in range(60):
+        for n, w in enumerate(text(12)):
+            rows += [(page, "source", n, " ".join(w)), (page, "translation", n, " ".join(other[x] for x in w))]
+    source = text(120)
+    order = [*range(100, 110), *range(60, 100), *range(110, 120)]  # half is left out, a passage is moved to the front
+    rows += [(99, "source", n, " ".join(w)) for n, w in enumerate(source)] + [(99, "translation", n, " ".join(other[x] for x in source[k])) for n, k in enumerate(order)]
+    got = {x for x in run(spark, rows, window=12) if x[0] == 99}
+    precision, recall = scores(got, {(99, k, n) for n, k in enumerate(order)})
+    assert precision > 0.9 and recall > 0.9
+
+
 def test_transport_masses():
     similar = np.array([[0.9, 0.1], [0.1, 0.1]])
     plan = B.transport(similar, np.array([1.0, 1.0]), np.array([1.0, 1.0]))
