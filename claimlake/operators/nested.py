@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 REPORT_KEYS = ("runs", "coverage", "sarif", "report", "summary")
 #: Keys under which a delivery may carry its report, in order of preference.
 WRAPPER_KEYS = ("body", "envelope", "content", "data", "payload", "message", "document", "result")
-#: How many wrappers are removed at most.
-MAX_WRAPPERS = 12
+#: Wrappers that every payload is tried for; payloads with more of them are unwrapped to the end.
+USUAL_WRAPPERS = 4
 
 
 def _get(value: Column, path: str, kind: str = "variant") -> Column:
@@ -54,13 +54,26 @@ def _is_list(value: Column) -> Column:
     return _get(value, "$", "array<variant>").isNotNull()
 
 
+def _is_report(value: Column) -> Column:
+    known = F.lit(False)
+    for key in REPORT_KEYS:
+        known = known | _get(value, f"$.{key}").isNotNull()
+    return known
+
+
+def _is_wrapped(value: Column) -> Column:
+    """Whether :func:`_unwrap_once` would take something off."""
+    held = F.lit(False)
+    for key in WRAPPER_KEYS:
+        held = held | _present(_get(value, f"$.{key}"))
+    return F.coalesce((F.schema_of_variant(value) == "STRING") | _is_list(value) | (~_is_report(value) & held), F.lit(False))
+
+
 def _unwrap_once(value: Column) -> Column:
     """One wrapper less: a JSON text in a string, a list of one, or an object with a wrapper key."""
     items = _get(value, "$", "array<variant>")
     kind = F.schema_of_variant(value)
-    known = F.lit(False)
-    for key in REPORT_KEYS:
-        known = known | _get(value, f"$.{key}").isNotNull()
+    known = _is_report(value)
     inner = F.coalesce(*[F.when(_present(_get(value, f"$.{k}")), _get(value, f"$.{k}")) for k in WRAPPER_KEYS])
     return (
         F.when(kind == "STRING", _parse(_get(value, "$", "string")))
@@ -71,9 +84,16 @@ def _unwrap_once(value: Column) -> Column:
 
 
 def unwrap(payload: Column) -> Column:
-    """The report object inside ``payload`` as VARIANT, or null."""
-    steps = F.sequence(F.lit(1), F.lit(MAX_WRAPPERS))
-    return F.aggregate(steps, _parse(payload), lambda value, _: _unwrap_once(value))
+    """The report object inside ``payload`` as VARIANT, or null.
+
+    A wrapper takes two characters at least, so half the payload's length bounds how many there
+    are. Only payloads still wrapped after the usual number are taken that far.
+    """
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(USUAL_WRAPPERS)), _parse(payload), lambda value, _: _unwrap_once(value))
+    more = F.array_repeat(F.lit(0), F.floor(F.length(payload) / 2).cast("int"))
+    rest = lambda value: F.aggregate(more, value, lambda v, _: F.when(_is_wrapped(v), _unwrap_once(v)).otherwise(v))
+    boxed = F.transform(F.array(few), lambda value: F.when(_is_wrapped(value), rest(value)).otherwise(value))
+    return F.get(boxed, F.lit(0))
 
 
 def as_list(value: Column) -> Column:

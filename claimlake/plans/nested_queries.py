@@ -39,11 +39,10 @@ WITH RECURSIVE opened(report_id, v, n) AS (
       WHEN 'VARCHAR' THEN CASE WHEN json_valid(v->>'$') THEN (v->>'$')::JSON END
       WHEN 'ARRAY' THEN list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) <> 'NULL')[1]
       ELSE coalesce(
-        CASE WHEN coalesce(v->'$.runs', v->'$.coverage', v->'$.sarif', v->'$.report', v->'$.summary') IS NOT NULL THEN v END,
-        {wrapped}, v) END, n + 1
-  FROM opened WHERE v IS NOT NULL AND json_type(v) IN ('VARCHAR', 'ARRAY', 'OBJECT') AND n < 12
+        {wrapped}) END, n + 1
+  FROM opened WHERE v IS NOT NULL AND (json_type(v) IN ('VARCHAR', 'ARRAY') OR json_type(v) = 'OBJECT' AND {known} IS NULL AND coalesce({wrapped}) IS NOT NULL)
 ),
-report AS (SELECT report_id, v FROM opened WHERE n = 12 AND json_type(v) = 'OBJECT'),
+report AS (SELECT DISTINCT report_id, arg_max(v, n) OVER (PARTITION BY report_id) AS v FROM opened QUALIFY json_type(arg_max(v, n) OVER (PARTITION BY report_id)) = 'OBJECT'),
 parts AS (
   SELECT report_id, CASE WHEN json_type(v->'$.sarif') = 'OBJECT' THEN v->'$.sarif' WHEN json_type(v->'$.runs') IS NOT NULL THEN v END AS s,
          CASE WHEN json_type(v->'$.report') = 'OBJECT' THEN v->'$.report' WHEN json_type(v->'$.coverage') IS NOT NULL THEN v END AS r
@@ -62,6 +61,7 @@ def _listed(value: str) -> str:
 
 
 _WITH = _UNWRAPPED.format(
+    known="coalesce(" + ", ".join(f"v->'$.{k}'" for k in nested.REPORT_KEYS) + ")",
     wrapped=", ".join(f"CASE WHEN json_type(v->'$.{k}') <> 'NULL' THEN v->'$.{k}' END" for k in nested.WRAPPER_KEYS),
     runs=_listed("(s->'$.runs')"),
     results=_listed("(x->'$.results')"),

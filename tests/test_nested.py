@@ -24,6 +24,13 @@ def test_wrappers(spark):
     assert all(got[n] == BOTH for n in range(7))
 
 
+def test_any_number_of_wrappers(spark):
+    deep = {"sarif": SARIF, "report": REPORT}
+    for n in range(70):
+        deep = {"body": deep} if n % 3 == 0 else [deep] if n % 3 == 1 else {"data": json.dumps(deep)} if n < 6 else {"data": deep}
+    assert found(spark, json.dumps(deep)) == {0: BOTH}
+
+
 def test_single_values_and_absent_lists(spark):
     single = {"runs": {"results": {"locations": {"physicalLocation": {}}}}}
     got = found(spark, json.dumps(single), json.dumps({"runs": None}), json.dumps({"runs": [{"results": None}, {}]}), json.dumps({"coverage": None}), json.dumps({"coverage": {"packages": {"missing": []}}}))
