@@ -3,15 +3,19 @@
 The items' own passages (instructions that many items share and answer options
 removed) form one generalised suffix automaton over words. Documents are
 streamed through it: at every word the automaton's state is the longest suffix
-read so far that occurs in any passage; where a match can grow no further, its
-length and the items it belongs to are kept. Items whose matches cover enough of
-their passage are then measured exactly: pairs of neighbouring words that stand
+read so far that occurs in any passage, and its class of ``min_match`` words
+names every item that holds them, however many there are. Items that are hit
+often enough are then measured exactly: pairs of neighbouring words that stand
 in both texts are chained in order, and the share of the passage's words inside
-the chain is the coverage.
+the chain is the coverage; most of it must stand in runs of some length, because neighbouring
+words alone also meet in stock phrases. Stretches of a document that belong to a leaked item,
+or that match longer than ``span_words`` words, can be cut out of the text.
 
 The automaton grows with the items, not with the corpus. Items come in blocks of
-at most ``block_words`` words, each block with its own automaton, so what is sent
-to the executors has a fixed bound however many items there are.
+at most ``block_words`` words, each with its own automaton, so what a task holds
+has a fixed bound however many items there are. Every text is read and split into
+words once; where there are several blocks, a task passes the words it has
+gathered through one block after the other.
 
 Defined results for odd input
 -----------------------------
@@ -24,9 +28,10 @@ Defined results for odd input
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -38,6 +43,8 @@ _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\r?\n[>|#* \t]*(?=[a-z])")
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+_GROWS = re.compile("[\u0130]")
 _OPTION = re.compile(r"^\s*(?:[-*]\s*)?(?:\(?[A-H1-8][).:]|[A-H]\s*[-–])\s+\S")
 
 
@@ -54,29 +61,76 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where each word of :func:`words_of` stands in the text as it was given."""
+    at = list(range(len(text)))
+
+    def replace(pattern: re.Pattern, by: Callable[[re.Match], str]) -> None:
+        nonlocal text, at
+        parts, places, done = [], [], 0
+        for m in pattern.finditer(text):
+            new = by(m)
+            parts += [text[done : m.start()], new]
+            places += at[done : m.start()] + [at[m.start()]] * len(new)
+            done = m.end()
+        text, at = "".join([*parts, text[done:]]), places + at[done:]
+
+    replace(_BROKEN, lambda m: "")
+    replace(_TAG, lambda m: " ")
+    replace(_ENTITY, lambda m: html.unescape(m[0]))
+    if not text.isascii():
+        replace(_INVISIBLE, lambda m: "")
+        replace(_GROWS, lambda m: m[0].lower())
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in _WORD.finditer(text.lower())]
+
+
+def _lines(text: str) -> list[list[str]]:
+    """Lines by paragraph, without the answer options at the end of a paragraph."""
+    out = []
+    for p in re.split(r"\n\s*\n", text):
+        lines = p.split("\n")
+        while lines and (_OPTION.match(lines[-1]) or not lines[-1].strip()):
+            lines.pop()
+        out.append(lines)
+    return out
+
+
 def passages(items: list[tuple[int, str]], shared: int = 3) -> dict[int, list[str]]:
     """The own passage of every item, as words.
 
-    A paragraph, or a line of it, that ``shared`` or more items have is an instruction;
-    a last run of lettered lines is the answer options.
+    A paragraph or line that ``shared`` or more items have is an instruction if, in the middle one
+    of those items, it is shorter than the text the items do not have in common; otherwise
+    it is a passage with several questions. Lettered lines at the end are the answer options.
     """
     norm = lambda s: " ".join(words_of(s))
-    texts = {i: t for i, t in sorted(items, key=lambda x: x[0]) if t}
-    seen: Counter[str] = Counter()
-    for t in texts.values():
-        pieces = {norm(p) for p in re.split(r"\n\s*\n", t)} | {norm(line) for line in t.split("\n")}
-        seen.update(p for p in pieces if p)
+    texts = {i: _lines(t) for i, t in sorted(items, key=lambda x: x[0]) if t}
+    lines = {i: [norm(line) for p in ps for line in p] for i, ps in texts.items()}
+    having: dict[str, set[int]] = defaultdict(set)
+    for i, ps in texts.items():
+        for p in ps:
+            for piece in {norm("\n".join(p)), *(norm(line) for line in p)} - {""}:
+                having[piece].add(i)
+
+    def instructs(piece: str) -> bool:
+        among = having[piece]
+        if len(among) < shared:
+            return False
+        size, gain = piece.count(" ") + 1, []
+        for i in among:
+            own = common = 0
+            for line in lines[i]:
+                n = line.count(" ") + 1 if line else 0
+                if 2 * len(having[line] & among) >= len(among):
+                    common += n
+                else:
+                    own += n
+            gain.append(own - max(size, common))
+        return sorted(gain)[len(gain) // 2] >= 0
+
+    known = {piece: instructs(piece) for piece in having}
     out = {}
-    for i, t in texts.items():
-        kept = []
-        for p in re.split(r"\n\s*\n", t):
-            if seen[norm(p)] >= shared:
-                continue
-            lines = [line for line in p.split("\n") if seen[norm(line)] < shared]
-            end = len(lines)
-            while end and (_OPTION.match(lines[end - 1]) or not lines[end - 1].strip()):
-                end -= 1
-            kept += lines[:end]
+    for i, ps in texts.items():
+        kept = [line for p in ps if not known.get(norm("\n".join(p))) for line in p if not known.get(norm(line))]
         out[i] = words_of("\n".join(kept))
     return out
 
@@ -88,19 +142,16 @@ class SuffixAutomaton:
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.items: list[set[int]] = [set()]
 
-    def add(self, word_numbers: list[int], item: int) -> None:
+    def add(self, word_numbers: list[int]) -> None:
         last = 0
         for w in word_numbers:
             last = self._extend(last, w)
-            self.items[last].add(item)
 
     def _state(self, length: int, link: int, arcs: dict[int, int]) -> int:
         self.next.append(arcs)
         self.link.append(link)
         self.length.append(length)
-        self.items.append(set())
         return len(self.length) - 1
 
     def _split(self, p: int, q: int, w: int) -> int:
@@ -125,43 +176,57 @@ class SuffixAutomaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
         return cur
 
-    def freeze(self, widest: int) -> list[tuple[int, ...]]:
-        """Items by state, inherited along suffix links; empty where more than ``widest`` share the words."""
-        order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
-        for s in order:
-            if self.link[s] > 0:
-                self.items[self.link[s]] |= self.items[s]
-        return [tuple(sorted(x)) if len(x) <= widest else () for x in self.items]
+    def classes(self, words: int) -> list[int]:
+        """By state, the state of its last ``words`` words; -1 where it is shorter."""
+        out = [-1] * len(self.length)
+        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__):
+            if self.length[s] >= words:
+                above = self.link[s]
+                out[s] = out[above] if self.length[above] >= words else s
+        return out
 
 
 class LeakIndex:
     """The automaton of a block of items, and the exact measure."""
 
-    def __init__(self, block: dict[int, list[str]], min_match: int = 3, widest: int = 16, coverage: float = COVERAGE, bridge: int = 1):
+    def __init__(self, block: dict[int, list[str]], min_match: int = 3, narrow: int = 16, coverage: float = COVERAGE, bridge: int = 1, run_words: int = 6):
         self.vocabulary: dict[str, int] = {}
         self.passage = {i: [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in ws] for i, ws in block.items()}
-        self.min_match, self.coverage, self.bridge = min_match, coverage, bridge
+        self.min_match, self.narrow, self.coverage, self.bridge, self.run_words = min_match, narrow, coverage, bridge, run_words
         automaton = SuffixAutomaton()
-        for i, numbers in self.passage.items():
-            automaton.add(numbers, i)
-        self.items = automaton.freeze(widest)
+        for numbers in self.passage.values():
+            automaton.add(numbers)
         self.next, self.link, self.length = automaton.next, automaton.link, automaton.length
+        self.classes = automaton.classes(min_match)
+        #: Items by class of ``min_match`` words: all of them.
+        held: dict[int, set[int]] = defaultdict(set)
         self.pairs: dict[int, dict[tuple[int, int], list[int]]] = {}
         for i, ws in self.passage.items():
             at: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for n in range(len(ws) - 1):
-                at[ws[n], ws[n + 1]].append(n)
+            state = 0
+            for n, w in enumerate(ws):
+                state = self.next[state][w]
+                if n + 1 >= min_match:
+                    held[self.classes[state]].add(i)
+                if n:
+                    at[ws[n - 1], w].append(n - 1)
             self.pairs[i] = dict(at)
-
-    def matches(self, numbers: list[int | None]) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of every match that cannot grow to the right, of ``min_match`` words or more."""
-        arcs, link, length, least = self.next, self.link, self.length, self.min_match
+        self.items = dict(held)
+        #: Hits an item needs before it is measured: a third of the coverage asked for, a hit standing for ``min_match`` words.
+        self.need = {i: max(1, math.ceil(coverage / 3 * len(ws) / min_match)) for i, ws in self.passage.items()}
+        self.least = min(self.need.values(), default=0)
+
+    def trace(self, numbers: list[int | None], longest: int) -> tuple[dict[int, list[int]], list[tuple[int, int, int]]]:
+        """Ends of the hits by class, and (end, length, state) of the matches of ``longest`` words or more that cannot grow to the right."""
+        arcs, link, length, classes, least = self.next, self.link, self.length, self.classes, self.min_match
+        hits: dict[int, list[int]] = {}
+        runs = []
         state = size = 0
         for n, w in enumerate(numbers):
             to = arcs[state].get(w) if w is not None else None
             if to is None:
-                if size >= least:
-                    yield n, size, state
+                if size >= longest:
+                    runs.append((n, size, state))
                 if w is None:
                     state = size = 0
                     continue
@@ -173,41 +238,68 @@ class LeakIndex:
                     size = 0
                     continue
             state, size = to, size + 1
-        if size >= least:
-            yield len(numbers), size, state
-
-    def candidates(self, numbers: list[int | None]) -> dict[int, list[int]]:
-        """Items whose matches reach a third of the coverage asked for, with the ends of their matches."""
-        covered: dict[int, int] = defaultdict(int)
-        ends: dict[int, list[int]] = defaultdict(list)
-        for end, size, state in self.matches(numbers):
-            for i in self.items[state]:
-                covered[i] += size
-                ends[i].append(end)
-        return {i: ends[i] for i, n in covered.items() if n >= self.coverage / 3 * len(self.passage[i])}
-
-    def measure(self, numbers: list[int | None], item: int, ends: list[int]) -> float:
-        """The largest share of the item's words that stand in order in one stretch of the document."""
+            if size >= least:
+                hits.setdefault(classes[state], []).append(n + 1)
+        if size >= longest:
+            runs.append((len(numbers), size, state))
+        return hits, runs
+
+    def matches(self, numbers: list[int | None]) -> list[tuple[int, int, int]]:
+        """Every match of ``min_match`` words or more that cannot grow to the right."""
+        return self.trace(numbers, self.min_match)[1]
+
+    def candidates(self, hits: dict[int, list[int]]) -> dict[int, list[int]]:
+        """Items hit often enough to be measured, with the ends of their hits.
+
+        Classes that more than ``narrow`` items share are counted for an item only if the others leave it
+        in reach; where they alone would be enough for some item, they are counted for all.
+        """
+        if sum(map(len, hits.values())) < self.least:
+            return {}
+        count: dict[int, int] = defaultdict(int)
+        wide, spare = [], 0
+        for c, ends in hits.items():
+            if len(self.items[c]) > self.narrow:
+                wide.append(c)
+                spare += len(ends)
+                continue
+            for i in self.items[c]:
+                count[i] += len(ends)
+        if wide:
+            reach = [i for i, n in count.items() if n + spare >= self.need[i]]
+            if spare >= self.least:
+                reach = set(reach).union(*(self.items[c] for c in wide))
+            for c in wide:
+                held, n = self.items[c], len(hits[c])
+                for i in reach if len(reach) < len(held) else held:
+                    if i in held:
+                        count[i] += n
+        chosen = [i for i, n in count.items() if n >= self.need[i]]
+        return {i: sorted(e for c, ends in hits.items() if i in self.items[c] for e in ends) for i in chosen}
+
+    def measure(self, numbers: list[int | None], item: int, ends: list[int]) -> tuple[float, list[int]]:
+        """The largest share of the item's words that stand in order in one stretch of the document, and the places of their pairs."""
         size = len(self.passage[item])
-        best = 0.0
-        reach = 2 * size
+        best: tuple[float, list[int]] = (0.0, [])
         done = -1
         for end in ends:
             if end <= done:
                 continue
-            group_end = max(e for e in ends if e <= end + reach)
-            best = max(best, self._chain(numbers, item, max(0, end - size - 8), min(len(numbers), group_end + size + 8)))
+            group_end = ends[bisect_right(ends, end + 2 * size) - 1]
+            here = self._chain(numbers, item, max(0, end - size - 8), min(len(numbers), group_end + size + 8))
+            if here[0] > best[0]:
+                best = here
             done = end + size // 4
         return best
 
-    def _chain(self, numbers: list[int | None], item: int, start: int, stop: int) -> float:
-        """Word pairs common to the passage and ``numbers[start:stop]``, longest increasing chain, words covered."""
+    def _chain(self, numbers: list[int | None], item: int, start: int, stop: int) -> tuple[float, list[int]]:
+        """Word pairs common to the passage and ``numbers[start:stop]``, longest increasing chain: words covered, places."""
         at = self.pairs[item]
         hits = []
         for d in range(start, stop - 1):
-            places = at.get((numbers[d], numbers[d + 1]))
-            if places:
-                hits += [(p, d) for p in reversed(places)]
+            own = at.get((numbers[d], numbers[d + 1]))
+            if own:
+                hits += [(p, d) for p in reversed(own)]
         # Longest chain of strictly increasing passage places, in document order (patience sorting).
         tails: list[int] = []
         tail_at: list[int] = []
@@ -221,26 +313,52 @@ class LeakIndex:
             else:
                 tails[k], tail_at[k] = p, n
         covered: set[int] = set()
+        places = []
         n = tail_at[-1] if tail_at else -1
         after = None
         while n >= 0:
             p, d = hits[n]
             covered |= {p, p + 1}
+            places.append(d)
             if after and after[0] - p <= self.bridge + 2 and after[1] - d <= 2 * self.bridge + 2:
                 covered.update(range(p + 2, after[0]))  # a word or two that were changed
             after, n = (p, d), back[n]
-        return len(covered) / max(1, len(self.passage[item]))
+        return len(covered) / max(1, len(self.passage[item])), places[::-1]
 
-    def find(self, text: str) -> list[tuple[int, float]]:
-        """(item, coverage) of all items of the block that leak into ``text``."""
+    def numbers(self, words: list[str]) -> list[int | None]:
         get = self.vocabulary.get
-        numbers = [get(w) for w in words_of(text)]
-        found = []
-        for item, ends in self.candidates(numbers).items():
-            share = self.measure(numbers, item, ends)
-            if share >= self.coverage:
+        return [get(w) for w in words]
+
+    def _quoted(self, places: list[int]) -> int:
+        """Words of a chain in unbroken runs of ``run_words`` or more: turns of phrase that many texts share are shorter."""
+        return sum(b - a for a, b in _stretches(places, 1) if b - a >= self.run_words)
+
+    def find(self, words: list[str], span_words: int | None = None) -> tuple[list[tuple[int, float]], list[tuple[int, int, int | None]]]:
+        """(item, coverage) of the items of the block that leak into a text, and (first word, past the last, item) of what to cut.
+
+        Spans are looked for only where ``span_words`` is given; a long match that no item covers has no item.
+        """
+        numbers = self.numbers(words)
+        hits, runs = self.trace(numbers, span_words or len(numbers) + 1)
+        found, spans = [], []
+        for item, ends in self.candidates(hits).items():
+            share, places = self.measure(numbers, item, ends)
+            if share >= self.coverage and self._quoted(places) >= 2 / 3 * self.coverage * len(self.passage[item]):
                 found.append((item, share))
-        return found
+                if span_words:
+                    spans += [(a, b, item) for a, b in _stretches(places, 2 * self.bridge + 2)]
+        return found, spans + [(end - size, end, None) for end, size, _ in runs]
+
+
+def _stretches(places: list[int], gap: int) -> list[tuple[int, int]]:
+    """Neighbouring word pairs joined to stretches of words."""
+    out: list[tuple[int, int]] = []
+    for d in places:
+        if out and d < out[-1][1] + gap - 1:
+            out[-1] = (out[-1][0], d + 2)
+        else:
+            out.append((d, d + 2))
+    return out
 
 
 def _blocks(own: dict[int, list[str]], block_words: int) -> Iterator[dict[int, list[str]]]:
@@ -256,18 +374,69 @@ def _blocks(own: dict[int, list[str]], block_words: int) -> Iterator[dict[int, l
         yield block
 
 
-def _scanner(block: dict[int, list[str]], coverage: float) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Only the words travel; each task builds its automaton from them in well under a second."""
+def cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of ``spans`` and what stands between them."""
+    places, out, done = word_spans(text), [], 0
+    for a, b in sorted(spans):
+        start, stop = places[a][0], places[b - 1][1]
+        if stop > done:
+            out.append(text[done : max(done, start)])
+            done = stop
+    return "".join([*out, text[done:]])
 
-    def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = LeakIndex(block, coverage=coverage)
+
+def _scanner(blocks: list[dict[int, list[str]]], coverage: float, span_words: int | None, chunk_chars: int = 32 << 20) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Only the passages' words travel; each task builds the automata from them, one block at a time."""
+
+    def chunks(batches: Iterable[pd.DataFrame]) -> Iterator[list[tuple]]:
+        rows, size = [], 0
         for batch in batches:
-            rows = [(d, i, share) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, share in index.find(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
+            rows += zip(batch["doc_id"], batch["text"], strict=True)
+            size += int(batch["text"].str.len().sum())
+            if len(blocks) == 1 or size >= chunk_chars:
+                yield rows
+                rows, size = [], 0
+        if rows:
+            yield rows
+
+    def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only = LeakIndex(blocks[0], coverage=coverage) if len(blocks) == 1 else None
+        for rows in chunks(batches):
+            texts = [words_of(t) for _, t in rows] if only is None else None
+            found: list[list[tuple[int, float]]] = [[] for _ in rows]
+            spans: list[list[tuple[int, int, int | None]]] = [[] for _ in rows]
+            for block in blocks:
+                index = only or LeakIndex(block, coverage=coverage)
+                for n, (_, text) in enumerate(rows):
+                    items, places = index.find(texts[n] if texts else words_of(text), span_words)
+                    found[n] += items
+                    spans[n] += places
+            if span_words is None:
+                out = [(d, i, share) for (d, _), items in zip(rows, found, strict=True) for i, share in items]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "coverage"])
+            else:
+                kept = []
+                for (d, text), items, places in zip(rows, found, spans, strict=True):
+                    clean = cut(text, [(a, b) for a, b, _ in places]) if places else text
+                    kept.append((d, clean, len(text) - len(clean), sorted({i for i, _ in items})))
+                yield pd.DataFrame(kept, columns=["doc_id", "text", "removed_chars", "item_ids"])
 
     return scan
 
 
+def _own_passages(eval_items: DataFrame, min_words: int, max_items_bytes: int) -> dict[int, list[str]]:
+    """The items' passages on the driver, after a check of the items' size."""
+    items = eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_items_bytes:
+        raise ValueError(f"evaluation items take {size} bytes, more than {max_items_bytes}; pass them in parts")
+    return {i: ws for i, ws in passages([(r["item_id"], r["text"]) for r in items.collect()]).items() if len(ws) >= min_words}
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
 def leaked_items(
     documents: DataFrame, eval_items: DataFrame, coverage: float = COVERAGE, min_words: int = 8, block_words: int = 500_000, max_items_bytes: int = 256 << 20
 ) -> DataFrame:
@@ -275,17 +444,29 @@ def leaked_items(
 
     The items are read to the driver after a check of their size (``max_items_bytes``).
     """
-    items = eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > max_items_bytes:
-        raise ValueError(f"evaluation items take {size} bytes, more than {max_items_bytes}; pass them in parts")
-    own = {i: ws for i, ws in passages([(r["item_id"], r["text"]) for r in items.collect()]).items() if len(ws) >= min_words}
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    blocks = list(_blocks(_own_passages(eval_items, min_words, max_items_bytes), block_words))
     schema = "doc_id bigint, item_id bigint, coverage double"
-    found = [texts.mapInPandas(_scanner(block, coverage), schema) for block in _blocks(own, block_words)]
-    if not found:
+    if not blocks:
         return documents.sparkSession.createDataFrame([], schema)
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
+    found = _texts(documents).mapInPandas(_scanner(blocks, coverage, None), schema)
+    return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
+
+
+def without_leaks(
+    documents: DataFrame,
+    eval_items: DataFrame,
+    coverage: float = COVERAGE,
+    span_words: int = 50,
+    min_words: int = 8,
+    block_words: int = 500_000,
+    max_items_bytes: int = 256 << 20,
+) -> DataFrame:
+    """(doc_id, text, removed_chars, item_ids): every document without the stretches that leak.
+
+    Cut is what an item with ``coverage`` or more of its passage in the document covers there, and every
+    match of ``span_words`` words or more even if its item stays below that. Texts without either are unchanged.
+    """
+    blocks = list(_blocks(_own_passages(eval_items, min_words, max_items_bytes), block_words))
+    if not blocks:
+        return _texts(documents).select("doc_id", "text", F.lit(0).cast("bigint").alias("removed_chars"), F.array().cast("array<bigint>").alias("item_ids"))
+    return _texts(documents).mapInPandas(_scanner(blocks, coverage, span_words), "doc_id bigint, text string, removed_chars bigint, item_ids array<bigint>")

@@ -70,6 +70,10 @@ def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
 
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.without_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_evidence(_read(spark, sf_dir, "documents")).select("doc_id")
 
@@ -92,6 +96,7 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_coverage": p7_coverage,
+    "p7_cleaned": p7_cleaned,
     "p8_found": p8_found,
     "p8_reasons": p8_reasons,
 }

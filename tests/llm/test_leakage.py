@@ -38,6 +38,9 @@ def test_automaton_matches_brute_force():
         if longest >= 3 and (end == len(numbers) or tuple(numbers[end - longest : end + 1]) not in known):
             want.add((end, longest))
     assert {(e, n) for e, n, _ in index.matches(numbers)} == want
+    three = {tuple(numbers[n - 3 : n]) for n in range(3, len(numbers) + 1)}
+    hits = {i for c in index.trace(numbers, 99)[0] for i in index.items[c]}
+    assert hits == {i for i, p in index.passage.items() if three & {tuple(p[n - 3 : n]) for n in range(3, len(p) + 1)}}
 
 
 def test_cases(spark):
@@ -81,3 +84,57 @@ def test_very_long_text(spark):
     rng = random.Random(4)
     text = " ".join(rng.choice(WORDS) for _ in range(100_000)) + " " + " ".join(passage(6))
     assert (0, 6) in found(spark, text)
+
+
+def test_more_near_equal_items_than_a_narrow_class_holds(spark):
+    base = passage(40)
+    items = [(i, " ".join(base[:i] + [f"own{i}"] + base[i + 1 :])) for i in range(20)]
+    assert found(spark, " ".join(base), items=items) == {(0, i) for i in range(20)}
+    lines = lambda ws: "\n".join(" ".join(ws[n : n + 6]) for n in range(0, 60, 6))
+    items = [(i, lines(base[:i] + [f"own{i}"] + base[i + 1 :])) for i in range(20)]
+    assert found(spark, "x " + " ".join(base), items=items) == {(0, i) for i in range(20)}
+    same = [(i, " ".join(base)) for i in range(20)]
+    assert found(spark, " ".join(base), items=same) == {(0, i) for i in range(20)}
+
+
+def test_several_questions_on_one_passage(spark):
+    stock = "Read the text and answer the question that follows."
+    items = [(i, f"{stock}\n\n{' '.join(passage(50))}\n\nWhat of w{i} and w{i + 9}?\nA) one\nB) two") for i in range(4)]
+    items += [(i, f"{stock}\n\n{' '.join(passage(i))}") for i in range(10, 20)]
+    assert found(spark, "Intro. " + " ".join(passage(50)) + " End.", stock, items=items) == {(0, i) for i in range(4)}
+
+
+def test_an_item_inside_another(spark):
+    p = passage(60, 90)
+    items = [(1, " ".join(p)), (2, " ".join(p[30:60] + passage(61, 20)))]
+    assert found(spark, " ".join(p), items=items) == {(0, 1), (0, 2)}
+
+
+def cleaned(spark, texts, items, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    evals = spark.createDataFrame([(i, "s", t) for i, t in items], "item_id bigint, suite string, text string")
+    return {r.doc_id: (r.text, r.item_ids) for r in K.without_leaks(docs, evals, **options).collect()}
+
+
+def test_stretches_are_cut(spark):
+    p = passage(0)
+    marked = "Before &amp; now. <b>" + " ".join(p[:30]) + "</b> one\n> " + ", ".join(p[30:]).upper() + ". After İt."
+    texts = [marked, "nothing", " ".join(passage(1)[:15]) + " rest", None, ""]
+    got = cleaned(spark, texts, ITEMS)
+    assert got[0] == ("Before &amp; now. <b>. After İt.", [0])
+    assert got[1] == ("nothing", []) and got[2] == (texts[2], []) and got[4] == ("", []) and 3 not in got
+    assert cleaned(spark, texts, ITEMS, span_words=12)[2] == (" rest", [])
+    assert cleaned(spark, texts, ITEMS, block_words=100) == got and cleaned(spark, texts, []) == {n: (t, []) for n, t in enumerate(texts) if t is not None}
+
+
+def test_places_of_words():
+    for text in ("A <b>bold</b> half-\n> way, snake_case &amp; X.Y", "Über\u200bfluß İstanbul &#65;b x&lt;y", "", "a"):
+        assert len(K.word_spans(text)) == len(K.words_of(text))
+    text = "Ein <i>Wort</i> mit half-\nway."
+    assert [text[a:b].lower() for a, b in K.word_spans(text)] == ["ein", "wort", "mit", "half-\nway"]
+
+
+def test_shared_turns_of_phrase_are_no_leak(spark):
+    p = passage(70)
+    phrases = [w for n in range(0, 60, 6) for w in [*p[n : n + 5], f"other{n}", f"more{n}"]]
+    assert found(spark, " ".join(phrases), items=[(1, " ".join(p))]) == set()
