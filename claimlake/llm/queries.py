@@ -74,6 +74,10 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
 
 
+def p8_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.response_scores(_read(spark, sf_dir, "documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_evidence(_read(spark, sf_dir, "documents")).select("doc_id")
 
@@ -97,6 +101,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_coverage": p7_coverage,
     "p7_cleaned": p7_cleaned,
+    "p8_method": p8_method,
     "p8_found": p8_found,
     "p8_reasons": p8_reasons,
 }

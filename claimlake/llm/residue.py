@@ -1,33 +1,44 @@
 """Template residue, filler text, error pages and script notices in documents.
 
-Evidence of four kinds is combined for every document:
+Every document is read once and gives evidence of two kinds.
+
+Its own text, by detectors:
 
 placeholders   unfilled fields in the forms of common template languages;
 filler         runs of sample words and stock filler sentences;
-messages       sentences that are an error page or ask for scripts;
-responses      slug of the address, title and body terms compared, and the body's
-               signature (chrome, numbers and identifiers removed) counted over all
-               hosts: a low-information body that fits neither its slug nor its title
-               and repeats under other addresses is a response, not a document.
+messages       sentences that are an error page or ask for scripts.
+
+What other documents say about it, by comparison:
 
-The first three decide on their own where they stand in place of content. A page
-that only resembles an error message is flagged if the response evidence agrees.
-Code (fenced, inline, ``<pre>``) and quoted text is not content of its own, and a
-sentence that talks about placeholders or filler names them without being residue.
+terms          the words of the address slug, of the title and of the body, compared
+               in pairs: a response carries the address of the page it replaces, but
+               speaks of something else;
+responses      a sentence (numbers, identifiers and paths removed) that stands on several
+               pages of several hosts, pages that say little else, is a response sentence.
+               It is told by its company alone, in any language: sentences that also stand
+               in full documents, and those of copies of one document, are not.
+
+:func:`response_scores` adds the second kind and the placeholders up to one score for all
+documents; :func:`residue_evidence` adds the other detectors, which also see residue in
+a part of a page that is otherwise content. Code (fenced, inline, ``<pre>``) and quoted
+text is not content of its own, and a sentence that talks about placeholders or filler
+names them without being residue.
 
 Defined results for odd input
 -----------------------------
-* null or blank text, null doc_id: no row. Null source or path: no host evidence.
+* null or blank text, null doc_id: no row. Null source: a host of its own name. Null path: no address to compare.
 * repeated rows: one row per doc_id. Texts of any length are read whole.
 * empty tables: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +50,7 @@ FIELD_WORDS = (
     " project product repo repository module package path command user username customer team city country logo number text content topic subject feature"
 ).split()
 _FIELD = "(?:" + "|".join(FIELD_WORDS) + ")"
-_NAME = r"[A-Za-z][\w.-]*(?:[ _.-]\w+)*"
+_NAME = r"[.$]?[A-Za-z][\w.-]*(?:[ _.-]\w+|\[[\"'\w]+\])*"
 _UPPER = r"[A-Z][A-Z0-9]*(?:[ _.-][A-Z0-9]+)*"
 #: Forms that only template languages use: any name is a field.
 _TEMPLATE = re.compile(
@@ -52,6 +63,7 @@ _UPPER_DOUBLE = re.compile(rf"^\[\[\s*{_UPPER}\s*\]\]$")
 _AMBIGUOUS = re.compile(
     rf"(?<![\w/\\$])\$\{{\s*({_UPPER})\s*\}}(?![/\w])|(?<![\w$])\$({_UPPER})\$(?!\w)|(?<![\w/{{$#%])\{{\s*({_UPPER})\s*\}}(?![\w/}}-])"
     rf"|(?<!\w)__({_UPPER})__(?!\w)|(?<![\w%])%({_UPPER})%(?!\w)|(?<![\w\]\[!])\[\s*((?:your|my|the|our)[ _]+[^\[\]\n]{{1,40}}|[^\[\]\n]{{1,40}}[ _]here|{_UPPER})\s*\](?![\w(\[:])"
+    rf"|(?<=[Dd]ear )<\s*((?i:{_FIELD}))\s*>"
     rf"|<\s*((?:your|my|our|the)[ _-]+[\w -]{{1,40}}|[\w -]{{1,40}}[ _-]here|{_UPPER}[_ -]{_UPPER})\s*>",
 )
 _AMBIGUOUS_LOWER = re.compile(r"(?<![\w\]\[!])\[\s*((?:your|insert|enter)\s[^\[\]\n]{1,40}|[^\[\]\n]{1,40}\shere)\s*\](?![\w(\[:])", re.I)
@@ -67,9 +79,11 @@ _TALK = re.compile(
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud"
     " exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint"
-    " occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+    " occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
+    " perspiciatis unde omnis iste natus error voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis quasi architecto beatae"
+    " vitae dicta explicabo nemo ipsam quia voluptas aspernatur aut odit fugit consequuntur magni dolores eos ratione sequi nesciunt".split()
 )
-_LATIN_STRONG = LATIN - frozenset("do in ad id non est sit ut et ex ea qui sed ipsum dolor magna eu quis minim labore commodo enim".split())
+_LATIN_STRONG = LATIN - frozenset("do in ad id non est sit ut et ex ea qui sed ipsum dolor magna eu quis minim labore commodo enim error ab aut rem magni quasi ratione iste".split())
 #: Words typed where text was still to come (fixed values).
 _KEYSTROKES = frozenset("x xx xxx xxxx xxxxx xxxxxx asdf asdfg asdfgh qwer qwert qwerty foo bar baz qux quux test testing blah bla yadda tbd tba tk lipsum".split())
 #: Words of sentences that say no more than that text will stand here (fixed values).
@@ -113,6 +127,9 @@ _ERROR = re.compile(
     r"|die (?:angeforderte |gewünschte |aufgerufene )?seite (?:existiert nicht|wurde nicht gefunden|konnte nicht|ist nicht)|(?:die )?seite (?:wurde )?nicht gefunden|(?:der )?zugriff (?:wurde )?(?:verweigert|nicht gestattet)|der (?:dienst|server) ist (?:vorübergehend |derzeit |zurzeit )?nicht (?:verfügbar|erreichbar)|interner serverfehler|etwas ist schief ?gelaufen|ein (?:unerwarteter )?fehler ist aufgetreten|bitte melden sie sich an\b|zu viele anfragen"
     r"|(?:la )?página (?:solicitada )?no (?:se ha )?(?:encontrad|existe|está disponible|se encuentra)\w*|(?:la )?dirección solicitada ya no existe|(?:el )?acceso (?:ha sido )?(?:denegado|prohibido)|(?:el )?servicio (?:temporalmente )?no (?:está )?disponible|error interno del servidor|algo salió mal|se ha producido un error|demasiadas (?:solicitudes|peticiones)|inicie sesión para continuar"
     r"|(?:您(?:访问|请求)的)?(?:该)?页面(?:未找到|不存在|已被删除|无法(?:找到|显示|访问))|找不到(?:该)?页面|访问被(?:拒绝|禁止)|(?:您)?没有权限|(?:该)?服务(?:器)?(?:暂时|目前)?(?:不可用|无法(?:访问|使用)|繁忙|维护中|错误)|服务器内部错误|(?:系统|网站)(?:正在)?维护|请求过多|请登录后(?:重试|继续)|出错了|发生(?:未知)?错误"
+    r"|(?:la )?page (?:demandée |que vous (?:cherchez|recherchez) )?(?:est introuvable|introuvable|n['’]existe (?:pas|plus)|n['’]a pas été trouvée)|accès (?:refusé|interdit)|une erreur (?:inattendue )?(?:est survenue|s['’]est produite)|(?:le )?service (?:est )?(?:temporairement )?indisponible"
+    r"|(?:a )?página (?:solicitada )?não (?:foi )?(?:encontrada|existe)|acesso negado|ocorreu um erro|(?:o )?serviço (?:está )?(?:temporariamente )?indisponível|ページが見つかりません|お探しのページは|アクセスが拒否されました|エラーが発生しました"
+    r"|just a moment\b[.… ]*$|checking (?:if the site connection is secure|your browser before)|verify(?:ing)? (?:that )?you are (?:a )?human|accessdenied\b|nosuch(?:key|bucket)\b"
     r")",
     re.I,
 )
@@ -125,6 +142,7 @@ _SCRIPT = re.compile(
     r"|(?:bitte )?(?:aktivieren|erlauben|schalten) sie (?:bitte )?(?:javascript|skripte)|javascript (?:ist|muss|wird)\b[^\n]{0,40}(?:deaktiviert|aktiviert|benötigt|ausgeschaltet)|diese (?:seite|anwendung) (?:benötigt|erfordert) javascript|sie müssen javascript"
     r"|(?:por favor,? )?(?:active|habilite|active usted|necesita|debe (?:activar|habilitar))[^\n]{0,20}javascript|javascript (?:está|debe estar) (?:desactivado|deshabilitado|activado|habilitado)|esta (?:página|aplicación) (?:requiere|necesita) javascript"
     r"|(?:请|您需要|您必须|必须|需要)(?:先)?(?:启用|开启|打开|允许) ?javascript|(?:您的)?浏览器(?:已禁用|未启用|不支持) ?javascript|(?:本|此)(?:页|页面|网站|应用)(?:需要|要求)(?:启用)? ?javascript|javascript ?(?:已被|被)?(?:禁用|未启用)"
+    r"|(?:veuillez |merci d['’])?activer? javascript|javascript (?:est|doit être) (?:désactivé|activé|requis)|(?:por favor,? )?(?:ative|habilite) o javascript|javascriptを有効に"
     r")",
     re.I,
 )
@@ -205,39 +223,59 @@ _WEAK = re.compile(
 )
 
 
+_VARIES = re.compile(r"\S*[\d/]\S*")
+_IDEOGRAPH = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+_HEADING = re.compile(r"^(?:#{1,6}[ \t]+(\S.*)|<title[^<>]*>([^<>]*)</title>|<h1[^<>]*>([^<>]*)</h1>)", re.I | re.M)
+_SLUG = re.compile(r"[^\W\d_]{3,}")
+
+
+def _common(a: set[str], b: set[str]) -> int:
+    """1 if two sets of words share one, -1 if not, 0 if one of them is empty."""
+    return 0 if not a or not b else -1 if a.isdisjoint(b) else 1
+
+
 def examine(text: str | None, path: str | None = None) -> dict:
-    """The evidence in one document."""
-    empty = {"placeholders": 0, "filler": 0, "messages": 0, "weak": False, "signature": None, "mismatch": False, "terms": 0}
+    """The evidence in one document.
+
+    ``lines`` are its sentences as (hash, words), ``page`` the hash of all of them; ``slug_title``,
+    ``slug_body`` and ``title_body`` compare words: 1 some in common, -1 none, 0 nothing to compare.
+    """
+    e = {"placeholders": 0, "filler": 0, "messages": 0, "weak": False, "words": 0, "page": 0, "slug_title": 0, "slug_body": 0, "title_body": 0, "lines": []}
     if not text or not text.strip():
-        return empty
-    short = len(text) <= 1500
+        return e
     content = content_of(text)
-    fields = placeholders(content)
-    filler = messages = 0
-    own: list[str] = []
+    e["placeholders"] = len(placeholders(content))
+    body: set[str] = set()
+    lines = []
     for s in sentences(content):
+        low = s.lower()
+        if any(c in low for c in "0123456789/"):
+            low = _VARIES.sub(" ", low)
+        words = _WORD.findall(low)
+        body.update(words)
         if _CHROME.match(s):
             continue
-        own.append(s)
-        if len(s) < 400 and (_ERROR.match(s) or _SCRIPT.match(s)):
-            messages += 1
+        if _ERROR.match(s) or _SCRIPT.match(s):
+            e["messages"] += 1
         elif _is_filler(s) and not _TALK.search(_FILLER_SENTENCE.sub("", s)):
-            filler += 1
-    if not (fields or filler or messages or short and len(own) <= 5):
-        return empty  # no evidence, and not weak
-    body = " ".join(own)
-    terms = {w.lower() for w in _WORD.findall(body)}
-    slug = {w for w in re.findall(r"[a-z]{3,}", re.sub(r"\.\w+$", "", (path or "").rsplit("/", 1)[-1].lower()))}
-    title = {w.lower() for w in _WORD.findall(own[0])} if own else set()
-    mismatch = not (slug & terms) and not (title & slug)
-    low = len(terms) <= 25 and len(own) <= 5
-    weak = short and low and "‧" not in body and bool(_WEAK.search(body))
-    shape = weak and re.sub(r"[\w./-]*\d[\w./-]*|/\S+", "0", body.lower())
-    signature = re.sub(r"\s+", " ", shape).strip() if shape else None
-    return {"placeholders": len(fields), "filler": filler, "messages": messages, "weak": weak, "signature": signature, "mismatch": mismatch, "terms": len(terms)}
+            e["filler"] += 1
+        if words:
+            size = len(words) if low.isascii() else max(len(words), len(_IDEOGRAPH.findall(low)) // 2)
+            lines.append((xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63), size))
+    e["lines"] = lines
+    e["words"] = sum(n for _, n in lines)
+    e["page"] = hash(tuple(sorted(h for h, _ in lines)))
+    e["weak"] = bool(_WEAK.search(content))
+    heading = _HEADING.search(content)
+    title = set(_WORD.findall(next(g for g in heading.groups() if g is not None).lower())) if heading else set()
+    slug = set(_SLUG.findall(re.sub(r"\.\w+$", "", (path or "").rsplit("/", 1)[-1].lower())))
+    rest = body - title if heading else body
+    e["slug_title"], e["slug_body"], e["title_body"] = _common(slug, title), _common(slug, rest), _common(title, rest)
+    return e
 
 
-_SCHEMA = "doc_id bigint, source string, placeholders int, filler int, messages int, weak boolean, mismatch boolean, terms int, signature string"
+_SCHEMA = "doc_id bigint, source string, placeholders int, filler int, messages int, weak boolean, words int, page bigint, slug_title int, slug_body int, title_body int, hash array<bigint>, size array<int>"
+_FIELDS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
 def _examine_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,32 +283,65 @@ def _examine_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, text, source, path in batch[["doc_id", "text", "source", "path"]].itertuples(index=False, name=None):
             e = examine(text, path)
-            if e["placeholders"] or e["filler"] or e["messages"] or e["weak"] or e["signature"]:
-                rows.append((doc_id, source, e["placeholders"], e["filler"], e["messages"], e["weak"], e["mismatch"], e["terms"], e["signature"]))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+            if e["lines"] or e["placeholders"]:
+                rows.append((doc_id, source, *(e[f] for f in _FIELDS[2:-2]), [h for h, _ in e["lines"]], [n for _, n in e["lines"]]))
+        yield pd.DataFrame(rows, columns=_FIELDS)
+
+
+def evidence(documents: DataFrame) -> DataFrame:
+    """What :func:`examine` finds in every document; texts are read once, hashes and counts stay."""
+    narrow = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source", "path")
+    return materialise(narrow.mapInPandas(_examine_batches, _SCHEMA), "residue")
 
 
-def residue_evidence(documents: DataFrame, min_copies: int = 3) -> DataFrame:
-    """Every document with residue and why.
+def response_sentences(seen: DataFrame, min_copies: int = 6, page_words: int = 40, copy_words: int = 16) -> DataFrame:
+    """(hash): sentences that stand on ``min_copies`` or more pages, of two or more hosts, that say little else.
 
-    Columns: doc_id, placeholders, filler, messages, copies (documents with the same body
-    signature), hosts (sources it occurs under), reason. Signatures are short by construction
-    and counted with partial aggregation; only counts travel back to the few weak cases.
+    The typical page (geometric mean) has at most ``page_words`` words. Where all pages are the same,
+    they are copies of one document unless they are as short as ``copy_words``. One partial
+    aggregation over all sentences: a sentence that a third of all pages have is one row per task.
     """
-    narrow = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source", "path")
-    seen = narrow.mapInPandas(_examine_batches, _SCHEMA).withColumn("key", F.xxhash64("signature"))
-    seen = materialise(seen.drop("signature"), "residue")  # texts are read once; what stays is small
-    copies = (
-        seen.where("key is not null and weak").groupBy("key", F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"))
-        .groupBy("key").agg(F.sum("n").alias("copies"), F.count("*").alias("hosts"))
-    )
-    strong = seen.where("placeholders + filler + messages > 0").select("doc_id", "placeholders", "filler", "messages", F.lit(1).cast("bigint").alias("copies"), F.lit(1).cast("bigint").alias("hosts"))
-    alike = (
-        seen.where("weak and mismatch and placeholders + filler + messages = 0")
-        .join(copies.where(F.col("copies") >= min_copies).where("hosts > 1 or copies > 3"), "key")
-        .select("doc_id", "placeholders", "filler", "messages", "copies", "hosts")
+    each = seen.select("source", "page", F.log(F.col("words") + 1.0).alias("room"), F.explode(F.array_distinct("hash")).alias("hash"))
+    host = F.coalesce("source", F.lit(""))
+    stats = each.groupBy("hash").agg(
+        F.count("*").alias("copies"), F.min(host).alias("a"), F.max(host).alias("b"), F.min("page").alias("p"), F.max("page").alias("q"), F.avg("room").alias("room")
     )
+    limit = F.when(F.col("p") != F.col("q"), F.lit(math.log(page_words + 1))).otherwise(F.lit(math.log(copy_words + 1)))
+    return stats.where((F.col("copies") >= min_copies) & (F.col("a") != F.col("b")) & (F.col("room") <= limit)).select("hash", "copies")
+
+
+#: What the evidence adds to a page's score (fixed weights); a response has 1 or more.
+SHARE, FILLED, SLUG_TITLE, SLUG_BODY, TITLE_BODY, WEAK = 1.5, 1.5, 0.1, 0.3, 0.05, 0.2
+
+
+def scored(seen: DataFrame) -> DataFrame:
+    """``seen`` with ``response`` (share of the words in response sentences), ``copies`` (of the rarest of these) and ``score``."""
+    lines = seen.select("doc_id", "page", "words", F.explode(F.arrays_zip("hash", "size")).alias("l")).select("doc_id", "page", "words", F.col("l.hash").alias("hash"), F.col("l.size").alias("size"))
+    # Not broadcast: the sentences grow with the documents.
+    hit = lines.join(response_sentences(seen).hint("merge"), "hash").groupBy("doc_id", "page").agg(F.sum("size").alias("held"), F.min("copies").alias("copies"))
+    out = seen.drop("hash", "size").join(hit.hint("merge"), ["doc_id", "page"], "left")
+    share = F.coalesce(F.col("held") / F.greatest(F.lit(1), F.col("words")), F.lit(0.0))
+    score = (
+        SHARE * F.col("response")
+        + F.when(F.col("placeholders") > 0, FILLED).otherwise(0.0)
+        - SLUG_TITLE * F.col("slug_title") - SLUG_BODY * F.col("slug_body") - TITLE_BODY * F.col("title_body")
+        + F.when(F.col("weak") & (F.col("response") > 0), WEAK).otherwise(0.0)
+    )
+    return out.withColumn("response", share).withColumn("score", score).withColumn("copies", F.coalesce("copies", F.lit(1)))
+
+
+def response_scores(documents: DataFrame) -> DataFrame:
+    """(doc_id, score, response, copies, placeholders, slug_title, slug_body, title_body, residue) of every document."""
+    rows = scored(evidence(documents)).withColumn("residue", F.col("score") >= 1)
+    best = F.max_by(F.struct("score", "response", "copies", "placeholders", "slug_title", "slug_body", "title_body", "residue"), F.struct("score", "page")).alias("r")
+    return rows.groupBy("doc_id").agg(best).select("doc_id", "r.*")
+
+
+def residue_evidence(documents: DataFrame) -> DataFrame:
+    """Every document with residue and why: (doc_id, placeholders, filler, messages, copies, score, reason).
+
+    A page without any detector's hit is reported by its score alone.
+    """
+    rows = scored(evidence(documents)).where("placeholders + filler + messages > 0 or score >= 1")
     reason = F.when(F.col("placeholders") > 0, "placeholder").when(F.col("filler") > 0, "filler").when(F.col("messages") > 0, "message").otherwise("response")
-    both = strong.unionByName(alike)
-    sums = [F.max(c).alias(c) for c in ("placeholders", "filler", "messages", "copies", "hosts")]
-    return both.groupBy("doc_id").agg(*sums).withColumn("reason", reason)
+    return rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("placeholders", "filler", "messages", "copies", "score")]).withColumn("reason", reason)

@@ -67,3 +67,43 @@ def test_nulls_repeats_long_and_empty(spark):
     f = frame(spark, (1, None, None, None, None, None), (None, CASES[0], None, None, None, None), (2, CASES[0], None, None, None, None), (2, CASES[0], None, None, None, None), (3, long_text, None, None, None, None), (4, CLEAN[0], None, None, None, None))
     assert sorted(r.doc_id for r in R.residue_evidence(f).collect()) == [2, 3]
     assert R.residue_evidence(f.limit(0)).isEmpty()
+
+
+PLAIN = [
+    "Contact {{ .Site.Title }} now.", 'By {{ user["name"] }}.', "Dear <Name>, thanks.", "<Error><Code>AccessDenied</Code><Message>Access Denied</Message></Error>", "Just a moment...", "Page introuvable.", "Página não encontrada.", "ページが見つかりません。",
+    "Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium.", "<html><head><title>502 Bad Gateway</title></head><body><center><h1>502 Bad Gateway</h1></center><hr><center>nginx</center></body></html>", "Veuillez activer JavaScript pour continuer.",
+]
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_plain_cases(text):
+    assert hit(text)
+
+
+#: Responses in languages that no list knows, and short documents with copies under other addresses.
+UNLISTED = [
+    "Sivua ei löytynyt", "Nie można odnaleźć strony", "Sidan kunde inte hittas", "Palvelu on poissa käytöstä", "Dostęp zabroniony dla tego adresu", "Tjänsten är inte tillgänglig just nu",
+    "Ota JavaScript käyttöön jatkaaksesi", "Włącz obsługę skryptów, aby kontynuować", "Slå på skript för att fortsätta", "Palvelin ei vastannut ajoissa", "Serwer nie odpowiada", "Servern svarade inte",
+]
+
+
+def test_unlisted_languages_by_company(spark):
+    assert not any(hit(t) for t in UNLISTED)
+    furniture = ["", "\n\nEtusivu", "\n\nHjälp och stöd", "\n\nMenu główne"]
+    rows = [(n * 20 + k, f"# {t}\n\n{t}.{furniture[(n + k) % 4]}", f"site{k % 5}", f"guides/topic-{k}.md") for n, t in enumerate(UNLISTED) for k in range(8)]
+    own = ["Every importer keeps its journal until the nightly run has ended.", "Ledgers are compared by date first and by owner afterwards."]
+    rows += [(1000 + n * 20 + k, own[n] + f" Copy {k}.", f"site{k}", f"guides/other-{k}.md") for n in range(2) for k in range(4)]
+    f = spark.createDataFrame(rows, "doc_id bigint, text string, source string, path string")
+    got = {r.doc_id: r.residue for r in R.response_scores(f).collect()}
+    responses = [r[0] for r in rows if r[0] < 1000]
+    assert sum(got[i] for i in responses) > 0.9 * len(responses) and not any(got[i] for i in got if i >= 1000)
+    assert len(got) == len(rows)
+    assert {r.doc_id for r in R.residue_evidence(f).collect()} == {i for i in got if got[i]}
+
+
+def test_terms_are_compared():
+    e = R.examine("# Not found\n\nThe page is gone.", "guides/queue-7.md")
+    assert (e["slug_title"], e["slug_body"], e["title_body"]) == (-1, -1, -1)
+    e = R.examine("# The queue\n\nA queue holds work.", "guides/queue-7.md")
+    assert (e["slug_title"], e["slug_body"], e["title_body"]) == (1, -1, -1)
+    assert R.examine("Plain text.", None)["slug_body"] == 0
