@@ -44,8 +44,12 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitext.link_types(_p3_links(spark, sf_dir))
 
 
+def p4_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.link_batches(_read(spark, sf_dir, "findings"), exact=False)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.link_batches(_read(spark, sf_dir, "findings"))
+    return incremental.link_batches(_read(spark, sf_dir, "findings")).select("kept_id", "dup_id")
 
 
 def p4_baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +98,7 @@ QUERIES = {
     "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_links": p3_links,
+    "p4_method": p4_method,
     "p4_found": p4_found,
     "p4_baselined": p4_baselined,
     "p6_containers": p6_containers,
