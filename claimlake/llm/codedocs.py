@@ -1,12 +1,17 @@
 """Functions and methods of source files paired with their documentation.
 
 One scan per file finds every definition, its own documentation and the type it
-belongs to (line and block comments, strings and templates are told from code by
-a lexer of the language family). Documentation that a method only inherits is
-then resolved over the class hierarchy: methods without documentation of their
-own, or with a bare "inherit" tag, are joined with the same method of their
-parent types, again and again until nothing more resolves; what stays empty is
-dropped.
+belongs to, and every type with its parents (line and block comments, strings and
+templates are told from code by a lexer of the language family; Go structs and
+interfaces have what they embed for parents). Documentation that a function only
+inherits is then resolved: a definition without documentation of its own, or with
+an "inherit" tag, is joined with its declaration elsewhere (a prototype in a header,
+another part of the type), with what the tag names, and with the same method of its
+parent types, again and again until nothing more resolves; a Go type also inherits
+from the interfaces whose methods it all has. What stays empty is dropped.
+
+A parent's name means the type of that name in the same file, else the only one in
+the same directory, else the only one in the repository; if there are several, none.
 
 Defined results for odd input
 -----------------------------
@@ -39,7 +44,7 @@ LANGUAGES = {"c++": "c", "cpp": "c", "c#": "csharp", "cs": "csharp", "golang": "
 _KNOWN = frozenset(EXTENSIONS.values())
 SCHEMA = (
     "name string, owner string, kind string, bases array<string>, decl_line int, body_end int, has_body boolean,"
-    " doc string, params array<string>, trivial boolean, inherits boolean, code string"
+    " doc string, params array<string>, trivial boolean, inherits boolean, cref string, code string, scope string"
 )
 
 
@@ -104,12 +109,15 @@ def _template_end(text: str, at: int) -> int:
     return n
 
 
+_NESTED = re.compile(r"/\*|\*/")
+
+
 def _nested_end(text: str, at: int) -> int:
     depth = 0
-    for m in re.finditer(r"/\*|\*/", text[at:]):
+    for m in _NESTED.finditer(text, at):
         depth += 1 if m[0] == "/*" else -1
         if not depth:
-            return at + m.end()
+            return m.end()
     return len(text)
 
 
@@ -193,11 +201,13 @@ def _comments(text: str, lines: _Lines, spans: list[tuple[int, int]]) -> dict[in
     return found
 
 
+_PAIRS = {pair: re.compile(f"[{re.escape(pair)}]") for pair in ("()", "{}", "<>")}
+
+
 def _matching(code: str, at: int, opener: str, closer: str) -> int:
     """Offset just past the bracket that closes the one at ``at``, or -1."""
     depth = 0
-    pattern = re.compile(f"[{re.escape(opener)}{re.escape(closer)}]")
-    for m in pattern.finditer(code, at):
+    for m in _PAIRS[opener + closer].finditer(code, at):
         depth += 1 if m[0] == opener else -1
         if not depth:
             return m.end()
@@ -235,6 +245,7 @@ _TYPES = {
     "csharp": re.compile(r"(?<![\w.])(?:class|struct|interface|record(?:[ \t]+(?:class|struct))?)[ \t]+(?P<name>\w+)(?P<rest>[^{};]*)\{"),
     "rust": re.compile(r"(?<![\w.])(?:impl|trait)\b(?P<name>[^{};]*)(?P<rest>)\{"),
     "c": re.compile(r"(?<![\w.])(?:class|struct)[ \t]+(?P<name>\w+)(?P<rest>[^{};()=]*)\{"),
+    "go": re.compile(r"^[ \t]*(?:type[ \t]+)?(?P<name>[^\W\d]\w*)(?:\[[^\]\n]*\])?[ \t]+(?P<rest>struct|interface)[ \t]*\{", re.M),
 }
 _TYPES["typescript"] = re.compile(r"(?<![\w$.])(?:class|interface)[ \t]+(?P<name>[A-Za-z_$][\w$]*)(?P<rest>[^{};]*)\{")
 
@@ -245,6 +256,60 @@ class _Type:
     bases: list[str]
     start: int
     end: int
+    methods: list[tuple[str, int]] = field(default_factory=list)  # declared without a body, with their offsets
+
+
+_GO_EMBEDDED = re.compile(r"^[ \t]*\*?(?:\w+\.)?([^\W\d]\w*)(?:\[[^\]\n]*\])?[ \t]*(?:\"[ ]*\")?[ \t]*$", re.M)
+_GO_METHOD = re.compile(r"^[ \t]*([^\W\d]\w*)[ \t]*(?=\()", re.M)
+
+
+_OUTER = re.compile(r"(?:\bnamespace\b[\w:\s]*|\bextern\s*\"[ ]*\"\s*)$")
+
+
+class _Braces:
+    """How deep in curly brackets a place of the code is, and which type holds it."""
+
+    def __init__(self, code: str, types: list[_Type]):
+        self.at: list[int] = []
+        self.depth: list[int] = []
+        level = 0
+        for m in _PAIRS["{}"].finditer(code):
+            level += 1 if m[0] == "{" else -1
+            self.at.append(m.start())
+            self.depth.append(level)
+        self.edges: list[int] = []
+        self.owners: list[_Type | None] = []
+        open_types: list[_Type] = []
+        for place, closes, n in sorted([(t.start, 0, n) for n, t in enumerate(types)] + [(t.end, 1, n) for n, t in enumerate(types)]):
+            if closes:
+                open_types = [t for t in open_types if t is not types[n]]
+            else:
+                open_types.append(types[n])
+            self.edges.append(place)
+            self.owners.append(open_types[-1] if open_types else None)
+
+    def of(self, at: int) -> int:
+        k = bisect_right(self.at, at)
+        return self.depth[k - 1] if k else 0
+
+    def owner(self, at: int) -> _Type | None:
+        k = bisect_right(self.edges, at - 1)
+        return self.owners[k - 1] if k else None
+
+    def outside(self, code: str, at: int) -> bool:
+        """Whether a place stands in no block but those of namespaces and linkage."""
+        depth, k = self.of(at), bisect_right(self.at, at) - 1
+        while depth > 0 and k >= 0:
+            if code[self.at[k]] == "{" and self.depth[k] == depth:
+                if not _OUTER.search(code, max(0, self.at[k] - 200), self.at[k]):
+                    return False
+                depth -= 1
+            k -= 1
+        return True
+
+    def direct(self, at: int, inside: _Type | None) -> bool:
+        """Whether a place stands in the type's body itself, not in a deeper block."""
+        return inside is not None and self.of(at) == self.of(inside.start)
 
 
 def _types(code: str, lang: str) -> list[_Type]:
@@ -254,13 +319,20 @@ def _types(code: str, lang: str) -> list[_Type]:
         end = _matching(code, m.end() - 1, "{", "}")
         name, rest = m["name"], m["rest"]
         bases: list[str] = []
-        if lang == "rust":
+        methods: list[tuple[str, int]] = []
+        if lang == "go":
+            body, stop = m.end(), (end if end > 0 else len(code)) - 1
+            flat = _flat(code[body:stop])
+            bases = [e[1] for e in _GO_EMBEDDED.finditer(flat)]
+            if rest == "interface":
+                methods = [(e[1], body + e.start(1)) for e in _GO_METHOD.finditer(flat)]
+        elif lang == "rust":
             words = re.sub(r"<[^<>]*>|\bwhere\b.*", "", re.sub(r"<[^<>]*>", "", name), flags=re.S)
             trait, _, target = words.partition(" for ")
             name = (target or trait).strip().split("::")[-1].split(":")[0].strip()
             if target:
                 bases = [trait.strip().split("::")[-1]]
-            elif code[m.start() :].startswith("trait"):
+            elif code.startswith("trait", m.start()):
                 name, _, supers = words.strip().partition(":")
                 name, bases = name.strip(), [b.strip().split("::")[-1] for b in supers.split("+") if b.strip()]
         elif lang == "csharp":
@@ -271,51 +343,67 @@ def _types(code: str, lang: str) -> list[_Type]:
         else:
             listed = re.sub(r"<[^<>]*>", "", rest)
             bases = [b.strip().split(".")[-1] for part in re.findall(r"\b(?:extends|implements)\b([^{]*?)(?=\bextends\b|\bimplements\b|$)", listed) for b in part.split(",") if b.strip()]
-        found.append(_Type(name, [re.sub(r"\W+$", "", b) for b in bases], m.end() - 1, end if end > 0 else len(code)))
+        found.append(_Type(name, [re.sub(r"\W+$", "", b) for b in bases], m.end() - 1, end if end > 0 else len(code), methods))
     return found
 
 
+def _flat(body: str) -> str:
+    """A block's code with deeper blocks blanked, lines kept."""
+    out, level, at = [], 0, 0
+    for m in _PAIRS["{}"].finditer(body):
+        out.append(body[at : m.start()] if not level else _KEEP_BREAKS.sub(" ", body[at : m.start()]))
+        level += 1 if m[0] == "{" else -1
+        out.append("~")
+        at = m.end()
+    return "".join([*out, body[at:]])
+
+
+_ACCESS = re.compile(r"^(?:\s*(?:public|private|protected|signals|slots)\s*:(?!:))+\s*")
+_BLANK = re.compile(r"[ \t\n]*")
+_SPACE = re.compile(r"\s*")
+_GO_TAIL = re.compile(r"[^\n{;=]*")
+_GO_TYPE_TAIL = re.compile(r"\b(?:interface|struct)\s*$")
+_RUST_TAIL = re.compile(r"[^{};]*")
+_C_TAIL = re.compile(r"(?:\s|const\b|noexcept\b(?:\s*\([^()]*\))?|override\b|final\b|volatile\b|&&?|__attribute__\s*\(\(.*?\)\)|->\s*[\w:<>*&\s]+|:\s*\w+\s*[({][^{};]*)*")
+_CS_TAIL = re.compile(r"\s*(?::\s*(?:base|this)\s*\([^()]*\)\s*)?(?:where\b[^{};=]*)?")
+_JS_TAIL = re.compile(r"\s*(?::\s*(?:[^{};=()]|\([^()]*\)|=>|\{[^{}]*\}(?=\s*[\[|&{>]))*)?")
+_JS_ARROW = re.compile(r"\s*(?::.*)?=>")
+_JS_BODILESS = re.compile(r"[^\n]*;")
+
+
 def _after_params(code: str, at: int, lang: str) -> tuple[str, int]:
     """What follows the parameter list that opens at or after ``at``: ("body"|"proto"|"expr"|"", offset)."""
     if at < len(code) and code[at] == "<":
         at = _matching(code, at, "<", ">")
-        while 0 <= at < len(code) and code[at] in " \t\n":
-            at += 1
+        if at >= 0:
+            at = _BLANK.match(code, at).end()
     if at < 0 or at >= len(code) or code[at] != "(":
         return "", -1
     end = _matching(code, at, "(", ")")
     if end < 0:
         return "", -1
-    rest = code[end : end + 2000]
     if lang == "go":
-        m = re.match(r"[^\n{;=]*", rest)
-        tail = m.end()
-        while rest[tail : tail + 1] == "{" and re.search(r"\b(?:interface|struct)\s*$", rest[:tail]):
-            close = _matching(rest, tail, "{", "}")
+        tail = _GO_TAIL.match(code, end).end()
+        while code.startswith("{", tail) and _GO_TYPE_TAIL.search(code[end:tail]):
+            close = _matching(code, tail, "{", "}")
             if close < 0:
                 return "", -1
-            tail = close + re.match(r"[^\n{;=]*", rest[close:]).end()
-        return ("body", end + tail) if rest[tail : tail + 1] == "{" else ("proto", end)
+            tail = _GO_TAIL.match(code, close).end()
+        return ("body", tail) if code.startswith("{", tail) else ("proto", end)
     if lang == "rust":
-        m = re.match(r"[^{};]*", rest)
-        nxt = rest[m.end() : m.end() + 1]
-        return ("body", end + m.end()) if nxt == "{" else ("proto", end + m.end())
+        tail = _RUST_TAIL.match(code, end).end()
+        return ("body", tail) if code.startswith("{", tail) else ("proto", tail)
     if lang == "c":
-        m = re.match(r"(?:\s|const\b|noexcept\b(?:\s*\([^()]*\))?|override\b|final\b|volatile\b|&&?|__attribute__\s*\(\(.*?\)\)|->\s*[\w:<>*&\s]+|:\s*\w+\s*[({][^{};]*)*", rest)
-        nxt = rest[m.end() : m.end() + 1]
-        return ("body", end + m.end()) if nxt == "{" else ("proto", end + m.end()) if nxt == ";" else ("", -1)
+        tail = _C_TAIL.match(code, end).end()
+        return ("body", tail) if code.startswith("{", tail) else ("proto", tail) if code.startswith(";", tail) else ("", -1)
     if lang == "csharp":
-        m = re.match(r"\s*(?::\s*(?:base|this)\s*\([^()]*\)\s*)?(?:where\b[^{};=]*)?", rest)
-        nxt = rest[m.end() : m.end() + 2]
-        return ("body", end + m.end()) if nxt[:1] == "{" else ("expr", end + m.end()) if nxt == "=>" else ("proto", end + m.end()) if nxt[:1] == ";" else ("", -1)
-    m = re.match(r"\s*(?::\s*(?:[^{};=()]|\([^()]*\)|=>|\{[^{}]*\}(?=\s*[\[|&{>]))*)?", rest)
-    nxt = rest[m.end() :].lstrip()
-    here = end + len(rest) - len(nxt) if len(rest) == 2000 else end + m.end() + (len(rest[m.end() :]) - len(nxt))
-    if nxt.startswith("=>") or re.match(r"\s*(?::.*)?=>", rest):
-        arrow = code.find("=>", end)
-        after = re.compile(r"\s*").match(code, arrow + 2).end()
-        return ("arrow-body", after) if code[after : after + 1] == "{" else ("arrow", after)
-    return ("body", here) if nxt[:1] == "{" else ("proto", here)
+        tail = _CS_TAIL.match(code, end).end()
+        return ("body", tail) if code.startswith("{", tail) else ("expr", tail) if code.startswith("=>", tail) else ("proto", tail) if code.startswith(";", tail) else ("", -1)
+    here = _SPACE.match(code, _JS_TAIL.match(code, end).end()).end()
+    if code.startswith("=>", here) or _JS_ARROW.match(code, end):
+        after = _SPACE.match(code, code.find("=>", end) + 2).end()
+        return ("arrow-body", after) if code.startswith("{", after) else ("arrow", after)
+    return ("body", here) if code.startswith("{", here) else ("proto", here)
 
 
 def _scan_braces(text: str, lang: str) -> tuple[list[Definition], dict[int, Comment], _Lines]:
@@ -325,10 +413,14 @@ def _scan_braces(text: str, lang: str) -> tuple[list[Definition], dict[int, Comm
     types = _types(code, lang)
     found: list[Definition] = []
     seen: set[int] = set()
-
-    def owner_of(at: int) -> _Type | None:
-        inner = [t for t in types if t.start < at < t.end]
-        return max(inner, key=lambda t: t.start) if inner else None
+    braces = _Braces(code, types)
+    owner_of = braces.owner
+    for t in types:
+        row = lines.of(t.start)
+        found.append(Definition("", t.name, "type", row, row, lines.of(t.end - 1), False, bases=t.bases))
+        for name, place in t.methods:
+            row = lines.of(place)
+            found.append(Definition(name, t.name, "method", row, row, row, False))
 
     def add(name: str, at: int, head: int, what: str, body: int, owner: str = "", bases: list[str] | None = None) -> None:
         if at in seen:
@@ -356,13 +448,11 @@ def _scan_braces(text: str, lang: str) -> tuple[list[Definition], dict[int, Comm
                 groups = m.groupdict()
                 if "method" in groups and (what := _after_params(code, m.end(), lang))[0] != "body":
                     inside = owner_of(at)
-                    direct = inside and code.count("{", inside.start + 1, at) == code.count("}", inside.start + 1, at)
-                    if not (direct and what[0] == "proto" and re.match(r"[^\n]*;", code[m.end() :])):
+                    if not (braces.direct(at, inside) and what[0] == "proto" and _JS_BODILESS.match(code, m.end())):
                         continue
                 elif "method" not in groups:
                     if groups.get("arrow") is not None and groups["arrow"]:
-                        arrow = code.find("=>", m.end())
-                        after = re.compile(r"\s*").match(code, arrow + 2).end()
+                        after = _SPACE.match(code, code.find("=>", m.end()) + 2).end()
                         what = ("arrow-body", after) if code[after : after + 1] == "{" else ("arrow", after)
                     else:
                         what = _after_params(code, m.end(), lang)
@@ -370,10 +460,10 @@ def _scan_braces(text: str, lang: str) -> tuple[list[Definition], dict[int, Comm
                             continue
                     if not what[0] or what[0] == "proto":
                         continue
-                head = re.search(r"[^\n;{}]*\Z", code[: m.start("name")])
-                start = m.start("name") - len(head[0].lstrip()) if head else m.start("name")
+                start = max(code.rfind(c, 0, at) for c in "\n;{}") + 1
+                start = min(at, _BLANK.match(code, start).end())
                 inside = owner_of(at)
-                method = inside and code.count("{", inside.start + 1, at) == code.count("}", inside.start + 1, at)
+                method = braces.direct(at, inside)
                 add(name.split(".")[-1].lstrip("#"), at + len(name) - len(name.split(".")[-1]), start, what[0], what[1], inside.name if method else "", inside.bases if method else None)
         return found, comments, lines
     for m in _FUNCTIONS[lang].finditer(code):
@@ -382,7 +472,7 @@ def _scan_braces(text: str, lang: str) -> tuple[list[Definition], dict[int, Comm
             continue
         begin = m.end()
         if lang == "rust":
-            begin = re.compile(r"[ \t\n]*").match(code, begin).end()
+            begin = _BLANK.match(code, begin).end()
         what, body = _after_params(code, begin, lang)
         if not what:
             continue
@@ -398,19 +488,26 @@ def _scan_braces(text: str, lang: str) -> tuple[list[Definition], dict[int, Comm
             before = code[head:at]
             if lang == "csharp":
                 before = re.sub(r"^(?:\s*\[[^\[\]]*\])+\s*", "", before)
-            if not re.search(r"\w", before) and not (inside and name.lstrip("~") == inside.name):
+            parts = name.split("::")
+            if lang == "c":
+                before = _ACCESS.sub("", before)
+                if ")" in before and before.rstrip().endswith((":", ",")):
+                    continue  # a member's initialiser
+            made = inside and name.lstrip("~") == inside.name or len(parts) > 1 and parts[-1].lstrip("~") == parts[-2]
+            if not re.search(r"\w", before) and not made:
                 continue
             if re.search(r"[=!+/%^|?.\"'-]|\breturn\b|\bnew\b|\bthrow\b|\belse\b|\bawait\b|\bcase\b|\bgoto\b", re.sub(r"->|::", "", before)) and not re.search(r"\boperator\b", before):
                 continue
             if before.count("(") != before.count(")") and "__attribute__" not in before:
                 continue
-            if what == "proto" and lang == "c" and not inside:
+            if what == "proto" and lang == "c" and not inside and not braces.outside(code, at):
                 continue
             if lang == "csharp" and not inside:
                 if what == "proto":
                     continue
-            offset = code.find(before, head) if before else at
-            add(name.split("::")[-1], at, offset if before.strip() else at, what, body, inside.name if inside else "", inside.bases if inside else None)
+            offset = code.rfind(before, head, at) if before else at
+            owner = inside.name if inside else parts[-2] if len(parts) > 1 else ""
+            add(parts[-1], at, offset if before.strip() else at, what, body, owner, inside.bases if inside else None)
     return found, comments, lines
 
 
@@ -514,22 +611,48 @@ def _indent(text: str) -> int:
     return len(text.expandtabs(8))
 
 
+_DENT = re.compile(r"[ \t]*")
+_PY_COLON = re.compile(r"[ \t]*(?:->[^:\n]*(?:\[[^\]]*\][^:\n]*)*)?:")
+_PY_AFTER = re.compile(r"[ \t\n\r;]*")
+
+
+def _block_ends(dents: list[int | None]) -> list[int]:
+    """By line (from 0): the number of lines up to the end of the block that it opens."""
+    ends, waiting = [len(dents)] * len(dents), []
+    for n, dent in enumerate(dents):
+        if dent is None:
+            continue
+        while waiting and dents[waiting[-1]] >= dent:
+            ends[waiting.pop()] = n
+        waiting.append(n)
+    return ends
+
+
+def _end_below(dents: list[int | None], start: int, depth: int) -> int:
+    return next((k for k in range(start, len(dents)) if dents[k] is not None and dents[k] <= depth), len(dents))
+
+
 def _scan_python(text: str) -> list[Definition]:
     code, strings = _py_strings(text)
     lines = _Lines(text)
     rows = code.split("\n")
     classes = [(_indent(m[1]), m[2], [b.split("=")[0].strip().split(".")[-1].split("[")[0] for b in (m[3] or "()")[1:-1].split(",") if b.strip() and "=" not in b], lines.of(m.start(2))) for m in _PY_CLASS.finditer(code)]
-    found = []
+    dents = [_indent(_DENT.match(row)[0]) if row.strip() else None for row in rows]
+    ends = _block_ends(dents)
+    found = [Definition("", name, "type", line, line, ends[line - 1], False, bases=bases) for _, name, bases, line in classes]
+    open_classes: list[tuple] = []
+    waiting = iter(classes)
+    following = next(waiting, None)
     for m in _PY_DEF.finditer(code):
         depth = _indent(m[1])
         end = _matching(code, m.end(), "(", ")")
         if end < 0:
             continue
-        colon = re.compile(r"[ \t]*(?:->[^:\n]*(?:\[[^\]]*\][^:\n]*)*)?:").match(code, end)
+        colon = _PY_COLON.match(code, end)
         if not colon:
             continue
         line = lines.of(m.start(2))
-        after = re.compile(r"[ \t\n\r;]*").match(code, colon.end()).end()
+        after = _PY_AFTER.match(code, colon.end()).end()
         value = strings.get(after)
         last = lines.of(colon.end())
         same_line = lines.of(after) == last
@@ -543,20 +666,14 @@ def _scan_python(text: str) -> list[Definition]:
                     if "r" not in value[1]:
                         doc = doc.replace("\\\n", "").replace('\\"', '"').replace("\\'", "'")
                     doc = doc or " "
-        bottom = len(rows)
-        for k in range(last, len(rows)):
-            if rows[k].strip() and _indent(re.match(r"[ \t]*", rows[k])[0]) <= depth:
-                bottom = k
-                break
+        bottom = ends[line - 1] if last <= line else max(last, _end_below(dents, last, depth))
         while bottom > line and not lines.row(bottom).strip():
             bottom -= 1
-        owner, bases = "", []
-        for c_depth, c_name, c_bases, c_line in reversed(classes):
-            if c_line < line and c_depth < depth:
-                top = [k for k in range(c_line, line - 1) if rows[k].strip() and _indent(re.match(r"[ \t]*", rows[k])[0]) <= c_depth]
-                if not top:
-                    owner, bases = c_name, c_bases
-                break
+        while following and following[3] < line:
+            open_classes = [c for c in open_classes if ends[c[3] - 1] >= following[3]] + [following]
+            following = next(waiting, None)
+        holding = [c for c in open_classes if c[0] < depth and ends[c[3] - 1] >= line]
+        owner, bases = (holding[-1][1], holding[-1][2]) if holding else ("", [])
         found.append(Definition(m[2], owner, "method" if owner else "function", line, line, bottom, True, doc, bases))
     return found
 
@@ -586,6 +703,11 @@ _FILLER = frozenset(
 _INHERIT = re.compile(r"^\s*\{?@?inherit-?docs?\b|<inheritdoc\b|^\s*\(non-javadoc\)|^\s*see (?:base|parent|super)", re.I | re.M)
 
 
+_CREF = re.compile(r"<inheritdoc\b[^<>]*\bcref\s*=\s*\"(?:[A-Z]:)?([\w.]+)", re.I)
+#: The tag itself, where the inherited text goes.
+_INHERIT_TAG = r"(?i)\{@inheritdoc\}|<inheritdoc\b[^<>]*/?>(?:\s*</inheritdoc>)?|@inheritdoc\b"
+
+
 def _words(text: str) -> list[str]:
     parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+", text)
     return [p.lower() for p in parts]
@@ -645,22 +767,32 @@ def scan_file(content: str | None, lang: str | None, file: str | None = None) ->
         return _scan_python(text)
     found, comments, lines = _scan_braces(text, language)
     for d in found:
-        d.doc = _doc_above(d, language, comments, lines)
+        if d.kind != "type":
+            d.doc = _doc_above(d, language, comments, lines)
     return sorted(found, key=lambda d: (d.decl_line, d.name))
 
 
+def _scope(language: str, file: str | None, file_id: int) -> str:
+    """What a type's name is unique in: a file, a directory (Go), a repository (C, C#)."""
+    if language in ("c", "csharp"):
+        return ""
+    path = file or str(file_id)
+    return path.rpartition("/")[0] if language == "go" else path
+
+
 def _scan_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["file_id", "repo", "file", "lang", *(c.split()[0] for c in SCHEMA.split(", "))]
     for batch in batches:
         rows = []
         for file_id, repo, file, lang, content in batch[["file_id", "repo", "file", "lang", "content"]].itertuples(index=False, name=None):
             rows_of = re.sub(r"\r\n?", "\n", (content or "").lstrip("\ufeff")).split("\n")
+            language = language_of(lang, file)
             for d in scan_file(content, lang, file):
-                said = substance(d.doc, d.name)
-                code = "\n".join(rows_of[d.first_line - 1 : d.body_end])
+                said = substance(d.doc, d.name) if d.name else ""
+                code = "\n".join(rows_of[d.first_line - 1 : d.body_end]) if d.has_body else ""
                 doc = re.sub(r"\n{3,}", "\n\n", "\n".join(line.rstrip() for line in d.doc.split("\n"))).strip()
                 rows.append(
-                    (file_id, repo, file, language_of(lang, file), d.name, d.owner, d.kind, d.bases, d.decl_line, d.body_end, d.has_body, doc, doc_params(d.doc), not said, bool(_INHERIT.search(d.doc)), code)
+                    (file_id, repo, file, language, d.name, d.owner, d.kind, d.bases, d.decl_line, d.body_end, d.has_body, doc, doc_params(d.doc), not said, bool(_INHERIT.search(d.doc)), (_CREF.search(d.doc) or [None, None])[1], code, _scope(language, file, file_id))
                 )
         yield pd.DataFrame(rows, columns=columns)
 
@@ -671,47 +803,99 @@ def scan_functions(source_files: DataFrame) -> DataFrame:
     return narrow.mapInPandas(_scan_batches, "file_id bigint, repo string, file string, lang string, " + SCHEMA)
 
 
-def pair_functions(source_files: DataFrame, max_depth: int = 64) -> DataFrame:
+_PAIR_COLUMNS = ("file_id", "repo", "file", "lang", "symbol", "kind", "decl_line", "doc", "params", "code", "doc_origin")
+
+
+def _named(rows: DataFrame, origin: str) -> DataFrame:
+    return rows.withColumns({"symbol": F.concat_ws(".", F.nullif("owner", F.lit("")), "name"), "doc_origin": F.lit(origin)}).select(*_PAIR_COLUMNS)
+
+
+def own_functions(source_files: DataFrame) -> DataFrame:
+    """The functions of :func:`pair_functions` whose documentation stands at themselves; one scan, nothing is joined."""
+    return _named(scan_functions(source_files).where("has_body and not trivial"), "own")
+
+
+def pair_functions(source_files: DataFrame) -> DataFrame:
     """Code and description of every documented function.
 
     Columns: file_id, repo, file, lang, symbol, kind, decl_line, doc, params, code, doc_origin
     (``own`` or ``inherited``). Functions whose documentation is missing or trivial and cannot
-    be inherited are not in the result.
+    be inherited are not in the result; an "inherit" tag beside other text is replaced by
+    what it stands for.
     """
     scanned = materialise(scan_functions(source_files), "functions")
-    own = scanned.where("has_body and not trivial").withColumn("doc_origin", F.lit("own"))
-    resolved = _inherited(scanned, max_depth)
-    symbol = F.concat_ws(".", F.nullif("owner", F.lit("")), "name").alias("symbol")
-    columns = ["file_id", "repo", "file", "lang", symbol, "kind", "decl_line", "doc", "params", "code", "doc_origin"]
-    own = own.select(*columns)
-    return own if resolved is None else own.unionByName(resolved.select(*columns))
-
-
-def _inherited(scanned: DataFrame, max_depth: int) -> DataFrame | None:
-    """Methods that take the documentation of a parent type's method; None if no type has a parent."""
-    edges = scanned.where("size(bases) > 0").select("repo", "lang", F.col("owner").alias("type"), F.explode("bases").alias("base")).distinct()
-    if edges.isEmpty():
+    own = scanned.where("has_body and not trivial")
+    found = _inherited(scanned)
+    if found is None:
+        return _named(own, "own")
+    key = ["repo", "lang", "scope", "owner", "name"]
+    taken = found.withColumnRenamed("type", "owner")
+    tagged = own.where("inherits").join(taken, key, "left")
+    said = F.regexp_replace("doc", F.lit(_INHERIT_TAG), F.regexp_replace(F.col("d.doc"), r"([\\\\$])", r"\\\\$1"))
+    tagged = tagged.withColumn("doc", F.coalesce(said, F.col("doc"))).drop("d")
+    missing = scanned.where("has_body and trivial").drop("doc", "params").join(taken, key)
+    missing = missing.withColumns({"doc": F.col("d.doc"), "params": F.col("d.params")})
+    return _named(own.where("not inherits"), "own").unionByName(_named(tagged, "own")).unionByName(_named(missing, "inherited"))
+
+
+_TYPE = ["repo", "lang", "scope", "type"]
+
+
+def _parents(scanned: DataFrame) -> DataFrame:
+    """(repo, lang, scope, type, p_scope, p_type) of every type and parent whose name means one type."""
+    types = scanned.where("owner <> ''").select("repo", "lang", "scope", F.col("owner").alias("type")).distinct()
+    named = scanned.where("kind = 'type' and size(bases) > 0").select("repo", "lang", "scope", F.col("owner").alias("type"), F.explode("bases").alias("p_type")).where("p_type <> ''").distinct()
+    here = named.join(types.select("repo", "lang", "scope", F.col("type").alias("p_type")), ["repo", "lang", "scope", "p_type"], "left_semi").withColumn("p_scope", F.col("scope"))
+    rest = named.join(here, [*_TYPE, "p_type"], "left_anti")
+    folder = F.regexp_extract("scope", "^(.*)/[^/]*$", 1)
+    only = lambda by: F.when(F.min(by) == F.max(by), F.min(by)).alias("p_scope")
+    near = types.groupBy("repo", "lang", folder.alias("folder"), F.col("type").alias("p_type")).agg(only("scope")).where("p_scope is not null")
+    beside = rest.withColumn("folder", folder).join(near, ["repo", "lang", "folder", "p_type"]).drop("folder")
+    rest = rest.join(beside, [*_TYPE, "p_type"], "left_anti")
+    whole = types.groupBy("repo", "lang", F.col("type").alias("p_type")).agg(only("scope")).where("p_scope is not null")
+    far = rest.join(whole, ["repo", "lang", "p_type"])
+    columns = [*_TYPE, "p_scope", "p_type"]
+    # A Go type has the interfaces of its package whose methods it all has.
+    go = scanned.where("lang = 'go' and kind = 'method' and owner <> ''").select("repo", "lang", "scope", F.col("owner").alias("type"), "name", "has_body").distinct()
+    asked = go.where("not has_body").select("repo", "lang", "scope", F.col("type").alias("p_type"), "name")
+    met = go.where("has_body").select(*_TYPE, "name").join(asked, ["repo", "lang", "scope", "name"]).groupBy(*_TYPE, "p_type").agg(F.count("*").alias("n"))
+    has_all = met.join(asked.groupBy("repo", "lang", "scope", "p_type").agg(F.count("*").alias("n")), ["repo", "lang", "scope", "p_type", "n"]).withColumn("p_scope", F.col("scope"))
+    out = here.select(*columns)
+    for more in (beside, far, has_all):
+        out = out.unionByName(more.select(*columns))
+    return out.where("type <> p_type or scope <> p_scope").distinct()
+
+
+def _inherited(scanned: DataFrame) -> DataFrame | None:
+    """(repo, lang, scope, type, name, d: doc and params) of functions that take documentation from elsewhere; None if none asks for it."""
+    asking = scanned.where("has_body and (trivial or inherits) and (owner <> '' or lang = 'c')")
+    wanted = asking.select("repo", "lang", "scope", F.col("owner").alias("type"), "name").distinct()
+    if wanted.isEmpty():
         return None
     # One documentation per (type, method): copies of a file and repeated declarations fold here.
-    docs = (
-        scanned.where("owner <> '' and not trivial")
-        .groupBy("repo", "lang", F.col("owner").alias("type"), "name")
-        .agg(F.min_by(F.struct("doc", "params"), F.struct("file_id", "decl_line")).alias("d"))
-    )
-    wanted = scanned.where("owner <> '' and trivial").select("repo", "lang", F.col("owner").alias("origin"), F.col("owner").alias("type"), "name").distinct()
-    done = None
-    for _ in range(max_depth):
-        step = wanted.join(edges, ["repo", "lang", "type"]).select("repo", "lang", "origin", F.col("base").alias("type"), "name").where("type <> origin").distinct()
-        step = materialise(step.join(docs, ["repo", "lang", "type", "name"], "left"), "inherit")
-        hit = step.where("d is not null").groupBy("repo", "lang", "origin", "name").agg(F.min_by("d", "type").alias("d"))
-        done = hit if done is None else done.unionByName(hit.join(done, ["repo", "lang", "origin", "name"], "left_anti").select(*hit.columns))
-        wanted = step.where("d is null").drop("d")
-        wanted = wanted.join(hit, ["repo", "lang", "origin", "name"], "left_anti").select("repo", "lang", "origin", "type", "name")
-        if wanted.isEmpty():
-            break
-    missing = scanned.where("has_body and trivial and owner <> ''").withColumnRenamed("owner", "origin").drop("doc", "params")
-    return (
-        missing.join(done, ["repo", "lang", "origin", "name"])
-        .withColumns({"doc": F.col("d.doc"), "params": F.col("d.params"), "doc_origin": F.lit("inherited"), "owner": F.col("origin")})
-        .drop("d", "origin")
-    )
+    told = scanned.where("name <> '' and not trivial and not inherits and (owner <> '' or lang = 'c')")
+    docs = materialise(told.groupBy("repo", "lang", "scope", F.col("owner").alias("type"), "name").agg(F.min_by(F.struct("doc", "params"), F.struct("file_id", "decl_line")).alias("d")), "docs")
+    parents = materialise(_parents(scanned), "parents")
+    origin = ["repo", "lang", "scope", "type", "name"]
+    # What a tag names, then the declaration elsewhere.
+    target = F.split("cref", r"\.")
+    named = asking.where("cref is not null").select("repo", "lang", "scope", F.col("owner").alias("type"), "name", F.element_at(target, -1).alias("t_name"), F.coalesce(F.try_element_at(target, F.lit(-2)), F.col("owner")).alias("t_type")).distinct()
+    of_name = docs.groupBy("repo", "lang", F.col("type").alias("t_type"), F.col("name").alias("t_name")).agg(F.min_by("d", "scope").alias("d"))
+    tagged = named.join(of_name, ["repo", "lang", "t_type", "t_name"]).groupBy(*origin).agg(F.min_by("d", F.struct("t_type", "t_name")).alias("d"))
+    elsewhere = wanted.join(docs, origin).select(*origin, "d")
+    done = tagged.unionByName(elsewhere.join(tagged, origin, "left_anti"))
+    done = materialise(done, "inherit")
+    front = wanted.join(done, origin, "left_anti").select(*origin, F.col("scope").alias("at_scope"), F.col("type").alias("at_type"))
+    seen = front
+    step = parents.select("repo", "lang", F.col("scope").alias("at_scope"), F.col("type").alias("at_type"), "p_scope", "p_type")
+    while True:
+        up = front.join(step, ["repo", "lang", "at_scope", "at_type"]).select(*origin, F.col("p_scope").alias("at_scope"), F.col("p_type").alias("at_type")).distinct()
+        up = up.join(seen, [*origin, "at_scope", "at_type"], "left_anti")  # a circle of parents ends here
+        at = docs.select("repo", "lang", F.col("scope").alias("at_scope"), F.col("type").alias("at_type"), "name", "d")
+        up = materialise(up.join(at, ["repo", "lang", "at_scope", "at_type", "name"], "left"), "inherit")
+        hit = up.where("d is not null").groupBy(*origin).agg(F.min_by("d", F.struct("at_type", "at_scope")).alias("d"))
+        done = done.unionByName(hit)
+        front = up.where("d is null").drop("d").join(hit, origin, "left_anti").select(*origin, "at_scope", "at_type")
+        if front.isEmpty():
+            return done
+        seen = seen.unionByName(up.select(*seen.columns))

@@ -12,11 +12,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = codedocs.pair_functions(_read(spark, sf_dir, "source_files"))
-    return pairs.where("doc_origin = 'own'").select("file_id", "decl_line").distinct()
+    return codedocs.own_functions(_read(spark, sf_dir, "source_files")).select("file_id", "decl_line").distinct()
 
 
-def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codedocs.pair_functions(_read(spark, sf_dir, "source_files"))
 
 
@@ -91,8 +90,8 @@ def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_method": p1_method,
     "p1_found": p1_found,
-    "p1_pairs": p1_pairs,
     "p2_method": p2_method,
     "p2_found": p2_found,
     "p2_clean": p2_clean,

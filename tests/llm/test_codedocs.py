@@ -1,5 +1,7 @@
 """Functions and their documentation."""
 
+import time
+
 import pytest
 
 from claimlake.llm import codedocs as C
@@ -196,3 +198,78 @@ def test_nulls_copies_and_empty(spark):
 def test_long_file():
     body = "\n\n".join(f"// Step{n} moves item {n} along.\nfunc F{n}() {{}}" for n in range(3000))
     assert len(documented("package x\n\n" + body, "go")) == 3000
+
+
+def test_large_bundle_is_scanned_in_one_pass():
+    one_line = "".join(f"function f{n}(a){{return a+{n};}}" for n in range(30_000))
+    lines = "class A {\n" + "\n".join(f"  /** Moves item {n} along. */\n  m{n}(a) {{ return {{ b: a }}; }}" for n in range(8_000)) + "\n}\n"
+    python = "class A:\n" + "\n".join(f"    def m{n}(self):\n        return {n}" for n in range(20_000))
+    began = time.perf_counter()
+    assert len([d for d in C.scan_file(one_line, "js") if d.has_body]) == 30_000
+    assert len(documented(lines, "js")) == 8_000
+    assert {d.owner for d in C.scan_file(python, "py")} == {"A"}
+    assert time.perf_counter() - began < 12
+
+
+def test_long_signatures():
+    many = ",\n".join(f"    argument{n}: &'static Table{n}" for n in range(200))
+    where = ",\n".join(f"    T{n}: Clone" for n in range(400))
+    assert len(where) > 3_000
+    assert documented(f"/// Folds every table into one.\npub fn fold(\n{many}\n) -> Result<(), Error>\nwhere\n{where}\n{{\n}}\n", "rust") == {("fold", 2)}
+    inits = ",\n".join(f"  member_{n}(other.member_{n})" for n in range(200))
+    assert documented(f"// Copies all members of the other one.\nWide::Wide(const Wide& other)\n : base(other),\n{inits} {{\n}}\n", "c") == {("Wide", 2)}
+
+
+def inherited(spark, *files):
+    rows = C.pair_functions(frame(spark, *[(n, "r", file, None, text, None, None) for n, (file, text) in enumerate(files)])).collect()
+    return {(r.file, r.symbol): (r.doc, r.doc_origin) for r in rows}
+
+
+def test_a_chain_of_seventy_and_a_circle(spark):
+    chain = "class C0:\n    def go(self):\n        \"\"\"Goes on to the next station.\"\"\"\n\n" + "\n".join(f"class C{n}(C{n - 1}):\n    {'def go(self): pass' if n == 70 else 'x = 1'}\n" for n in range(1, 71))
+    circle = "class A(B):\n    def go(self): pass\n\nclass B(A):\n    def go(self): pass\n"
+    got = inherited(spark, ("a.py", chain), ("b.py", circle))
+    assert got["a.py", "C70.go"] == ("Goes on to the next station.", "inherited") and not [k for k in got if k[0] == "b.py"]
+
+
+def test_types_of_one_name_in_two_files(spark):
+    base = "class Base:\n    def run(self):\n        \"\"\"Runs {} at night.\"\"\"\n\nclass Child(Base):\n    def run(self): pass\n"
+    got = inherited(spark, ("x/a.py", base.format("mail")), ("y/b.py", base.format("pumps")), ("z/c.py", "class Other(Base):\n    def run(self): pass\n"), ("y/d.py", "class Near(Base):\n    def run(self): pass\n"))
+    assert got["x/a.py", "Child.run"][0] == "Runs mail at night." and got["y/b.py", "Child.run"][0] == "Runs pumps at night."
+    assert got["y/d.py", "Near.run"][0] == "Runs pumps at night." and ("z/c.py", "Other.run") not in got
+
+
+def test_go_embedding_and_interfaces(spark):
+    types = "package p\n\ntype Base struct{}\n\n// Close gives the lock back.\nfunc (b *Base) Close() {}\n\ntype Outer struct {\n\tname string\n\t*Base\n}\n\ntype Walker interface {\n\t// Walk visits every node once.\n\tWalk(n int) error\n\tStop()\n}\n"
+    methods = "package p\n\nfunc (o *Outer) Close() {}\n\ntype Tree struct{ n int }\n\nfunc (t Tree) Walk(n int) error { return nil }\nfunc (t Tree) Stop() {}\n\ntype Half struct{}\n\nfunc (h Half) Walk(n int) error { return nil }\n"
+    got = inherited(spark, ("p/a.go", types), ("p/b.go", methods), ("q/b.go", methods))
+    assert got["p/b.go", "Outer.Close"][0] == "Close gives the lock back." and got["p/b.go", "Tree.Walk"][0] == "Walk visits every node once."
+    assert ("p/b.go", "Half.Walk") not in got and not [k for k in got if k[0] == "q/b.go"]
+
+
+def test_prototypes_in_headers(spark):
+    header = "namespace n {\n/** Opens the device and waits for it. */\nint open_dev(const char *p);\nclass Pump {\n public:\n  // Starts the motor slowly at first.\n  void start(int speed);\n};\n}\n"
+    source = "int open_dev(const char *p) { return go(p); }\nvoid Pump::start(int speed) { run(speed); }\n"
+    got = inherited(spark, ("n.h", header), ("n.cpp", source))
+    assert got["n.cpp", "open_dev"] == ("Opens the device and waits for it.", "inherited") and got["n.cpp", "Pump.start"] == ("Starts the motor slowly at first.", "inherited")
+    assert ("n.h", "open_dev") not in got
+
+
+def test_tags_are_followed(spark):
+    text = '''class Base {
+  /// <summary>Empties the tank by half.</summary>
+  public virtual void Drain() { }
+}
+class Child : Base {
+  /// <inheritdoc/>
+  /// Also rings the bell twice.
+  public override void Drain() { }
+}
+class Far {
+  /// <inheritdoc cref="Base.Drain"/>
+  public void Flush() { }
+}
+'''
+    got = inherited(spark, ("a.cs", text))
+    assert "Empties the tank by half." in got["a.cs", "Child.Drain"][0] and "rings the bell" in got["a.cs", "Child.Drain"][0]
+    assert "Empties the tank" in got["a.cs", "Far.Flush"][0] and got["a.cs", "Far.Flush"][1] == "inherited"
