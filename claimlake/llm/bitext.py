@@ -1,8 +1,11 @@
 """Sentences of a page and of its translation paired up by optimal transport.
 
-A bilingual lexicon is learned from all pages (sentences near each other, and
+Every sentence is split into words once; from then on words are 64-bit hashes. A
+bilingual lexicon is learned from all pages (sentences near each other, and
 sentences that share code or numbers, count how often their words meet; a second
-round counts the sentences the first one linked). It turns a source sentence into
+round counts the sentences the first one linked). It stays a table: each page is
+joined with the entries of its own words, so neither the driver nor a task ever
+holds the lexicon, and no entry is left out. It turns a source sentence into
 a sparse vector over the words of the other language, which is compared with the
 vectors of the translation's sentences. Per page an entropic transport plan
 between the two sides is found by Sinkhorn scaling; each side has a null mass, so
@@ -27,11 +30,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,71 +73,97 @@ def words(text: str) -> list[str]:
     return out
 
 
-def language(tag: str | None, texts: list[str]) -> str:
-    """Two letters of the translation's language; the text decides where the tag says nothing."""
+#: Kinds of words, in the lowest bits of their hash; long ones name one sentence.
+WORD, NUMBER, LONG_NUMBER, LONGER_NUMBER, CODE, LONG_CODE = range(6)
+_KIND = 7
+
+
+def hashed(ws: list[str]) -> list[int]:
+    """Words as signed 64-bit hashes with their kind in the lowest bits."""
+    out = []
+    for w in ws:
+        kind = WORD
+        if w[0] == "`":
+            kind = LONG_CODE if len(w) > 3 else CODE
+        elif w[0] == "#":
+            kind = LONGER_NUMBER if len(w) > 4 else LONG_NUMBER if len(w) > 3 else NUMBER
+        h = xxhash.xxh3_64_intdigest(w)
+        out.append(((h & ~_KIND) | kind) - (1 << 63))
+    return out
+
+
+def _evidence(text: str, ws: list[str]) -> list[int]:
+    """What a sentence says about its language: characters, CJK runs, frequent words of each known language."""
+    return [len(text), len(_CJK.findall(text)), *(sum(w in stop for w in ws) for stop in _STOPWORDS.values())]
+
+
+def language(tag: str | None, evidence: list[int]) -> str:
+    """Two or three letters of the translation's language; where the tag says nothing, the sum of all its sentences' evidence decides."""
     head = re.match(r"[A-Za-z]{2,3}", tag or "")
     if head:
         return head[0].lower()
-    joined = " ".join(texts[:50]).lower()
-    if len(_CJK.findall(joined)) > 0.02 * len(joined):
+    size, cjk, *stops = evidence
+    if cjk > 0.02 * size:
         return "zh"
-    seen = Counter(_LETTERS.findall(joined))
-    best = max(_STOPWORDS, key=lambda k: sum(seen[w] for w in _STOPWORDS[k]))
-    return best if any(seen[w] for w in _STOPWORDS[best]) else "und"
+    return max(zip(stops, _STOPWORDS, strict=True), key=lambda x: x[0])[1] if any(stops) else "und"
+
 
+@dataclass
+class Model:
+    """What the lexicon knows of one page's words."""
 
-class Lexicon:
-    """Word associations of one language pair and the words' weights."""
+    #: Per source word its translations and how sure they are.
+    forward: dict[int, list[tuple[int, float]]]
+    source_df: dict[int, int]
+    target_df: dict[int, int]
+    sentences: int
+    #: Words of a source sentence per word of a target sentence.
+    ratio: float
 
-    def __init__(self, entries: list[tuple[str, str, float]], source_df: dict[str, int], target_df: dict[str, int], sentences: int, source_sentences: int = 0):
-        self.forward: dict[str, list[tuple[str, float]]] = defaultdict(list)
-        for a, b, q in entries:
-            self.forward[a].append((b, q))
-        self.n = max(2, sentences)
-        self.source_df, self.target_df = source_df, target_df
-        s_mean, t_mean = sum(source_df.values()) / max(1, source_sentences or sentences), sum(target_df.values()) / max(1, sentences)
-        #: Words of a source sentence per word of a target sentence; means, because windows repeat target sentences.
-        self.ratio = s_mean / t_mean if s_mean and t_mean else 1.0
 
-    def of(self, a: str) -> list[tuple[str, float]]:
-        return [(a, 1.0)] if a[0] in "`#" else self.forward.get(a, [])
+class _Side:
+    """The sentences of one side as an incidence matrix over their distinct words."""
 
-    def weight(self, w: str, df: dict[str, int]) -> float:
+    def __init__(self, sentences: list[np.ndarray]):
+        sizes = [len(x) for x in sentences]
+        flat = np.concatenate(sentences) if sentences else np.zeros(0, np.int64)
+        self.words, at = np.unique(flat.astype(np.int64), return_inverse=True)
+        self.has = np.zeros((len(sentences), len(self.words)))
+        self.has[np.repeat(np.arange(len(sentences)), sizes), at] = 1.0
+        self.sizes = np.array(sizes, float)
+        self.kind = self.words & _KIND
+
+    def weights(self, df: dict[int, int], sentences: int) -> np.ndarray:
         # Code and numbers name one sentence; other words weigh by how rare they are.
-        return 3.0 if w[0] == "`" else 2.0 if w[0] == "#" else min(3.0, max(0.05, math.log(self.n / df.get(w, 1)) / 2))
+        seen = np.array([df.get(w, 1) for w in self.words.tolist()], float)
+        rare = np.clip(np.log(max(2, sentences) / np.maximum(seen, 1)) / 2, 0.05, 3.0)
+        return np.where(self.kind >= CODE, 3.0, np.where(self.kind >= NUMBER, 2.0, rare))
 
 
-def similarity(source: list[list[str]], target: list[list[str]], lexicon: Lexicon) -> np.ndarray:
+def similarity(source: _Side, target: _Side, model: Model) -> np.ndarray:
     """How far the vectors of two sentences cover each other, mostly by the better covered one."""
-    n, m = len(source), len(target)
-    where: dict[str, list[int]] = defaultdict(list)
-    t_total = np.full(m, 1e-9)
-    for j, ws in enumerate(target):
-        for w in set(ws):
-            where[w].append(j)
-            t_total[j] += lexicon.weight(w, lexicon.target_df)
-    result = np.zeros((n, m))
-    for i, ws in enumerate(source):
-        s_total, s_cover, t_cover = 1e-9, np.zeros(m), np.zeros(m)
-        reached: dict[str, float] = {}
-        for a in set(ws):
-            weight = lexicon.weight(a, lexicon.source_df)
-            s_total += weight
-            best = None
-            for b, q in lexicon.of(a):
-                js = where.get(b)
-                if js:
-                    if best is None:
-                        best = np.zeros(m)
-                    best[js] = np.maximum(best[js], q)
-                    reached[b] = max(reached.get(b, 0.0), q)
-            if best is not None:
-                s_cover += weight * best
-        for b, q in reached.items():
-            t_cover[where[b]] += q * lexicon.weight(b, lexicon.target_df)
-        s_part, t_part = s_cover / s_total, t_cover / t_total
-        result[i] = 0.65 * np.maximum(s_part, t_part) + 0.35 * np.minimum(s_part, t_part)
-    return result
+    place = {w: k for k, w in enumerate(target.words.tolist())}
+    found = []
+    for k, (w, kind) in enumerate(zip(source.words.tolist(), source.kind.tolist(), strict=True)):
+        for b, q in [(w, 1.0)] if kind else model.forward.get(w, ()):
+            if b in place:
+                found.append((k, place[b], q))
+    if not found:
+        return np.zeros((len(source.sizes), len(target.sizes)))
+    a, b, q = (np.array(x) for x in zip(*found, strict=True))
+    s_weight, t_weight = source.weights(model.source_df, model.sentences), target.weights(model.target_df, model.sentences)
+    # The best translation of every source word in each target sentence, and the other way round.
+    starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+    best = np.maximum.reduceat(target.has[:, b] * q, starts, axis=1)
+    s_cover = (source.has[:, a[starts]] * s_weight[a[starts]]) @ best.T
+    order = np.argsort(b, kind="stable")
+    a, b, q = a[order], b[order], q[order]
+    starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+    reached = np.maximum.reduceat(source.has[:, a] * q, starts, axis=1)
+    t_cover = reached @ (target.has[:, b[starts]] * t_weight[b[starts]]).T
+    s_part = s_cover / (1e-9 + source.has @ s_weight)[:, None]
+    t_part = t_cover / (1e-9 + target.has @ t_weight)[None, :]
+    return 0.65 * np.maximum(s_part, t_part) + 0.35 * np.minimum(s_part, t_part)
 
 
 def transport(similar: np.ndarray, a: np.ndarray, b: np.ndarray, null_cost: float = 0.29, eps: float = 0.04, rounds: int = 60) -> np.ndarray:
@@ -151,27 +181,42 @@ def transport(similar: np.ndarray, a: np.ndarray, b: np.ndarray, null_cost: floa
     return (u[:, None] * kernel * v)[:n, :m]
 
 
-def align(source: list[str], target: list[str], lexicon: Lexicon, s_at: np.ndarray, t_at: np.ndarray, share: float = 0.3, least: float = 0.34) -> list[tuple[int, int, float]]:
+def align(source: _Side, target: _Side, model: Model, s_at: np.ndarray, t_at: np.ndarray, share: float = 0.3, least: float = 0.34) -> list[tuple[int, int, float]]:
     """(source index, target index, similarity) of the linked sentences. ``s_at``, ``t_at``: places from 0 to 1."""
-    if not source or not target:
+    if not len(source.sizes) or not len(target.sizes):
         return []
-    s_words, t_words = [words(t) for t in source], [words(t) for t in target]
-    similar = similarity(s_words, t_words, lexicon)
+    similar = similarity(source, target, model)
     near = 0.03 * np.exp(-np.abs(s_at[:, None] - t_at[None, :]) * 8)
-    a = np.array([max(1.0, len(w)) for w in s_words], dtype=float)
-    b = np.array([max(1.0, len(w)) for w in t_words], dtype=float)
-    b *= lexicon.ratio
+    a, b = np.maximum(1.0, source.sizes), np.maximum(1.0, target.sizes) * model.ratio
     plan = transport(np.minimum(1.0, similar + near * (similar > 0.2)), a, b)
-    links = []
-    for i, j in zip(*np.nonzero(plan >= share * np.minimum(a[:, None], b[None, :])), strict=True):
-        if similar[i, j] >= least:
-            links.append((int(i), int(j), float(similar[i, j])))
-    return links
+    linked = (plan >= share * np.minimum(a[:, None], b[None, :])) & (similar >= least)
+    return [(int(i), int(j), float(similar[i, j])) for i, j in zip(*np.nonzero(linked), strict=True)]
+
+
+def meetings(source: _Side, target: _Side, s_at: np.ndarray, t_at: np.ndarray) -> np.ndarray:
+    """How likely two sentences belong together before a lexicon is known: by words that name one sentence, else by place."""
+    naming = np.isin(source.kind, (LONG_NUMBER, LONGER_NUMBER, LONG_CODE)) & (source.has.sum(0) == 1)
+    common, s_k, t_k = np.intersect1d(source.words[naming], target.words, return_indices=True)
+    sure = (source.has[:, naming][:, s_k] @ target.has[:, t_k].T > 0).astype(float)
+    near = 0.4 * (np.abs(s_at[:, None] - t_at[None, :]) <= 2.6 / max(1, len(s_at)))
+    return np.where(sure.any(0)[None, :], sure, near)
 
 
 # --- Spark --------------------------------------------------------------------------------------
 
-_UNIT = "pair_id bigint, lang string, s_no array<int>, s_text array<string>, s_at array<double>, t_no array<int>, t_text array<string>, t_at array<double>"
+_SENTENCE = "pair_id bigint, side string, sent_no int, words array<bigint>, evidence array<int>"
+
+
+def _split_sentences(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        split = [words(t) for t in batch["text"]]
+        said = [_evidence(t.lower(), ws) if side == "translation" else [] for t, ws, side in zip(batch["text"], split, batch["side"], strict=True)]
+        yield pd.DataFrame({"pair_id": batch["pair_id"], "side": batch["side"], "sent_no": batch["sent_no"], "words": [hashed(ws) for ws in split], "evidence": said})
+
+
+def _languages(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"pair_id": batch["pair_id"], "lang": [language(tag, list(e)) for tag, e in zip(batch["lang"], batch["e"], strict=True)]})
 
 
 def units(pairs: DataFrame, pair_sentences: DataFrame, window: int = 200) -> DataFrame:
@@ -181,18 +226,21 @@ def units(pairs: DataFrame, pair_sentences: DataFrame, window: int = 200) -> Dat
     """
     one = (
         pair_sentences.where("pair_id is not null and sent_no is not null and side in ('source', 'translation') and trim(text) <> ''")
-        .groupBy("pair_id", "side", "sent_no").agg(F.max("text").alias("text"))
+        .groupBy(F.col("pair_id").cast("bigint").alias("pair_id"), "side", F.col("sent_no").cast("int").alias("sent_no")).agg(F.max("text").alias("text"))
     )
+    one = materialise(one.mapInPandas(_split_sentences, _SENTENCE), "sentences")
     sizes = one.groupBy("pair_id").agg(
         F.count_if(F.col("side") == "source").alias("n_s"),
         F.min(F.when(F.col("side") == "source", F.col("sent_no"))).alias("lo_s"),
         F.max(F.when(F.col("side") == "source", F.col("sent_no"))).alias("hi_s"),
         F.min(F.when(F.col("side") == "translation", F.col("sent_no"))).alias("lo_t"),
         F.max(F.when(F.col("side") == "translation", F.col("sent_no"))).alias("hi_t"),
+        F.array(*[F.coalesce(F.sum(F.get("evidence", F.lit(k))), F.lit(0)) for k in range(2 + len(_STOPWORDS))]).alias("e"),
     ).where("lo_s is not null and lo_t is not null")
     known = pairs.where("pair_id is not null").groupBy("pair_id").agg(F.max("lang").alias("lang"))
     sizes = sizes.join(known, "pair_id")
-    placed = one.join(sizes, "pair_id")
+    sizes = sizes.drop("e", "lang").join(sizes.select("pair_id", "lang", "e").mapInPandas(_languages, "pair_id bigint, lang string"), "pair_id")
+    placed = one.drop("evidence").join(sizes, "pair_id")
     source = F.col("side") == "source"
     low, high = F.when(source, F.col("lo_s")).otherwise(F.col("lo_t")), F.when(source, F.col("hi_s")).otherwise(F.col("hi_t"))
     at = (F.col("sent_no") - low + 0.5) / (high - low + 1)
@@ -202,111 +250,137 @@ def units(pairs: DataFrame, pair_sentences: DataFrame, window: int = 200) -> Dat
     first = F.greatest(F.lit(0), F.floor(F.col("at") * F.col("parts") - 0.5).cast("int"))
     last = F.least(F.col("parts") - 1, F.floor(F.col("at") * F.col("parts") + 0.5).cast("int"))
     cut = placed.withColumn("part", F.explode(F.when(source, F.array(home)).otherwise(F.sequence(first, last))))
-    row = F.struct("sent_no", "text", "at")
-    grouped = cut.groupBy("pair_id", "lang", "part").agg(
+    row = F.struct("sent_no", "words", "at")
+    grouped = cut.groupBy("pair_id", "lang", F.col("part").cast("bigint").alias("part")).agg(
         F.sort_array(F.collect_list(F.when(source, row))).alias("s"), F.sort_array(F.collect_list(F.when(~source, row))).alias("t")
     )
     pick = lambda side, name: F.transform(F.col(side), lambda x: x[name]).alias(f"{side}_{ {'sent_no': 'no'}.get(name, name) }")
-    return grouped.select("pair_id", "lang", *[pick(side, name) for side in "st" for name in ("sent_no", "text", "at")])
-
-
-def _meetings(s_text: list[str], t_text: list[str], s_at: np.ndarray, t_at: np.ndarray) -> list[tuple[list[str], list[str], float]]:
-    """Sentence pairs that may belong together, before a lexicon is known."""
-    s_words, t_words = [words(t) for t in s_text], [words(t) for t in t_text]
-    anchors: dict[str, list[int]] = defaultdict(list)
-    for i, ws in enumerate(s_words):
-        for w in set(ws):
-            if w[0] in "`#" and len(w) > 3:
-                anchors[w].append(i)
-    met = []
-    step = 1.0 / max(1, len(s_text))
-    for j, ws in enumerate(t_words):
-        sure = {i for w in set(ws) for i in (anchors.get(w, ()) if len(anchors.get(w, ())) == 1 else ())}
-        if sure:
-            met += [(s_words[i], ws, 1.0) for i in sure]
-            continue
-        near = np.nonzero(np.abs(s_at - t_at[j]) <= 2.6 * step)[0]
-        met += [(s_words[i], ws, 0.4) for i in near]
-    return met
-
-
-def _counter(lexicons: dict[str, Lexicon] | None) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    return grouped.select("pair_id", "lang", "part", *[pick(side, name) for side in "st" for name in ("sent_no", "words", "at")])
+
+
+def _sides(r) -> tuple[_Side, _Side, np.ndarray, np.ndarray]:
+    return _Side(list(r.s_words)), _Side(list(r.t_words)), np.asarray(r.s_at, float), np.asarray(r.t_at, float)
+
+
+def _model(r) -> Model:
+    rows = r.model if r.model is not None else ()
+    forward = {m["w"]: [(x["b"], x["q"]) for x in m["to"]] for m in rows if m["side"] == "s" and m["to"] is not None and len(m["to"])}
+    return Model(forward, {m["w"]: m["n"] for m in rows if m["side"] == "s"}, {m["w"]: m["n"] for m in rows if m["side"] == "t"}, int(r.sentences), float(r.ratio))
+
+
+class _Counts:
+    """Sums of (language, kind, a, b), folded whenever enough of them are waiting."""
+
+    def __init__(self, room: int = 2_000_000):
+        self.room, self.held, self.parts = room, 0, []
+
+    def add(self, lang: str, kind: str, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        if len(n):
+            self.parts.append(pd.DataFrame({"lang": lang, "kind": kind, "a": a, "b": b, "n": n}))
+            self.held += len(n)
+
+    def full(self) -> bool:
+        return self.held >= self.room
+
+    def take(self) -> pd.DataFrame:
+        parts, self.parts, self.held = self.parts, [], 0
+        out = []
+        for (lang, kind), rows in _by_language(parts):
+            a, a_at = np.unique(rows["a"].to_numpy(), return_inverse=True)
+            b, b_at = np.unique(rows["b"].to_numpy(), return_inverse=True)
+            pair, at = np.unique(a_at.astype(np.int64) * len(b) + b_at, return_inverse=True)
+            out.append(pd.DataFrame({"lang": lang, "kind": kind, "a": a[pair // len(b)], "b": b[pair % len(b)], "n": np.bincount(at, rows["n"].to_numpy())}))
+        return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=str), "kind": pd.Series(dtype=str), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n": pd.Series(dtype=float)})
+
+
+def _by_language(parts: list[pd.DataFrame]) -> Iterator[tuple[tuple[str, str], pd.DataFrame]]:
+    groups: dict[tuple[str, str], list[pd.DataFrame]] = {}
+    for p in parts:
+        groups.setdefault((p["lang"].iat[0], p["kind"].iat[0]), []).append(p)
+    for key, held in groups.items():
+        yield key, pd.concat(held)
+
+
+def _counter(trained: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = _Counts()
+        none = np.zeros(1, np.int64)
         for batch in batches:
-            both: Counter = Counter()
-            one: Counter = Counter()
             for r in batch.itertuples(index=False):
-                lang = language(r.lang, list(r.t_text))
-                s_text, t_text = list(r.s_text), list(r.t_text)
-                s_at, t_at = np.asarray(r.s_at, float), np.asarray(r.t_at, float)
-                if lexicons is None:
-                    met = _meetings(s_text, t_text, s_at, t_at)
+                source, target, s_at, t_at = _sides(r)
+                if not len(s_at) or not len(t_at):
+                    continue
+                if trained:
+                    met = np.zeros((len(s_at), len(t_at)))
+                    for i, j, q in align(source, target, _model(r), s_at, t_at):
+                        met[i, j] = q
                 else:
-                    links = align(s_text, t_text, lexicons[lang], s_at, t_at) if lang in lexicons else []
-                    met = [(words(s_text[i]), words(t_text[j]), q) for i, j, q in links]
-                for a_words, b_words, weight in met:
-                    a_set, b_set = {w for w in a_words if w[0] not in "`#"}, {w for w in b_words if w[0] not in "`#"}
-                    for a in a_set:
-                        one[lang, "s", a, ""] += weight
-                        for b in b_set:
-                            both[lang, "b", a, b] += weight
-                    for b in b_set:
-                        one[lang, "t", "", b] += weight
-                    one[lang, "n", "", ""] += weight
-                for side, texts in (("S", s_text), ("T", t_text)):
-                    for t in texts:
-                        one[lang, side + "n", "", ""] += 1
-                        for w in set(words(t)):
-                            if w[0] not in "`#":
-                                one[lang, side, w, ""] += 1
-            both.update(one)
-            rows = [(*k, float(v)) for k, v in both.items()]
-            yield pd.DataFrame(rows, columns=["lang", "kind", "a", "b", "n"])
+                    met = meetings(source, target, s_at, t_at)
+                plain_s, plain_t = source.kind == WORD, target.kind == WORD
+                s_has, t_has = source.has[:, plain_s], target.has[:, plain_t]
+                s_words, t_words = source.words[plain_s], target.words[plain_t]
+                both = s_has.T @ met @ t_has
+                i, j = np.nonzero(both)
+                counts.add(r.lang, "b", s_words[i], t_words[j], both[i, j])
+                zero_s, zero_t = np.zeros(len(s_words), np.int64), np.zeros(len(t_words), np.int64)
+                counts.add(r.lang, "s", s_words, zero_s, s_has.T @ met.sum(1))
+                counts.add(r.lang, "t", zero_t, t_words, t_has.T @ met.sum(0))
+                counts.add(r.lang, "S", s_words, zero_s, s_has.sum(0))
+                counts.add(r.lang, "T", t_words, zero_t, t_has.sum(0))
+                counts.add(r.lang, "N", none, none, np.array([float(len(s_at))]))
+                counts.add(r.lang, "n", none, none, np.array([float(len(t_at))]))
+                if counts.full():
+                    yield counts.take()
+        yield counts.take()
 
     return count
 
 
-def learn_lexicons(page_units: DataFrame, lexicons: dict[str, Lexicon] | None = None, max_entries: int = 1_000_000, fan_out: int = 6) -> dict[str, Lexicon]:
-    """Association of words from all pages, as Dice coefficients of weighted meetings.
+def learn_lexicon(page_units: DataFrame, trained: bool, fan_out: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Association of words from all pages, as Dice coefficients of weighted meetings: two tables.
 
-    Counting is a partial aggregation over all sentences. The model that reaches the driver is
-    bounded by ``max_entries`` associations (the most frequent ones) and as many words.
+    ``entries`` (lang, side, w, n, to): every word with the sentences it stands in and its best ``fan_out``
+    translations; ``languages`` (lang, sentences, ratio). Counting is a partial aggregation over all sentences.
     """
-    counts = page_units.mapInPandas(_counter(lexicons), "lang string, kind string, a string, b string, n double")
+    counts = page_units.mapInPandas(_counter(trained), "lang string, kind string, a bigint, b bigint, n double")
     counts = materialise(counts.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")), "lexicon")
     s = counts.where("kind = 's'").select("lang", "a", F.col("n").alias("n_a"))
     t = counts.where("kind = 't'").select("lang", "b", F.col("n").alias("n_b"))
-    met = counts.where("kind = 'b'").select("lang", "a", "b", "n").join(s, ["lang", "a"]).join(t, ["lang", "b"])
-    scored = met.withColumn("dice", 2 * F.col("n") / (F.col("n_a") + F.col("n_b"))).where("dice >= 0.05 and n >= 1.2")  # one meeting proves nothing
-    of_a, of_b = Window.partitionBy("lang", "a"), Window.partitionBy("lang", "b")
-    scored = scored.withColumns({"top_a": F.max("dice").over(of_a), "top_b": F.max("dice").over(of_b)})
+    met = counts.where("kind = 'b' and n >= 1.2").select("lang", "a", "b", "n").join(s, ["lang", "a"]).join(t, ["lang", "b"])  # one meeting proves nothing
+    scored = met.withColumn("dice", 2 * F.col("n") / (F.col("n_a") + F.col("n_b"))).where("dice >= 0.05")
+    top_a, top_b = (scored.groupBy("lang", c).agg(F.max("dice").alias(f"top_{c}")) for c in "ab")
+    scored = scored.join(top_a, ["lang", "a"]).join(top_b, ["lang", "b"])
     scored = scored.withColumn("q", F.sqrt(F.col("dice") / F.col("top_a") * F.col("dice") / F.col("top_b"))).where("q >= 0.35")
-    scored = scored.withColumn("rank", F.row_number().over(of_a.orderBy(F.desc("q"), "b"))).where(F.col("rank") <= fan_out)
-    entries = scored.orderBy(F.desc("n"), "lang", "a", "b").limit(max_entries).select("lang", "a", "b", "q").collect()
-    frequent = counts.where("kind in ('S', 'T')").orderBy(F.desc("n"), "lang", "kind", "a").limit(max_entries).select("lang", "kind", "a", "n").collect()
-    totals = {r["lang"]: int(r["n"]) for r in counts.where("kind = 'Tn'").collect()}
-    sources = {r["lang"]: int(r["n"]) for r in counts.where("kind = 'Sn'").collect()}
-    out = {}
-    for lang, n in totals.items():
-        s_df = {r["a"]: int(r["n"]) for r in frequent if r["lang"] == lang and r["kind"] == "S"}
-        t_df = {r["a"]: int(r["n"]) for r in frequent if r["lang"] == lang and r["kind"] == "T"}
-        out[lang] = Lexicon([(r["a"], r["b"], r["q"]) for r in entries if r["lang"] == lang], s_df, t_df, n, sources.get(lang, 0))
-    return out
-
-
-def _aligner(lexicons: dict[str, Lexicon]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    empty = Lexicon([], {}, {}, 2)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                lexicon = lexicons.get(language(r.lang, list(r.t_text)), empty)
-                links = align(list(r.s_text), list(r.t_text), lexicon, np.asarray(r.s_at, float), np.asarray(r.t_at, float))
-                rows += [(r.pair_id, int(r.s_no[i]), int(r.t_no[j]), q) for i, j, q in links]
-            yield pd.DataFrame(rows, columns=["pair_id", "source_no", "translation_no", "similarity"])
-
-    return run
+    rank = F.row_number().over(Window.partitionBy("lang", "a").orderBy(F.desc("q"), "b"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= fan_out).groupBy("lang", F.col("a").alias("w")).agg(F.collect_list(F.struct("b", "q")).alias("to"))
+    sides = counts.where("kind in ('S', 'T')").select("lang", F.lower("kind").alias("side"), F.col("a").alias("w"), F.col("n").cast("bigint").alias("n"))
+    entries = sides.join(best.withColumn("side", F.lit("s")), ["lang", "side", "w"], "left")
+    total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")))
+    means = counts.where("kind in ('S', 'T', 'N', 'n')").groupBy("lang").agg(total("n").alias("sentences"), (total("S") / total("N")).alias("s_mean"), (total("T") / total("n")).alias("t_mean"))
+    # Means, because windows repeat target sentences.
+    ratio = F.coalesce(F.when((F.col("s_mean") > 0) & (F.col("t_mean") > 0), F.col("s_mean") / F.col("t_mean")), F.lit(1.0))
+    return materialise(entries, "entries"), means.select("lang", F.col("sentences").cast("bigint").alias("sentences"), ratio.alias("ratio"))
+
+
+def with_model(page_units: DataFrame, lexicon: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Units with the lexicon's entries of their own words, spread evenly over the tasks."""
+    entries, languages = lexicon
+    distinct = lambda c, side: F.transform(F.array_distinct(F.flatten(c)), lambda w: F.struct(F.lit(side).alias("side"), w.alias("w")))
+    used = page_units.select("pair_id", "part", "lang", F.explode(F.concat(distinct("s_words", "s"), distinct("t_words", "t"))).alias("x")).select("pair_id", "part", "lang", "x.*")
+    known = used.join(entries.hint("merge"), ["lang", "side", "w"]).groupBy("pair_id", "part").agg(F.collect_list(F.struct("side", "w", "n", "to")).alias("model"))
+    out = page_units.join(known.hint("merge"), ["pair_id", "part"], "left").join(languages, "lang", "left").na.fill({"sentences": 2, "ratio": 1.0})
+    spark = page_units.sparkSession
+    # A stated number of partitions is kept: adaptive execution would pack the windows of long pages into one task.
+    return out.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "pair_id", "part")
+
+
+def _align_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for r in batch.itertuples(index=False):
+            source, target, s_at, t_at = _sides(r)
+            rows += [(r.pair_id, int(r.s_no[i]), int(r.t_no[j]), q) for i, j, q in align(source, target, _model(r), s_at, t_at)]
+        yield pd.DataFrame(rows, columns=["pair_id", "source_no", "translation_no", "similarity"])
 
 
 _LINKS = "pair_id bigint, source_no int, translation_no int, similarity double"
@@ -315,47 +389,48 @@ _LINKS = "pair_id bigint, source_no int, translation_no int, similarity double"
 def align_pairs(pairs: DataFrame, pair_sentences: DataFrame, window: int = 200, rounds: int = 2) -> DataFrame:
     """(pair_id, source_no, translation_no, similarity) of all linked sentences."""
     pages = materialise(units(pairs, pair_sentences, window), "bitext")
-    lexicons = None
-    for _ in range(rounds):
-        lexicons = learn_lexicons(pages, lexicons)
-    links = materialise(pages.mapInPandas(_aligner(lexicons or {}), _LINKS), "links").groupBy("pair_id", "source_no", "translation_no").agg(F.max("similarity").alias("similarity"))
-    links = materialise(links.unionByName(_far_moves(pages, links, window)), "far")
-    rest = _rest_blocks(pages, links, window).mapInPandas(_aligner(lexicons or {}), _LINKS)
+    lexicon = learn_lexicon(pages, False)
+    for _ in range(rounds - 1):
+        lexicon = learn_lexicon(with_model(pages, lexicon), True)
+    links = with_model(pages, lexicon).mapInPandas(_align_batches, _LINKS)
+    links = materialise(links, "links").groupBy("pair_id", "source_no", "translation_no").agg(F.max("similarity").alias("similarity"))
+    several = pages.groupBy("pair_id").count().where("count > 1").select("pair_id")
+    if several.isEmpty():  # every page was one window: nothing lies outside it
+        return links
+    cut = materialise(pages.join(several, "pair_id", "left_semi"), "long")
+    links = materialise(links.unionByName(_far_moves(cut, links)), "far")
+    rest = with_model(materialise(_rest_blocks(cut, links, window), "rest"), lexicon).mapInPandas(_align_batches, _LINKS)
     # A sentence may be in several blocks' links; those about as good as its best one stay.
     top_s, top_t = (F.max("similarity").over(Window.partitionBy("pair_id", number)) for number in ("source_no", "translation_no"))
     rest = rest.withColumns({"top_s": top_s, "top_t": top_t}).where("similarity >= 0.8 * greatest(top_s, top_t)")
     return links.unionByName(rest.drop("top_s", "top_t"))
 
 
+def _sentences_of(pages: DataFrame, side: str, number: str) -> DataFrame:
+    rows = pages.select("pair_id", "lang", F.explode(F.arrays_zip(F.col(f"{side}_no"), F.col(f"{side}_words"))).alias("x"))
+    return rows.select("pair_id", "lang", F.col("x")[f"{side}_no"].alias(number), F.col("x")[f"{side}_words"].alias("words")).dropDuplicates(["pair_id", number])
+
+
 def _rest_blocks(pages: DataFrame, links: DataFrame, window: int) -> DataFrame:
     """Units of the sentences without a link on pages with several windows: every block of one side with every block of the other."""
-    long_pages = pages.groupBy("pair_id").count().where("count > 1").select("pair_id")
-    cut = pages.join(long_pages, "pair_id", "left_semi")
 
     def blocks(side: str, number: str) -> DataFrame:
-        rows = cut.select("pair_id", "lang", F.explode(F.arrays_zip(F.col(f"{side}_no"), F.col(f"{side}_text"))).alias("x"))
-        rows = rows.select("pair_id", "lang", F.col("x")[f"{side}_no"].alias(number), F.col("x")[f"{side}_text"].alias("text")).distinct()
-        free = rows.join(links.select("pair_id", number).distinct(), ["pair_id", number], "left_anti")
+        free = _sentences_of(pages, side, number).join(links.select("pair_id", number).distinct(), ["pair_id", number], "left_anti")
         place = F.row_number().over(Window.partitionBy("pair_id").orderBy(number)) - 1
-        grouped = free.withColumn("block", F.floor(place / window)).groupBy("pair_id", "lang", "block").agg(F.sort_array(F.collect_list(F.struct(number, "text"))).alias("rows"))
+        grouped = free.withColumn("block", F.floor(place / window)).groupBy("pair_id", "lang", "block").agg(F.sort_array(F.collect_list(F.struct(number, "words"))).alias("rows"))
         pick = lambda value, name: F.transform("rows", value).alias(f"{side}_{name}")
-        return grouped.select("pair_id", "lang", pick(lambda x: x[number], "no"), pick(lambda x: x["text"], "text"), pick(lambda x: F.lit(0.0), "at"))
+        return grouped.select("pair_id", "lang", F.col("block").alias(f"{side}_block"), pick(lambda x: x[number], "no"), pick(lambda x: x["words"], "words"), pick(lambda x: F.lit(0.0), "at"))
 
-    units = blocks("s", "source_no").join(blocks("t", "translation_no").drop("lang"), "pair_id")
-    return units.repartition("pair_id", F.get("s_no", F.lit(0)), F.get("t_no", F.lit(0)))
+    both = blocks("s", "source_no").join(blocks("t", "translation_no").drop("lang"), "pair_id")
+    return both.withColumn("part", F.shiftleft(F.col("s_block").cast("bigint"), 31) + F.col("t_block")).drop("s_block", "t_block")
 
 
-def _far_moves(pages: DataFrame, links: DataFrame, window: int) -> DataFrame:
+def _far_moves(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Unlinked sentences of pages with several windows that share code or a long number found once on each side."""
-    long_pages = pages.groupBy("pair_id").count().where("count > 1").select("pair_id")
-    cut = pages.join(long_pages, "pair_id", "left_semi")
-    marks = F.udf(lambda t: [w for w in set(words(t or "")) if w[0] == "`" or (w[0] == "#" and len(w) > 4)], "array<string>")
-
     def marked(side: str, number: str) -> DataFrame:
-        rows = cut.select("pair_id", F.explode(F.arrays_zip(F.col(f"{side}_no"), F.col(f"{side}_text"))).alias("x"))
-        rows = rows.select("pair_id", F.col("x")[f"{side}_no"].alias(number), F.col("x")[f"{side}_text"].alias("text")).distinct()
-        free = rows.join(links.select("pair_id", number).distinct(), ["pair_id", number], "left_anti")
-        rare = free.select("pair_id", number, F.explode(marks("text")).alias("mark")).groupBy("pair_id", "mark").agg(F.count("*").alias("n"), F.min(number).alias(number))
+        free = _sentences_of(pages, side, number).join(links.select("pair_id", number).distinct(), ["pair_id", number], "left_anti")
+        marks = F.array_distinct(F.filter("words", lambda w: w.bitwiseAND(F.lit(_KIND).cast("bigint")) >= LONGER_NUMBER))
+        rare = free.select("pair_id", number, F.explode(marks).alias("mark")).groupBy("pair_id", "mark").agg(F.count("*").alias("n"), F.min(number).alias(number))
         return rare.where("n = 1").drop("n")
 
     both = marked("s", "source_no").join(marked("t", "translation_no"), ["pair_id", "mark"])

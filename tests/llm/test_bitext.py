@@ -94,7 +94,11 @@ def test_transport_masses():
 def test_words_and_language():
     assert B.words("Set `--a-b` to 37,022 and 1.5") == ["`--a-b", "#37022", "#15", "set", "to", "and"]
     assert B.words("锚点表") == ["锚点", "点表"]
-    assert B.language("zh_Hans", []) == "zh" and B.language(None, ["锚点表增长"]) == "zh" and B.language(None, ["der Suchpfad und die Seite"]) == "de" and B.language("", []) == "und"
+    said = lambda *texts: [sum(x) for x in zip(*(B._evidence(t.lower(), B.words(t)) for t in texts), strict=True)]
+    assert B.language("zh_Hans", said("a")) == "zh" and B.language(None, said("锚点表增长")) == "zh" and B.language(None, said("der Suchpfad und die Seite")) == "de" and B.language("", said("")) == "und"
+    assert B.language(None, said(*["x q z"] * 60, "der Suchpfad und die Seite")) == "de"
+    kinds = [h & 7 for h in B.hashed(["word", "#15", "#150", "#37022", "`a", "`--a-b"])]
+    assert kinds == [B.WORD, B.NUMBER, B.LONG_NUMBER, B.LONGER_NUMBER, B.CODE, B.LONG_CODE]
 
 
 def test_nulls_one_sided_and_empty(spark):
