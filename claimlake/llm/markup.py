@@ -11,7 +11,8 @@ from the page itself. :func:`line_blocks` is the line-block distribution: markup
 stripped, lengths summed over sliding windows of lines, surge and dive points
 located, the text between them kept. It measures how dense the text is around a
 line, so it can tell content from wrapping but not which kind of structure a
-line has; the structure therefore comes from the grammars.
+line has; the structure therefore comes from the grammars. It reads no grammar itself:
+markup of all notations is taken off by the same patterns (:func:`strip_markup`).
 
 Defined results for odd input
 -----------------------------
@@ -629,20 +630,46 @@ def clean_text(parsed: list[_Line]) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
 
-def line_blocks(lengths: list[int], width: int = 3, surge: int = 20) -> list[bool]:
+#: Markup of any notation, taken off without knowing which it is: comments, tags, commands, marks at a line's start and around words.
+_STRIP = tuple(
+    (re.compile(pattern, re.I), by)
+    for pattern, by in (
+        (r"<!--.*?-->|(?<!\\)%.*$", ""),
+        (r"</?[a-z][^<>]*>|<![a-z][^<>]*>", ""),
+        (r"\\(?:begin|end|label|ref|cite[a-z]*|documentclass|usepackage|includegraphics|input|bibliography\w*)\*?(?:\[[^\]]*\])*(?:\{[^{}]*\})*", ""),
+        (r"\\[a-z]+\*?(?:\[[^\]]*\])*", ""),
+        (r"!?\[\[?([^\[\]|]*?)(?:\|([^\[\]]*))?\]\]?(?:\([^()]*\))?", r"\1\2"),
+        (r"\{\{[^{}]*\}\}|&(?:#\w+|[a-z]+);", ""),
+        (r"^\s*(?:[-*+>|#=:;!]+|\d+[.)])\s*|[\s|=#-]+$", ""),
+        (r"[*_`~{}|]+|'{2,}|\$", ""),
+    )
+)
+
+
+def strip_markup(line: str) -> str:
+    """A line's text without markup, whatever its notation."""
+    for pattern, by in _STRIP:
+        line = pattern.sub(by, line)
+    return " ".join(line.split())
+
+
+def line_blocks(lengths: list[int], width: int = 3, share: float = 0.5, follow: int = 2) -> list[bool]:
     """Which lines lie between a surge and the next dive of the line-block distribution.
 
-    ``lengths`` are text lengths without markup. A block is ``width`` lines; it
-    surges where its sum first exceeds ``surge`` with text following, and dives
-    where two blocks in a row are empty.
+    ``lengths`` are text lengths without markup; the block of a line is the sum of ``width`` lines from it on.
+    The distribution surges at a line with text whose block exceeds ``share`` of the mean block and whose next
+    ``follow`` blocks are not empty (the end of the page counts as such), and dives where a block falls to a
+    tenth of the mean, or a line without text follows into a block below ``share`` of it.
     """
     n = len(lengths)
     sums = [sum(lengths[i : i + width]) for i in range(n)]
+    full = [s for s in sums if s]
+    mean = sum(full) / len(full) if full else 0.0
     keep, inside = [False] * n, False
     for i in range(n):
-        if not inside and sums[i] > surge and lengths[i]:
-            inside = True
-        elif inside and sums[i] == 0 and (i + 1 >= n or sums[i + 1] == 0):
+        if not inside:
+            inside = lengths[i] > 0 and sums[i] > share * mean and all(sums[k] for k in range(i + 1, min(n, i + 1 + follow)))
+        elif sums[i] <= 0.1 * mean or (not lengths[i] and sums[i] <= share * mean):
             inside = False
         keep[i] = inside
     return keep
@@ -696,9 +723,8 @@ def _clean_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _block_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for path, numbers, texts in _pages(batches):
-        parsed = parse_page(texts, path)[1]
-        kept = line_blocks([len((line.text or "").strip()) for line in parsed])
-        rows = [(path, n, line.text) for n, line, k in zip(numbers, parsed, kept, strict=True) if k and line.text is not None]
+        bare = [strip_markup(t.lstrip("\ufeff")) for t in texts]
+        rows = [(path, n, text) for n, text, k in zip(numbers, bare, line_blocks([len(t) for t in bare]), strict=True) if k]
         yield pd.DataFrame(rows, columns=["path", "line", "text"])
 
 

@@ -148,21 +148,37 @@ def pack(sizes: list[int], capacity: int, rounds: int = 3, slack: float = 1 / 25
     return kept + best_fit(sizes, pool, capacity)
 
 
-def _pack_block(block: pd.DataFrame) -> pd.DataFrame:
-    block = block.sort_values(["tokens", "doc_id"], ascending=[False, True], ignore_index=True)
-    sizes = [int(s) for s in block["tokens"]]
-    names = [""] * len(sizes)
-    prefix = f"b{block['block'].iloc[0]}-"
-    for n, items in enumerate(pack(sizes, int(block["capacity"].iloc[0]))):
-        for i in items:
-            names[i] = prefix + str(n)
-    return pd.DataFrame({"plan_id": block["plan_id"], "doc_id": block["doc_id"], "piece": block["piece"], "token_start": block["token_start"], "tokens": block["tokens"], "container": names})
-
-
-def pack_documents(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, block_items: int = 20_000, max_plans: int = 1000) -> DataFrame:
+def balance(sizes: list[int], capacity: int, step: float = 1 / 256) -> list[list[int]]:
+    """Differencing alone: near-equal windows, more and more of them until none exceeds ``capacity``."""
+    k = max(1, math.ceil(sum(sizes) / capacity))
+    while True:
+        windows = differencing(sizes, k)
+        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
+            return windows
+        k = min(len(sizes), k + max(1, int(k * step)))
+
+
+def _block_packer(packer: Callable[[list[int], int], list[list[int]]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def pack_block(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["tokens", "doc_id"], ascending=[False, True], ignore_index=True)
+        sizes = [int(s) for s in block["tokens"]]
+        names = [""] * len(sizes)
+        prefix = f"b{block['block'].iloc[0]}-"
+        for n, items in enumerate(packer(sizes, int(block["capacity"].iloc[0]))):
+            for i in items:
+                names[i] = prefix + str(n)
+        return pd.DataFrame({"plan_id": block["plan_id"], "doc_id": block["doc_id"], "piece": block["piece"], "token_start": block["token_start"], "tokens": block["tokens"], "container": names})
+
+    return pack_block
+
+
+def pack_documents(
+    documents: DataFrame, plans: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, block_items: int = 20_000, max_plans: int = 1000, fit: bool = True
+) -> DataFrame:
     """(plan_id, doc_id, piece, token_start, tokens, container) of every document or piece under every plan.
 
     Plans are a stated, short list (``max_plans`` is checked); sizes alone are shuffled, not texts.
+    Without ``fit`` all windows come from differencing (:func:`balance`), with it slack ones are placed anew (:func:`pack`).
     """
     sizes = materialise(token_sizes(documents, tokenizer, pattern), "sizes")
     listed = [(r[0], r[1]) for r in plans.where("plan_id is not null and capacity_tokens > 0").select("plan_id", "capacity_tokens").distinct().limit(max_plans + 1).collect()]
@@ -184,14 +200,14 @@ def pack_documents(documents: DataFrame, plans: DataFrame, tokenizer: str = TOKE
         "plan_id", "capacity", "doc_id", F.col("whole").cast("int").alias("piece"), (F.col("whole") * F.col("capacity")).alias("token_start"), rest.alias("tokens"),
         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
     )
-    return rests.groupBy("plan_id", "block").applyInPandas(_pack_block, schema).unionByName(pieces)
+    return rests.groupBy("plan_id", "block").applyInPandas(_block_packer(pack if fit else balance), schema).unionByName(pieces)
 
 
 def fill_report(packed: DataFrame, plans: DataFrame) -> DataFrame:
     """(plan_id, n_containers, n_pieces, tokens, unused_tokens, over_full) per plan."""
     used = packed.groupBy("plan_id", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("n"))
     caps = plans.select("plan_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
-    return used.join(F.broadcast(caps), "plan_id").groupBy("plan_id").agg(
+    return used.join(caps, "plan_id").groupBy("plan_id").agg(
         F.count("*").alias("n_containers"),
         F.sum("n").alias("n_pieces"),
         F.sum("used").alias("tokens"),

@@ -56,6 +56,10 @@ def p4_baselined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.baselined_check(findings, incremental.link_batches(findings))
 
 
+def p6_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_plans"), fit=False)
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pack_plans"))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "p4_method": p4_method,
     "p4_found": p4_found,
     "p4_baselined": p4_baselined,
+    "p6_method": p6_method,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_found": p7_found,

@@ -100,3 +100,15 @@ def test_long_page(spark):
 def test_method_keeps_dense_text(spark):
     f = rows(spark, *[("r", "p", n, "x" * 60 if 5 <= n <= 9 else "", None, None) for n in range(1, 15)])
     assert sorted(r.line for r in M.block_text(f).collect())[0] <= 5
+
+
+def test_stripping_knows_no_notation():
+    want = "Plain words and code here"
+    for line in ("## **Plain** words and `code` here", "<p>Plain <b>words</b> and <code>code</code> here</p>", "== Plain ''words'' and code here ==", "\\section{Plain \\emph{words} and \\texttt{code} here}", "- [Plain words](x.md) and code here", "* [[Page|Plain words]] and code here <!-- no -->"):
+        assert M.strip_markup(line) == want if "Page" not in line else want in M.strip_markup(line)
+
+
+def test_menus_and_footers_dive():
+    page = ["Home", "Docs", "", "", *["A line of running text that says what the tool does in full sentences."] * 6, "", "", "Top", "", "Imprint"]
+    kept = M.line_blocks([len(M.strip_markup(x)) for x in page])
+    assert [n for n, k in enumerate(kept) if k and page[n]] == list(range(4, 10))

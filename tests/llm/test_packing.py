@@ -69,3 +69,14 @@ def test_empty_tables(spark):
     plans = spark.createDataFrame([(1, 64)], "plan_id int, capacity_tokens int")
     assert K.pack_documents(docs, plans).isEmpty()
     assert K.pack_documents(spark.createDataFrame([(1, "x")], docs.schema), plans.limit(0)).isEmpty()
+
+
+def test_differencing_alone_raises_the_count():
+    rng = random.Random(5)
+    for capacity in (100, 1000):
+        sizes = [rng.randint(1, 90) for _ in range(700)]
+        windows = K.balance(sizes, capacity)
+        assert sorted(i for w in windows for i in w) == list(range(700))
+        loads = [sum(sizes[i] for i in w) for w in windows]
+        assert max(loads) <= capacity and len(windows) <= 1.4 * sum(sizes) / capacity + 1
+    assert K.balance([], 10) == [] and K.balance([10, 10, 10], 10) and len(K.balance([0, 0], 10)) <= 2
