@@ -135,54 +135,64 @@ def flag_key(flag: ColumnLike) -> Column:
 
 
 def slug(heading: ColumnLike) -> Column:
-    """The anchor of a heading: link texts unwrapped, tags and punctuation dropped, blanks as dashes."""
-    text = F.regexp_replace(_c(heading), "!?\\[([^\\[\\]]*)\\]\\([^()]*\\)", "$1")
-    text = F.regexp_replace(F.lower(F.trim(F.regexp_replace(text, "<[^<>]*>", ""))), "[^\\p{L}\\p{N}_ -]", "")
-    return F.translate(text, " ", "-")
+    """The anchor of a heading: a given ``{#id}`` and link targets gone, tags and punctuation dropped, blanks as dashes."""
+    text = F.regexp_replace(_c(heading), "\\s*\\{\\s*#[^{}]*\\}\\s*$", "")
+    text = F.regexp_replace(text, "!?\\[([^\\[\\]]*)\\](?:\\([^()]*\\)|\\[[^\\[\\]]*\\])", "$1")
+    text = F.regexp_replace(text, "\\\\[<>]", "")
+    text = F.regexp_replace(F.lower(F.regexp_replace(text, "</?[A-Za-z][^<>]*>", "")), "[^\\p{L}\\p{N}_\\s-]", "")
+    return F.regexp_replace(F.trim(text), "\\s", "-")
 
 
 # --- values ------------------------------------------------------------------------------
 
 
 def duration_seconds(value: ColumnLike) -> Column:
-    """Seconds of a duration such as ``1h30m``, ``250ms`` or ``10s``; null for anything else."""
+    """Seconds of a duration such as ``1h30m``, ``250ms`` or ``-10s``; null for anything else."""
     v = F.lower(F.trim(_c(value)))
-    parts = F.regexp_extract_all(v, F.lit("([0-9]+(?:[.][0-9]+)?(?:ns|us|ms|s|m|h|d))"), 1)
-    unit = lambda p: F.regexp_extract(p, "([a-z]+)$", 1)
+    parts = F.regexp_extract_all(v, F.lit("([0-9]+(?:[.][0-9]+)?(?:ns|us|µs|ms|s|m|h))"), 1)
+    unit = lambda p: F.regexp_extract(p, "([a-zµ]+)$", 1)
     number = lambda p: F.regexp_extract(p, "^([0-9.]+)", 1).cast("double")
     scale = lambda u: (
-        F.when(u == "ns", 1e-9).when(u == "us", 1e-6).when(u == "ms", 1e-3).when(u == "s", 1.0).when(u == "m", 60.0).when(u == "h", 3600.0).otherwise(86400.0)
+        F.when(u == "ns", 1e-9).when(u.isin("us", "µs"), 1e-6).when(u == "ms", 1e-3).when(u == "s", 1.0).when(u == "m", 60.0).otherwise(3600.0)
     )
     total = F.aggregate(parts, F.lit(0.0).cast("double"), lambda acc, p: acc + number(p) * scale(unit(p)))
-    return F.when(v.rlike("^(?:[0-9]+(?:[.][0-9]+)?(?:ns|us|ms|s|m|h|d))+$"), total)
+    return F.when(v.rlike("^[+-]?(?:[0-9]+(?:[.][0-9]+)?(?:ns|us|µs|ms|s|m|h))+$"), F.when(v.startswith("-"), -total).otherwise(total))
 
 
-#: Spellings of no value at all (fixed values).
-NO_VALUE = ("", "none", "null", "nil", "undefined", "empty", "unset", "no default", "not set")
+#: Spellings of no value, of true and of false (fixed values).
+NO_VALUE = ("", "none", "nil", "null", "(empty)", "empty", "unset", "not set", "-")
 TRUE_VALUES, FALSE_VALUES = ("true", "yes", "on", "enabled"), ("false", "no", "off", "disabled")
 
 
 def plain_value(value: ColumnLike) -> Column:
-    """A default without quotes, code marks and a trailing full stop, in lower case."""
-    return F.lower(F.regexp_replace(F.trim(_c(value)), "^[`'\"]+|[`'\"]+[.]?$|[.]$", ""))
+    """A default without code marks and one pair of quotes; every spelling of no value, true and false is one."""
+    bare = F.trim(F.regexp_replace(F.trim(_c(value)), "^`+|`+$", ""))
+    bare = F.when(bare.rlike("(?s)^\".*\"$|^'.*'$") & (F.length(bare) > 1), F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare)
+    low = F.lower(bare)
+    return F.when(low.isin(*NO_VALUE), "").when(low.isin(*TRUE_VALUES), "true").when(low.isin(*FALSE_VALUES), "false").otherwise(bare)
 
 
 def same_default(documented: ColumnLike, declared: ColumnLike) -> Column:
-    """Whether two defaults mean the same: text, truth, number, duration, or no value."""
+    """Whether two defaults mean the same: as text, as numbers, or as durations."""
     a, b = plain_value(documented), plain_value(declared)
-    number = lambda v: F.regexp_replace(v, "_|,(?=[0-9]{3})", "").try_cast("double")
-    truth = lambda v: F.when(v.isin(*TRUE_VALUES), True).when(v.isin(*FALSE_VALUES), False)
-    equal = (a == b) | (a.isin(*NO_VALUE) & b.isin(*NO_VALUE))
-    for view in (truth, number, duration_seconds):
+    digits = lambda v: F.regexp_replace(v, "(?<=[0-9])_(?=[0-9])", "")
+    number = lambda v: F.when(digits(v).rlike("^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?$"), digits(v).try_cast("double"))
+    equal = a == b
+    for view in (number, duration_seconds):
         equal = equal | F.coalesce(view(a) == view(b), F.lit(False))
     return F.coalesce(equal, F.lit(False))
 
 
 def version_floor(spec: ColumnLike) -> Column:
-    """(major, minor) of the lower bound in a version requirement, null without a number."""
-    number = F.regexp_extract(_c(spec), "(?:>=|\\^|~=|~|==|^|[^0-9.<])\\s*v?([0-9]+(?:[.][0-9]+)?)", 1)
-    major = F.nullif(F.regexp_extract(number, "^([0-9]+)", 1), F.lit("")).cast("int")
-    minor = F.coalesce(F.nullif(F.regexp_extract(number, "[.]([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    """(major, minor) of the lower bound in a version requirement, null without one.
+
+    A requirement is a list of constraints, each an operator and a version; upper bounds and exclusions say nothing.
+    """
+    parts = F.transform(F.split(_c(spec), ",|\\s+(?=[<>=!~^])"), lambda p: F.trim(p))
+    lower = F.filter(parts, lambda p: ~p.rlike("^(?:<|!)") & p.rlike("[0-9]"))
+    version = F.regexp_extract(F.get(lower, F.lit(0)), "([0-9]+(?:[.][0-9]+)?)", 1)
+    major = F.nullif(F.regexp_extract(version, "^([0-9]+)", 1), F.lit("")).cast("int")
+    minor = F.coalesce(F.nullif(F.regexp_extract(version, "[.]([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0))
     return F.when(major.isNotNull(), F.struct(major.alias("major"), minor.alias("minor")))
 
 
@@ -219,27 +229,44 @@ def context_snippet(line: ColumnLike, most: int = 160) -> Column:
 
 
 def route_segments(path: ColumnLike) -> Column:
-    """Canonical segments of a route: every parameter ``{}``, every rest ``**``."""
-    bare = F.regexp_replace(F.regexp_replace(_c(path), "[?#].*$", ""), "^https?://[^/]*", "")
+    """Canonical segments of a route: every parameter ``{}``, every rest ``**``, the exact-match mark ``{$}`` kept."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(_c(path)), "[?#].*$", ""), "^https?://[^/]*", "")
     segments = F.filter(F.split(bare, "/", -1), lambda s: s != "")
     return F.transform(
         segments,
-        lambda s: F.when(s.rlike("^(?:\\*\\*?|\\{[^{}]*(?:\\.\\.\\.|:path)\\}|\\*[A-Za-z]\\w*|<path:[^<>]*>)$"), "**")
-        .when(s.rlike("^(?::[A-Za-z]\\w*|\\{[^{}]*\\}|<[^<>]*>|\\[[^\\[\\]]*\\]|\\$[A-Za-z]\\w*)$"), "{}")
+        lambda s: F.when(s == "{$}", s)
+        .when(s.rlike("^[*]|(?:[.]{3}|:[.]?[*])\\}$|[.]{2}>$"), "**")
+        .when(s.rlike("^:.|^<.*>$|\\{.*\\}"), "{}")
         .otherwise(s),
     )
 
 
+def _unmarked(segments: Column) -> Column:
+    n = F.size(segments)
+    return F.when((n > 0) & (F.get(segments, n - 1) == "{$}"), F.slice(segments, F.lit(1), n - 1)).otherwise(segments)
+
+
 def route_matches(wanted: ColumnLike, registered: ColumnLike) -> Column:
-    """Segment by segment; a parameter on either side matches one segment, a rest any number of them."""
-    a, b = _c(wanted), _c(registered)
-    fixed = lambda x, y: F.forall(F.zip_with(x, y, lambda p, q: F.coalesce((p == q) | (p == "{}") | (q == "{}"), F.lit(False))), lambda ok: ok)
+    """Segment by segment; a parameter on either side matches one segment, a registered rest any number of them."""
+    a, b = _unmarked(_c(wanted)), _unmarked(_c(registered))
+    fixed = lambda x, y: F.forall(F.zip_with(x, y, lambda p, q: F.coalesce((p == q) | p.isin("{}", "**") | (q == "{}"), F.lit(False))), lambda ok: ok)
     stop = F.array_position(b, "**")
     head = F.greatest(stop - 1, F.lit(0)).cast("int")
     open_ended = (stop > 0) & (F.size(a) >= head) & fixed(F.slice(a, F.lit(1), head), F.slice(b, F.lit(1), head))
     return open_ended | ((stop == 0) & (F.size(a) == F.size(b)) & fixed(a, b))
 
 
+def glob_pattern(pattern: ColumnLike) -> Column:
+    """:func:`glob_regex` of a column: ``*`` and ``?`` within a segment, ``**`` across, classes and alternatives kept."""
+    p = F.regexp_replace(_c(pattern), "([.^$+()|\\\\])", "\\\\$1")
+    p = F.regexp_replace(F.regexp_replace(p, "\\[!", "[^"), "\\{([^{}]*)\\}", "(?:$1)")
+    p = F.regexp_replace(p, "[*]{2}/", "\u0001")
+    p = F.replace(F.replace(p, F.lit("**"), F.lit("\u0002")), F.lit("*"), F.lit("[^/]*"))
+    p = F.regexp_replace(p, "(?<![(\u0001])[?]", "[^/]")
+    p = F.replace(F.replace(p, F.lit("\u0001"), F.lit("(?:[^/]+/)*")), F.lit("\u0002"), F.lit(".*"))
+    return F.concat(F.lit("^"), F.replace(p, F.lit(","), F.lit("|")), F.lit("$"))
+
+
 # --- ranks, hashes, output ------------------------------------------------------------------------
 
 
@@ -291,13 +318,40 @@ def percent(part: ColumnLike, total: ColumnLike, rule: str = "round") -> Column:
 
 # --- claims in prose ------------------------------------------------------------------------------
 
-NEGATION_BEFORE = r"(?i)\b(?:no longer|not|never|without|removed|deprecated|renamed|used to|instead of|formerly|previously|don't|doesn't|isn't|there is no|was dropped)\b[^.;:!?]{0,48}$"
-NEGATION_AFTER = r"(?i)^[^.;:!?]{0,24}\b(?:no longer|is gone|was removed|has been removed|does not exist|doesn't exist|is deprecated|was renamed)\b"
+#: Cues that what follows does not exist; they reach over the clause (fixed values).
+STRONG_CUES = (
+    "removed deleted dropped retired abandoned discontinued obsolete defunct formerly".split(), ["no longer"],
+    ["provide", "exist", "have", "export", "define", "ship", "offer"], ["there is no"],
+    "不提供 不存在 不再有 沒有提供 刪除 移除 拿掉 廢棄 已下線 已被下線 曾經 原本 舊的 過去的 以前的".split(),
+)
+#: Cues that must stand right before the name (fixed values).
+WEAK_CUES, WEAK_CJK = "no not never without old legacy former deprecated".split(), ["不是", "非"]
+#: What may follow a name that is gone (fixed values).
+GONE_VERBS, GONE_WORDS, GONE_CJK = "was were is are has\\s+been have\\s+been got been now".split(), "removed deleted dropped retired gone".split(), "已刪除 已移除 已拿掉 已廢棄 已被刪除 已被移除 已被拿掉 已被廢棄 不存在 不再存在 已經不在".split()
+NEGATION_REACH = 48
+
+
+def _strong_cue() -> str:
+    words, phrases, verbs, there, cjk = STRONG_CUES
+    spaced = [x.replace(" ", "\\s+") for x in (*words, *phrases)]
+    return "\\b(?:" + "|".join(spaced) + ")\\b|\\bdoes\\s*(?:not|n't)\\s+(?:" + "|".join(verbs) + ")|\\b" + there[0].replace(" ", "\\s+") + "|" + "|".join(cjk)
+
+
+NEGATION_STRONG = "(?is)^.*(?:" + _strong_cue() + ")"
+NEGATION_WEAK = "(?i)(?:\\b(?:" + "|".join(WEAK_CUES) + ")\\b|" + "|".join(WEAK_CJK) + ")[\\s:：*_（(]{0,4}$"
+NEGATION_AFTER = "(?i)^.{0,30}?(?:\\b(?:" + "|".join(GONE_VERBS) + ")\\s+(?:" + "|".join(GONE_WORDS) + ")\\b|\\bno\\s+longer\\s+exists?|\\bdoes\\s*(?:not|n't)\\s+exist|" + "|".join(GONE_CJK) + ")"
 
 
 def negated(before: ColumnLike, after: ColumnLike) -> Column:
-    """Whether the words around a claim say that the thing does not exist; clause marks end their reach."""
-    return _c(before).rlike(NEGATION_BEFORE) | _c(after).rlike(NEGATION_AFTER)
+    """Whether the words around a claim say that the thing does not exist.
+
+    A strong cue before it reaches to the end of its clause, over other names but not past a colon behind one;
+    a weak cue must stand beside it. ``before`` and ``after`` are the rest of the line without the claim's own marks.
+    """
+    b = _c(before)
+    reach = F.regexp_replace(F.regexp_replace(b, NEGATION_STRONG, ""), "`[^`]*`", "``")
+    strong = b.rlike(NEGATION_STRONG) & (F.length(reach) <= NEGATION_REACH) & ~reach.rlike("[;.。；]") & ~reach.rlike("``[^`]*[:：][^`]*$")
+    return strong | b.rlike(NEGATION_WEAK) | _c(after).rlike(NEGATION_AFTER)
 
 
 def code_spans(text: ColumnLike) -> Column:

@@ -13,33 +13,58 @@ def explode_lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.where(F.col(text).isNotNull()).select(key, F.posexplode(T.lines_of(text)).alias("pos", "text")).select(key, (F.col("pos") + 1).alias("line"), "text")
 
 
-def fence_marks(lines: DataFrame, key: str = "path") -> DataFrame:
-    """Lines with ``fenced`` (inside or on a fence), ``opens`` and ``block`` (number of the fence, from 1).
+_FENCE = "^ {0,3}(`{3,}|~{3,})(.*)$"
+
 
-    For well-formed documents: fences are counted with a running sum, no state machine.
+def fence_blocks(lines: DataFrame, key: str = "path") -> DataFrame:
+    """(key, block, start_line, end_line, lang): fenced blocks; ``end_line`` is null where a fence is never closed.
+
+    A fence closes with at least as many of its own marks and nothing else; marks inside a block are text, so
+    is a line of backquotes with another one behind them. Only the marked lines of a page meet in one row.
     """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    mark, info = F.regexp_extract(text, _FENCE, 1), F.trim(F.regexp_extract(text, _FENCE, 2))
+    seen = lines.where(text.rlike(_FENCE)).select(key, F.struct(
+        F.col("line").cast("int").alias("line"), F.substring(mark, 1, 1).alias("ch"), F.length(mark).alias("n"), info.alias("info"),
+    ).alias("m"))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("line"), F.lit("").alias("ch"), F.lit(0).alias("n"), F.array().cast("array<struct<block:int,start_line:int,end_line:int,lang:string>>").alias("done"), F.lit("").alias("lang"))
+    block = lambda acc, end: F.struct((F.size(acc["done"]) + 1).alias("block"), acc["line"].alias("start_line"), end.cast("int").alias("end_line"), acc["lang"].alias("lang"))
+
+    def step(acc: Column, m: Column) -> Column:
+        is_open = acc["line"] > 0
+        closes = is_open & (m["ch"] == acc["ch"]) & (m["n"] >= acc["n"]) & (m["info"] == "")
+        opens = ~is_open & ~((m["ch"] == "`") & F.contains(m["info"], F.lit("`")))
+        state = lambda line, ch, n, done, lang: F.struct(line.alias("line"), ch.alias("ch"), n.alias("n"), done.alias("done"), lang.alias("lang"))
+        return (
+            F.when(closes, state(F.lit(0), F.lit(""), F.lit(0), F.concat(acc["done"], F.array(block(acc, m["line"]))), F.lit("")))
+            .when(opens, state(m["line"], m["ch"], m["n"], acc["done"], F.regexp_extract(m["info"], "^([A-Za-z0-9_+-]*)", 1)))
+            .otherwise(acc)
+        )
+
+    last = lambda acc: F.when(acc["line"] > 0, F.concat(acc["done"], F.array(block(acc, none)))).otherwise(acc["done"])
+    found = seen.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list("m")), start, step, last).alias("b"))
+    return found.select(key, F.inline("b"))
+
+
+def fence_marks(lines: DataFrame, key: str = "path") -> DataFrame:
+    """Lines with ``fenced`` (inside or on a fence), ``opens`` and ``block`` (number of the fence, from 1)."""
+    blocks = fence_blocks(lines, key)
+    events = blocks.select(key, F.col("start_line").alias("line"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        blocks.where("end_line is not null").select(key, F.col("end_line").alias("line"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
     order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_fence = F.coalesce(F.col("text"), F.lit("")).rlike("^ {0,3}(?:```|~~~)")
-    seen = F.sum(is_fence.cast("int")).over(order)
-    marked = lines.withColumns({"is_fence": is_fence, "seen": seen})
-    return marked.select(
-        *lines.columns,
-        ((F.col("seen") % 2 == 1) | F.col("is_fence")).alias("fenced"),
-        (F.col("is_fence") & (F.col("seen") % 2 == 1)).alias("opens"),
-        F.floor((F.col("seen") + 1) / 2).cast("int").alias("block"),
-    )
+    marked = lines.join(events, [key, "line"], "left").na.fill(0, ["up", "down"])
+    ups, downs = F.sum("up").over(order), F.sum("down").over(order)
+    counted = marked.withColumns({"_ups": ups, "_downs": downs})
+    return counted.select(*lines.columns, ((F.col("_ups") > F.col("_downs")) | (F.col("down") > 0)).alias("fenced"), (F.col("up") > 0).alias("opens"), F.col("_ups").cast("int").alias("block"))
 
 
 def fences(lines: DataFrame, key: str = "path") -> DataFrame:
     """(key, block, start_line, end_line, lang, digest): fenced blocks; the digest ignores blanks at line ends."""
-    marked = fence_marks(lines, key).where("fenced")
-    body = F.when(~F.col("text").rlike("^ {0,3}(?:```|~~~)"), F.struct("line", F.regexp_replace("text", "[ \\t]+$", "").alias("text")))
-    grouped = marked.groupBy(key, "block").agg(
-        F.min("line").alias("start_line"),
-        F.max("line").alias("end_line"),
-        F.max(F.when(F.col("opens"), F.regexp_extract("text", "^ {0,3}(?:```|~~~)[`~]*\\s*([A-Za-z0-9_+-]*)", 1))).alias("lang"),
-        F.sort_array(F.collect_list(body)).alias("body"),
-    )
+    marked = fence_marks(lines, key).where("fenced").join(fence_blocks(lines, key).select(key, "block", "start_line", F.col("end_line").alias("closed"), "lang"), [key, "block"])
+    body = F.when((F.col("line") > F.col("start_line")) & (F.col("line") < F.coalesce("closed", F.col("line") + 1)), F.struct("line", F.regexp_replace("text", "[ \\t]+$", "").alias("text")))
+    grouped = marked.groupBy(key, "block", "start_line", "lang").agg(F.max("line").alias("end_line"), F.sort_array(F.collect_list(body)).alias("body"))
     joined = F.array_join(F.transform("body", lambda x: x["text"]), "\n")
     return grouped.select(key, "block", "start_line", "end_line", "lang", F.sha2(joined, 256).alias("digest"))
 

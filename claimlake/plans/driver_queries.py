@@ -66,11 +66,30 @@ def doc_lines_split(spark: SparkSession, d: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"), F.max(F.length("text")).alias("longest"))
 
 
-_MARKED = f"""WITH {_LINES}, seen AS (SELECT *, regexp_matches(text, '^ {{0,3}}(?:```|~~~)') AS is_fence,
-    sum(regexp_matches(text, '^ {{0,3}}(?:```|~~~)')::INT) OVER (PARTITION BY path ORDER BY line) AS seen FROM lines),
-  marked AS (SELECT path, line, text, is_fence, (seen % 2 = 1 OR is_fence) AS fenced, (is_fence AND seen % 2 = 1) AS opens, ((seen + 1) // 2)::INT AS block FROM seen)"""
-
-_SLUG = "replace(regexp_replace(lower(trim(regexp_replace(regexp_replace({0}, '!?\\[([^\\[\\]]*)\\]\\([^()]*\\)', '\\1', 'g'), '<[^<>]*>', '', 'g'))), '[^\\p{{L}}\\p{{N}}_ -]', '', 'g'), ' ', '-')"
+def fence_sql(indent: str = " {0,3}") -> str:
+    """SQL for ``lines`` (path, line, text) as ``marked``: the state of the fences, mark by mark, by recursion."""
+    rx = f"^{indent}(`{{3,}}|~{{3,}})(.*)$"
+    return f"""marks AS (SELECT path, line, substring(m, 1, 1) AS ch, length(m) AS n, trim(info) AS info, row_number() OVER (PARTITION BY path ORDER BY line) AS k
+    FROM (SELECT path, line, regexp_extract(text, '{rx}', 1) AS m, regexp_extract(text, '{rx}', 2) AS info FROM lines) WHERE m <> ''),
+  walk(path, k, line, ch, n, act, lang) AS (
+    SELECT path, k, line, CASE WHEN ch = '`' AND contains(info, '`') THEN '' ELSE ch END, n, CASE WHEN ch = '`' AND contains(info, '`') THEN 0 ELSE 1 END, regexp_extract(info, '^([A-Za-z0-9_+-]*)', 1) FROM marks WHERE k = 1
+    UNION ALL
+    SELECT m.path, m.k, m.line, CASE WHEN w.ch = '' THEN CASE WHEN m.ch = '`' AND contains(m.info, '`') THEN '' ELSE m.ch END WHEN m.ch = w.ch AND m.n >= w.n AND m.info = '' THEN '' ELSE w.ch END,
+      CASE WHEN w.ch = '' THEN m.n ELSE w.n END,
+      CASE WHEN w.ch = '' THEN CASE WHEN m.ch = '`' AND contains(m.info, '`') THEN 0 ELSE 1 END WHEN m.ch = w.ch AND m.n >= w.n AND m.info = '' THEN -1 ELSE 0 END,
+      CASE WHEN w.ch = '' THEN regexp_extract(m.info, '^([A-Za-z0-9_+-]*)', 1) ELSE w.lang END
+    FROM walk w JOIN marks m ON m.path = w.path AND m.k = w.k + 1),
+  marked AS (SELECT l.path, l.line, l.text, coalesce(act, 0) = 1 AS opens, coalesce(act, 0) = -1 AS closes, lang,
+      sum(coalesce(act, 0)) OVER w > 0 OR coalesce(act, 0) = -1 AS fenced, (sum(CASE WHEN act = 1 THEN 1 ELSE 0 END) OVER w)::INT AS block
+    FROM lines l LEFT JOIN (SELECT * FROM walk WHERE act <> 0) k ON k.path = l.path AND k.line = l.line WINDOW w AS (PARTITION BY l.path ORDER BY l.line))"""
+
+
+_MARKED = f"WITH RECURSIVE {_LINES}, {fence_sql()}"
+
+_SLUG = (
+    "regexp_replace(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\s*\\{{\\s*#[^{{}}]*\\}}\\s*$', ''),"
+    " '!?\\[([^\\[\\]]*)\\](?:\\([^()]*\\)|\\[[^\\[\\]]*\\])', '\\1', 'g'), '\\\\[<>]', '', 'g'), '</?[A-Za-z][^<>]*>', '', 'g')), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')), '\\s', '-', 'g')"
+)
 
 _HEADINGS = f""", named AS (SELECT path, line, length(regexp_extract(text, '^(#{{1,6}})', 1)) AS level,
     regexp_replace(regexp_replace(text, '^#{{1,6}}[ \\t]+', ''), '[ \\t]+#*[ \\t]*$', '') AS title FROM marked WHERE NOT fenced AND regexp_matches(text, '^#{{1,6}}[ \\t]+[^ \\t]')),
@@ -83,15 +102,14 @@ def md_headings(spark: SparkSession, d: str) -> DataFrame:
     return D.headings(_lines(spark, d))
 
 
-@_query(f"""{_MARKED} SELECT path, block, min(line) AS start_line, max(line) AS end_line,
-  max(CASE WHEN opens THEN regexp_extract(text, '^ {{0,3}}(?:```|~~~)[`~]*\\s*([A-Za-z0-9_+-]*)', 1) END) AS lang,
-  sha256(coalesce(string_agg(CASE WHEN NOT is_fence THEN regexp_replace(text, '[ \\t]+$', '') END, chr(10) ORDER BY line), '')) AS digest
+@_query(f"""{_MARKED} SELECT path, block, min(line) AS start_line, max(line) AS end_line, max(CASE WHEN opens THEN lang END) AS lang,
+  sha256(coalesce(string_agg(CASE WHEN NOT opens AND NOT closes THEN regexp_replace(text, '[ \\t]+$', '') END, chr(10) ORDER BY line), '')) AS digest
 FROM marked WHERE fenced GROUP BY path, block""")
 def md_fences(spark: SparkSession, d: str) -> DataFrame:
     return D.fences(_lines(spark, d))
 
 
-@_query(f"""{_MARKED}{_HEADINGS}, both_ AS (SELECT path, line, NULL AS mark FROM lines UNION ALL SELECT path, line, title FROM heads),
+@_query(f"""{_MARKED}{_HEADINGS}, both_ AS (SELECT path, line, NULL::VARCHAR AS mark FROM lines UNION ALL SELECT path, line, title FROM heads),
   carried AS (SELECT path, mark, last_value(mark IGNORE NULLS) OVER (PARTITION BY path ORDER BY line, mark IS NULL ROWS UNBOUNDED PRECEDING) AS section FROM both_)
 SELECT path, coalesce(section, '') AS section, count(*) AS n_lines FROM carried WHERE mark IS NULL GROUP BY ALL""")
 def section_of_line(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +130,11 @@ def section_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""{_MARKED}, cells AS (SELECT path, line, contains(text, '|') AS piped, len(string_split(regexp_replace(trim(text), '^\\||\\|$', '', 'g'), '|')) AS cells,
     regexp_matches(text, '^\\s*\\|?\\s*:?-+:?\\s*(?:\\|\\s*:?-+:?\\s*)*\\|?\\s*$') AND contains(text, '|') AS delimiter FROM marked WHERE NOT fenced),
-  marks AS (SELECT *, piped AND lead(delimiter) OVER w AND cells = lead(cells) OVER w AND NOT delimiter AS begins,
-    sum(CASE WHEN NOT piped OR coalesce(line <> lag(line) OVER w + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS brk FROM cells WINDOW w AS (PARTITION BY path ORDER BY line))
+  prev AS (SELECT *, lag(line) OVER (PARTITION BY path ORDER BY line) AS before FROM cells),
+  marks2 AS (SELECT *, piped AND lead(delimiter) OVER w AND cells = lead(cells) OVER w AND NOT delimiter AS begins,
+    sum(CASE WHEN NOT piped OR coalesce(line <> before + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS brk FROM prev WINDOW w AS (PARTITION BY path ORDER BY line))
 SELECT path, min(CASE WHEN begins THEN line END) AS start_line, max(line) - min(CASE WHEN begins THEN line END) - 1 AS n_rows, max(CASE WHEN begins THEN cells END) AS n_cols
-FROM marks WHERE piped GROUP BY path, brk HAVING min(CASE WHEN begins THEN line END) IS NOT NULL""".replace("sum(CASE WHEN NOT piped OR coalesce(line <> lag(line) OVER w + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS brk FROM cells", "0 AS z FROM cells")
-        .replace("marks AS (SELECT *,", "prev AS (SELECT *, lag(line) OVER (PARTITION BY path ORDER BY line) AS before FROM cells), marks AS (SELECT *, sum(CASE WHEN NOT piped OR coalesce(line <> before + 1, true) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS brk,")
-        .replace("0 AS z FROM cells", "0 AS z FROM prev"))
+FROM marks2 WHERE piped GROUP BY path, brk HAVING min(CASE WHEN begins THEN line END) IS NOT NULL""")
 def table_shapes(spark: SparkSession, d: str) -> DataFrame:
     return D.table_shapes(_lines(spark, d))
 
@@ -228,8 +245,8 @@ def version_floors(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ROUTE = """list_transform(list_filter(string_split(regexp_replace(regexp_replace({0}, '[?#].*$', ''), '^https?://[^/]*', ''), '/'), lambda s: s <> ''),
-  lambda s: CASE WHEN regexp_matches(s, '^(?::[A-Za-z]\\w*|\\{{[^{{}}]*\\}}|<[^<>]*>|\\[[^\\[\\]]*\\]|\\$[A-Za-z]\\w*)$') THEN '{{}}' ELSE s END)"""
-_ROUTES = f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, 'GET (/[^\\s`"]+)', 1)) AS route FROM documents WHERE text IS NOT NULL),
+  lambda s: CASE WHEN s = '{{$}}' THEN s WHEN regexp_matches(s, '^[*]|(?:[.]{{3}}|:[.]?[*])\\}}$|[.]{{2}}>$') THEN '**' WHEN regexp_matches(s, '^:.|^<.*>$|\\{{.*\\}}') THEN '{{}}' ELSE s END)"""
+_ROUTES = f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS) (/[^\\s`"]+)', 1)) AS route FROM documents WHERE text IS NOT NULL),
   claimed AS (SELECT DISTINCT route, {_ROUTE.format('route')} AS segs FROM r)"""
 
 
@@ -240,7 +257,7 @@ def route_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 def _claimed_routes(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").where("text is not null")
-    routes = docs.select(F.explode(F.regexp_extract_all("text", F.lit("GET (/[^\\s`\"]+)"), 1)).alias("route")).distinct()
+    routes = docs.select(F.explode(F.regexp_extract_all("text", F.lit("(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS) (/[^\\s`\"]+)"), 1)).alias("route")).distinct()
     return routes.withColumn("segs", T.route_segments("route"))
 
 
@@ -274,12 +291,24 @@ def brace_expansion(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "supplier").select("s_suppkey", F.explode(T.expand_braces(spelled)).alias("x"))
 
 
-@_query("""SELECT doc_id, sum(CASE WHEN regexp_matches(b, '(?i)\\b(?:no longer|not|never|without|removed|deprecated|renamed|used to|instead of|formerly|previously|don''t|doesn''t|isn''t|there is no|was dropped)\\b[^.;:!?]{0,48}$') THEN 1 ELSE 0 END)::BIGINT AS n_negated, count(*) AS n
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, '([^`\\n]*)`[^`\\n]+`', 1)) AS b FROM documents WHERE text IS NOT NULL) GROUP BY doc_id""")
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_STRONG, _WEAK, _AFTER = (_quoted(p) for p in (T.NEGATION_STRONG, T.NEGATION_WEAK, T.NEGATION_AFTER))
+
+
+@_query(f"""WITH {_SPANS}, parts AS (SELECT doc_id, string_split(t, '`') AS p FROM raw_lines), each AS (SELECT doc_id, p, unnest(range(1, len(p) - 1, 2)) AS i FROM parts),
+  around AS (SELECT doc_id, array_to_string(p[1:i], '`') AS b, array_to_string(p[i + 2:], '`') AS a FROM each WHERE p[i + 1] <> ''),
+  reach AS (SELECT *, regexp_matches(b, '{_STRONG}') AS strong, regexp_replace(regexp_replace(b, '{_STRONG}', ''), '`[^`]*`', '``', 'g') AS r FROM around)
+SELECT doc_id, sum(CASE WHEN strong AND length(r) <= {T.NEGATION_REACH} AND NOT regexp_matches(r, '[;.。；]') AND NOT regexp_matches(r, '``[^`]*[:：][^`]*$') OR regexp_matches(b, '{_WEAK}') OR regexp_matches(a, '{_AFTER}') THEN 1 ELSE 0 END)::BIGINT AS n_negated,
+  count(*) AS n FROM reach GROUP BY doc_id""")
 def negation_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Negation filter: words before a claim that deny it."""
-    before = _t(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([^`\\n]*)`[^`\\n]+`"), 1)).alias("b"))
-    return before.groupBy("doc_id").agg(F.sum(T.negated("b", F.lit("")).cast("int")).alias("n_negated"), F.count("*").alias("n"))
+    """Negation filter: words on either side of a code span that deny it."""
+    lines = D.explode_lines(_t(spark, d, "documents"), "doc_id", "text").withColumn("p", F.split("text", "`", -1)).where("size(p) > 2")
+    each = lines.select("doc_id", "p", F.explode(F.sequence(F.lit(1), F.size("p") - 2, F.lit(2))).alias("i")).where(F.get("p", F.col("i")) != "")
+    before, after = F.array_join(F.slice("p", F.lit(1), F.col("i")), "`"), F.array_join(F.slice("p", F.col("i") + 2, F.size("p")), "`")
+    return each.groupBy("doc_id").agg(F.sum(T.negated(before, after).cast("int")).alias("n_negated"), F.count("*").alias("n"))
 
 
 # --- resolvers ---------------------------------------------------------------------------------

@@ -98,3 +98,43 @@ def levenshtein(a, b):
 def test_osa_bounds(a, b):
     assert osa(a, b) <= levenshtein(a, b) <= 2 * osa(a, b)
     assert osa(a, b) == osa(b, a)
+
+
+@pytest.mark.parametrize(
+    ("heading", "slug"),
+    [("Hello World", "hello-world"), ("A -- B", "a----b"), ("What's new?", "whats-new"), ("安裝說明", "安裝說明"), ("Install {#install-here}", "install"), ("Go 1.26 support", "go-126-support"), ("[Setup][s] of `x`", "setup-of-x")],
+)
+def test_slug_vectors(spark, heading, slug):
+    assert one(spark, T.slug("a"), a=heading) == slug
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "hit"),
+    [
+        ("There is no ", " here", True), ("Not that ", "", False), ("Without ", "", True), ("This was removed: see ", "", True), ("Removed last year. Use ", " now", False), ("不提供 `X`：", " 本來就是", False), ("曾經存在的 `Codec` 介面（", "", True),
+        ("Use ", " was removed", True), ("Use ", " no longer exists", True), ("It does not exist in other trees and so on and on and on until far away ", "", False), ("Use ", " and more", False), ("**刪除**：", "、`core/log`", True),
+    ],
+)
+def test_negation_vectors(spark, before, after, hit):
+    assert one(spark, T.negated("a", "b"), a=before, b=after) is hit
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("-", "", True), ("(empty)", "none", True), ("/docs", "/docs/", False), ("30s", "30000ms", True), ("1.0", "1", True), ("Info", "info", False), ("1d", "1", False)])
+def test_same_default_vectors(spark, a, b, same):
+    assert one(spark, T.same_default("a", "b"), a=a, b=b) is same
+
+
+@pytest.mark.parametrize(("spec", "floor"), [(">=3.10", (3, 10)), ("^3.9", (3, 9)), ("<4,>=3.9", (3, 9)), ("!=3.1, ~=3.8", (3, 8)), ("net8.0", (8, 0)), (">=18 <21", (18, 0)), ("<4", None), ("any", None)])
+def test_version_floor_vectors(spark, spec, floor):
+    got = one(spark, T.version_floor("a"), a=spec)
+    assert (tuple(got) if got else None) == floor
+
+
+@pytest.mark.parametrize(("path", "segs"), [("/items/{id}", ["items", "{}"]), ("/files/*", ["files", "**"]), ("/items/{$}", ["items", "{$}"]), ("/v{version}/x", ["{}", "x"]), ("//double//slashes", ["double", "slashes"]), ("/a/{rest...}", ["a", "**"])])
+def test_route_vectors(spark, path, segs):
+    assert one(spark, T.route_segments("a"), a=path) == segs
+
+
+@pytest.mark.parametrize(("pattern", "path", "hit"), [("docs/**/*.md", "docs/c.md", True), ("docs/*.md", "docs/a/c.md", False), ("a/{b,c}/*.go", "a/c/x.go", True), ("a?b", "a/b", False), ("pkg/**", "pkg/x/y", True)])
+def test_glob_columns(spark, pattern, path, hit):
+    assert one(spark, F.regexp(F.col("b"), T.glob_pattern("a")), a=pattern, b=path) is hit

@@ -163,3 +163,12 @@ def test_suggestions_of_long_names_in_query_and_check(spark, tmp_path):
     keys = known.selectExpr("full_name AS key", "full_name AS full", "exported")
     assert R.symbols(claim("symbol", "cfg.load_rmt_configuratoin"), keys, none, none.withColumnRenamed("name", "key")).first().suggestion == "cfg.load_remote_configuration"
     assert R.config_keys(claim("config", "server.http.tmo_secs"), spark.createDataFrame([("server.http.timeout_secs",)], "key string"), none).first().suggestion == "server.http.timeout_secs"
+
+
+def test_fences_close_with_their_own_marks(spark):
+    page = ["~~~~", "```", "x", "~~~~", "# Head", "````sh", "```", "# no", "``````", "``` a`b", "text", "```go", "open"]
+    lines = spark.createDataFrame([("p", n, t) for n, t in enumerate(page, 1)], "path string, line int, text string")
+    assert [(r.start_line, r.end_line, r.lang) for r in D.fence_blocks(lines).orderBy("block").collect()] == [(1, 4, ""), (6, 9, "sh"), (12, None, "go")]
+    assert [r.line for r in D.fence_marks(lines).where("not fenced").orderBy("line").collect()] == [5, 10, 11]
+    assert [(r.line, r.slug) for r in D.headings(lines).collect()] == [(5, "head")]
+    assert [(r.block, r.start_line, r.end_line) for r in D.fences(lines).orderBy("block").collect()] == [(1, 1, 4), (2, 6, 9), (3, 12, 13)]
