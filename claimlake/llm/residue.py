@@ -157,25 +157,40 @@ _FENCED = re.compile(r"^([ \t]*(?:>[ \t]*)*)(`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t]*(?
 _INLINE = re.compile(r"(?<!`)(`+)(?!`)(?:[^`]|(?!\1)`+)*?\1(?!`)")
 _PRE = re.compile(r"<(pre|code|samp|kbd|script|style|textarea)\b[^<>]*>.*?</\1\s*>", re.S | re.I)
 _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»|「[^」\n]{1,200}」|‘[^’\n]{2,200}’(?!\w)")
-_MARKS = re.compile(r"(?<!\w)[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}(?!\w)|\*{1,3}|^[ \t]*(?:[>#|+-]+[ \t]*|\d+[.)][ \t]+)+", re.M)
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])\s*|\n+|(?<!\w)\|(?!\w)")
+_UNSEEN = re.compile("[\\ufeff\\u200b-\\u200f\\u2060\\u00ad]")
+_STARS = re.compile(r"[*_]{1,3}")
+_LINE_MARKS = re.compile(r"[ \t]*(?:[>#|+-]+[ \t]*|\d+[.)][ \t]+)+")
+_MARKED = frozenset("*_")
+_SENTENCE_END = re.compile("[.!?…。！？|]")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])\s*|(?<!\w)\|(?!\w)")
+_ANY_FIELD = re.compile(r"[{\[<%$]|@@|__")
 _TAGS = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def content_of(text: str) -> str:
     """Text without code."""
-    text = re.sub("[\\ufeff\\u200b-\\u200f\\u2060\\u00ad]", "", text.replace("\r\n", "\n").replace("\r", "\n")).replace("\xa0", " ")
-    text = _FENCED.sub("\n", text)
-    text = _PRE.sub(" ", text)
-    return _INLINE.sub(" ‧ ", text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if not text.isascii():
+        text = _UNSEEN.sub("", text).replace("\xa0", " ")
+    if "```" in text or "~~~" in text:
+        text = _FENCED.sub("\n", text)
+    if "<" in text:
+        text = _PRE.sub(" ", text)
+    return _INLINE.sub(" ‧ ", text) if "`" in text else text
+
+
+_PIECE = re.compile(r"(?<=[.!?:;])\s+|\n+")
 
 
 def placeholders(content: str) -> list[str]:
     """Unfilled fields in text without code."""
-    found = []
-    for piece in re.split(r"(?<=[.!?:;])\s+|\n+", content):
-        if not any(c in piece for c in "{}[]<>@%$#_"):
+    found: list[str] = []
+    if not _ANY_FIELD.search(content):
+        return found
+    for piece in _PIECE.split(content):
+        if not _ANY_FIELD.search(piece):
             continue
         hits = [m[0] for m in _TEMPLATE.finditer(piece) if not m[0].startswith("[[") or _UPPER_DOUBLE.match(m[0])]
         for m in _AMBIGUOUS.finditer(piece):
@@ -192,38 +207,57 @@ def placeholders(content: str) -> list[str]:
     return found
 
 
-def _is_filler(sentence: str) -> bool:
-    words = [w.lower() for w in _WORD.findall(sentence)]
-    if len(words) >= 4:
-        if not _LATIN_STRONG.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.7 * len(words) and sum(w in _LATIN_STRONG for w in words) >= 2:
+def _is_filler(sentence: str, words: list[str]) -> bool:
+    n = len(words)
+    if n >= 4:
+        if not _LATIN_STRONG.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.7 * n and sum(w in _LATIN_STRONG for w in words) >= 2:
             return True
-        if not _KEYSTROKES.isdisjoint(words) and sum(w in _KEYSTROKES for w in words) >= 0.8 * len(words) and (len(set(words)) > 1 or len(words) > 5):
+        if not _KEYSTROKES.isdisjoint(words) and sum(w in _KEYSTROKES for w in words) >= 0.8 * n and (len(set(words)) > 1 or n > 5):
             return True
-    if len(words) >= 2 and "text" in words and set(words) <= _TEXT_WORDS:
+    if n >= 2 and "text" in words and _TEXT_WORDS.issuperset(words):
+        return True
+    if n >= 6 and words[0] in _STARTERS and len(set(zip(words[::2], words[1::2], strict=False))) == 1:
         return True
-    if len(words) >= 6 and words[0] in ("sample", "text", "dummy", "test", "example", "placeholder", "filler"):
-        if len(set(zip(words[::2], words[1::2], strict=False))) == 1:
-            return True
     return bool(_FILLER_SENTENCE.match(sentence))
 
 
-def sentences(content: str) -> list[str]:
-    """Sentences and lines without marks, tags and quoted text."""
-    # Lines of a paragraph belong together unless they are rows or headings of their own.
-    text = _TAGS.sub("\n", _QUOTED.sub(" ‧ ", content))
-    text = re.sub(r"\n(?<=[^\s.!?。：:|>]\n)(?=[a-zäöüß])", " ", text)
-    text = _MARKS.sub("", text)
-    return [s for s in (" ".join(x.split()).strip(" \t-–—*>|#") for x in _SENTENCE.split(text)) if s]
+_STARTERS = frozenset("sample text dummy test example placeholder filler".split())
+_JOINED = re.compile(r"\n(?<=[^\s.!?。：:|>]\n)(?=[a-zäöüß])")
 
 
-_WEAK = re.compile(
-    r"\b(?:[45]\d\d|failed|failure|unavailable|denied|forbidden|unauthori[sz]ed|expired|timeout|timed out|maintenance|retry|try again|log in|sign in|rate limit\w*|blocked|javascript|cookies|browser|captcha|redirect\w*"
-    r"|nicht verfügbar|versuchen sie|anmelden|no disponible|inténtelo|vuelva a)\b|稍后|重试|登录",
-    re.I,
-)
+def _unstarred(m: re.Match) -> str:
+    """Emphasis marks go, underscores inside a word stay."""
+    text, a, b = m.string, m.start(), m.end()
+    if "*" in m[0]:
+        return ""
+    before = text[a - 1] if a else " "
+    after = text[b] if b < len(text) else " "
+    inside = (before.isalnum() or before == "_") and (after.isalnum() or after == "_")
+    return m[0] if inside or (before.isspace() and after.isspace()) else ""
 
 
-_VARIES = re.compile(r"\S*[\d/]\S*")
+def sentences(content: str) -> list[str]:
+    """Sentences and lines without marks, tags and quoted text."""
+    # Lines of a paragraph belong together unless they are rows or headings of their own.
+    text = _QUOTED.sub(" ‧ ", content)
+    if "<" in text:
+        text = _TAGS.sub("\n", text)
+    text = _JOINED.sub(" ", text)
+    if not _MARKED.isdisjoint(text):
+        text = _STARS.sub(_unstarred, text)
+    out = []
+    for line in text.split("\n"):
+        start = _LINE_MARKS.match(line)
+        if start:
+            line = line[start.end() :]
+        for s in _SENTENCE.split(line) if _SENTENCE_END.search(line) else (line,):
+            s = " ".join(s.split()).strip(" \t-–—*>|#")
+            if s:
+                out.append(s)
+    return out
+
+
+_VARIES, _VARYING = re.compile(r"\S*[\d/]\S*"), re.compile(r"[\d/]")
 _IDEOGRAPH = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 _HEADING = re.compile(r"^(?:#{1,6}[ \t]+(\S.*)|<title[^<>]*>([^<>]*)</title>|<h1[^<>]*>([^<>]*)</h1>)", re.I | re.M)
 _SLUG = re.compile(r"[^\W\d_]{3,}")
@@ -240,7 +274,7 @@ def examine(text: str | None, path: str | None = None) -> dict:
     ``lines`` are its sentences as (hash, words), ``page`` the hash of all of them; ``slug_title``,
     ``slug_body`` and ``title_body`` compare words: 1 some in common, -1 none, 0 nothing to compare.
     """
-    e = {"placeholders": 0, "filler": 0, "messages": 0, "weak": False, "words": 0, "page": 0, "slug_title": 0, "slug_body": 0, "title_body": 0, "lines": []}
+    e = {"placeholders": 0, "filler": 0, "messages": 0, "words": 0, "page": 0, "slug_title": 0, "slug_body": 0, "title_body": 0, "lines": []}
     if not text or not text.strip():
         return e
     content = content_of(text)
@@ -249,23 +283,23 @@ def examine(text: str | None, path: str | None = None) -> dict:
     lines = []
     for s in sentences(content):
         low = s.lower()
-        if any(c in low for c in "0123456789/"):
-            low = _VARIES.sub(" ", low)
         words = _WORD.findall(low)
-        body.update(words)
         if _CHROME.match(s):
+            body.update(words)
             continue
         if _ERROR.match(s) or _SCRIPT.match(s):
             e["messages"] += 1
-        elif _is_filler(s) and not _TALK.search(_FILLER_SENTENCE.sub("", s)):
+        elif _is_filler(s, words) and not _TALK.search(_FILLER_SENTENCE.sub("", s)):
             e["filler"] += 1
+        if _VARYING.search(low):
+            words = _WORD.findall(_VARIES.sub(" ", low))
         if words:
+            body.update(words)
             size = len(words) if low.isascii() else max(len(words), len(_IDEOGRAPH.findall(low)) // 2)
             lines.append((xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63), size))
     e["lines"] = lines
     e["words"] = sum(n for _, n in lines)
     e["page"] = hash(tuple(sorted(h for h, _ in lines)))
-    e["weak"] = bool(_WEAK.search(content))
     heading = _HEADING.search(content)
     title = set(_WORD.findall(next(g for g in heading.groups() if g is not None).lower())) if heading else set()
     slug = set(_SLUG.findall(re.sub(r"\.\w+$", "", (path or "").rsplit("/", 1)[-1].lower())))
@@ -274,7 +308,7 @@ def examine(text: str | None, path: str | None = None) -> dict:
     return e
 
 
-_SCHEMA = "doc_id bigint, source string, placeholders int, filler int, messages int, weak boolean, words int, page bigint, slug_title int, slug_body int, title_body int, hash array<bigint>, size array<int>"
+_SCHEMA = "doc_id bigint, source string, placeholders int, filler int, messages int, words int, page bigint, slug_title int, slug_body int, title_body int, hash array<bigint>, size array<int>"
 _FIELDS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
@@ -311,7 +345,7 @@ def response_sentences(seen: DataFrame, min_copies: int = 6, page_words: int = 4
 
 
 #: What the evidence adds to a page's score (fixed weights); a response has 1 or more.
-SHARE, FILLED, SLUG_TITLE, SLUG_BODY, TITLE_BODY, WEAK = 1.5, 1.5, 0.1, 0.3, 0.05, 0.2
+SHARE, FILLED, SLUG_TITLE, SLUG_BODY, TITLE_BODY = 1.5, 1.5, 0.1, 0.3, 0.05
 
 
 def scored(seen: DataFrame) -> DataFrame:
@@ -325,7 +359,6 @@ def scored(seen: DataFrame) -> DataFrame:
         SHARE * F.col("response")
         + F.when(F.col("placeholders") > 0, FILLED).otherwise(0.0)
         - SLUG_TITLE * F.col("slug_title") - SLUG_BODY * F.col("slug_body") - TITLE_BODY * F.col("title_body")
-        + F.when(F.col("weak") & (F.col("response") > 0), WEAK).otherwise(0.0)
     )
     return out.withColumn("response", share).withColumn("score", score).withColumn("copies", F.coalesce("copies", F.lit(1)))
 
