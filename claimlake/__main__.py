@@ -52,6 +52,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command in ("explain", "index") and not first:
         print(f"{args.command} needs a name", file=sys.stderr)
         return 2
+    run = None
     try:
         config = E.Config.load(root)
         if args.command == "init":
@@ -66,7 +67,10 @@ def main(argv: list[str] | None = None) -> int:
                 print(f"{r.line}\t{r.kind}\t{r.confidence}\t{r.status}\t{r.text}\t{r.message if r.status == 'missing' else ''}")
             return 0
         if args.command == "index":
-            run.index(first[0]).show(10_000, truncate=False)
+            table = run.index(first[0])
+            print("\t".join(table.columns))
+            for r in table.toLocalIterator():
+                print("\t".join("" if v is None else str(v) for v in r))
             return 0
         if args.command == "coverage":
             rows = [r.asDict() for r in run.coverage.orderBy("grp").collect()]
@@ -98,6 +102,9 @@ def main(argv: list[str] | None = None) -> int:
     except ValueError as wrong:
         print(wrong, file=sys.stderr)
         return 2
+    finally:
+        if run is not None:
+            run.close()
 
 
 if __name__ == "__main__":

@@ -23,7 +23,7 @@ def fence_blocks(lines: DataFrame, key: str = "path") -> DataFrame:
     is a line of backquotes with another one behind them. Only the marked lines of a page meet in one row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    mark, info = F.regexp_extract(text, _FENCE, 1), F.trim(F.regexp_extract(text, _FENCE, 2))
+    mark, info = F.regexp_extract(text, _FENCE, 1), F.regexp_replace(F.regexp_extract(text, _FENCE, 2), "^\\s+|\\s+$", "")
     seen = lines.where(text.rlike(_FENCE)).select(key, F.struct(
         F.col("line").cast("int").alias("line"), F.substring(mark, 1, 1).alias("ch"), F.length(mark).alias("n"), info.alias("info"),
     ).alias("m"))

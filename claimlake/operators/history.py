@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlake.session import materialise
+
 
 def section_times(ranges: DataFrame, blame: DataFrame) -> DataFrame:
     """(path, title, start_line, end_line, edited): the newest line of a section; none if a line is missing or uncommitted."""
@@ -83,14 +85,16 @@ def stale_comments(spans: DataFrame, blame: DataFrame, min_commits: int = 2, min
     return grouped.where("n_known = body_lines").where(due & (F.col("newer_lines") > 0)).select("file", "full_name", "decl_line", "newer_lines", "body_lines", "n_commits")
 
 
-def collapse_renames(renames: DataFrame, max_steps: int = 32) -> DataFrame:
-    """(old, new): chains of renames followed to their end; the newest rename of a name wins.
+def collapse_renames(renames: DataFrame) -> DataFrame:
+    """(old, new): chains of renames followed to their end, however long; the newest rename of a name wins.
 
-    ``renames``: old, new, ts. Pointer jumping: the longest chain halves with every join, cycles stop.
+    ``renames``: old, new, ts. Pointer jumping: the longest chain halves with every join, so as many joins as the
+    number of renames has binary digits reach every end; cycles stop.
     """
     first = Window.partitionBy("old").orderBy(F.desc("ts"), "new")
     step = renames.withColumn("n", F.row_number().over(first)).where("n = 1 and old <> new").select("old", "new")
-    for _ in range(max(1, max_steps.bit_length())):
+    step = materialise(step, "renames")
+    for _ in range(step.count().bit_length()):
         nxt = step.select(F.col("old").alias("mid"), F.col("new").alias("far"))
         step = step.join(nxt, F.col("new") == F.col("mid"), "left").select("old", F.when(F.col("far").isNull() | (F.col("far") == F.col("old")), F.col("new")).otherwise(F.col("far")).alias("new"))
     return step

@@ -59,8 +59,8 @@ def first_mismatch(pairs: DataFrame, digests: DataFrame, part: str, rule: str, e
     return counts.unionByName(places)
 
 
-def set_differences(pairs: DataFrame, digests: DataFrame, part: str, rule: str, key: Column | None = None, most: int = 10) -> DataFrame:
-    """(source, translation, rule, side, missing): what only one side has, at most ``most`` listed."""
+def set_differences(pairs: DataFrame, digests: DataFrame, part: str, rule: str, key: Column | None = None, most: int | None = 10) -> DataFrame:
+    """(source, translation, rule, side, missing): what only one side has, at most ``most`` listed (all without it)."""
     s = digests.select(F.col("path").alias("source"), F.col(part).alias("a"))
     t = digests.select(F.col("path").alias("translation"), F.col(part).alias("b"))
     both = pairs.select("source", "translation").join(s, "source").join(t, "translation")
@@ -70,7 +70,7 @@ def set_differences(pairs: DataFrame, digests: DataFrame, part: str, rule: str,
             F.struct(F.lit("translation").alias("side"), F.array_sort(F.array_except("b", "a")).alias("missing")),
         )
     ).alias("d")
-    return both.select("source", "translation", sides).select("source", "translation", F.lit(rule).alias("rule"), "d.side", F.slice("d.missing", 1, most).alias("missing")).where("size(missing) > 0")
+    return both.select("source", "translation", sides).select("source", "translation", F.lit(rule).alias("rule"), "d.side", (F.col("d.missing") if most is None else F.slice("d.missing", 1, most)).alias("missing")).where("size(missing) > 0")
 
 
 def lag(pairs: DataFrame, commits: DataFrame, most: int = 5) -> DataFrame:
@@ -93,9 +93,9 @@ def compare(pairs: DataFrame, digests: DataFrame) -> DataFrame:
     ordered = [
         first_mismatch(pairs, digests, "levels", "pair-heading").select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "at", "was", "found").alias("detail")),
         first_mismatch(pairs, digests, "codes", "pair-code", every=True).select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "at", "was", "found").alias("detail")),
-        set_differences(pairs, digests, "links", "pair-link", most=10_000).select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "side", F.array_join("missing", ",")).alias("detail")),
+        set_differences(pairs, digests, "links", "pair-link", most=None).select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "side", F.array_join("missing", ",")).alias("detail")),
         first_mismatch(pairs, digests, "tables", "pair-table").select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "at", "was", "found").alias("detail")),
-        set_differences(pairs, digests, "numbers", "pair-number").select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "side", F.array_join("missing", ",")).alias("detail")),
+        set_differences(pairs, digests, "numbers", "pair-number", most=None).select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "side", F.array_join("missing", ",")).alias("detail")),
     ]
     out = ordered[0]
     for more in ordered[1:]:

@@ -69,7 +69,7 @@ def doc_lines_split(spark: SparkSession, d: str) -> DataFrame:
 def fence_sql(indent: str = " {0,3}") -> str:
     """SQL for ``lines`` (path, line, text) as ``marked``: the state of the fences, mark by mark, by recursion."""
     rx = f"^{indent}(`{{3,}}|~{{3,}})(.*)$"
-    return f"""marks AS (SELECT path, line, substring(m, 1, 1) AS ch, length(m) AS n, trim(info) AS info, row_number() OVER (PARTITION BY path ORDER BY line) AS k
+    return f"""marks AS (SELECT path, line, substring(m, 1, 1) AS ch, length(m) AS n, regexp_replace(info, '^\\s+|\\s+$', '', 'g') AS info, row_number() OVER (PARTITION BY path ORDER BY line) AS k
     FROM (SELECT path, line, regexp_extract(text, '{rx}', 1) AS m, regexp_extract(text, '{rx}', 2) AS info FROM lines) WHERE m <> ''),
   walk(path, k, line, ch, n, act, lang) AS (
     SELECT path, k, line, CASE WHEN ch = '`' AND contains(info, '`') THEN '' ELSE ch END, n, CASE WHEN ch = '`' AND contains(info, '`') THEN 0 ELSE 1 END, regexp_extract(info, '^([A-Za-z0-9_+-]*)', 1) FROM marks WHERE k = 1

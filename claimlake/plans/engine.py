@@ -1,7 +1,9 @@
 """The check of one repository, from its tree to ordered findings.
 
 Dimensions first, extraction second, resolution as joins; then history, pairs, coverage, rule-scoped ignores,
-baseline and order, in that sequence. Every step is a DataFrame, nothing is collected before the report.
+baseline and order, in that sequence. What several steps read (documents, tokens, facts, claims, verdicts) is
+written once to the shared folder and read back, so every later plan starts from a small table; :meth:`Engine.close`
+deletes what was written.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from claimlake.operators import history as H
 from claimlake.operators import ledger as L
 from claimlake.operators import pairs as P
 from claimlake.operators import resolve as R
+from claimlake.session import materialise, remove_shared
 from claimlake.sources import facts as S
-from claimlake.sources import repo, tokens
+from claimlake.sources import remote, repo, tokens
 
 CONFIG_NAME = ".claimlake.json"
 BASELINE_SCHEMA = "fingerprint string, rule string, file string, message string"
@@ -44,6 +47,8 @@ class Config:
     min_days: int = 90
     git: bool = True
     coverage: bool = True
+    urls: bool = False
+    siblings: list[str] = field(default_factory=list)
     fail_on: str = "error"
     baseline: str = ".claimlake-baseline.json"
 
@@ -74,10 +79,26 @@ class Engine:
         self.spark, self.root = spark, str(Path(root).resolve())
         self.config = config or Config.load(self.root)
         self.changed_only, self.base = changed_only, base
+        self._written: list[str] = []
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        table = materialise(rows, f"check-{name}")
+        self._written += table.inputFiles()[:1]
+        return table
+
+    def close(self) -> None:
+        """Delete the tables this check has written."""
+        for file in self._written:
+            remove_shared(self.spark, file.rpartition("/")[0])
+        self._written.clear()
 
     @cached_property
     def documents(self) -> DataFrame:
-        return repo.documents(self.spark, self.root, self.config.docs, self.config.exclude, self.config.max_file_mb)
+        return self._kept(repo.documents(self.spark, self.root, self.config.docs, self.config.exclude, self.config.max_file_mb), "documents")
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        return self._kept(repo.sources(self.spark, self.root, self.config.exclude, self.config.max_file_mb), "sources")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -86,15 +107,27 @@ class Engine:
     @cached_property
     def tokens(self) -> DataFrame:
         """One pass over the documents; kept, because every claim kind reads it."""
-        return tokens.token_table(self.documents).persist()
+        return self._kept(tokens.token_table(self.documents), "tokens")
 
     @cached_property
     def facts(self) -> DataFrame:
-        return S.fact_table(repo.sources(self.spark, self.root, self.config.exclude, self.config.max_file_mb)).persist()
+        return self._kept(S.fact_table(self.sources), "facts")
+
+    @cached_property
+    def symbol_keys(self) -> DataFrame:
+        return self._kept(S.symbol_keys(self.facts), "symbols")
+
+    @cached_property
+    def digests(self) -> DataFrame:
+        return self._kept(D.structure_digest(self.lines), "digests")
+
+    @cached_property
+    def versioned(self) -> bool:
+        return self.config.git and repo.head(self.root) is not None
 
     @cached_property
     def files(self) -> DataFrame:
-        return repo.files(self.spark, self.root, self.config.exclude)
+        return self._kept(repo.files(self.spark, self.root, self.config.exclude), "files")
 
     @cached_property
     def project(self) -> dict:
@@ -107,7 +140,7 @@ class Engine:
 
         named = self.tokens.where("kind = 'heading'").select("path", "line", "level", F.col("text").alias("title"), F.coalesce("target", T.slug("text")).alias("base"))
         again = F.row_number().over(Window.partitionBy("path", "base").orderBy("line")) - 1
-        return named.select("path", "line", "level", "title", F.when(again == 0, F.col("base")).otherwise(F.concat_ws("-", "base", again)).alias("slug"))
+        return self._kept(named.select("path", "line", "level", "title", F.when(again == 0, F.col("base")).otherwise(F.concat_ws("-", "base", again)).alias("slug")), "headings")
 
     @cached_property
     def anchors(self) -> DataFrame:
@@ -118,9 +151,11 @@ class Engine:
     @cached_property
     def config_keys(self) -> DataFrame:
         """Dotted keys of sample files and struct tags; every prefix is a key."""
-        listed = [p for g in self.config.config_samples for p in Path(self.root).glob(g) if p.is_file() and p.stat().st_size < 1 << 20]
-        keys = sorted({k for p in listed for k in repo.json_keys(p.read_text(errors="replace"))})
-        return self.spark.createDataFrame([(k,) for k in keys], "key string").unionByName(self.facts.where("kind = 'key'").select(F.col("name").alias("key"))).distinct()
+        samples = repo.sample_keys(self.spark, self.root, self.config.config_samples, self.config.exclude)
+        tags = self.facts.where("kind = 'tag'").select(F.col("owner").alias("type"), F.col("name").alias("tag"), F.col("value").alias("child"))
+        roots = tags.select("type").distinct().join(tags.select(F.col("child").alias("type")).distinct(), "type", "left_anti")
+        single = self.facts.where("kind in ('key', 'tag')").select(F.col("name").alias("key"))
+        return self._kept(samples.unionByName(single).unionByName(S.key_paths(tags, roots)).distinct(), "keys")
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -128,16 +163,26 @@ class Engine:
         if self.changed_only:
             changed = repo.changed(self.spark, self.root, self.base)
             toks, lines = H.changed_only(toks, changed), H.changed_only(lines, changed)
-        return X.claims(toks, lines, self.config.ignore, self.config_keys).persist()  # every resolver reads it
+        return self._kept(X.claims(toks, lines, self.config.ignore, self.config_keys), "claims")
 
     @cached_property
     def verdicts(self) -> DataFrame:
-        dims = {"files": self.files, "facts": self.facts, "symbol_keys": S.symbol_keys(self.facts), "anchors": self.anchors, "config_keys": self.config_keys}
-        return R.resolve(self.claims, dims, self.project, self.config.min_confidence).persist()
+        keys, facts = self.symbol_keys, self.facts
+        for root in self.config.siblings:
+            # What a package beside this repository exports is known, too.
+            other = S.fact_table(repo.sources(self.spark, str(Path(self.root, root).resolve()), self.config.exclude, self.config.max_file_mb))
+            keys = keys.unionByName(S.symbol_keys(other.where("exported")))
+        heads = keys.select(F.regexp_extract("full", "^([A-Za-z_]\\w*)", 1).alias("head")).distinct()
+        dims = {"files": self.files, "facts": facts, "symbol_keys": keys, "anchors": self.anchors, "config_keys": self.config_keys, "external": X.external_names(self.tokens, heads)}
+        if self.versioned:
+            dims["renames"] = H.collapse_renames(repo.renames(self.spark, self.root))
+        if self.config.urls:
+            dims["probed"] = remote.probe(self.claims.where("kind = 'url'").select(F.col("norm").alias("url")))
+        return self._kept(R.resolve(self.claims, dims, self.project, self.config.min_confidence), "verdicts")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return P.detect(self.documents.select("path"))
+        return self._kept(P.detect(self.documents.select("path")), "pairs")
 
     def _with_ledger_columns(self, rows: DataFrame) -> DataFrame:
         """Findings without a claim: rule, severity, message, file, line and the parts of their identity in ``norm``."""
@@ -148,7 +193,7 @@ class Engine:
 
     @cached_property
     def pair_findings(self) -> DataFrame:
-        drift = P.compare(self.pairs, D.structure_digest(self.lines))
+        drift = P.compare(self.pairs, self.digests)
         level = F.when(F.col("rule") == "pair-number", "info").otherwise("warning")
         drift = drift.select("rule", level.alias("severity"), F.concat_ws(": ", F.lit("differs from its source"), "detail").alias("message"), F.col("path").alias("file"), F.lit(0).alias("line"), F.col("detail").alias("norm"))
         gap = P.gaps(self.documents.select("path"), self.pairs)
@@ -158,35 +203,44 @@ class Engine:
     @cached_property
     def coverage(self) -> DataFrame:
         mentioned = L.mention_set(self.verdicts.where("kind in ('symbol', 'flag', 'env')")).select(F.col("norm").alias("name"))
-        surface = S.exported_surface(self.facts)
-        surface = surface.withColumns({"name": F.when(F.col("kind") == "flag", T.flag_key("name")).otherwise(F.col("name")), "alias": F.when(F.col("kind") == "flag", T.flag_key("alias")).otherwise(F.col("alias"))})
-        return L.coverage(surface, mentioned)
+        return L.coverage(self.surface, mentioned)
 
     @cached_property
     def stale_findings(self) -> DataFrame | None:
         """Sections older than the files they cite; None without version control."""
-        if not self.config.git or repo.head(self.root) is None:
+        if not self.versioned:
             return None
-        paths = [r["path"] for r in self.documents.select("path").collect()]  # names of one repository's documents
-        blame = repo.blame(self.spark, self.root, paths)
         ranges = D.section_ranges(self.headings, self.lines)
         refs = self.verdicts.where("status = 'ok' and kind = 'path'").select("path", "line", F.col("norm").alias("file"))
         refs = H.drop_mates(refs, self.pairs)
+        bodies = self.doc_bodies.select(F.col("key").alias("norm"), "full_name", "file", "body_start", "body_end").distinct()
+        cited = self.verdicts.where("status = 'ok' and kind = 'symbol'").select("path", "line", "norm").join(bodies, "norm").drop("norm")
+        symbols = ranges.join(cited, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("path", "title", "start_line", "full_name", "file", "body_start", "body_end").distinct()
+        names = self.documents.select("path").unionByName(cited.select(F.col("file").alias("path"))).distinct()
+        blame = self._kept(repo.blame(self.spark, self.root, names), "blame")
         times = H.section_times(ranges, blame)
-        rows = H.stale_findings(times, H.section_files(ranges, refs), repo.commits(self.spark, self.root), min_churn=self.config.min_churn, min_days=self.config.min_days)
+        rows = H.stale_findings(times, H.section_files(ranges, refs), repo.commits(self.spark, self.root), symbols, blame, min_churn=self.config.min_churn, min_days=self.config.min_days)
         message = F.format_string("section %s: %s changed in %d newer commits, last %s", F.col("title"), F.col("what"), F.col("n_commits"), F.date_format("latest", "yyyy-MM-dd"))
         return self._with_ledger_columns(rows.select("rule", F.lit("warning").alias("severity"), message.alias("message"), F.col("path").alias("file"), F.col("start_line").alias("line"), T.slug("title").alias("norm")))
 
+    @cached_property
+    def doc_bodies(self) -> DataFrame:
+        """(key, full_name, file, body_start, body_end): where the body of each spelling of a function lies."""
+        bodies = self.facts.where("kind in ('func', 'method', 'type')").select("file", "line", F.col("line").alias("body_start"), F.col("end_line").alias("body_end"))
+        return self.symbol_keys.join(bodies, ["file", "line"]).select("key", F.col("full").alias("full_name"), "file", "body_start", "body_end")
+
     @cached_property
     def comment_findings(self) -> DataFrame:
         """Comments naming what does not exist, and with version control comments older than their code."""
-        sources = repo.sources(self.spark, self.root, self.config.exclude, self.config.max_file_mb)
-        spans = S.doc_spans(sources).persist()
-        named = C.mentions(spans, sources, S.symbol_keys(self.facts), self.facts.where("kind = 'literal'"))
+        spans = self._kept(S.doc_spans(self.sources), "spans")
+        beside = None
+        for root in self.config.siblings:
+            words = C.words_of(repo.sources(self.spark, str(Path(self.root, root).resolve()), self.config.exclude, self.config.max_file_mb))
+            beside = words if beside is None else beside.unionByName(words)
+        named = C.mentions(spans, self.sources, self.symbol_keys, self.facts.where("kind = 'literal'"), beside)
         rows = named.select(F.lit("comment-mentions-missing").alias("rule"), F.lit("warning").alias("severity"), F.format_string("comment of %s names %s", "full_name", "token").alias("message"), "file", "line", F.concat_ws("|", "full_name", "token").alias("norm"))
-        if self.config.git and repo.head(self.root) is not None:
-            paths = [r["file"] for r in spans.select("file").distinct().collect()]  # names of one repository's sources
-            old = H.stale_comments(spans.where("exported"), repo.blame(self.spark, self.root, paths))
+        if self.versioned:
+            old = H.stale_comments(spans.where("exported"), repo.blame(self.spark, self.root, spans.select(F.col("file").alias("path")).distinct()))
             rows = rows.unionByName(old.select(F.lit("stale-comment").alias("rule"), F.lit("info").alias("severity"), F.format_string("comment of %s is older than %d of %d lines", "full_name", "newer_lines", "body_lines").alias("message"), "file", F.col("decl_line").alias("line"), F.col("full_name").alias("norm")))
         return self._with_ledger_columns(rows)
 
@@ -197,12 +251,25 @@ class Engine:
 
     @cached_property
     def lag_findings(self) -> DataFrame | None:
-        if not self.config.git or repo.head(self.root) is None:
+        if not self.versioned:
             return None
         rows = P.lag(self.pairs, repo.commits(self.spark, self.root))
         message = F.format_string("source has %d newer commits: %s", F.col("n_newer"), F.array_join("subjects", "; "))
         return self._with_ledger_columns(rows.select(F.lit("pair-lag").alias("rule"), F.lit("warning").alias("severity"), message.alias("message"), F.col("translation").alias("file"), F.lit(0).alias("line"), F.lit("lag").alias("norm")))
 
+    @cached_property
+    def undocumented_findings(self) -> DataFrame:
+        """What others may use and no document mentions, one note each."""
+        said = L.mention_set(self.verdicts.where("kind in ('symbol', 'flag', 'env')")).select(F.col("norm").alias("name"))
+        surface = self.surface
+        rows = L.undocumented(L.coverage(surface, said), surface)
+        return self._with_ledger_columns(rows.select("rule", "severity", F.format_string("%s is not mentioned in any document", F.col("name")).alias("message"), "file", "line", F.concat_ws("|", "grp", "name").alias("norm")))
+
+    @cached_property
+    def surface(self) -> DataFrame:
+        out = S.exported_surface(self.facts)
+        return out.withColumns({"name": F.when(F.col("kind") == "flag", T.flag_key("name")).otherwise(F.col("name")), "alias": F.when(F.col("kind") == "flag", T.flag_key("alias")).otherwise(F.col("alias"))})
+
     @cached_property
     def more_coverage(self) -> DataFrame:
         """(grp, total, documented, missing) of routes and leaf configuration keys, all languages."""
@@ -232,6 +299,9 @@ class Engine:
         """Ordered findings after ignores, severity overrides and the baseline."""
         parts = [self._unignored(R.findings(self.verdicts)), self.comment_findings, self.example_findings, self.pair_findings]
         parts += [p for p in (self.stale_findings, self.lag_findings) if p is not None]
+        if self.config.coverage:
+            parts.append(self.undocumented_findings)
+        parts = [self._kept(p, "findings") for p in parts]
         every = reduce(DataFrame.unionByName, parts)
         ranges = D.ignore_ranges(self.lines)
         every = D.drop_ignored(every.withColumnRenamed("file", "path"), ranges).withColumnRenamed("path", "file")
@@ -241,7 +311,7 @@ class Engine:
 
     def _unignored(self, found: DataFrame) -> DataFrame:
         """Missing paths that version control ignores are no findings."""
-        if not self.config.git or repo.head(self.root) is None:
+        if not self.versioned:
             return found
         hidden = repo.ignored_names(found.where("rule in ('missing-path', 'missing-command')"), self.root)
         return found.join(hidden, found["norm"].eqNullSafe(hidden["norm"]) & found["rule"].isin("missing-path", "missing-command"), "left_anti")

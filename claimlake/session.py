@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,7 +58,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one written table."""
-    return f"{shared_dir(spark).rstrip('/')}/claimlake-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/claimlake-{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+#: Paths made by the operators that are running, innermost last.
+_MADE: list[list[str]] = []
+
+
+def settled(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For operators that write tables on their way: the result is written, too, and all other tables are deleted.
+
+    So an operator leaves one table behind, and nothing if it fails.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(*args: object, **options: object) -> DataFrame:
+            made: list[str] = []
+            _MADE.append(made)
+            kept = None
+            spark = next((a.sparkSession for a in args if isinstance(a, DataFrame)), None) or SparkSession.active()
+            try:
+                result = materialise(operator(*args, **options), name)
+                kept = made[-1]
+                return result
+            finally:
+                _MADE.pop()
+                for path in made:
+                    if path != kept:
+                        remove_shared(spark, path)
+                if kept and _MADE:
+                    _MADE[-1].append(kept)
+
+        return run
+
+    return wrap
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -11,9 +11,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.session import materialise
+
 SCHEMA = "file string, lang string, kind string, name string, owner string, value string, line int, end_line int, exported boolean"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 LANG_OF = {"go": "go", "py": "py", "rs": "rust", "js": "js", "jsx": "js", "mjs": "js", "ts": "js", "tsx": "js", "cs": "csharp", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "odin": "odin"}
@@ -75,6 +77,16 @@ _USES = {
     "odin": (("env", r"\bos\.get_env\(\s*\"(?P<name>\w+)\""),),
 }
 _USE = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in _USES.items()}
+#: Marks of types whose members cannot be listed from their text, by language.
+_OPAQUE = {
+    "py": re.compile(r"\bdef\s+__getattr(?:ibute)?__\b|\bsetattr\(\s*(?:self|cls)\b"), "js": re.compile(r"^\s*(?:readonly\s+)?\[\w+\s*:\s*(?:string|number|symbol)\]\s*:|\bnew\s+Proxy\("),
+    "csharp": re.compile(r":\s*DynamicObject\b|\bTryGetMember\b"), "go": re.compile(r"^\s*\*?\w+\.\w+\s*(?:`.*)?$"), "rust": re.compile(r"^\s*(?:type\s+Target\s*=|#\[delegate)"), "c": re.compile(r"^\s*[A-Z][A-Z0-9_]+\([^;]*\)\s*$"),
+}
+#: What a module passes on under its own name: the items and where they come from.
+_PASSED_ON = {
+    "py": re.compile(r"^from\s+(?P<module>\.+[\w.]*)\s+import\s+\(?(?P<items>[^()#]+)"), "js": re.compile(r"^\s*export\s+(?:type\s+)?(?P<items>\*|\{[^}]*\})\s+from\s+[\"'](?P<module>\.[^\"']*)[\"']"),
+    "rust": re.compile(r"^\s*pub\s+use\s+(?P<module>(?:\w+::)*\w+)::(?P<items>\*|\{[^}]*\}|\w+(?:\s+as\s+\w+)?)\s*;"),
+}
 _LITERAL = re.compile(r"\"([A-Za-z0-9_./:{}*$@+<>~%-]{2,80})\"|'([A-Za-z0-9_./:{}*$@+<>~%-]{2,80})'")
 _VERBS = frozenset("if for while switch catch return else do new throw await match loop using lock foreach with".split())
 
@@ -133,7 +145,7 @@ def _brace_declarations(rows: list[str], lang: str) -> Iterator[tuple[str, str,
                     continue
                 owner = (m.groupdict().get("owner") or "") or ".".join(name for _, name, is_type in scopes if is_type and name)
                 end, level = n, 0
-                for k in range(n - 1, min(len(rows), n + 5000)):
+                for k in range(n - 1, len(rows)):
                     level += rows[k].count("{") - rows[k].count("}")
                     if level <= 0 and ("}" in rows[k] or ";" in rows[k] and k > n - 1 or k == n - 1 and "{" not in rows[k]):
                         end = k + 1
@@ -149,6 +161,75 @@ def _brace_declarations(rows: list[str], lang: str) -> Iterator[tuple[str, str,
             scopes.append((depth, name, is_type))
 
 
+_GO_GROUP = re.compile(r"^(const|var|type)\s*\(\s*$")
+_GO_BODY = re.compile(r"^\s*(?:type\s+)?(\w+)(?:\[[^\]]*\])?\s+(struct|interface)\s*\{\s*$")
+_GO_FIELD = re.compile(r"^\s+(\w+(?:\s*,\s*\w+)*)\s+((?:\[\w*\]|\*|map\[\w+\])*)([\w.]+|func\(|chan\b|interface\b|struct\b)")
+_GO_TAG = re.compile(r"`[^`]*\b(?:json|yaml|toml):\"([\w.-]+)")
+
+
+def _go_members(rows: list[str], raw: list[str]) -> Iterator[tuple[str, str, str, str | None, int]]:
+    """(kind, name, owner, value, line) of what declarations hold: grouped names, fields with their tags, interface methods."""
+    group, owner, form, level = "", "", "", 0
+    for n, line in enumerate(rows, 1):
+        opens = _GO_GROUP.match(line)
+        body = _GO_BODY.match(line) if not owner else None
+        if opens:
+            group = opens[1]
+        elif group and line.startswith(")"):
+            group = ""
+        elif body and (group == "type" or line.startswith("type")):
+            if group:
+                yield "type", body[1], "", None, n
+            owner, form, level = body[1], body[2], 0
+        elif owner and level == 1:
+            if form == "interface":
+                m = re.match(r"^\s+(\w+)\(", line)
+                if m:
+                    yield "method", m[1], owner, None, n
+            else:
+                m = _GO_FIELD.match(line)
+                for name in re.split(r"\s*,\s*", m[1]) if m else ():
+                    yield "field", name, owner, None, n
+                tag = _GO_TAG.search(raw[n - 1])
+                if m and tag and tag[1] != "-":
+                    yield "tag", tag[1], owner, m[3].rpartition(".")[2], n
+        elif group in ("const", "var") and not owner:
+            m = re.match(r"^\t(\w+(?:\s*,\s*\w+)*)", line)
+            for name in re.split(r"\s*,\s*", m[1]) if m else ():
+                yield "const", name, "", None, n
+        elif group == "type" and not owner and (m := re.match(r"^\t(\w+)(?:\[[^\]]*\])?\s+\S", line)):
+            yield "type", m[1], "", None, n
+        if owner:
+            level += line.count("{") - line.count("}")
+            if level <= 0:
+                owner = ""
+
+
+def _passed_on(file: str, lang: str, module: str, line: str) -> Iterator[tuple[str, str, str]]:
+    """(bound name or ``*``, item, module it comes from) of a line that re-exports."""
+    m = _PASSED_ON[lang].match(line)
+    if not m or lang == "py" and not file.endswith("__init__.py"):
+        return
+    here = file.rpartition("/")[0].split("/") if "/" in file else []
+    if lang == "py":
+        up = len(m["module"]) - len(m["module"].lstrip("."))
+        source = ".".join([*here[: len(here) - up + 1], *filter(None, m["module"].lstrip(".").split("."))])
+    elif lang == "js":
+        parts = list(here)
+        for x in m["module"].split("/"):
+            parts = parts[:-1] if x == ".." else parts if x in (".", "") else [*parts, re.sub(r"\.(?:m?js|tsx?|jsx)$", "", x)]
+        source = ".".join(parts)
+    else:
+        first, *rest = m["module"].split("::")
+        top = here[: here.index("src") + 1] if "src" in here else here[:1]
+        base = top if first == "crate" else module.split("::") if first == "self" else module.split("::")[:-1] if first == "super" else [*module.split("::"), first]
+        source = "::".join([*base, *rest])
+    for item in re.split(r"\s*,\s*", m["items"].strip("{} \t\n")):
+        name, _, bound = re.sub(r"\s+as\s+", "\x00", item.strip()).partition("\x00")
+        if name:
+            yield bound or name, name, source
+
+
 def scan(file: str, text: str) -> list[tuple]:
     """All facts of one source file."""
     lang = LANG_OF.get(file.rsplit(".", 1)[-1].lower())
@@ -164,8 +245,23 @@ def scan(file: str, text: str) -> list[tuple]:
     elif lang in ("py", "js", "rust"):
         module = re.sub(r"(?:/(?:__init__|index|mod|lib|main))?\.\w+$", "", file).replace("/", "." if lang != "rust" else "::")
     out = [(file, lang, "module", module, "", None, 1, len(raw), True)] if module else []
+    spans = []
     for kind, name, owner, line, end, row in declared:
         out.append((file, lang, kind, name, owner or "", module, line, end, _exported(name, raw[line - 1] if line <= len(raw) else row, lang)))
+        if kind == "type":
+            spans.append((line, end, name))
+    if lang == "go":
+        seen = {(r[2], r[3], r[4]) for r in out}
+        for kind, name, owner, value, line in _go_members(rows, raw):
+            if (kind, name, owner) not in seen:
+                out.append((file, lang, kind, name, owner, value if kind == "tag" else module, line, line, name[:1].isupper()))
+    for n, line in enumerate(rows, 1):
+        if lang in _PASSED_ON and ("export" in line or "use" in line or "from" in line):
+            out += [(file, lang, "reexport", bound, item, f"{module}|{source}", n, n, True) for bound, item, source in _passed_on(file, lang, module, raw[n - 1])]
+        if lang in _OPAQUE and _OPAQUE[lang].search(line):
+            around = [s for s in spans if s[0] <= n <= s[1]]
+            if around:
+                out.append((file, lang, "opaque", max(around)[2], "", None, n, n, True))
     for n, line in enumerate(raw, 1):
         for kind, pattern in _USE[lang]:
             for m in pattern.finditer(line):
@@ -190,7 +286,7 @@ def fact_table(sources: DataFrame) -> DataFrame:
     return sources.select("file", "text").mapInPandas(_fact_batches, SCHEMA)
 
 
-SYMBOL_KINDS = ("func", "method", "type", "const", "macro", "property", "module")
+SYMBOL_KINDS = ("func", "method", "type", "const", "macro", "property", "module", "field")
 
 
 def symbol_keys(facts: DataFrame) -> DataFrame:
@@ -204,7 +300,29 @@ def symbol_keys(facts: DataFrame) -> DataFrame:
     package = F.replace(join(last, F.col("owner"), F.col("name")), F.lit("."), sep)
     named = s.select("lang", "kind", "file", "line", "exported", "name", full.alias("full"), short.alias("short"), package.alias("package"))
     keys = F.array_distinct(F.array("full", "short", "package", "name"))
-    return named.select(F.explode(keys).alias("key"), "lang", "full", "kind", "file", "line", "exported")
+    own = named.select(F.explode(keys).alias("key"), "lang", "full", "kind", "file", "line", "exported")
+    return own.unionByName(_passed_on_keys(facts, named.withColumn("module", s_module(F.col("full"), F.col("short")))))
+
+
+def s_module(full: Column, short: Column) -> Column:
+    """What stands before a symbol's own name."""
+    return F.when(full == short, "").otherwise(F.regexp_replace(F.substring(full, F.lit(1), F.length(full) - F.length(short)), "[.:]+$", ""))
+
+
+def _passed_on_keys(facts: DataFrame, named: DataFrame) -> DataFrame:
+    """Spellings under the modules that pass a symbol on, through any number of modules that pass on everything."""
+    lines = facts.where("kind = 'reexport'").select("lang", F.col("name").alias("bound"), F.col("owner").alias("item"), F.substring_index("value", "|", 1).alias("module"), F.substring_index("value", "|", -1).alias("target"))
+    whole = lines.where("item = '*'").select("module", "target")
+    through = reexport_closure(whole).select("module", F.col("origin").alias("target"))
+    stars = through.join(named.where("kind <> 'module'").withColumnRenamed("module", "target"), "target").select("module", F.col("short").alias("bound"), "lang", "full", "kind", "file", "line", "exported")
+    single = lines.where("item <> '*'").join(named.select(F.col("module").alias("target"), F.col("name").alias("item"), "full", "kind", "file", "line", "exported"), ["target", "item"])
+    single = single.select("module", "bound", "lang", "full", "kind", "file", "line", "exported")
+    again = through.withColumnsRenamed({"module": "top", "target": "module"}).join(single, "module").drop("module").withColumnRenamed("top", "module")
+    every = stars.unionByName(single).unionByName(again.select(*single.columns))
+    sep = F.when(F.col("lang") == "rust", "::").otherwise(".")
+    last = F.regexp_extract("module", "([^.:]+)$", 1)
+    keys = F.array_distinct(F.array(F.concat("module", sep, "bound"), F.concat(last, sep, "bound"), F.col("bound")))
+    return every.select(F.explode(keys).alias("key"), "lang", "full", "kind", "file", "line", "exported")
 
 
 def exported_surface(facts: DataFrame) -> DataFrame:
@@ -261,33 +379,30 @@ def doc_spans(sources: DataFrame) -> DataFrame:
     return sources.select("file", "text").mapInPandas(run, DOC_SCHEMA)
 
 
-def reexport_closure(edges: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(module, origin): what a module offers through re-exports (``pub use x::*``, ``export *``), depth by depth, cycles ignored.
+def reexport_closure(edges: DataFrame) -> DataFrame:
+    """(module, origin): what a module offers through re-exports (``pub use x::*``, ``export *``), to any depth, cycles ignored.
 
-    ``edges``: module, target. Stops as soon as a step adds nothing.
+    ``edges``: module, target. Stops as soon as a step adds nothing; every pair is followed once.
     """
     step = edges.select("module", F.col("target").alias("origin")).where("module <> target").distinct()
     known = step
-    for _ in range(max_depth - 1):
+    while not step.isEmpty():
         further = step.join(edges.select(F.col("module").alias("origin"), "target"), "origin").select("module", F.col("target").alias("origin")).where("module <> origin")
-        step = further.distinct().join(known, ["module", "origin"], "left_anti")
-        if step.isEmpty():
-            break
+        step = materialise(further.distinct().join(known, ["module", "origin"], "left_anti"), "reexports")
         known = known.unionByName(step)
     return known
 
 
-def key_paths(fields: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(key): dotted configuration keys of nested types, depth by depth, without running through a type twice.
+def key_paths(fields: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key): dotted configuration keys of nested types, to any depth, without running through a type twice.
 
     ``fields``: type, tag, child (type of the field, null for a leaf). ``roots``: type.
     """
     level = roots.select("type", F.lit("").alias("key"), F.array("type").alias("seen")).distinct()
-    out = None
-    for _ in range(max_depth):
+    out = level.select("key").limit(0)
+    while not level.isEmpty():
         nxt = level.join(fields, "type").select(F.when(F.col("key") == "", F.col("tag")).otherwise(F.concat_ws(".", "key", "tag")).alias("key"), F.col("child").alias("type"), "seen")
-        out = nxt.select("key") if out is None else out.unionByName(nxt.select("key"))
+        nxt = materialise(nxt, "keys")
+        out = out.unionByName(nxt.select("key"))
         level = nxt.where("type is not null and not array_contains(seen, type)").withColumn("seen", F.concat("seen", F.array("type")))
-        if level.isEmpty():
-            break
     return out.distinct()

@@ -115,6 +115,20 @@ def json_keys(text: str) -> dict[str, int]:
     return keys
 
 
+def sample_keys(spark: SparkSession, root: str, samples: list[str], excludes: list[str] | None = None) -> DataFrame:
+    """(key): dotted keys of all sample files, whatever their size, read in tasks."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"key": sorted({k for text in batch["text"] for k in json_keys(text)})}, dtype=object)
+
+    chosen = _scan(spark, root).where(F.array_contains(F.array(*[T.glob_matches("rel", [g], basename=False) for g in samples]), True) if samples else F.lit(False))
+    chosen = chosen.where(~_excluded(F.col("rel"), excludes if excludes is not None else EXCLUDES))
+    return chosen.select(F.decode("content", "UTF-8").alias("text")).mapInPandas(run, "key string").distinct()
+
+
 # --- version control: one repository's history through its command line -------------------------
 
 
@@ -143,8 +157,8 @@ def commits(spark: SparkSession, root: str, since: str | None = None) -> DataFra
     return frame.select("file", "hash", F.timestamp_seconds("s").alias("ts"), "subject")
 
 
-def blame(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """(file, line, hash, ts): one subprocess per file, in tasks; ts is null for lines that are not committed."""
+def blame(spark: SparkSession, root: str, paths: list[str] | DataFrame) -> DataFrame:
+    """(file, line, hash, ts): one subprocess per file, in tasks; ts is null for lines that are not committed. ``paths``: names, or a table with ``path``."""
     schema = "file string, line int, hash string, s bigint"
 
     def run(batches):
@@ -166,8 +180,8 @@ def blame(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
             frame["s"] = frame["s"].astype("Int64")
             yield frame
 
-    listed = spark.createDataFrame([(p,) for p in paths], "file string")
-    return listed.repartition(max(1, min(64, len(paths)))).mapInPandas(run, schema).select("file", "line", "hash", F.timestamp_seconds("s").alias("ts"))
+    listed = paths.select(F.col("path").alias("file")) if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "file string")
+    return listed.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, schema).select("file", "line", "hash", F.timestamp_seconds("s").alias("ts"))
 
 
 def renames(spark: SparkSession, root: str) -> DataFrame:

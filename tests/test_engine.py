@@ -64,7 +64,7 @@ func Hidden() {}
 GOLDEN = {
     ("missing-path", "pkg/srv/router.go", "error", None), ("missing-path", "docs/guid.md", "error", "docs/guide.md"), ("broken-anchor", "docs/guide.md#nope", "error", None), ("missing-symbol", "srv.Strat()", "error", "srv.Start"),
     ("unknown-flag", "--adrr", "warning", "addr"), ("unknown-env", "WIDGET_TOKN", "warning", "WIDGET_TOKEN"), ("missing-route", "GET /v2/none", "error", None), ("toolchain-mismatch", "go:1.20", "warning", "go:1.26"),
-    ("missing-target", "make deploy", "error", None), ("install-mismatch", "pip:widgt", "warning", "widget"), ("example-syntax", None, "warning", None), ("comment-mentions-missing", None, "warning", None), ("unknown-config-key", "adr", "warning", "addr"), ("default-mismatch", "The flag `--addr` defaults to `5000`.", "warning", "8080"),
+    ("undocumented", None, "info", None), ("missing-target", "make deploy", "error", None), ("install-mismatch", "pip:widgt", "warning", "widget"), ("example-syntax", None, "warning", None), ("comment-mentions-missing", None, "warning", None), ("unknown-config-key", "adr", "warning", "addr"), ("default-mismatch", "The flag `--addr` defaults to `5000`.", "warning", "8080"),
 }
 
 

@@ -172,3 +172,31 @@ def test_fences_close_with_their_own_marks(spark):
     assert [r.line for r in D.fence_marks(lines).where("not fenced").orderBy("line").collect()] == [5, 10, 11]
     assert [(r.line, r.slug) for r in D.headings(lines).collect()] == [(5, "head")]
     assert [(r.block, r.start_line, r.end_line) for r in D.fences(lines).orderBy("block").collect()] == [(1, 1, 4), (2, 6, 9), (3, 12, 13)]
+
+
+def test_settled_operators_leave_one_table(spark):
+    import glob
+
+    from claimlake import session
+
+    @session.settled("inner")
+    def inner(rows):
+        return session.materialise(session.materialise(rows, "one"), "two").where("id > 0")
+
+    @session.settled("outer")
+    def outer(rows):
+        return inner(rows).unionByName(session.materialise(rows, "three"))
+
+    @session.settled("broken")
+    def broken(rows):
+        session.materialise(rows, "four")
+        raise ValueError("no")
+
+    folder = session.shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(folder + "/claimlake-*"))
+    rows = spark.range(3)
+    assert outer(rows).count() == 5
+    with pytest.raises(ValueError, match="no"):
+        broken(rows)
+    left = set(glob.glob(folder + "/claimlake-*")) - before
+    assert len(left) == 1 and "claimlake-outer-" in left.pop()
