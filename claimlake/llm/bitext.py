@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlake.session import materialise
+from claimlake.session import materialise, settled
 
 _CODE = re.compile(r"`+([^`]+)`+")
 _NUMBER = re.compile(r"\d+(?:[.,   '’]\d{3})+(?!\d)|\d+(?:[.,]\d+)*")
@@ -386,6 +386,7 @@ def _align_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _LINKS = "pair_id bigint, source_no int, translation_no int, similarity double"
 
 
+@settled("aligned")
 def align_pairs(pairs: DataFrame, pair_sentences: DataFrame, window: int = 200, rounds: int = 2) -> DataFrame:
     """(pair_id, source_no, translation_no, similarity) of all linked sentences."""
     pages = materialise(units(pairs, pair_sentences, window), "bitext")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.session import materialise
+from claimlake.session import materialise, settled
 
 EXTENSIONS = {
     "go": "go", "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
@@ -815,6 +815,7 @@ def own_functions(source_files: DataFrame) -> DataFrame:
     return _named(scan_functions(source_files).where("has_body and not trivial"), "own")
 
 
+@settled("paired")
 def pair_functions(source_files: DataFrame) -> DataFrame:
     """Code and description of every documented function.
 

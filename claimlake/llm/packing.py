@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.session import materialise
+from claimlake.session import materialise, settled
 
 #: Ranks of the tokenizer and its public split pattern.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -172,6 +172,7 @@ def _block_packer(packer: Callable[[list[int], int], list[list[int]]]) -> Callab
     return pack_block
 
 
+@settled("packed")
 def pack_documents(
     documents: DataFrame, plans: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, block_items: int = 20_000, max_plans: int = 1000, fit: bool = True
 ) -> DataFrame:

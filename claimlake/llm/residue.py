@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlake.session import materialise
+from claimlake.session import materialise, settled
 
 #: Words that name a field to be filled in (fixed values).
 FIELD_WORDS = (
@@ -363,6 +363,7 @@ def scored(seen: DataFrame) -> DataFrame:
     return out.withColumn("response", share).withColumn("score", score).withColumn("copies", F.coalesce("copies", F.lit(1)))
 
 
+@settled("scores")
 def response_scores(documents: DataFrame) -> DataFrame:
     """(doc_id, score, response, copies, placeholders, slug_title, slug_body, title_body, residue) of every document."""
     rows = scored(evidence(documents)).withColumn("residue", F.col("score") >= 1)
@@ -370,6 +371,7 @@ def response_scores(documents: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(best).select("doc_id", "r.*")
 
 
+@settled("residues")
 def residue_evidence(documents: DataFrame) -> DataFrame:
     """Every document with residue and why: (doc_id, placeholders, filler, messages, copies, score, reason).
 
