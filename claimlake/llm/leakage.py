@@ -212,8 +212,9 @@ class LeakIndex:
                     at[ws[n - 1], w].append(n - 1)
             self.pairs[i] = dict(at)
         self.items = dict(held)
-        #: Hits an item needs before it is measured: a third of the coverage asked for, a hit standing for ``min_match`` words.
-        self.need = {i: max(1, math.ceil(coverage / 3 * len(ws) / min_match)) for i, ws in self.passage.items()}
+        #: Words that must stand in unbroken runs, and the hits an item needs for them: a run has ``min_match`` - 1 fewer hits than words.
+        self.runs = {i: 2 / 3 * coverage * len(ws) for i, ws in self.passage.items()}
+        self.need = {i: max(1, math.ceil(n * (run_words - min_match + 1) / run_words)) for i, n in self.runs.items()}
         self.least = min(self.need.values(), default=0)
 
     def trace(self, numbers: list[int | None], longest: int) -> tuple[dict[int, list[int]], list[tuple[int, int, int]]]:
@@ -277,10 +278,10 @@ class LeakIndex:
         chosen = [i for i, n in count.items() if n >= self.need[i]]
         return {i: sorted(e for c, ends in hits.items() if i in self.items[c] for e in ends) for i in chosen}
 
-    def measure(self, numbers: list[int | None], item: int, ends: list[int]) -> tuple[float, list[int]]:
-        """The largest share of the item's words that stand in order in one stretch of the document, and the places of their pairs."""
+    def measure(self, numbers: list[int | None], item: int, ends: list[int]) -> tuple[float, list[tuple[int, int]]]:
+        """The largest share of the item's words that stand in order in one stretch of the document, and the places of their pairs in both."""
         size = len(self.passage[item])
-        best: tuple[float, list[int]] = (0.0, [])
+        best: tuple[float, list[tuple[int, int]]] = (0.0, [])
         done = -1
         for end in ends:
             if end <= done:
@@ -292,7 +293,7 @@ class LeakIndex:
             done = end + size // 4
         return best
 
-    def _chain(self, numbers: list[int | None], item: int, start: int, stop: int) -> tuple[float, list[int]]:
+    def _chain(self, numbers: list[int | None], item: int, start: int, stop: int) -> tuple[float, list[tuple[int, int]]]:
         """Word pairs common to the passage and ``numbers[start:stop]``, longest increasing chain: words covered, places."""
         at = self.pairs[item]
         hits = []
@@ -319,7 +320,7 @@ class LeakIndex:
         while n >= 0:
             p, d = hits[n]
             covered |= {p, p + 1}
-            places.append(d)
+            places.append((p, d))
             if after and after[0] - p <= self.bridge + 2 and after[1] - d <= 2 * self.bridge + 2:
                 covered.update(range(p + 2, after[0]))  # a word or two that were changed
             after, n = (p, d), back[n]
@@ -329,9 +330,15 @@ class LeakIndex:
         get = self.vocabulary.get
         return [get(w) for w in words]
 
-    def _quoted(self, places: list[int]) -> int:
+    def _quoted(self, places: list[tuple[int, int]]) -> int:
         """Words of a chain in unbroken runs of ``run_words`` or more: turns of phrase that many texts share are shorter."""
-        return sum(b - a for a, b in _stretches(places, 1) if b - a >= self.run_words)
+        words = size = 0
+        for n, (p, d) in enumerate(places):
+            unbroken = n > 0 and places[n - 1] == (p - 1, d - 1)
+            if not unbroken:
+                words, size = words + (size if size >= self.run_words else 0), 1
+            size += 1
+        return words + (size if size >= self.run_words else 0)
 
     def find(self, words: list[str], span_words: int | None = None) -> tuple[list[tuple[int, float]], list[tuple[int, int, int | None]]]:
         """(item, coverage) of the items of the block that leak into a text, and (first word, past the last, item) of what to cut.
@@ -343,10 +350,10 @@ class LeakIndex:
         found, spans = [], []
         for item, ends in self.candidates(hits).items():
             share, places = self.measure(numbers, item, ends)
-            if share >= self.coverage and self._quoted(places) >= 2 / 3 * self.coverage * len(self.passage[item]):
+            if share >= self.coverage and self._quoted(places) >= self.runs[item]:
                 found.append((item, share))
                 if span_words:
-                    spans += [(a, b, item) for a, b in _stretches(places, 2 * self.bridge + 2)]
+                    spans += [(a, b, item) for a, b in _stretches([d for _, d in places], 2 * self.bridge + 2)]
         return found, spans + [(end - size, end, None) for end, size, _ in runs]
 
 
