@@ -87,13 +87,14 @@ def unwrap(payload: Column) -> Column:
     """The report object inside ``payload`` as VARIANT, or null.
 
     A wrapper takes two characters at least, so half the payload's length bounds how many there
-    are. Only payloads still wrapped after the usual number are taken that far.
+    are. Only payloads still wrapped after the usual number are taken further, few steps first.
     """
-    few = F.aggregate(F.sequence(F.lit(1), F.lit(USUAL_WRAPPERS)), _parse(payload), lambda value, _: _unwrap_once(value))
-    more = F.array_repeat(F.lit(0), F.floor(F.length(payload) / 2).cast("int"))
-    rest = lambda value: F.aggregate(more, value, lambda v, _: F.when(_is_wrapped(v), _unwrap_once(v)).otherwise(v))
-    boxed = F.transform(F.array(few), lambda value: F.when(_is_wrapped(value), rest(value)).otherwise(value))
-    return F.get(boxed, F.lit(0))
+    value = F.aggregate(F.sequence(F.lit(1), F.lit(USUAL_WRAPPERS)), _parse(payload), lambda v, _: _unwrap_once(v))
+    step = lambda v, _: F.when(_is_wrapped(v), _unwrap_once(v)).otherwise(v)
+    further = lambda n: lambda v: F.when(_is_wrapped(v), F.aggregate(F.array_repeat(F.lit(0), n), v, step)).otherwise(v)
+    for steps in (F.lit(12), F.lit(200), F.floor(F.length(payload) / 2).cast("int")):
+        value = F.get(F.transform(F.array(value), further(steps)), F.lit(0))
+    return value
 
 
 def as_list(value: Column) -> Column:
