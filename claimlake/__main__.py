@@ -89,7 +89,10 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "comments":
             found = found.where("rule in ('stale-comment', 'comment-mentions-missing')")
         rows = report.rows_of(found)
-        shown = report.render(rows, args.format, args.info)
+        covered = run.coverage.unionByName(run.more_coverage) if args.format == "json" and config.coverage and args.command == "check" else None
+        shown = report.render(rows, args.format, args.info, covered)
+        for r in run.warnings.collect():  # documents of one repository that were left out
+            print(f"warning: {r.path}: {r.reason}", file=sys.stderr)
         if args.output:
             Path(args.output).write_text(shown)
         else:

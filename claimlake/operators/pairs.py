@@ -8,9 +8,27 @@ from pyspark.sql import functions as F
 LANGUAGES = ("zh", "de", "es", "fr", "ja", "ko", "pt", "ru", "it")
 
 
-def detect(paths: DataFrame, languages: tuple[str, ...] = LANGUAGES, suffixes: tuple[str, ...] = ("-{lang}", ".{lang}", "_{lang}")) -> DataFrame:
+def same_language(link: Column) -> Column:
+    """A link without what names its language: ``-zh``, ``.zh`` or ``_zh`` before the extension, a language directory."""
+    langs = "|".join(("en", *LANGUAGES))
+    return F.regexp_replace(F.regexp_replace(link, f"[-._](?:{langs})(?=[.][A-Za-z]+(?:#|$))", ""), f"(^|/)(?:{langs})/", "$1")
+
+
+def comparable_links(pairs: DataFrame, digests: DataFrame) -> DataFrame:
+    """``digests`` with links as both sides of a pair may share them: the switch to the other language and language parts left out."""
+    base = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    mates = pairs.select(F.col("source").alias("path"), base(F.col("translation")).alias("m")).unionByName(pairs.select(F.col("translation").alias("path"), base(F.col("source")).alias("m")))
+    mates = mates.groupBy("path").agg(F.collect_set("m").alias("mates"))
+    known = digests.join(mates, "path", "left").withColumn("mates", F.coalesce("mates", F.array().cast("array<string>")))
+    kept = F.filter("links", lambda x: ~F.array_contains("mates", base(F.regexp_replace(x, "#.*$", ""))))
+    return known.withColumn("links", F.array_distinct(F.transform(kept, same_language))).drop("mates")
+
+
+def detect(paths: DataFrame, languages: tuple[str, ...] = LANGUAGES, suffixes: tuple[str, ...] = ("-{lang}", ".{lang}", "_{lang}"), explicit: DataFrame | None = None) -> DataFrame:
     """(source, translation, lang): pairs by file name or language directory; a translation has one source.
 
+    ``explicit``: source, translation, lang of pairs that are given; they win.
+
     ``paths``: path. Candidates are exploded from the source side and matched by equality; the earlier rule wins.
     """
     known = paths.select("path").where("path is not null").distinct()
@@ -22,6 +40,9 @@ def detect(paths: DataFrame, languages: tuple[str, ...] = LANGUAGES, suffixes: t
     rules.append(F.struct(F.lit(len(suffixes)).alias("prio"), F.when(english, F.regexp_replace("source", "(^|/)en/", F.concat(F.lit("$1"), F.col("lang"), F.lit("/")))).alias("translation")))
     wanted = each.select("source", "lang", F.explode(F.array(*rules)).alias("r")).select("source", "lang", "r.*").where("translation is not null and translation <> source")
     hits = wanted.join(known.withColumnRenamed("path", "translation"), "translation")
+    if explicit is not None:
+        given = explicit.select("translation", "source", "lang", F.lit(-1).alias("prio"))
+        hits = hits.select("translation", "source", "lang", "prio").unionByName(given.join(known.withColumnRenamed("path", "translation"), "translation", "left_semi"))
     first = F.row_number().over(Window.partitionBy("translation").orderBy("prio", "source"))
     return hits.withColumn("n", first).where("n = 1").select("source", "translation", "lang")
 
@@ -93,7 +114,7 @@ def compare(pairs: DataFrame, digests: DataFrame) -> DataFrame:
     ordered = [
         first_mismatch(pairs, digests, "levels", "pair-heading").select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "at", "was", "found").alias("detail")),
         first_mismatch(pairs, digests, "codes", "pair-code", every=True).select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "at", "was", "found").alias("detail")),
-        set_differences(pairs, digests, "links", "pair-link", most=None).select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "side", F.array_join("missing", ",")).alias("detail")),
+        set_differences(pairs, comparable_links(pairs, digests), "links", "pair-link", most=None).select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "side", F.array_join("missing", ",")).alias("detail")),
         first_mismatch(pairs, digests, "tables", "pair-table").select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "at", "was", "found").alias("detail")),
         set_differences(pairs, digests, "numbers", "pair-number", most=None).select("rule", F.col("translation").alias("path"), F.concat_ws(" ", "side", F.array_join("missing", ",")).alias("detail")),
     ]

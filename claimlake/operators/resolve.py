@@ -44,10 +44,10 @@ def _globs(claims: DataFrame, files: DataFrame) -> DataFrame:
     return tried.join(below, "top").where(F.regexp(F.col("rel"), T.glob_pattern("glob"))).select("path", "norm").distinct()
 
 
-def paths(claims: DataFrame, files: DataFrame, renames: DataFrame | None = None) -> DataFrame:
+def paths(claims: DataFrame, files: DataFrame, renames: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """Document directory, root and every ancestor are tried in order; patterns match any file; a renamed file is suggested first.
 
-    ``renames``: old, new, chains already followed.
+    ``renames``: old, new, chains already followed. ``excluded``: rel, what exists but is not looked into; claims of it are skipped.
     """
     mine = claims.where("kind in ('path', 'command')")
     known = files.select("rel").distinct()
@@ -56,13 +56,17 @@ def paths(claims: DataFrame, files: DataFrame, renames: DataFrame | None = None)
     candidates = mine.select("path", "norm", F.explode(tried).alias("rel")).distinct()
     hits = candidates.join(known, "rel", "left_semi").select("path", "norm").unionByName(_globs(mine, files)).distinct().withColumn("hit", F.lit(True))
     resolved = mine.join(hits, ["path", "norm"], "left")
+    unseen = F.lit(False)
+    if excluded is not None:
+        beyond = candidates.join(excluded.select("rel").distinct(), "rel", "left_semi").select("path", "norm").distinct().withColumn("beyond", F.lit(True))
+        resolved, unseen = resolved.join(beyond, ["path", "norm"], "left"), F.col("beyond")
     misses = resolved.where("hit is null").select(F.col("norm").alias("miss")).distinct()
     guess = S.similar_paths(misses, files.where("not is_dir"), "miss", "rel", n=1).select(F.col("path").alias("norm"), "candidate")
     if renames is not None:
         moved = renames.join(known.withColumnRenamed("rel", "new"), "new", "left_semi").select(F.col("old").alias("norm"), F.col("new").alias("candidate"))
         guess = moved.unionByName(guess.join(moved.select("norm"), "norm", "left_anti"))
     rule = F.when(F.col("kind") == "command", "missing-command").otherwise("missing-path")
-    return _verdicts(resolved.join(guess, "norm", "left"), F.col("hit"), "missing-path", "%s does not exist", F.col("candidate")).withColumn("rule", rule)
+    return _verdicts(resolved.join(guess, "norm", "left"), F.col("hit"), "missing-path", "%s does not exist", F.col("candidate"), unseen).withColumn("rule", rule)
 
 
 def symbols(claims: DataFrame, keys: DataFrame, literals: DataFrame, config_keys: DataFrame, external: DataFrame | None = None, opaque: DataFrame | None = None) -> DataFrame:
@@ -202,7 +206,15 @@ def imports(claims: DataFrame, files: DataFrame, project: dict) -> DataFrame:
     module = project.get("module") or "\u0000"
     inside = F.when(F.col("lang") == "go", F.when(F.col("name") == module, F.lit(".")).when(F.startswith(F.col("name"), F.lit(module + "/")), F.expr(f"substring(name, {len(module) + 2})")))
     tails = F.when(F.col("lang") == "c", F.array("name")).when(F.col("name").rlike("^[.]{1,2}/"), F.transform(F.array(*[F.lit(x) for x in ("", ".js", ".ts", ".tsx", ".jsx", ".mjs", "/index.js", "/index.ts")]), lambda x: F.concat(T.join_relative(T.dir_name("path"), "name"), x)))
-    wanted = F.coalesce(F.when(inside.isNotNull(), F.array(inside)), tails, F.array().cast("array<string>"))
+    own, offered = project.get("names", {}).get("npm") or "\u0000", project.get("exports") or []
+    # A part of the own package: what its manifest exports, or a file where it exports nothing by name.
+    part = F.when((F.col("lang") == "js") & (F.col("name") == own), F.lit("")).when((F.col("lang") == "js") & F.startswith(F.col("name"), F.lit(own + "/")), F.expr(f"substring(name, {len(own) + 2})"))
+    offers = F.lit(False)
+    for entry in offered:
+        offers = offers | F.concat(F.lit("./"), part).rlike(T.glob_regex(entry.replace("*", "**"))) | (F.lit(entry == ".") & (part == ""))
+    named = F.when(part.isNotNull() & F.lit(bool(offered)), F.when(offers, F.array(F.lit("."))).otherwise(F.array(F.lit("\u0000"))))
+    named = F.coalesce(named, F.when(part.isNotNull() & (part != ""), F.transform(F.array(*[F.lit(x) for x in ("", ".js", ".ts", ".mjs", "/index.js", "/index.ts")]), lambda x: F.concat(part, x))))
+    wanted = F.coalesce(F.when(inside.isNotNull(), F.array(inside)), tails, named, F.array().cast("array<string>"))
     known = files.select("rel", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("rel", "/"))), lambda n: F.array_join(F.slice(F.split("rel", "/"), F.size(F.split("rel", "/")) - n + 1, n), "/"))).alias("tail")).select("tail").distinct()
     asked = mine.withColumn("wanted", wanted)
     hit = asked.select("path", "norm", F.explode("wanted").alias("tail")).join(known.unionByName(known.sparkSession.createDataFrame([(".",)], "tail string")), "tail", "left_semi").select("path", "norm").distinct().withColumn("hit", F.lit(True))
@@ -214,9 +226,13 @@ def project_claims(claims: DataFrame, project: dict, facts: DataFrame) -> DataFr
     spark = claims.sparkSession
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     targets = frame([(f"{t}:{n}", t) for t, names in project["targets"].items() for n in names], "norm string, tool string")
+    by_rule = F.lit(False)
+    for name in project["targets"].get("make", ()):
+        if "%" in name:  # a pattern rule makes every name of its form
+            by_rule = by_rule | F.col("norm").rlike("^make:" + T.glob_regex(name.replace("%", "?*"))[1:])
     tools = targets.select(F.col("tool").alias("t")).distinct().withColumn("known", F.lit(True))
     t = claims.where("kind = 'target'").join(targets.select("norm").distinct().withColumn("hit", F.lit(True)), "norm", "left").withColumn("t", F.substring_index("norm", ":", 1)).join(F.broadcast(tools), "t", "left")
-    out = _verdicts(t, F.col("hit"), "missing-target", "target of %s is not defined", None, F.col("known").isNull())
+    out = _verdicts(t, F.coalesce(F.col("hit"), F.lit(False)) | by_rule, "missing-target", "target of %s is not defined", None, F.col("known").isNull())
 
     names = frame(list(project["names"].items()), "tool string, own string")
     i = claims.where("kind = 'install'").withColumns({"tool": F.regexp_replace(F.substring_index("norm", ":", 1), "^pip3$", "pip"), "package": F.regexp_replace(F.expr("substring(norm, instr(norm, ':') + 1)"), "@[^/]*$", "")}).join(F.broadcast(names), "tool", "left")
@@ -252,7 +268,7 @@ def resolve(claims: DataFrame, dims: dict[str, DataFrame], project: dict, min_co
     facts = dims["facts"]
     literals = facts.where("kind = 'literal'")
     parts = [
-        paths(c, dims["files"], dims.get("renames")), symbols(c, dims["symbol_keys"], literals, dims["config_keys"], dims.get("external"), facts.where("kind = 'opaque'")), flags(c, facts), envs(c, facts), config_keys(c, dims["config_keys"], literals), anchors(c, dims["anchors"]), routes(c, facts), imports(c, dims["files"], project), project_claims(c, project, facts),
+        paths(c, dims["files"], dims.get("renames"), dims.get("excluded")), symbols(c, dims["symbol_keys"], literals, dims["config_keys"], dims.get("external"), facts.where("kind = 'opaque'")), flags(c, facts), envs(c, facts), config_keys(c, dims["config_keys"], literals), anchors(c, dims["anchors"]), routes(c, facts), imports(c, dims["files"], project), project_claims(c, project, facts),
         urls(c, dims.get("probed")),
     ]
     return reduce(DataFrame.unionByName, parts)

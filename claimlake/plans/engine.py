@@ -48,6 +48,8 @@ class Config:
     git: bool = True
     coverage: bool = True
     urls: bool = False
+    pairs: list[dict] = field(default_factory=list)
+    cache: str = ""
     siblings: list[str] = field(default_factory=list)
     fail_on: str = "error"
     baseline: str = ".claimlake-baseline.json"
@@ -57,13 +59,17 @@ class Config:
         path = Path(root, CONFIG_NAME)
         if not path.is_file():
             return cls()
+        text = path.read_text()
         try:
-            given = json.loads(path.read_text())
-        except ValueError as wrong:
-            raise ValueError(f"{path}: {wrong}") from None
-        unknown = set(given) - set(cls.__dataclass_fields__)
+            given = json.loads(text)
+        except json.JSONDecodeError as wrong:
+            raise ValueError(f"{path}:{wrong.lineno}: {wrong.msg}") from None
+        if not isinstance(given, dict):
+            raise ValueError(f"{path}:1: not an object")
+        lines = repo.json_keys(text)
+        unknown = sorted(set(given) - set(cls.__dataclass_fields__), key=lambda k: lines.get(k, 0))
         if unknown:
-            raise ValueError(f"{path}: unknown keys {', '.join(sorted(unknown))}")
+            raise ValueError(f"{path}:{lines.get(unknown[0], 1)}: unknown keys {', '.join(unknown)}")
         return cls(**given)
 
     def save(self, root: str) -> Path:
@@ -176,13 +182,35 @@ class Engine:
         dims = {"files": self.files, "facts": facts, "symbol_keys": keys, "anchors": self.anchors, "config_keys": self.config_keys, "external": X.external_names(self.tokens, heads)}
         if self.versioned:
             dims["renames"] = H.collapse_renames(repo.renames(self.spark, self.root))
+        dims["excluded"] = repo.excluded(self.spark, self.root, self.config.exclude, self.config.max_file_mb)
         if self.config.urls:
             dims["probed"] = remote.probe(self.claims.where("kind = 'url'").select(F.col("norm").alias("url")))
         return self._kept(R.resolve(self.claims, dims, self.project, self.config.min_confidence), "verdicts")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return self._kept(P.detect(self.documents.select("path")), "pairs")
+        given = self.spark.createDataFrame([(p["source"], p["translation"], p.get("lang", "")) for p in self.config.pairs], "source string, translation string, lang string") if self.config.pairs else None
+        return self._kept(P.detect(self.documents.select("path"), explicit=given), "pairs")
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        """(path, reason): documents that were not read."""
+        return repo.skipped(self.spark, self.root, self.config.docs, self.config.exclude, self.config.max_file_mb)
+
+    def _blame(self, names: DataFrame) -> DataFrame:
+        """Line times of files; with a kept table only those of contents that it does not have yet are asked for."""
+        if not self.config.cache:
+            return self._kept(repo.blame(self.spark, self.root, names), "blame")
+        folder = str(Path(self.root, self.config.cache).resolve())
+        schema = "blob string, line int, hash string, ts timestamp"
+        kept = self.spark.read.schema(schema).parquet(folder) if Path(folder).is_dir() else self.spark.createDataFrame([], schema)
+        wanted = self._kept(repo.blobs(self.spark, self.root).join(names.select(F.col("path").alias("file")), "file", "left_semi"), "blobs")
+        asked = remote.missing_blobs(wanted, kept).select("file").unionByName(wanted.where("blob is null").select("file"))
+        fresh = self._kept(repo.blame(self.spark, self.root, asked.select(F.col("file").alias("path"))), "blame")
+        known = fresh.join(wanted.where("blob is not null"), "file").select("blob", "line", "hash", "ts").unionByName(remote.keep_used(kept, wanted).select("blob", "line", "hash", "ts")).distinct()
+        table = self._kept(known, "kept")
+        table.write.mode("overwrite").parquet(folder)
+        return table.join(wanted, "blob").select("file", "line", "hash", "ts").unionByName(fresh.join(wanted.where("blob is null"), "file", "left_semi"))
 
     def _with_ledger_columns(self, rows: DataFrame) -> DataFrame:
         """Findings without a claim: rule, severity, message, file, line and the parts of their identity in ``norm``."""
@@ -217,7 +245,7 @@ class Engine:
         cited = self.verdicts.where("status = 'ok' and kind = 'symbol'").select("path", "line", "norm").join(bodies, "norm").drop("norm")
         symbols = ranges.join(cited, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line"))).select("path", "title", "start_line", "full_name", "file", "body_start", "body_end").distinct()
         names = self.documents.select("path").unionByName(cited.select(F.col("file").alias("path"))).distinct()
-        blame = self._kept(repo.blame(self.spark, self.root, names), "blame")
+        blame = self._blame(names)
         times = H.section_times(ranges, blame)
         rows = H.stale_findings(times, H.section_files(ranges, refs), repo.commits(self.spark, self.root), symbols, blame, min_churn=self.config.min_churn, min_days=self.config.min_days)
         message = F.format_string("section %s: %s changed in %d newer commits, last %s", F.col("title"), F.col("what"), F.col("n_commits"), F.date_format("latest", "yyyy-MM-dd"))

@@ -59,11 +59,17 @@ def markdown(rows: list[dict], info: bool = True) -> str:
         out += [f"## {file}", "", "| Line | Severity | Rule | Finding | Suggestion |", "|-|-|-|-|-|"]
         out += [f"| {r['line']} | {r['severity']} | {r['rule']} | {cell(r['message'])} | {cell(r['suggestion'])} |" for r in shown if r["file"] == file] + [""]
     used = dict.fromkeys(r["rule"] for r in shown)
+    fixes = [r for r in shown if r["suggestion"]]
+    if fixes:
+        out += ["## To fix", "", *(f"- [ ] {_place(r)}: `{r['text'] or r['rule']}` to `{r['suggestion']}`" for r in fixes), ""]
     return "\n".join([*out, "## Rules", "", *(f"* `{x}`: {RULES.get(x, x)}" for x in used), ""])
 
 
-def as_json(rows: list[dict], info: bool = True) -> str:
-    return json.dumps({"version": 1, "summary": _counts(rows) | {"baselined": sum(bool(r["baselined"]) for r in rows)}, "findings": rows}, indent=2, ensure_ascii=False) + "\n"
+def as_json(rows: list[dict], info: bool = True, coverage: list[dict] | None = None) -> str:
+    whole = {"version": 1, "summary": _counts(rows) | {"baselined": sum(bool(r["baselined"]) for r in rows)}, "findings": rows}
+    if coverage is not None:
+        whole["coverage"] = [{k: c[k] for k in ("grp", "total", "documented", "missing")} for c in coverage]
+    return json.dumps(whole, indent=2, ensure_ascii=False) + "\n"
 
 
 def sarif(rows: list[dict], info: bool = True) -> str:
@@ -115,8 +121,11 @@ def junit(rows: list[dict], info: bool = True) -> str:
 FORMATS: dict[str, Callable[..., str]] = {"text": text, "md": markdown, "json": as_json, "sarif": sarif, "html": as_html, "github": github, "junit": junit}
 
 
-def render(findings: DataFrame | list[dict], fmt: str = "text", info: bool = False) -> str:
+def render(findings: DataFrame | list[dict], fmt: str = "text", info: bool = False, coverage: DataFrame | None = None) -> str:
+    """A report of all findings; ``coverage`` (grp, total, documented, missing) goes into the JSON one."""
     rows = findings if isinstance(findings, list) else rows_of(findings)
+    if fmt == "json" and coverage is not None:
+        return as_json(rows, True, [r.asDict() for r in coverage.orderBy("grp").collect()])
     return FORMATS[fmt](rows, info or fmt not in ("text", "github"))
 
 

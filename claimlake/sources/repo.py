@@ -45,6 +45,24 @@ def documents(spark: SparkSession, root: str, include: list[str] | None = None,
     return chosen.select(F.col("rel").alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
+def skipped(spark: SparkSession, root: str, include: list[str] | None = None, excludes: list[str] | None = None, max_mb: float = 4) -> DataFrame:
+    """(path, reason): documents that are not read: over the size cap, or not UTF-8 text."""
+    most = int(max_mb * 1_048_576)
+    chosen = _scan(spark, root).where(T.glob_matches(F.lower("rel"), include or DOC_GLOBS) & ~_excluded(F.col("rel"), excludes if excludes is not None else EXCLUDES))
+    large = chosen.where(F.col("length") > most).select(F.col("rel").alias("path"), F.format_string("larger than %s MB", F.lit(str(max_mb))).alias("reason"))
+    odd = chosen.where(F.col("length") <= most).where(~F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("rel").alias("path"), F.lit("not UTF-8 text").alias("reason"))
+    return large.unionByName(odd)
+
+
+def excluded(spark: SparkSession, root: str, excludes: list[str] | None = None, max_mb: float = 4) -> DataFrame:
+    """(rel): what exists but is not looked into: excluded files with their directories, and source files over the size cap."""
+    every = _scan(spark, root)
+    out = every.where(_excluded(F.col("rel"), excludes if excludes is not None else EXCLUDES)).select("rel")
+    large = every.where((F.col("length") > int(max_mb * 1_048_576)) & F.col("rel").rlike(_SOURCE_RX)).select("rel")
+    dirs = out.select(F.explode(T.ancestors("rel")).alias("rel")).where("rel <> '.'")
+    return out.unionByName(dirs).unionByName(large).distinct()
+
+
 def sources(spark: SparkSession, root: str, excludes: list[str] | None = None, max_mb: float = 4) -> DataFrame:
     """(file, text) of source files in a known language."""
     chosen = _scan(spark, root).where(F.col("length") <= int(max_mb * 1_048_576)).where(F.col("rel").rlike(_SOURCE_RX))
@@ -61,14 +79,18 @@ def project(root: str) -> dict:
     read = lambda name: (base / name).read_text(errors="replace") if (base / name).is_file() else ""
     find = lambda rx, text: (m[1] if (m := re.search(rx, text, re.M)) else None)
     go, py, cargo, npm, cmake = read("go.mod"), read("pyproject.toml"), read("Cargo.toml"), read("package.json"), read("CMakeLists.txt")
+    setup = read("setup.cfg")
+    dotnet = next((p.read_text(errors="replace") for p in sorted(base.glob("**/*.csproj"))), "")
     out["module"] = find(r"^module\s+(\S+)", go)
     for tool, text, name_rx, version_rx in (
         ("go", go, r"^module\s+(\S+)", r"^go\s+(\S+)"), ("pip", py, r"^name\s*=\s*[\"']([^\"']+)", r"^requires-python\s*=\s*[\"']([^\"']+)"), ("cargo", cargo, r"^name\s*=\s*\"([^\"]+)", r"^rust-version\s*=\s*\"([^\"]+)"),
-        ("cmake", cmake, r"project\(\s*(\w+)", r"cmake_minimum_required\(VERSION\s+([\d.]+)"),
+        ("cmake", cmake, r"project\(\s*(\w+)", r"cmake_minimum_required\(VERSION\s+([\d.]+)"), ("pip", setup, r"^name\s*=\s*(\S+)", r"^python_requires\s*=\s*(\S.*)"),
+        ("dotnet", dotnet, r"<(?:PackageId|AssemblyName)>([^<]+)", r"<TargetFrameworks?>([^<;]+)"),
     ):
         if text:
-            out["names"][tool] = find(name_rx, text)
-            out["versions"][{"pip": "python", "cargo": "rust"}.get(tool, tool)] = find(version_rx, text)
+            version = {"pip": "python", "cargo": "rust"}.get(tool, tool)
+            out["names"][tool] = out["names"].get(tool) or find(name_rx, text)
+            out["versions"][version] = out["versions"].get(version) or find(version_rx, text)
     if npm:
         try:
             data = json.loads(npm)
@@ -77,6 +99,8 @@ def project(root: str) -> dict:
         out["names"]["npm"] = data.get("name")
         out["versions"]["node"] = (data.get("engines") or {}).get("node")
         out["targets"]["npm"] = sorted(data.get("scripts") or {})
+        given = data.get("exports")
+        out["exports"] = sorted(given) if isinstance(given, dict) and any(k.startswith(".") for k in given) else ["."] if given else []
     for tool, names in (("make", ("Makefile", "makefile", "GNUmakefile")), ("just", ("justfile", "Justfile")), ("task", ("Taskfile.yml", "Taskfile.yaml"))):
         text = next((t for n in names if (t := read(n))), "")
         if text:
@@ -140,21 +164,35 @@ def _git(root: str, *args: str, timeout: float = 10) -> str | None:
     return done.stdout.decode("utf-8", "replace") if done.returncode == 0 else None
 
 
+def tracked(root: str, path: str) -> bool:
+    """Whether version control knows a path."""
+    return bool(_git(root, "ls-files", "--", path))
+
+
+def blobs(spark: SparkSession, root: str) -> DataFrame:
+    """(file, blob): the committed content of every tracked file that has not been changed since; others have none."""
+    listed = _git(root, "ls-files", "-s", "-z", timeout=60) or ""
+    dirty = set((_git(root, "diff", "--name-only", "--relative", "-z", "HEAD", timeout=60) or "").split("\0"))
+    rows = [(name, None if name in dirty else info.split()[1]) for info, _, name in (x.partition("\t") for x in listed.split("\0") if x)]
+    return spark.createDataFrame(rows, "file string, blob string")
+
+
 def head(root: str) -> str | None:
     out = _git(root, "rev-parse", "HEAD")
     return out.strip() if out else None
 
 
 def commits(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
-    """(file, hash, ts, subject): one row per file a commit touches; empty without version control."""
-    out = _git(root, "log", "--name-only", "--format=%x01%h%x02%ct%x02%s", *([f"--since={since}"] if since else []), timeout=120) or ""
+    """(file, hash, ts, subject): one row per file a commit touches, later than ``since``, seen from ``root``; empty without version control."""
+    out = _git(root, "log", "--relative", "--name-only", "--format=%x01%h%x02%ct%x02%s", *([f"--since={since}"] if since else []), timeout=120) or ""
     rows = []
     for block in out.split("\x01")[1:]:
         top, *names = block.strip("\n").split("\n")
         digest, seconds, subject = top.split("\x02", 2)
         rows += [(name, digest, int(seconds), subject) for name in names if name]
     frame = spark.createDataFrame(rows, "file string, hash string, s bigint, subject string")
-    return frame.select("file", "hash", F.timestamp_seconds("s").alias("ts"), "subject")
+    frame = frame.select("file", "hash", F.timestamp_seconds("s").alias("ts"), "subject")
+    return frame.where(F.col("ts") > F.lit(since).cast("timestamp")) if since else frame  # the log's own bound includes its moment
 
 
 def blame(spark: SparkSession, root: str, paths: list[str] | DataFrame) -> DataFrame:
@@ -186,7 +224,7 @@ def blame(spark: SparkSession, root: str, paths: list[str] | DataFrame) -> DataF
 
 def renames(spark: SparkSession, root: str) -> DataFrame:
     """(old, new, ts): renames in the history, for :func:`claimlake.operators.history.collapse_renames`."""
-    out = _git(root, "log", "--diff-filter=R", "--name-status", "-M", "--format=%x01%ct", timeout=120) or ""
+    out = _git(root, "log", "--relative", "--diff-filter=R", "--name-status", "-M", "--format=%x01%ct", timeout=120) or ""
     rows = []
     for block in out.split("\x01")[1:]:
         top, *lines = block.strip("\n").split("\n")
@@ -196,9 +234,9 @@ def renames(spark: SparkSession, root: str) -> DataFrame:
 
 def changed(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
     """(path): changed against HEAD, untracked, and against ``base``; deleted files are not in it."""
-    lists = [_git(root, "diff", "--name-only", "--diff-filter=d", "HEAD"), _git(root, "ls-files", "--others", "--exclude-standard")]
+    lists = [_git(root, "diff", "--relative", "--name-only", "--diff-filter=d", "HEAD"), _git(root, "ls-files", "--others", "--exclude-standard")]
     if base:
-        lists.append(_git(root, "diff", "--name-only", "--diff-filter=d", f"{base}...HEAD") or _git(root, "diff", "--name-only", "--diff-filter=d", f"{base}..HEAD"))
+        lists.append(_git(root, "diff", "--relative", "--name-only", "--diff-filter=d", f"{base}...HEAD") or _git(root, "diff", "--relative", "--name-only", "--diff-filter=d", f"{base}..HEAD"))
     names = sorted({line for out in lists if out for line in out.split("\n") if line})
     return spark.createDataFrame([(n,) for n in names], "path string")
 
