@@ -61,7 +61,9 @@ def main(argv: list[str] | None = None) -> int:
         config.git = config.git and not args.no_git and args.command != "coverage"
         from claimlake.session import local_session
 
-        run = E.Engine(local_session(), root, config, changed_only=args.changed or bool(args.since), base=args.since)
+        # One repository is small: plans cost more than their rows, so they are neither compiled nor split much.
+        spark = local_session(shuffle_partitions=2, spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN", spark__sql__adaptive__enabled="false")
+        run = E.Engine(spark, root, config, changed_only=args.changed or bool(args.since), base=args.since)
         if args.command == "explain":
             for r in run.explain(first[0]).collect():
                 print(f"{r.line}\t{r.kind}\t{r.confidence}\t{r.status}\t{r.text}\t{r.message if r.status == 'missing' else ''}")

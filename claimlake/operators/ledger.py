@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlake.functions import text as T
+from claimlake.session import materialise
 
 
 def coverage(facts: DataFrame, mentioned: DataFrame, group: str = "grp", most: int | None = None) -> DataFrame:
@@ -36,13 +37,17 @@ def leaf_keys(keys: DataFrame, key: str = "key") -> DataFrame:
 def route_coverage(routes: DataFrame, claims: DataFrame) -> DataFrame:
     """(method, path, documented): registered routes that some claimed route matches or ends with.
 
-    Both sides carry ``segs``; claims may have a null method. Bucketed by the number of segments where both are fixed.
+    Both sides carry ``segs``; claims may have a null method. They meet over the equal keys of :func:`claimlake.operators.resolve.match_routes`.
     """
+    from claimlake.operators.resolve import match_routes
+
     r = routes.select("method", "path", "segs").distinct()
     c = claims.select(F.col("method").alias("c_method"), F.col("segs").alias("c_segs")).distinct()
+    met = match_routes(c.select(F.col("c_segs").alias("segs")), r.select(F.col("segs").alias("reg"), "method"), names=True).join(c.withColumnRenamed("c_segs", "segs"), "segs")
     same_method = F.col("c_method").isNull() | F.col("method").isNull() | (F.col("c_method") == F.col("method"))
-    hit = r.join(c, same_method & T.route_matches(F.col("c_segs"), F.col("segs")), "left")
-    return hit.groupBy("method", "path").agg(F.max(F.col("c_segs").isNotNull()).alias("documented"))
+    said = met.where(same_method).select(F.col("reg").alias("segs"), F.coalesce("method", F.lit("")).alias("m"), F.lit(True).alias("hit")).distinct()
+    hit = r.withColumn("m", F.coalesce("method", F.lit(""))).join(said, ["segs", "m"], "left")
+    return hit.groupBy("method", "path").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("documented"))
 
 
 def apply_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -67,6 +72,21 @@ def report_order(severity: str = "severity") -> list[Column]:
     return [F.col("file"), F.col("line"), F.col("col"), F.desc(T.severity_rank(severity)), F.col("rule"), F.col("message")]
 
 
+def placed(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """``rows`` with ``place``: the position in its group, from 1, in the order given.
+
+    Rows are sorted by range; a place is the position within the range plus the sizes of the group's earlier ranges.
+    So no group, however large, is ranked by one task.
+    """
+    spread = materialise(rows.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = spread.groupBy(group, "_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    ranked = spread.withColumn("_within", within).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return ranked.withColumn("place", (F.col("_within") + F.col("_before")).cast("bigint")).drop("_range", "_within", "_g", "_r", "_before")
+
+
 def summary(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(errors, warnings, infos, worst) over findings that are not baselined."""
     open_ = findings.where(~F.coalesce("baselined", F.lit(False)))

@@ -144,8 +144,8 @@ def _mask(segments: Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: F.when(s.isin("{}", "**"), "1").otherwise("0")), "")
 
 
-def match_routes(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(segs, method, mounted): registered routes that an asked path meets, as it is or (``mounted``) as its tail.
+def match_routes(asked: DataFrame, known: DataFrame, names: bool = False) -> DataFrame:
+    """(segs, method, mounted): registered routes that an asked path meets, as it is or (``mounted``) as its tail; with ``names`` their ``reg``.
 
     ``asked``: segs. ``known``: reg, method. A path and a route meet where the words that are words on both sides are
     equal: the two places of parameters make a shape, each pair of shapes one equal key. Only shapes, never
@@ -155,7 +155,7 @@ def match_routes(asked: DataFrame, known: DataFrame) -> DataFrame:
     stop = F.array_position("reg", "**")
     # A route that ends with the exact-match mark is no tail of another path.
     ends = F.coalesce(F.get("reg", F.size("reg") - 1) == "{$}", F.lit(False))
-    r = known.select(plain(F.col("reg")).alias("reg"), "method", ends.alias("whole_only")).distinct().withColumn("open", stop > 0).withColumn("reg", F.when(stop > 0, F.slice("reg", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("reg")))
+    r = known.select(F.col("reg").alias("given"), plain(F.col("reg")).alias("reg"), "method", ends.alias("whole_only")).distinct().withColumn("open", stop > 0).withColumn("reg", F.when(stop > 0, F.slice("reg", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("reg")))
     r = r.withColumn("r_mask", _mask(F.col("reg")))
     c = asked.select("segs").distinct().withColumn("whole", plain(F.col("segs")))
     c = c.select("segs", "whole", F.explode(F.sequence(F.lit(0), F.greatest(F.size("whole") - 1, F.lit(0)))).alias("off"))
@@ -173,8 +173,8 @@ def match_routes(asked: DataFrame, known: DataFrame) -> DataFrame:
     left = c.withColumn("tail", F.col("off") > 0).join(shapes, ["c_mask", "tail"]).withColumn("key", key("sub"))
     right = r.join(shapes.select("c_mask", "r_mask", "open", "whole_only").distinct(), ["r_mask", "open", "whole_only"]).withColumn("key", key("reg"))
     by = ["c_mask", "r_mask", "open", "whole_only", "key"]
-    met = left.join(right.select(*by, "method"), by)
-    return met.select("segs", "method", F.col("tail").alias("mounted")).distinct()
+    met = left.join(right.select(*by, "method", "given"), by)
+    return met.select("segs", "method", F.col("tail").alias("mounted"), *([F.col("given").alias("reg")] if names else [])).distinct()
 
 
 def routes(claims: DataFrame, facts: DataFrame) -> DataFrame:

@@ -347,6 +347,14 @@ def similar_paths(spark: SparkSession, d: str) -> DataFrame:
     return S.similar_paths(fresh, known)
 
 
+@_query()
+def similar_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every miss with every kind of candidate: same names elsewhere and in other case as well (no SQL for the distance of directories; tested against brute force)."""
+    known = _known_files(spark, d)
+    moved = known.select(F.concat(F.lit("moved/"), "rel").alias("path")).unionByName(known.select(F.upper("rel").alias("path"))).unionByName(known.select(F.regexp_replace("rel", ".([.][a-z]+)$", "$1").alias("path")))
+    return S.similar_paths(moved.unionByName(_path_claims(spark, d)).distinct().join(known, F.col("path") == F.col("rel"), "left_anti"), known)
+
+
 _SYMBOLS = """sym AS (SELECT DISTINCT full_name FROM symbol_spans WHERE full_name IS NOT NULL), keys AS (SELECT full_name AS key FROM sym UNION SELECT regexp_extract(full_name, '([^.:#]+)$', 1) FROM sym)"""
 
 
@@ -379,9 +387,9 @@ def did_you_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def did_you_mean_osa(spark: SparkSession, d: str) -> DataFrame:
-    """The same with swaps of neighbours as one edit (no SQL counterpart; tested against brute force)."""
+    """All names that resolve to nothing, with swaps of neighbours as one edit (no SQL counterpart; tested against brute force)."""
     keys = _symbol_keys(spark, d)
-    misses = _spans(spark, d).where(F.col("name").rlike("^[a-z]+_[a-z_]+$")).select("name").distinct().join(keys, F.col("name") == F.col("key"), "left_anti")
+    misses = _spans(spark, d).select("name").distinct().join(keys, F.col("name") == F.col("key"), "left_anti")
     pool = _t(spark, d, "symbol_spans").select(F.regexp_extract("full_name", "([^.:#]+)$", 1).alias("candidate"))
     return S.ranked(misses, pool, "name", "candidate", limit=S.narrow_limit(F.col("query")))
 
@@ -404,12 +412,12 @@ def env_prefixes(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("name").agg(F.max(F.col("p").isNotNull()).alias("external"))
 
 
-@_query(f"""{_RANGES}, refs AS (SELECT path, line, unnest(regexp_extract_all(text, '([a-z]+/[a-z]+/[a-z]+[.][a-z]+)', 1)) AS file FROM lines)
+@_query(f"""{_RANGES}, refs AS (SELECT path, line, unnest(regexp_extract_all(text, '([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)', 1)) AS file FROM lines)
 SELECT DISTINCT r.path, r.title, r.start_line, f.file FROM ranges r JOIN refs f ON f.path = r.path AND f.line BETWEEN r.start_line AND r.end_line""")
 def section_files(spark: SparkSession, d: str) -> DataFrame:
     """Range join of claims and sections."""
     lines = _lines(spark, d)
-    refs = lines.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit("([a-z]+/[a-z]+/[a-z]+[.][a-z]+)"), 1)).alias("file"))
+    refs = lines.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)"), 1)).alias("file"))
     return H.section_files(D.section_ranges(D.headings(lines), lines), refs)
 
 
@@ -445,7 +453,7 @@ def stale_churn(spark: SparkSession, d: str) -> DataFrame:
     return H.stale(H.section_churn(times, H.section_files(ranges, refs), _commits(spark, d))).select("path", "file", "n_commits")
 
 
-@_query(f"""{_TIMES}, sym AS (SELECT DISTINCT 'o' || l_orderkey AS path, 's' || l_suppkey AS full_name, 'o' || (l_orderkey + 1) AS file, 1 AS a, l_linenumber AS b FROM lineitem WHERE l_linenumber = 2),
+@_query(f"""{_TIMES}, sym AS (SELECT DISTINCT 'o' || l_orderkey AS path, 's' || l_suppkey AS full_name, 'o' || (l_orderkey + 1) AS file, 1 AS a, l_linenumber AS b FROM lineitem),
   bodies AS (SELECT t.path, s.full_name, edited, count(DISTINCT hash) AS n, max(ts) AS latest FROM times t JOIN sym s USING (path) JOIN blame b ON b.file = s.file AND b.line BETWEEN s.a AND s.b AND b.ts > edited GROUP BY ALL),
   due AS (SELECT * FROM bodies WHERE n >= 3 OR (n >= 1 AND epoch(latest) - epoch(edited) >= 7776000)),
   churn AS (SELECT t.path, r.file, edited, count(DISTINCT hash) AS n, max(c.ts) AS latest FROM times t JOIN refs r USING (path) JOIN commits c ON c.file = r.file AND c.ts > edited GROUP BY ALL),
@@ -456,7 +464,7 @@ def stale_findings(spark: SparkSession, d: str) -> DataFrame:
     times, ranges = _order_sections(spark, d)
     items = _t(spark, d, "lineitem")
     refs = items.select(F.concat(F.lit("o"), "l_orderkey").alias("path"), F.lit(1).alias("line"), F.concat(F.lit("c"), F.expr("l_partkey % 150 + 1")).alias("file"))
-    symbols = items.where("l_linenumber = 2").select(
+    symbols = items.select(
         F.concat(F.lit("o"), "l_orderkey").alias("path"), F.lit("all").alias("title"), F.lit(1).alias("start_line"), F.concat(F.lit("s"), "l_suppkey").alias("full_name"),
         F.concat(F.lit("o"), F.expr("l_orderkey + 1")).alias("file"), F.lit(1).alias("body_start"), F.col("l_linenumber").alias("body_end"),
     ).distinct()
@@ -651,12 +659,9 @@ def junit_cases(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""SELECT finding_id, row_number() OVER (PARTITION BY repo ORDER BY file, line, coalesce(col, -1), CASE lower(severity) WHEN 'error' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END DESC, rule, message, finding_id) AS place FROM findings""")
 def report_order(spark: SparkSession, d: str) -> DataFrame:
-    """The total order of reports, within each repository."""
-    from pyspark.sql import Window
-
+    """The total order of reports, within each repository; a repository of any size is spread over the tasks."""
     findings = _t(spark, d, "findings").withColumn("col", F.coalesce("col", F.lit(-1)))
-    order = Window.partitionBy("repo").orderBy(*L.report_order(), "finding_id")
-    return findings.select("finding_id", F.row_number().over(order).cast("bigint").alias("place"))
+    return L.placed(findings, "repo", [*L.report_order(), F.col("finding_id")]).select("finding_id", "place")
 
 
 @_query("""SELECT finding_id, '::' || CASE lower(severity) WHEN 'error' THEN 'error' WHEN 'warning' THEN 'warning' ELSE 'notice' END || ' file=' || replace(replace(replace(replace(replace(file, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')

@@ -1,6 +1,7 @@
 """The whole check on a small repository with seeded lies, reports, command line, streams."""
 
 import json
+import os
 import subprocess
 import xml.dom.minidom
 
@@ -220,3 +221,31 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(60)
     assert {(r.finding_id, r.baselined) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, True), (2, False)}
     assert incremental.severity_windows(old.withColumn("run_at", F.current_timestamp())).first().errors == 1
+
+
+def test_every_rule_is_found(spark, tmp_path, monkeypatch):
+    """One repository with a history in which each rule has its case."""
+    day = lambda n: {"GIT_AUTHOR_DATE": f"2024-01-{n:02d}T00:00:00Z", "GIT_COMMITTER_DATE": f"2024-01-{n:02d}T00:00:00Z", "PATH": os.environ["PATH"], "HOME": str(tmp_path)}
+    run = lambda n, *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True, env=day(n))
+    more = {
+        "README.md": FILES["README.md"] + '\n## Extra 1\n\n`import` it:\n\n```go\nimport "example.org/widget/none"\n```\n\n```sh\n./scripts/none.sh\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nSee [out](https://dead.invalid.org/x) for 7.\n',
+        "README-zh.md": "# Widget\n\n### More\n\n[x](docs/guide.md)\n\n```go\nother\n```\n\n| a |\n|---|\n| 1 |\n| 2 |\n",
+        "docs/guide.md": "# Guide\n\n## Setup\n\nSee `pkg/srv/server.go`.\n", "docs/en/intro.md": "# A\n", "docs/zh/intro.md": "# A\n", "docs/en/extra.md": "# B\n", "docs/zh/old.md": "# C\n",
+        "docs/en/code.md": "# D\n\n```sh\na\n```\n", "docs/zh/code.md": "# D\n\n```sh\nb\n```\n", "docs/en/table.md": "# E 5\n\n| a | b |\n|---|---|\n| 1 | 2 |\n", "docs/zh/table.md": "# E 6\n\n| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n",
+    }
+    for name, text in (FILES | more).items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    run(1, "init", "-q"), run(1, "add", "."), run(1, "commit", "-qm", "first")
+    server, page = tmp_path / "pkg/srv/server.go", tmp_path / "docs/en/intro.md"
+    for n in range(2, 6):
+        server.write_text(server.read_text().replace("\treturn nil", f"\tstep{n}()\n\treturn nil"))
+        page.write_text(page.read_text() + f"\nMore {n}.\n")
+        run(n, "commit", "-qam", f"step {n}")
+    monkeypatch.setattr("claimlake.plans.engine.remote.probe", lambda urls: urls.distinct().withColumn("status", F.lit(404)))
+    engine = Engine(spark, str(tmp_path), Config(urls=True))
+    found = report.rows_of(engine.findings)
+    engine.close()
+    assert {r["rule"] for r in found} == set(report.RULES)
+    stale = {(r["rule"], r["file"]) for r in found if r["rule"].startswith("stale")}
+    assert stale == {("stale-symbol", "README.md"), ("stale-section", "docs/guide.md"), ("stale-comment", "pkg/srv/server.go")}
