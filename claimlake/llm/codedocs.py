@@ -358,6 +358,9 @@ def _flat(body: str) -> str:
     return "".join([*out, body[at:]])
 
 
+_CS_ATTRIBUTES = re.compile(r"^(?:\s*\[[^\[\]]*\])+\s*")
+_WORDY = re.compile(r"\w")
+_NOT_A_HEAD = re.compile(r"[=!+/%^|?.\"'-]|\breturn\b|\bnew\b|\bthrow\b|\belse\b|\bawait\b|\bcase\b|\bgoto\b")
 _ACCESS = re.compile(r"^(?:\s*(?:public|private|protected|signals|slots)\s*:(?!:))+\s*")
 _BLANK = re.compile(r"[ \t\n]*")
 _SPACE = re.compile(r"\s*")
@@ -486,17 +489,17 @@ def _scan_braces(text: str, lang: str) -> tuple[list[Definition], dict[int, Comm
         else:
             head = statement_start(at)
             before = code[head:at]
-            if lang == "csharp":
-                before = re.sub(r"^(?:\s*\[[^\[\]]*\])+\s*", "", before)
+            if lang == "csharp" and "[" in before:
+                before = _CS_ATTRIBUTES.sub("", before)
             parts = name.split("::")
             if lang == "c":
-                before = _ACCESS.sub("", before)
+                before = _ACCESS.sub("", before) if ":" in before else before
                 if ")" in before and before.rstrip().endswith((":", ",")):
                     continue  # a member's initialiser
             made = inside and name.lstrip("~") == inside.name or len(parts) > 1 and parts[-1].lstrip("~") == parts[-2]
-            if not re.search(r"\w", before) and not made:
+            if not _WORDY.search(before) and not made:
                 continue
-            if re.search(r"[=!+/%^|?.\"'-]|\breturn\b|\bnew\b|\bthrow\b|\belse\b|\bawait\b|\bcase\b|\bgoto\b", re.sub(r"->|::", "", before)) and not re.search(r"\boperator\b", before):
+            if _NOT_A_HEAD.search(before.replace("->", "").replace("::", "")) and "operator" not in before:
                 continue
             if before.count("(") != before.count(")") and "__attribute__" not in before:
                 continue
@@ -708,29 +711,42 @@ _CREF = re.compile(r"<inheritdoc\b[^<>]*\bcref\s*=\s*\"(?:[A-Z]:)?([\w.]+)", re.
 _INHERIT_TAG = r"(?i)\{@inheritdoc\}|<inheritdoc\b[^<>]*/?>(?:\s*</inheritdoc>)?|@inheritdoc\b"
 
 
+_WORD_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+")
+#: Stems of a task's words, emptied when they are many.
+_STEMS: dict[str, str] = {}
+
+
 def _words(text: str) -> list[str]:
-    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+", text)
-    return [p.lower() for p in parts]
+    return [p.lower() for p in _WORD_PARTS.findall(text)]
 
 
 def _stem(word: str) -> str:
-    for tail in ("ing", "ies", "es", "ed", "s", "e", "y"):
-        if len(word) > len(tail) + 2 and word.endswith(tail):
-            return word[: -len(tail)]
-    return word
+    known = _STEMS.get(word)
+    if known is None:
+        known = next((word[: -len(tail)] for tail in ("ing", "ies", "es", "ed", "s", "e", "y") if len(word) > len(tail) + 2 and word.endswith(tail)), word)
+        if len(_STEMS) > 50_000:
+            _STEMS.clear()
+        _STEMS[word] = known
+    return known
 
 
 def substance(doc: str, name: str) -> str:
     """What documentation says beyond blanks, separators, bare tags, notes to do and the name itself."""
-    kept = []
-    for line in _XML.sub(" ", doc).split("\n"):
+    kept: list[str] = []
+    if not doc or doc.isspace():
+        return ""
+    for line in (_XML.sub(" ", doc) if "<" in doc else doc).split("\n"):
         bare = line.strip()
         if not bare or _SEPARATOR.match(bare) or _BARE_TAG.match(bare) or _STUB.match(bare):
             continue
         kept.append(bare)
-    own = {_stem(w) for w in _words(name)} | {name.lower().strip("_"), "".join(_words(name))}
-    left = [w for w in _words(re.sub(re.escape(name), " ", " ".join(kept))) if w not in _FILLER and _stem(w) not in own and w not in own]
-    return "\n".join(kept) if left else ""
+    if not kept:
+        return ""
+    parts = _words(name)
+    own = {*map(_stem, parts), name.lower().strip("_"), "".join(parts)}
+    said = " ".join(kept)
+    said = said.replace(name, " ") if name else said
+    return "\n".join(kept) if any(w not in _FILLER and w not in own and _stem(w) not in own for w in _words(said)) else ""
 
 
 _PARAM = re.compile(r"^\s*(?:[@\\]param(?:\s*\{[^{}]*\})?\s+\[?([\w.$]+)|:param(?:\s+\w+)?\s+([\w*]+)\s*:|<param\s+name=\"([^\"]+)\"|[-*]?\s*`?(\*{0,2}\w+)`?(?:\s*\([^()]*\))?\s*:\s+\S)")
