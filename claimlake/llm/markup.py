@@ -125,7 +125,7 @@ _MD_DEFINITION = re.compile(r"^ {0,3}\[[^\[\]]+\]:\s*\S+")
 
 
 def _md_inline(text: str) -> tuple[str, bool, bool]:
-    shield, inline, formula = _Shield(), False, False
+    shield, inline, formula, n = _Shield(), False, False, 0
 
     def code(m: re.Match) -> str:
         nonlocal inline
@@ -137,23 +137,30 @@ def _md_inline(text: str) -> tuple[str, bool, bool]:
         formula = True
         return shield.put(m[0])
 
-    text = _MD_CODE.sub(code, text)
-    text, n = _COMMENT.subn("", text)
-    inline |= n > 0
-    text, n = re.subn(r"<math\b[^<>]*>(.*?)</math>", lambda m: math(re.match(r".*", f"${m[1]}$")), text, flags=re.I)
-    text = _MD_MATH.sub(math, text)
-    text, n = _AUTOLINK.subn(lambda m: shield.put(m[1]), text)
-    inline |= n > 0
-    text, n = _strip_tags(text)
-    inline |= n
-    for pattern in (_MD_IMAGE, _MD_LINK):
-        text, n = pattern.subn(lambda m: m[1], text)
+    if "`" in text:
+        text = _MD_CODE.sub(code, text)
+    if "<!--" in text:
+        text, n = _COMMENT.subn("", text)
         inline |= n > 0
-    text, n = _MD_NOTE.subn("", text)
-    inline |= n > 0
-    for pattern in _MD_EMPHASIS:
-        text, n = pattern.subn(lambda m: m[2], text)
+    if "<" in text:
+        text = _WIKI_MATH.sub(lambda m: math(re.match(r".*", f"${m[1]}$")), text)
+    if "$" in text or "\\" in text:
+        text = _MD_MATH.sub(math, text)
+    if "<" in text:
+        text, n = _AUTOLINK.subn(lambda m: shield.put(m[1]), text)
         inline |= n > 0
+        text, n = _strip_tags(text)
+        inline |= n
+    if "[" in text:
+        for pattern in (_MD_IMAGE, _MD_LINK):
+            text, n = pattern.subn(lambda m: m[1], text)
+            inline |= n > 0
+        text, n = _MD_NOTE.subn("", text)
+        inline |= n > 0
+    if "*" in text or "_" in text or "~" in text:
+        for pattern in _MD_EMPHASIS:
+            text, n = pattern.subn(lambda m: m[2], text)
+            inline |= n > 0
     if _ENTITY.search(text):
         text, inline = html.unescape(text).replace("\xa0", " "), True
     return shield.back(text), inline, formula
@@ -302,7 +309,7 @@ def _html_block(lines: list[str], n: int, tag: str, out: list[_Line]) -> int:
 
 def _html_inline(text: str) -> tuple[str, bool, bool]:
     shield = _Shield()
-    text, formulas = re.subn(r"<math\b[^<>]*>(.*?)</math\s*>", lambda m: shield.put(f"${html.unescape(m[1])}$"), text, flags=re.I)
+    text, formulas = _WIKI_MATH.subn(lambda m: shield.put(f"${html.unescape(m[1])}$"), text)
     text, comments = _COMMENT.subn("", text)
     text, tags = _strip_tags(text)
     entities = _ENTITY.search(text) is not None
@@ -352,25 +359,33 @@ _WIKI_ITEM = re.compile(r"^([*#]+)[ \t]*(\S.*)$")
 _WIKI_CODE = re.compile(r"^<(pre|source|syntaxhighlight|code|nowiki)\b[^<>]*>", re.I)
 
 
+_WIKI_MATH = re.compile(r"<math\b[^<>]*>(.*?)</math\s*>", re.I)
+_WIKI_SHIELDED = (re.compile(r"<nowiki>(.*?)</nowiki>", re.I), re.compile(r"<code\b[^<>]*>(.*?)</code>", re.I))
+#: Inline marks with the group that stays (0: none) and a text that every one of them holds.
+_WIKI_PARTS = tuple(
+    (re.compile(pattern, re.I), keep, mark)
+    for pattern, keep, mark in (
+        (r"<!--.*?-->", 0, "<!--"), (r"<ref\b[^<>]*/>", 0, "<"), (r"<ref\b[^<>]*>.*?</ref>", 0, "<"),
+        (r"\[\[(?:File|Image|Datei|Archivo)\s*:[^\[\]|]*(?:\|[^\[\]|]*)*\|([^\[\]|]*)\]\]", 1, "[["), (r"\[\[(?:File|Image)\s*:[^\[\]]*\]\]", 0, "[["),
+        (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", 1, "[["), (r"\[\[([^\[\]|]+)\]\]", 1, "[["),
+        (r"\[(?:https?|ftp|mailto):\S+\s+([^\[\]]+)\]", 1, "["), (r"\[((?:https?|ftp):[^\s\[\]]+)\]", 1, "["),
+        (r"\{\{[^{}|]*\|([^{}|]*)\}\}", 1, "{{"), (r"\{\{[^{}]*\}\}", 0, "{{"),
+        (r"'''''(.+?)'''''", 1, "''"), (r"'''(.+?)'''", 1, "''"), (r"''(.+?)''", 1, "''"),
+    )
+)
+
+
 def _wiki_inline(text: str) -> tuple[str, bool, bool]:
-    shield, inline = _Shield(), False
-    text, formulas = re.subn(r"<math\b[^<>]*>(.*?)</math\s*>", lambda m: shield.put(f"${html.unescape(m[1])}$"), text, flags=re.I)
-    for pattern, keep in (
-        (r"<nowiki>(.*?)</nowiki>", 1), (r"<code\b[^<>]*>(.*?)</code>", 1),
-    ):
-        text, n = re.subn(pattern, lambda m, keep=keep: shield.put(m[keep]), text, flags=re.I)
-        inline |= n > 0
-    for pattern, keep in (
-        (r"<!--.*?-->", None),
-        (r"<ref\b[^<>]*/>", None), (r"<ref\b[^<>]*>.*?</ref>", None),
-        (r"\[\[(?:File|Image|Datei|Archivo)\s*:[^\[\]|]*(?:\|[^\[\]|]*)*\|([^\[\]|]*)\]\]", 1), (r"\[\[(?:File|Image)\s*:[^\[\]]*\]\]", None),
-        (r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", 1), (r"\[\[([^\[\]|]+)\]\]", 1),
-        (r"\[(?:https?|ftp|mailto):\S+\s+([^\[\]]+)\]", 1), (r"\[((?:https?|ftp):[^\s\[\]]+)\]", 1),
-        (r"\{\{[^{}|]*\|([^{}|]*)\}\}", 1), (r"\{\{[^{}]*\}\}", None),
-        (r"'''''(.+?)'''''", 1), (r"'''(.+?)'''", 1), (r"''(.+?)''", 1),
-    ):
-        text, n = re.subn(pattern, lambda m, keep=keep: m[keep] if keep else "", text, flags=re.I)
-        inline |= n > 0
+    shield, inline, formulas = _Shield(), False, 0
+    if "<" in text:
+        text, formulas = _WIKI_MATH.subn(lambda m: shield.put(f"${html.unescape(m[1])}$"), text)
+        for pattern in _WIKI_SHIELDED:
+            text, n = pattern.subn(lambda m: shield.put(m[1]), text)
+            inline |= n > 0
+    for pattern, keep, mark in _WIKI_PARTS:
+        if mark in text:
+            text, n = pattern.subn(r"\1" if keep else "", text)
+            inline |= n > 0
     text, tags = _strip_tags(text)
     entities = _ENTITY.search(text) is not None
     return shield.back(html.unescape(text).replace("\xa0", " ")), inline or tags or entities, formulas > 0
@@ -574,6 +589,9 @@ _SIGNS = {
         (re.compile(r"<(?:b|kbd|sup|sub|br|a|img|i|span)\b[^<>]*>|<!--.*?-->|&[a-z]+;|&#\d+;", re.I), 1),
     ),
 }
+_OPENING = re.compile(r"\s*[`~<\\$]")
+#: A mark that every sign of a notation has.
+_SIGN_MARKS = {"latex": re.compile(r"\\"), "html": re.compile("<"), "wiki": re.compile(r"[=<\['{*#|]"), "markdown": re.compile(r"[#\[*_`~+|<$&-]|^\s*\d")}
 _HINTS = {"md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "wiki": "wiki", "mediawiki": "wiki", "tex": "latex"}
 
 
@@ -586,7 +604,7 @@ def notation_of(lines: list[str], path: str = "") -> str | None:
         score["markdown"] += 4
     while n < len(lines):
         line = lines[n]
-        for pattern, end, kind, weight in _OPENERS:
+        for pattern, end, kind, weight in _OPENERS if _OPENING.match(line) else ():
             m = pattern.match(line)
             if m:
                 if kind:
@@ -600,6 +618,8 @@ def notation_of(lines: list[str], path: str = "") -> str | None:
                 break
         else:
             for kind, signs in _SIGNS.items():
+                if not _SIGN_MARKS[kind].search(line):
+                    continue
                 for pattern, weight in signs:
                     if pattern.search(line):
                         score[kind] += weight
