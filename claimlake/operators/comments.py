@@ -38,23 +38,38 @@ def words_of(sources: DataFrame, max_chars: int = 2 << 20) -> DataFrame:
     return sources.where(F.length("text") <= max_chars).select(F.explode(T.identifiers_in("text")).alias("word")).distinct()
 
 
-_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[\"'`]|[()\[\]{}]", re.S)
+_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[\"'`]|[()\[\]{}]|\n|[^\s()\[\]{}\"'`/]+|/", re.S)
+_GROUPS = ("import", "const", "var", "type")
 
 
 def example_fault(code: str) -> str | None:
-    """What keeps a block of Go code from parsing, as far as brackets and strings tell; elisions are allowed."""
+    """What keeps a block of Go code from parsing, as far as brackets, strings and the ends of lines in lists tell; elisions are allowed.
+
+    A line inside round brackets that ends with an operand ends the list, unless the brackets group declarations.
+    """
     if re.search(r"^\s*(?:\.\.\.|…)\s*$", code, re.M):
         code = re.sub(r"(?m)^\s*(?:\.\.\.|…)\s*$", "", code)
-    stack = []
+    stack: list[str] = []
+    last = ""
     for m in _TOKEN.finditer(code):
         t = m[0]
-        if t in "\"'`":
+        if t.startswith(("//", "/*")):
+            continue
+        if t in ("\"", "'", "`"):
             return "a string is not closed"
-        if t in "([{":
-            stack.append(t)
-        elif t in ")]}" and (not stack or "([{".index(stack.pop()) != ")]}".index(t)):
-            return f"{t} closes nothing"
-    return f"{stack[-1]} is not closed" if stack else None
+        if t == "\n":
+            if stack and stack[-1] == "(" and last and (last[-1].isalnum() or last[-1] in "_)]}\"'`") and last not in ("func", "return"):
+                return "missing ',' before newline in argument list"
+            last = ""
+            continue
+        if t in ("(", "[", "{"):
+            stack.append("group" if t == "(" and last in _GROUPS else t)
+        elif t in (")", "]", "}"):
+            opened = stack.pop() if stack else ""
+            if {"(": ")", "group": ")", "[": "]", "{": "}"}.get(opened) != t:
+                return f"{t} closes nothing"
+        last = t
+    return ("( is not closed" if stack[-1] == "group" else f"{stack[-1]} is not closed") if stack else None
 
 
 def _fault_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -136,7 +136,12 @@ def anchors(claims: DataFrame, known: DataFrame) -> DataFrame:
     labels = known.where("slug is not null").select(loose(F.col("slug")).alias("key")).distinct().withColumn("label", F.lit(True))
     joined = mine.withColumn("key", loose(F.col("slug"))).join(slugs, ["page", "key"], "left").join(pages, "page", "left")
     joined = joined.join(labels, "key", "left").withColumn("ok", F.col("hit") | (F.col("label") & F.col("path").rlike("[.](?:rst|adoc)$")))
-    return _verdicts(joined, F.col("ok"), "broken-anchor", "anchor %s does not exist", None, F.col("doc").isNull())
+    pool = known.where("slug is not null").select(F.concat_ws("#", "path", F.lower("slug")).alias("anchor"))
+    here = lambda c: F.substring_index(c, "#", 1)
+    guess = S.ranked(joined.where("ok is null and doc").select(F.concat_ws("#", "page", "slug").alias("asked")), pool, "asked", "anchor", n=5, limit=F.lit(2)).where(here(F.col("query")) == here(F.col("candidate")))
+    guess = guess.groupBy(F.col("query").alias("asked")).agg(F.min_by("candidate", "rank").alias("candidate"))
+    joined = joined.withColumn("asked", F.concat_ws("#", "page", "slug")).join(guess, "asked", "left")
+    return _verdicts(joined, F.col("ok"), "broken-anchor", "anchor %s does not exist", F.concat(F.lit("#"), F.substring_index("candidate", "#", -1)), F.col("doc").isNull())
 
 
 def _mask(segments: Column) -> Column:
@@ -182,7 +187,8 @@ def routes(claims: DataFrame, facts: DataFrame) -> DataFrame:
     split = lambda c: F.regexp_replace(c, "^[A-Z]+ ", "")
     verb = lambda c: F.nullif(F.regexp_extract(c, "^([A-Z]+) ", 1), F.lit(""))
     mine = claims.where("kind = 'route'").withColumns({"segs": T.route_segments(split(F.col("norm"))), "said": verb(F.col("norm"))})
-    known = facts.where("kind = 'route'").select(T.route_segments(split(F.col("name"))).alias("reg"), verb(F.col("name")).alias("method")).distinct()
+    served = F.coalesce(verb(F.col("name")), F.nullif(F.regexp_extract("value", "^(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)$", 1), F.lit("")) if "value" in facts.columns else F.lit(None).cast("string"))
+    known = facts.where("kind = 'route'").select(T.route_segments(split(F.col("name"))).alias("reg"), served.alias("method")).distinct()
     met = mine.select("segs", "said").distinct().join(match_routes(mine, known), "segs")
     fits = F.col("said").isNull() | F.col("method").isNull() | (F.col("said") == F.col("method"))
     judged = met.groupBy("segs", "said").agg(

@@ -304,7 +304,7 @@ class Engine:
         said = self.verdicts.where("status = 'ok'")
         split = lambda c: F.regexp_replace(c, "^[A-Z]+ ", "")
         method = lambda c: F.nullif(F.regexp_extract(c, "^([A-Z]+) ", 1), F.lit(""))
-        routes = self.facts.where("kind = 'route'").select(method(F.col("name")).alias("method"), F.col("name").alias("path"), T.route_segments(split(F.col("name"))).alias("segs"))
+        routes = self.facts.where("kind = 'route'").select(F.coalesce(method(F.col("name")), "value").alias("method"), F.col("name").alias("path"), T.route_segments(split(F.col("name"))).alias("segs"))
         asked = said.where("kind = 'route'").select(method(F.col("norm")).alias("method"), T.route_segments(split(F.col("norm"))).alias("segs"))
         r = L.route_coverage(routes, asked).select(F.lit("routes").alias("grp"), F.col("path").alias("name"), "documented")
         keys = L.leaf_keys(self.config_keys)

@@ -230,6 +230,12 @@ def _passed_on(file: str, lang: str, module: str, line: str) -> Iterator[tuple[s
             yield bound or name, name, source
 
 
+#: A router's prefix, a URL pattern of a list of them, the method that a registration is named after.
+_PREFIX = re.compile(r"^(\w+)\s*=\s*\w+\([^)]*\b(?:url_)?prefix\s*=\s*[\"']([^\"']+)[\"']", re.M)
+_DJANGO = re.compile(r"\b(?:re_)?path\(\s*r?[\"']([^\"']*)[\"']")
+_VERB = re.compile(r"(?:[.@]|\[Http|\.Map|#\[)(get|post|put|delete|patch)\s*\(", re.I)
+
+
 def scan(file: str, text: str) -> list[tuple]:
     """All facts of one source file."""
     lang = LANG_OF.get(file.rsplit(".", 1)[-1].lower())
@@ -262,11 +268,20 @@ def scan(file: str, text: str) -> list[tuple]:
             around = [s for s in spans if s[0] <= n <= s[1]]
             if around:
                 out.append((file, lang, "opaque", max(around)[2], "", None, n, n, True))
+    prefixes = dict(_PREFIX.findall(text)) if lang == "py" and "prefix" in text else {}
     for n, line in enumerate(raw, 1):
+        if lang == "py" and file.endswith("urls.py"):
+            out += [(file, lang, "route", "/" + m[1].lstrip("^/").rstrip("$"), "", None, n, n, True) for m in _DJANGO.finditer(line)]
         for kind, pattern in _USE[lang]:
             for m in pattern.finditer(line):
                 name = m["name"] or m.groupdict().get("name2")
                 value = m.groupdict().get("value")
+                if kind == "route":
+                    verb = _VERB.search(m[0])
+                    value = verb[1].upper() if verb else None
+                    mount = next((p for v, p in prefixes.items() if re.match(rf"@{v}\.", m[0])), None)
+                    if mount:
+                        out.append((file, lang, kind, mount.rstrip("/") + name, "", value, n, n, True))
                 out.append((file, lang, kind, name, "", value.strip().strip("\"'") if value else None, n, n, True))
         for m in _LITERAL.finditer(line):
             word = m[1] or m[2]

@@ -158,3 +158,26 @@ def test_nearest_files_of_a_hot_name(spark):
         return 100 + apart if q[-1] == "README.md" else 101 + apart if q[-1].lower() == "readme.md" else 2000
 
     assert got == sorted(((c, score(c)) for c in known), key=lambda x: (x[1], len(x[0]), x[0]))[:3]
+
+
+def test_anchor_suggestions(spark):
+    known = spark.createDataFrame([("docs/g.md", "install"), ("docs/h.md", "instal-all"), ("docs/g.md", None), ("docs/h.md", None)], "path string, slug string")
+    got = {r.norm: (r.status, r.suggestion) for r in R.anchors(claims_of(spark, ("anchor", "docs/g.md#instal"), ("anchor", "docs/g.md#far-away"), ("anchor", "docs/g.md#install"), ("anchor", "no.md#x")), known).collect()}
+    assert got == {"docs/g.md#instal": ("missing", "#install"), "docs/g.md#far-away": ("missing", None), "docs/g.md#install": ("ok", None), "no.md#x": ("skipped", None)}
+
+
+def test_routes_of_frameworks(spark):
+    rows = lambda file, text: {(r[3], r[5]) for r in facts.scan(file, text) if r[2] == "route"}
+    assert rows("a.py", 'router = APIRouter(prefix="/py")\n@router.get("/items")\ndef f(): pass\n@app.route("/x")\ndef g(): pass\n') == {("/items", "GET"), ("/py/items", "GET"), ("/x", None)}
+    assert rows("shop/urls.py", 'urlpatterns = [path("items/<int:id>/", v), re_path(r"^old/$", w)]\n') == {("/items/<int:id>/", None), ("/old/", None)}
+    assert rows("a.js", "app.post('/y', h)\n") == {("/y", "POST")} and rows("a.cs", 'app.MapDelete("/z", h);\n') == {("/z", "DELETE")}
+    table = facts.fact_table(spark.createDataFrame([("a.js", "app.get('/y', h)\n")], "file string, text string"))
+    assert {r.norm: r.status for r in R.routes(claims_of(spark, ("route", "GET /y"), ("route", "PUT /y")), table).collect()} == {"GET /y": "ok", "PUT /y": "missing"}
+
+
+def test_lists_that_end_too_early():
+    from claimlake.operators.comments import example_fault
+
+    assert example_fault("f(\n\ta,\n\tb\n)") == "missing ',' before newline in argument list"
+    assert example_fault("f(\n\ta,\n\tb,\n)") is None and example_fault('import (\n\t"fmt"\n\t"os"\n)\n\nconst (\n\tA = 1\n)') is None
+    assert example_fault("x := f(a) // note (\ny := g(b +\n\tc)") is None and example_fault("func f() {\n\tg(func() {\n\t\th()\n\t})\n") == "{ is not closed"
