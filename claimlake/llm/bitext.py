@@ -272,35 +272,29 @@ class _Counts:
     """Sums of (language, kind, a, b), folded whenever enough of them are waiting."""
 
     def __init__(self, room: int = 2_000_000):
-        self.room, self.held, self.parts = room, 0, []
+        self.room, self.held = room, 0
+        self.parts: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
     def add(self, lang: str, kind: str, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
         if len(n):
-            self.parts.append(pd.DataFrame({"lang": lang, "kind": kind, "a": a, "b": b, "n": n}))
+            self.parts.setdefault((lang, kind), []).append((a, b, n))
             self.held += len(n)
 
     def full(self) -> bool:
         return self.held >= self.room
 
     def take(self) -> pd.DataFrame:
-        parts, self.parts, self.held = self.parts, [], 0
+        parts, self.parts, self.held = self.parts, {}, 0
         out = []
-        for (lang, kind), rows in _by_language(parts):
-            a, a_at = np.unique(rows["a"].to_numpy(), return_inverse=True)
-            b, b_at = np.unique(rows["b"].to_numpy(), return_inverse=True)
+        for (lang, kind), held in parts.items():
+            first, second, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, a_at = np.unique(first, return_inverse=True)
+            b, b_at = np.unique(second, return_inverse=True)
             pair, at = np.unique(a_at.astype(np.int64) * len(b) + b_at, return_inverse=True)
-            out.append(pd.DataFrame({"lang": lang, "kind": kind, "a": a[pair // len(b)], "b": b[pair % len(b)], "n": np.bincount(at, rows["n"].to_numpy())}))
+            out.append(pd.DataFrame({"lang": lang, "kind": kind, "a": a[pair // len(b)], "b": b[pair % len(b)], "n": np.bincount(at, count)}))
         return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=str), "kind": pd.Series(dtype=str), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n": pd.Series(dtype=float)})
 
 
-def _by_language(parts: list[pd.DataFrame]) -> Iterator[tuple[tuple[str, str], pd.DataFrame]]:
-    groups: dict[tuple[str, str], list[pd.DataFrame]] = {}
-    for p in parts:
-        groups.setdefault((p["lang"].iat[0], p["kind"].iat[0]), []).append(p)
-    for key, held in groups.items():
-        yield key, pd.concat(held)
-
-
 def _counter(trained: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = _Counts()
