@@ -14,7 +14,10 @@ enough of a sentence's mass are the links: one to one, joins, divisions and move
 fall out of the same plan.
 
 Pages are handled in windows of ``window`` source sentences against the part of
-the translation around them, so a page of any length is spread over tasks.
+the translation around them, so a page of any length is spread over tasks. A
+translation much longer than its source makes more windows, so neither side of
+one grows with the page. Windows reach Python in batches of ``_BATCH_BYTES`` and
+are unpacked a few at a time, with the lexicon's entries in flat arrays.
 Sentences without a link get a second chance anywhere on their page: first those
 that share rare code or numbers, then all, in blocks of ``window`` by their vectors.
 
@@ -31,12 +34,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlake.session import materialise, settled
@@ -140,6 +145,12 @@ class _Side:
         return np.where(self.kind >= CODE, 3.0, np.where(self.kind >= NUMBER, 2.0, rare))
 
 
+def _blocks(rows: int, wide: int, cells: int = 4_000_000) -> list[slice]:
+    """Slices of ``rows`` with at most ``cells`` cells each, one row at least."""
+    step = max(1, cells // max(1, wide))
+    return [slice(k, k + step) for k in range(0, rows, step)]
+
+
 def similarity(source: _Side, target: _Side, model: Model) -> np.ndarray:
     """How far the vectors of two sentences cover each other, mostly by the better covered one."""
     place = {w: k for k, w in enumerate(target.words.tolist())}
@@ -154,13 +165,13 @@ def similarity(source: _Side, target: _Side, model: Model) -> np.ndarray:
     s_weight, t_weight = source.weights(model.source_df, model.sentences), target.weights(model.target_df, model.sentences)
     # The best translation of every source word in each target sentence, and the other way round.
     starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    best = np.maximum.reduceat(target.has[:, b] * q, starts, axis=1)
-    s_cover = (source.has[:, a[starts]] * s_weight[a[starts]]) @ best.T
+    weighed = source.has[:, a[starts]] * s_weight[a[starts]]
+    s_cover = np.concatenate([weighed @ np.maximum.reduceat(target.has[rows][:, b] * q, starts, axis=1).T for rows in _blocks(len(target.sizes), len(b))], axis=1)
     order = np.argsort(b, kind="stable")
     a, b, q = a[order], b[order], q[order]
     starts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-    reached = np.maximum.reduceat(source.has[:, a] * q, starts, axis=1)
-    t_cover = reached @ (target.has[:, b[starts]] * t_weight[b[starts]]).T
+    weighed = (target.has[:, b[starts]] * t_weight[b[starts]]).T
+    t_cover = np.concatenate([np.maximum.reduceat(source.has[rows][:, a] * q, starts, axis=1) @ weighed for rows in _blocks(len(source.sizes), len(a))])
     s_part = s_cover / (1e-9 + source.has @ s_weight)[:, None]
     t_part = t_cover / (1e-9 + target.has @ t_weight)[None, :]
     return 0.65 * np.maximum(s_part, t_part) + 0.35 * np.minimum(s_part, t_part)
@@ -204,6 +215,35 @@ def meetings(source: _Side, target: _Side, s_at: np.ndarray, t_at: np.ndarray) -
 
 # --- Spark --------------------------------------------------------------------------------------
 
+#: Bytes that reach a Python worker at once, and windows that are unpacked at once.
+_BATCH_BYTES, _UNPACKED = 8 << 20, 16
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``_BATCH_BYTES`` for what runs inside; less where the session says less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(key, str(min(given, _BATCH_BYTES) if given > 0 else _BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    with _small_batches(df.sparkSession):
+        return materialise(df, name)
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator:
+    """Rows one after the other; only a few are Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _UNPACKED):
+            yield from batch.slice(k, _UNPACKED).to_pandas().itertuples(index=False)
+
+
 _SENTENCE = "pair_id bigint, side string, sent_no int, words array<bigint>, evidence array<int>"
 
 
@@ -211,7 +251,7 @@ def _split_sentences(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         split = [words(t) for t in batch["text"]]
         said = [_evidence(t.lower(), ws) if side == "translation" else [] for t, ws, side in zip(batch["text"], split, batch["side"], strict=True)]
-        yield pd.DataFrame({"pair_id": batch["pair_id"], "side": batch["side"], "sent_no": batch["sent_no"], "words": [hashed(ws) for ws in split], "evidence": said})
+        yield pd.DataFrame({"pair_id": batch["pair_id"], "side": batch["side"], "sent_no": batch["sent_no"], "words": [np.array(hashed(ws), np.int64) for ws in split], "evidence": said})
 
 
 def _languages(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,23 +268,20 @@ def units(pairs: DataFrame, pair_sentences: DataFrame, window: int = 200) -> Dat
         pair_sentences.where("pair_id is not null and sent_no is not null and side in ('source', 'translation') and trim(text) <> ''")
         .groupBy(F.col("pair_id").cast("bigint").alias("pair_id"), "side", F.col("sent_no").cast("int").alias("sent_no")).agg(F.max("text").alias("text"))
     )
-    one = materialise(one.mapInPandas(_split_sentences, _SENTENCE), "sentences")
+    one = _written(one.mapInPandas(_split_sentences, _SENTENCE), "sentences")
     sizes = one.groupBy("pair_id").agg(
         F.count_if(F.col("side") == "source").alias("n_s"),
-        F.min(F.when(F.col("side") == "source", F.col("sent_no"))).alias("lo_s"),
-        F.max(F.when(F.col("side") == "source", F.col("sent_no"))).alias("hi_s"),
-        F.min(F.when(F.col("side") == "translation", F.col("sent_no"))).alias("lo_t"),
-        F.max(F.when(F.col("side") == "translation", F.col("sent_no"))).alias("hi_t"),
+        F.count_if(F.col("side") == "translation").alias("n_t"),
         F.array(*[F.coalesce(F.sum(F.get("evidence", F.lit(k))), F.lit(0)) for k in range(2 + len(_STOPWORDS))]).alias("e"),
-    ).where("lo_s is not null and lo_t is not null")
+    ).where("n_s > 0 and n_t > 0")
     known = pairs.where("pair_id is not null").groupBy("pair_id").agg(F.max("lang").alias("lang"))
     sizes = sizes.join(known, "pair_id")
     sizes = sizes.drop("e", "lang").join(sizes.select("pair_id", "lang", "e").mapInPandas(_languages, "pair_id bigint, lang string"), "pair_id")
     placed = one.drop("evidence").join(sizes, "pair_id")
     source = F.col("side") == "source"
-    low, high = F.when(source, F.col("lo_s")).otherwise(F.col("lo_t")), F.when(source, F.col("hi_s")).otherwise(F.col("hi_t"))
-    at = (F.col("sent_no") - low + 0.5) / (high - low + 1)
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n_s") / F.lit(window)).cast("int"))
+    # Places count sentences, not their numbers: gaps in the numbers would fill some windows and leave others empty.
+    at = (F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("sent_no")) - 0.5) / F.when(source, F.col("n_s")).otherwise(F.col("n_t"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n_s") / F.lit(window)).cast("int"), F.ceil(F.col("n_t") / F.lit(2 * window)).cast("int"))
     placed = placed.withColumns({"at": at, "parts": parts})
     home = F.least(F.floor(F.col("at") * F.col("parts")).cast("int"), F.col("parts") - 1)
     first = F.greatest(F.lit(0), F.floor(F.col("at") * F.col("parts") - 0.5).cast("int"))
@@ -263,15 +300,19 @@ def _sides(r) -> tuple[_Side, _Side, np.ndarray, np.ndarray]:
 
 
 def _model(r) -> Model:
-    rows = r.model if r.model is not None else ()
-    forward = {m["w"]: [(x["b"], x["q"]) for x in m["to"]] for m in rows if m["side"] == "s" and m["to"] is not None and len(m["to"])}
-    return Model(forward, {m["w"]: m["n"] for m in rows if m["side"] == "s"}, {m["w"]: m["n"] for m in rows if m["side"] == "t"}, int(r.sentences), float(r.ratio))
+    to, at = list(zip(r.to_b.tolist(), r.to_q.tolist(), strict=True)), np.cumsum(r.s_to).tolist()
+    forward = {w: to[end - k : end] for w, k, end in zip(r.s_known.tolist(), r.s_to.tolist(), at, strict=True) if k}
+    s_df, t_df = (dict(zip(w.tolist(), n.tolist(), strict=True)) for w, n in ((r.s_known, r.s_n), (r.t_known, r.t_n)))
+    return Model(forward, s_df, t_df, int(r.sentences), float(r.ratio))
+
+
+_COUNT = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.float64())])
 
 
 class _Counts:
     """Sums of (language, kind, a, b), folded whenever enough of them are waiting."""
 
-    def __init__(self, room: int = 2_000_000):
+    def __init__(self, room: int = 300_000):
         self.room, self.held = room, 0
         self.parts: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
@@ -295,37 +336,38 @@ class _Counts:
         return pd.concat(out) if out else pd.DataFrame({"lang": pd.Series(dtype=str), "kind": pd.Series(dtype=str), "a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n": pd.Series(dtype=float)})
 
 
-def _counter(trained: bool) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counter(trained: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
         none = np.zeros(1, np.int64)
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                source, target, s_at, t_at = _sides(r)
-                if not len(s_at) or not len(t_at):
-                    continue
-                if trained:
-                    met = np.zeros((len(s_at), len(t_at)))
-                    for i, j, q in align(source, target, _model(r), s_at, t_at):
-                        met[i, j] = q
-                else:
-                    met = meetings(source, target, s_at, t_at)
-                plain_s, plain_t = source.kind == WORD, target.kind == WORD
-                s_has, t_has = source.has[:, plain_s], target.has[:, plain_t]
-                s_words, t_words = source.words[plain_s], target.words[plain_t]
-                both = s_has.T @ met @ t_has
+        taken = lambda: pa.RecordBatch.from_pandas(counts.take(), _COUNT, preserve_index=False)
+        for r in _unpacked(batches):
+            source, target, s_at, t_at = _sides(r)
+            if not len(s_at) or not len(t_at):
+                continue
+            if trained:
+                met = np.zeros((len(s_at), len(t_at)))
+                for i, j, q in align(source, target, _model(r), s_at, t_at):
+                    met[i, j] = q
+            else:
+                met = meetings(source, target, s_at, t_at)
+            plain_s, plain_t = source.kind == WORD, target.kind == WORD
+            s_has, t_has = source.has[:, plain_s], target.has[:, plain_t]
+            s_words, t_words = source.words[plain_s], target.words[plain_t]
+            for part in _blocks(len(s_words), len(t_words)):
+                both = s_has[:, part].T @ met @ t_has
                 i, j = np.nonzero(both)
-                counts.add(r.lang, "b", s_words[i], t_words[j], both[i, j])
-                zero_s, zero_t = np.zeros(len(s_words), np.int64), np.zeros(len(t_words), np.int64)
-                counts.add(r.lang, "s", s_words, zero_s, s_has.T @ met.sum(1))
-                counts.add(r.lang, "t", zero_t, t_words, t_has.T @ met.sum(0))
-                counts.add(r.lang, "S", s_words, zero_s, s_has.sum(0))
-                counts.add(r.lang, "T", t_words, zero_t, t_has.sum(0))
-                counts.add(r.lang, "N", none, none, np.array([float(len(s_at))]))
-                counts.add(r.lang, "n", none, none, np.array([float(len(t_at))]))
+                counts.add(r.lang, "b", s_words[part][i], t_words[j], both[i, j])
                 if counts.full():
-                    yield counts.take()
-        yield counts.take()
+                    yield taken()
+            zero_s, zero_t = np.zeros(len(s_words), np.int64), np.zeros(len(t_words), np.int64)
+            counts.add(r.lang, "s", s_words, zero_s, s_has.T @ met.sum(1))
+            counts.add(r.lang, "t", zero_t, t_words, t_has.T @ met.sum(0))
+            counts.add(r.lang, "S", s_words, zero_s, s_has.sum(0))
+            counts.add(r.lang, "T", t_words, zero_t, t_has.sum(0))
+            counts.add(r.lang, "N", none, none, np.array([float(len(s_at))]))
+            counts.add(r.lang, "n", none, none, np.array([float(len(t_at))]))
+        yield taken()
 
     return count
 
@@ -336,8 +378,8 @@ def learn_lexicon(page_units: DataFrame, trained: bool, fan_out: int = 6) -> tup
     ``entries`` (lang, side, w, n, to): every word with the sentences it stands in and its best ``fan_out``
     translations; ``languages`` (lang, sentences, ratio). Counting is a partial aggregation over all sentences.
     """
-    counts = page_units.mapInPandas(_counter(trained), "lang string, kind string, a bigint, b bigint, n double")
-    counts = materialise(counts.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")), "lexicon")
+    counts = page_units.mapInArrow(_counter(trained), "lang string, kind string, a bigint, b bigint, n double")
+    counts = _written(counts.groupBy("lang", "kind", "a", "b").agg(F.sum("n").alias("n")), "lexicon")
     s = counts.where("kind = 's'").select("lang", "a", F.col("n").alias("n_a"))
     t = counts.where("kind = 't'").select("lang", "b", F.col("n").alias("n_b"))
     met = counts.where("kind = 'b' and n >= 1.2").select("lang", "a", "b", "n").join(s, ["lang", "a"]).join(t, ["lang", "b"])  # one meeting proves nothing
@@ -361,20 +403,30 @@ def with_model(page_units: DataFrame, lexicon: tuple[DataFrame, DataFrame]) -> D
     entries, languages = lexicon
     distinct = lambda c, side: F.transform(F.array_distinct(F.flatten(c)), lambda w: F.struct(F.lit(side).alias("side"), w.alias("w")))
     used = page_units.select("pair_id", "part", "lang", F.explode(F.concat(distinct("s_words", "s"), distinct("t_words", "t"))).alias("x")).select("pair_id", "part", "lang", "x.*")
-    known = used.join(entries.hint("merge"), ["lang", "side", "w"]).groupBy("pair_id", "part").agg(F.collect_list(F.struct("side", "w", "n", "to")).alias("model"))
+    of = lambda side: F.coalesce(F.collect_list(F.when(F.col("side") == side, F.struct("w", "n", "to"))), F.array())
+    known = used.join(entries.hint("merge"), ["lang", "side", "w"]).groupBy("pair_id", "part").agg(of("s").alias("ms"), of("t").alias("mt"))
     out = page_units.join(known.hint("merge"), ["pair_id", "part"], "left").join(languages, "lang", "left").na.fill({"sentences": 2, "ratio": 1.0})
+    # Flat arrays: an entry as an object of its own would take many times its bytes in Python.
+    to = F.flatten(F.transform("ms", lambda m: F.coalesce(m["to"], F.array())))
+    flat = {"s_known": F.transform("ms", lambda m: m["w"]), "s_n": F.transform("ms", lambda m: m["n"]), "s_to": F.transform("ms", lambda m: F.coalesce(F.size(m["to"]), F.lit(0)))}
+    flat |= {"to_b": F.transform(to, lambda x: x["b"]), "to_q": F.transform(to, lambda x: x["q"]), "t_known": F.transform("mt", lambda m: m["w"]), "t_n": F.transform("mt", lambda m: m["n"])}
+    out = out.withColumns({name: F.coalesce(c, F.array()) for name, c in flat.items()}).drop("ms", "mt")
     spark = page_units.sparkSession
     # A stated number of partitions is kept: adaptive execution would pack the windows of long pages into one task.
     return out.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "pair_id", "part")
 
 
-def _align_batches(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for r in batch.itertuples(index=False):
-            source, target, s_at, t_at = _sides(r)
-            rows += [(r.pair_id, int(r.s_no[i]), int(r.t_no[j]), q) for i, j, q in align(source, target, _model(r), s_at, t_at)]
-        yield pd.DataFrame(rows, columns=["pair_id", "source_no", "translation_no", "similarity"])
+def _align_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("pair_id", pa.int64()), ("source_no", pa.int32()), ("translation_no", pa.int32()), ("similarity", pa.float64())])
+    rows: list[tuple[int, int, int, float]] = []
+    taken = lambda: pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=schema.names), schema, preserve_index=False)
+    for r in _unpacked(batches):
+        source, target, s_at, t_at = _sides(r)
+        rows += [(r.pair_id, int(r.s_no[i]), int(r.t_no[j]), q) for i, j, q in align(source, target, _model(r), s_at, t_at)]
+        if len(rows) >= 10_000:
+            yield taken()
+            rows.clear()
+    yield taken()
 
 
 _LINKS = "pair_id bigint, source_no int, translation_no int, similarity double"
@@ -387,14 +439,14 @@ def align_pairs(pairs: DataFrame, pair_sentences: DataFrame, window: int = 200,
     lexicon = learn_lexicon(pages, False)
     for _ in range(rounds - 1):
         lexicon = learn_lexicon(with_model(pages, lexicon), True)
-    links = with_model(pages, lexicon).mapInPandas(_align_batches, _LINKS)
-    links = materialise(links, "links").groupBy("pair_id", "source_no", "translation_no").agg(F.max("similarity").alias("similarity"))
+    links = with_model(pages, lexicon).mapInArrow(_align_batches, _LINKS)
+    links = _written(links, "links").groupBy("pair_id", "source_no", "translation_no").agg(F.max("similarity").alias("similarity"))
     several = pages.groupBy("pair_id").count().where("count > 1").select("pair_id")
     if several.isEmpty():  # every page was one window: nothing lies outside it
         return links
     cut = materialise(pages.join(several, "pair_id", "left_semi"), "long")
     links = materialise(links.unionByName(_far_moves(cut, links)), "far")
-    rest = with_model(materialise(_rest_blocks(cut, links, window), "rest"), lexicon).mapInPandas(_align_batches, _LINKS)
+    rest = _written(with_model(materialise(_rest_blocks(cut, links, window), "rest"), lexicon).mapInArrow(_align_batches, _LINKS), "rest-links")
     # A sentence may be in several blocks' links; those about as good as its best one stay.
     top_s, top_t = (F.max("similarity").over(Window.partitionBy("pair_id", number)) for number in ("source_no", "translation_no"))
     rest = rest.withColumns({"top_s": top_s, "top_t": top_t}).where("similarity >= 0.8 * greatest(top_s, top_t)")

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from claimlake.llm import bitext as B
 
@@ -84,6 +85,33 @@ def test_far_moves_and_long_omissions_of_plain_prose(spark):
     assert precision > 0.9 and recall > 0.9
 
 
+def test_no_window_grows_with_its_page(spark):
+    rows = [(1, "source", n, f"one n{n}") for n in range(3)] + [(1, "translation", n, f"eins n{n}") for n in range(400)]
+    rows += [(2, side, n if n < 99 else 2**31 - 1, f"two n{n}") for side in ("source", "translation") for n in range(-1, 100)] + [(2, "source", -(2**31), "low")]
+    sentences = spark.createDataFrame(rows, "pair_id bigint, side string, sent_no int, text string")
+    pages = B.units(spark.createDataFrame([(1, "xx"), (2, "xx")], "pair_id bigint, lang string"), sentences, window=20).collect()
+    assert max(len(r.s_no) for r in pages) <= 20 and max(len(r.t_no) for r in pages) <= 80
+    assert {(r.pair_id, n) for r in pages for n in r.t_no} == {(p, n) for p, side, n, _ in rows if side == "translation"}
+
+
+def test_windows_reach_python_in_small_flat_batches(spark):
+    rows, _ = corpus(60, 30, 9)
+    sentences = spark.createDataFrame(rows, "pair_id bigint, side string, sent_no int, text string")
+    pages = B.units(spark.createDataFrame([(p, "xx") for p in range(60)], "pair_id bigint, lang string"), sentences)
+    modelled = B.with_model(pages, B.learn_lexicon(pages, False))
+    assert not any("struct" in kind for _, kind in modelled.dtypes)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, least = spark.conf.get(key), B._BATCH_BYTES
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    try:
+        B._BATCH_BYTES = 1
+        with B._small_batches(spark):
+            assert {r.n for r in modelled.mapInArrow(sizes, "n bigint").collect()} == {1}
+    finally:
+        B._BATCH_BYTES = least
+    assert spark.conf.get(key) == before
+
+
 def test_transport_masses():
     similar = np.array([[0.9, 0.1], [0.1, 0.1]])
     plan = B.transport(similar, np.array([1.0, 1.0]), np.array([1.0, 1.0]))
