@@ -200,3 +200,34 @@ def test_settled_operators_leave_one_table(spark):
         broken(rows)
     left = set(glob.glob(folder + "/claimlake-*")) - before
     assert len(left) == 1 and "claimlake-outer-" in left.pop()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_candidates_keep_every_pair_and_broadcast_no_rests(spark):
+    rng = random.Random(5)
+    known = sorted({"".join(rng.choice("abé") for _ in range(rng.randint(0, 20))) for _ in range(80)})
+
+    def edited(text):
+        letters = list(text)
+        for _ in range(rng.randint(0, 2)):
+            at, kind = rng.randint(0, max(0, len(letters) - 1)), rng.randint(0, 3)
+            if kind == 0:
+                letters.insert(at, "c")
+            elif kind == 1 and letters:
+                letters.pop(at)
+            elif kind == 2 and letters:
+                letters[at] = "c"
+            elif at + 1 < len(letters):
+                letters[at], letters[at + 1] = letters[at + 1], letters[at]
+        return "".join(letters)
+
+    asked = sorted({edited(k) for k in known for _ in range(5)})
+    q, c = spark.createDataFrame([(a, 2) for a in asked], "q string, most int"), spark.createDataFrame([(k,) for k in known], "c string")
+    met = S.near_candidates(q, c)
+    got = {tuple(r) for r in met.collect()}
+    assert got >= {(a, k) for a in asked for k in known if abs(len(a) - len(k)) <= 2 and S.osa(a, k) <= 2}
+    assert got <= {(a, k) for a in asked for k in known if abs(len(a) - len(k)) <= 2}
+    assert "Broadcast" not in plan_of(met)
