@@ -31,6 +31,11 @@ def _verdicts(df: DataFrame, ok: Column, rule: str, message: str, suggestion: Co
     )
 
 
+def _one_each(guess: DataFrame) -> DataFrame:
+    """(norm, candidate) by norm, so that a plan which doesn't read the suggestions needs no join with them."""
+    return guess.groupBy("norm").agg(F.min("candidate").alias("candidate"))
+
+
 def _globs(claims: DataFrame, files: DataFrame) -> DataFrame:
     """(path, norm): claimed patterns that some file matches, seen from the root or the document's directory.
 
@@ -41,7 +46,7 @@ def _globs(claims: DataFrame, files: DataFrame) -> DataFrame:
     tried = tried.withColumn("top", F.regexp_replace(F.regexp_extract("glob", "^([^*?]*)", 1), "/?[^/]*$", ""))
     tops = tried.select("top").distinct()
     below = files.select("rel", F.explode(F.transform(T.ancestors("rel"), lambda d: F.when(d == ".", F.lit("")).otherwise(d))).alias("top")).join(tops, "top")
-    return tried.join(below, "top").where(F.regexp(F.col("rel"), T.glob_pattern("glob"))).select("path", "norm").distinct()
+    return tried.join(below.hint("merge"), "top").where(F.regexp(F.col("rel"), T.glob_pattern("glob"))).select("path", "norm").distinct()
 
 
 def paths(claims: DataFrame, files: DataFrame, renames: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
@@ -54,7 +59,7 @@ def paths(claims: DataFrame, files: DataFrame, renames: DataFrame | None = None,
     bases = F.concat(F.array(F.lit("")), F.transform(T.ancestors("path"), lambda d: F.when(d == ".", F.lit("")).otherwise(d)))
     tried = F.array_distinct(F.transform(bases, lambda b: T.clean_path(F.concat_ws("/", b, "norm"))))
     candidates = mine.select("path", "norm", F.explode(tried).alias("rel")).distinct()
-    hits = candidates.join(known, "rel", "left_semi").select("path", "norm").unionByName(_globs(mine, files)).distinct().withColumn("hit", F.lit(True))
+    hits = candidates.join(known.hint("merge"), "rel", "left_semi").select("path", "norm").unionByName(_globs(mine, files)).distinct().withColumn("hit", F.lit(True))
     resolved = mine.join(hits, ["path", "norm"], "left")
     unseen = F.lit(False)
     if excluded is not None:
@@ -66,7 +71,7 @@ def paths(claims: DataFrame, files: DataFrame, renames: DataFrame | None = None,
         moved = renames.join(known.withColumnRenamed("rel", "new"), "new", "left_semi").select(F.col("old").alias("norm"), F.col("new").alias("candidate"))
         guess = moved.unionByName(guess.join(moved.select("norm"), "norm", "left_anti"))
     rule = F.when(F.col("kind") == "command", "missing-command").otherwise("missing-path")
-    return _verdicts(resolved.join(guess, "norm", "left"), F.col("hit"), "missing-path", "%s does not exist", F.col("candidate"), unseen).withColumn("rule", rule)
+    return _verdicts(resolved.join(_one_each(guess), "norm", "left"), F.col("hit"), "missing-path", "%s does not exist", F.col("candidate"), unseen).withColumn("rule", rule)
 
 
 def symbols(claims: DataFrame, keys: DataFrame, literals: DataFrame, config_keys: DataFrame, external: DataFrame | None = None, opaque: DataFrame | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from claimlake.operators import extract as X
 from claimlake.operators import ledger as L
 from claimlake.operators import resolve as R
 from claimlake.plans import driver_queries as Q
+from claimlake.session import materialise
 from claimlake.sources import facts as S
 from claimlake.sources import tokens
 
@@ -271,7 +272,9 @@ def verdict_paths(spark: SparkSession, d: str) -> DataFrame:
     files = Q._known_files(spark, d)
     dirs = files.select(F.explode(T.ancestors("rel")).alias("rel")).where("rel <> '.'").distinct()
     table = files.withColumn("is_dir", F.lit(False)).unionByName(dirs.withColumn("is_dir", F.lit(True)))
-    return _status(R.paths(_span_claims(spark, d), table))
+    # The resolver asks for its claims several times; the pages are scanned once.
+    claims = materialise(_span_claims(spark, d).where("kind = 'path'"), "claims")
+    return _status(R.paths(claims, table))
 
 
 @_query(rf"""{_NAMED}, {_CODE[5:]}, used AS ({_uses_sql()}), flag AS (SELECT DISTINCT lower(replace(regexp_replace(name, '^-+', ''), '_', '-')) AS k FROM used WHERE kind = 'flag' AND name <> ''),

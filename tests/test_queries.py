@@ -54,3 +54,8 @@ def test_flagship_plan_reads_two_columns(spark, capsys):
 @pytest.mark.parametrize("name", ["did_you_mean", "did_you_mean_osa", "similar_paths_all"])
 def test_suggestions_broadcast_no_side_that_grows(spark, name):
     assert "Broadcast" not in queries.QUERIES[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_path_verdicts_scan_pages_once_and_suggest_only_where_read(spark):
+    plan = queries.QUERIES["verdict_paths"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "levenshtein" not in plan
