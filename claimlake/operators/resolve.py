@@ -127,9 +127,9 @@ def config_keys(claims: DataFrame, keys: DataFrame, literals: DataFrame) -> Data
     plain = lambda c: F.lower(F.regexp_replace(c, "\\[[0-9]+\\]", ""))
     mine = claims.where("kind = 'config'").withColumn("plain", plain(F.col("norm")))
     known = keys.select(plain(F.col("key")).alias("plain")).unionByName(literals.select(plain(F.col("name")).alias("plain"))).distinct().withColumn("hit", F.lit(True))
-    joined = mine.join(known, "plain", "left")
+    joined = mine.join(known.hint("merge"), "plain", "left")
     guess = S.ranked(joined.where("hit is null"), keys, "norm", "key", n=1).select(F.col("query").alias("norm"), "candidate")
-    return _verdicts(joined.join(guess, "norm", "left"), F.col("hit"), "unknown-config-key", "configuration key %s is not known", F.col("candidate"))
+    return _verdicts(joined.join(_one_each(guess), "norm", "left"), F.col("hit"), "unknown-config-key", "configuration key %s is not known", F.col("candidate"))
 
 
 def anchors(claims: DataFrame, known: DataFrame) -> DataFrame:

@@ -59,3 +59,8 @@ def test_suggestions_broadcast_no_side_that_grows(spark, name):
 def test_path_verdicts_scan_pages_once_and_suggest_only_where_read(spark):
     plan = queries.QUERIES["verdict_paths"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan and "levenshtein" not in plan
+
+
+def test_config_verdicts_suggest_only_where_read(spark):
+    plan = queries.QUERIES["verdict_config"](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Broadcast" not in plan
