@@ -51,7 +51,7 @@ def test_flagship_plan_reads_two_columns(spark, capsys):
     assert "ReadSchema: struct<path:string>" in plan and "Python" not in plan
 
 
-@pytest.mark.parametrize("name", ["did_you_mean", "did_you_mean_osa", "similar_paths_all"])
+@pytest.mark.parametrize("name", ["did_you_mean", "did_you_mean_osa", "similar_paths_all", "similar_symbols"])
 def test_suggestions_broadcast_no_side_that_grows(spark, name):
     assert "Broadcast" not in queries.QUERIES[name](spark, TABLES)._jdf.queryExecution().executedPlan().toString()
 
